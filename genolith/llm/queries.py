@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from genolith.llm import decontaminate, url_filter
+from genolith.llm import decontaminate, secrets, url_filter
 
 QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
