@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from genolith.llm import decontaminate, secrets, url_filter
+from genolith.llm import decontaminate, packing, secrets, token_store, url_filter
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op10_token_store": token_store.op10_token_store,
     "op4_secrets": secrets.op4_secrets,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_decontaminate": decontaminate.op9_decontaminate,
