@@ -20,26 +20,34 @@ from genolith.llm.common import Scratch, read
 BROADCAST_ITEMS = 5_000
 
 
-def words(text) -> "F.Column":
-    """Lower-cased runs of letters and digits; null and empty texts have none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    first = F.when(F.get(parts, 0) == "", 1).otherwise(0)
-    last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
+def with_words(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and ``w``: lower-cased runs of letters and digits of ``text``; null and empty texts have none.
+
+    Two projections, so that the text is cut once.
+    """
+    parts = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    first = F.when(F.get("p", 0) == "", 1).otherwise(0)
+    last = F.when((F.size("p") > 1) & (F.element_at("p", -1) == ""), 1).otherwise(0)
+    return df.select(*keys, parts.alias("p")).select(*keys, F.slice("p", first + 1, F.greatest(F.size("p") - first - last, F.lit(0))).alias("w"))
 
 
-def shingle_hashes(k: int, name: str = "w") -> "F.Column":
-    """Hashes of all runs of k words of the array column ``name``, with repeats."""
-    args = ", ".join(f"{name}[i + {j}]" for j in range(k))
-    return F.expr(f"CASE WHEN size({name}) >= {k} THEN transform(sequence(0, size({name}) - {k}), i -> xxhash64({args})) ELSE array() END")
+def exploded_shingles(words: DataFrame, k: int, *keys: str) -> DataFrame:
+    """keys, n_words, n, h: a row for each run of k words, with repeats.
+
+    Positions are exploded and hashed outside of a lambda: generator, hash and the probe of a
+    broadcast table that follows compile into one stage.
+    """
+    at = words.where(F.size("w") >= k).select(*keys, "w", F.explode(F.expr(f"sequence(0, size(w) - {k})")).alias("i"))
+    return at.select(*keys, F.size("w").alias("n_words"), F.lit(k).alias("n"), F.expr(f"xxhash64({', '.join(f'w[i + {j}]' for j in range(k))})").alias("h"))
 
 
 def item_shingles(items: DataFrame, k: int) -> DataFrame:
     """item_id, n (words in a shingle), h: distinct shingles. An item of under k words is one shingle of all its words."""
-    w = items.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w"))
-    short = ", ".join(f"CASE WHEN size(w) = {n} THEN array(xxhash64({', '.join(f'w[{j}]' for j in range(n))})) END" for n in range(1, k))
-    own = F.coalesce(F.expr(f"coalesce({short})"), shingle_hashes(k)) if k > 1 else shingle_hashes(k)
-    return w.where("size(w) > 0").select("item_id", F.least(F.size("w"), F.lit(k)).alias("n"), F.explode(own).alias("h")).distinct()
+    w = with_words(items.where("item_id IS NOT NULL"), "item_id")
+    out = exploded_shingles(w, k, "item_id")
+    for n in range(1, k):
+        out = out.unionByName(exploded_shingles(w.where(F.size("w") == n), n, "item_id"))
+    return out.select("item_id", "n", "h").distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, k: int = 5, threshold: float = 0.8, tokens: int = 9) -> DataFrame:
@@ -62,8 +70,8 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, k: int
     lengths = [r["n"] for r in target.select("n").distinct().collect()]  # at most k values
 
     def exploded(source: DataFrame) -> DataFrame:
-        w = source.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
-        parts = [w.where(f"size(w) >= {n}").select("doc_id", F.size("w").alias("n_words"), F.lit(n).alias("n"), F.explode(shingle_hashes(n)).alias("h")) for n in lengths]
+        w = with_words(source.where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id")
+        parts = [exploded_shingles(w, n, "doc_id") for n in lengths]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -72,10 +80,10 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, k: int
     schema = "doc_id, item_id, matched, item_shingles, matched / item_shingles AS containment"
     if not lengths:
         return docs.where("false").selectExpr("doc_id", "CAST(NULL AS bigint) AS item_id", "0L AS matched", "0L AS item_shingles", "0D AS containment")
-    candidates = exploded(docs).join(small(signature), ["n", "h"]).where("n_words - n + 1 >= need").select("doc_id", "item_id").distinct()
+    candidates = exploded(docs).join(small(signature.drop("n")), "h").where("n_words - n + 1 >= need").select("doc_id", "item_id").distinct()
     candidates = scratch.keep(candidates, "candidates")
     again = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    hits = exploded(again).join(small(sized), ["n", "h"]).select("doc_id", "item_id", "item_shingles", "h")
+    hits = exploded(again).join(small(sized.drop("n")), "h").select("doc_id", "item_id", "item_shingles", "h")
     matched = hits.distinct().groupBy("doc_id", "item_id", "item_shingles").agg(F.count("*").alias("matched"))
     exact = matched.where(F.col("matched") >= F.col("item_shingles") * F.lit(threshold)).join(candidates, ["doc_id", "item_id"], "left_semi")
     return exact.selectExpr(*schema.split(", "))
