@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from genolith.llm import decontaminate, packing, secrets, token_store, url_filter
+from genolith.llm import chat_format, decontaminate, packing, quality, secrets, token_store, url_filter
 
 QUERIES = {
+    "op7_quality": quality.op7_quality,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op3_packing": packing.op3_packing,
     "op10_token_store": token_store.op10_token_store,
     "op4_secrets": secrets.op4_secrets,
@@ -12,6 +14,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLE_SQL = {
+    "op5_chat_format": chat_format.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
