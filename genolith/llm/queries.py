@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from genolith.llm import chat_format, decontaminate, minhash, packing, quality, secrets, token_store, url_filter
+from genolith.llm import chat_format, decontaminate, minhash, packing, pivots, quality, secrets, token_store, url_filter
 
 QUERIES = {
+    "op2_pivots": pivots.op2_pivots,
     "op1_minhash": minhash.op1_minhash,
     "op7_quality": quality.op7_quality,
     "op5_chat_format": chat_format.op5_chat_format,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLE_SQL = {
+    "op2_pivots": pivots.ORACLE,
     "op1_minhash": minhash.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
