@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from genolith.llm import chat_format, decontaminate, minhash, packing, pivots, quality, secrets, token_store, url_filter
+from genolith.llm import chat_format, decontaminate, minhash, packing, pivots, quality, secrets, suffix_dedup, token_store, url_filter
 
 QUERIES = {
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op2_pivots": pivots.op2_pivots,
     "op1_minhash": minhash.op1_minhash,
     "op7_quality": quality.op7_quality,
