@@ -87,7 +87,7 @@ def comb_coding_merge_last(spark, d):
     return rp.combined_metrics(isw(spark, d).where("flag = 'R'"), "density", PGC, 2000, merge_last=True)
 
 
-GROUPS = [(1, 1), (2, 2), (3, 4), (3, 5), (5, 7), (1, 7)]
+GROUPS = [(1, 1), (2, 2), (3, 4), (3, 5), (5, 7), (2, 7)]
 
 
 @query(f"WITH {ISW}, {bands_sql(GROUPS)} SELECT band, {PGC_SQL}, round(sum(length) * 100 / (SELECT sum(length) FROM isw), 6) AS length_share FROM isw JOIN bands ON distance BETWEEN lo AND hi GROUP BY band")
