@@ -122,8 +122,8 @@ def runs_of(sequence: Column, pattern: str) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("out"))
 
     def step(acc: Column, z: Column) -> Column:
-        begin = acc["at"] + F.length(z["0"])
-        stop = begin + F.coalesce(F.length(z["1"]), F.lit(0))
-        return F.struct(stop.alias("at"), F.when(z["1"].isNotNull(), F.concat(acc["out"], F.array(_span(begin + 1, stop)))).otherwise(acc["out"]).alias("out"))
+        begin = acc["at"] + F.length(z["x"])
+        stop = begin + F.coalesce(F.length(z["r"]), F.lit(0))
+        return F.struct(stop.alias("at"), F.when(z["r"].isNotNull(), F.concat(acc["out"], F.array(_span(begin + 1, stop)))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
