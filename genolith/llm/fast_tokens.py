@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, with a bounded memory of pieces already encoded.
 
 A BPE tokenizer first cuts a text into pieces and encodes each by itself. For the two
-vocabularies used here the cut is made in Arrow, each distinct piece goes to the library
+vocabularies used here the cut is made by numpy, each distinct piece goes to the library
 once per worker, and ids are gathered by numpy. A text that the quick cut might treat
 differently (other scripts, control characters, runs of white space, special tokens) is
 handed to the library whole, so ids are always those of ``Tokenizer.encode``.
@@ -15,15 +15,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MARK = "\x1f"
-_CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Texts for the library: anything but printable Latin, single blanks and line ends; special tokens.
-_WHOLE = {"word": r"[^\x20-\x{7e}\n\x{a1}-\x{24f}]|<\|", "byte": r"[^\x20-\x{7e}\n\x{a1}-\x{24f}]|<\||[ \n]{2}"}
-_PIECES = {
-    "word": (rf"\s*({_CONTRACTED}|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+)", rf"\1{_MARK}"),
-    "byte": (rf"({_CONTRACTED}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s)", rf"\1{_MARK}"),
-}
-MAX_PIECES = 900_000
+from genolith.llm.shingles import text_bytes
+
+BLANK, LINE, LETTER, DIGIT, OTHER, ODD = range(6)
+
+
+def _classes() -> np.ndarray:
+    """Class of each byte of a text; a two-byte letter (U+00C0 to U+024F) begins with 0xC3 to 0xC9. ODD: texts for the library."""
+    table = np.full(256, ODD, np.uint8)
+    table[33:127] = OTHER
+    table[ord(" ")], table[ord("\n")] = BLANK, LINE
+    for first, last in ("az", "AZ"):
+        table[ord(first) : ord(last) + 1] = LETTER
+    table[48:58] = DIGIT
+    table[0xC3:0xCA] = LETTER
+    table[0xC2] = OTHER
+    return table
+
+
+_CLASS = _classes()
+#: Second bytes of letters and numbers among U+00A0 to U+00BF, and the blank there.
+_ODD_LATIN = np.isin(np.arange(256), [0xA0, 0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]) | (np.arange(256) < 0xA0)
+MAX_PIECES = 1_000_000
 CHUNK_BYTES = 8 << 20
 
 
@@ -79,15 +92,68 @@ class PieceEncoder:
                     ids = np.asarray(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32)
                     self._store([p], ids, np.array([len(ids)]), 0)
 
+    def _cut(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes without what is dropped, piece starts there, first piece of each text and the end, whether each text is odd)."""
+        n, word = len(data), self.kind == "word"
+        kind = _CLASS[data]
+        later = (data & 0xC0) == 0x80  # second byte of a character
+        second = np.flatnonzero(later)
+        second = second[second > 0]
+        lead, second_byte = data[second - 1], data[second]
+        kind[second] = np.where((lead == 0xC3) & ((second_byte == 0x97) | (second_byte == 0xB7)), OTHER, kind[second - 1])
+        kind[second[(lead == 0xC2) & _ODD_LATIN[second_byte]]] = ODD
+        kind[second - 1] = np.where((lead >= 0xC2) & (lead <= 0xC9), kind[second], kind[second - 1])
+        head = np.zeros(n + 1, bool)
+        head[at[:-1]] = True
+        head = head[:n]
+        space = kind <= LINE
+        odd = kind == ODD
+        if n > 1:
+            inside = ~head[1:]
+            odd[1:] |= inside & (data[1:] == ord("|")) & (data[:-1] == ord("<"))
+            if not word:
+                odd[1:] |= inside & space[1:] & space[:-1]
+        whole = np.zeros(len(at) - 1, bool)
+        whole[np.searchsorted(at, np.flatnonzero(odd), "right") - 1] = True
+        start = head.copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        if word:
+            start |= kind == DIGIT
+        else:
+            start |= space
+            start[1:] &= ~((kind[:-1] == BLANK) & ~space[1:] & ~head[1:])
+        start[second] = False
+        start |= head
+        # contractions: an apostrophe that begins a piece, and one or two letters
+        mark = np.flatnonzero(data == ord("'"))
+        mark = mark[start[mark]]
+        if len(mark):
+            ends = at[np.searchsorted(at, mark, "right")]
+            one, two = (np.where(mark + i < ends, data[np.minimum(mark + i, n - 1)], 0) for i in (1, 2))
+            long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+            size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, np.where(long, 3, 0))
+            mark, size = mark[size > 0], size[size > 0]
+            start[mark + 1] = False
+            start[(mark + size)[mark + size < n]] = True
+        if not word:
+            first = np.flatnonzero(start)
+            return data, first, np.searchsorted(first, at), whole
+        start &= ~space
+        moved = np.concatenate(([0], np.cumsum(~space)))
+        first = np.flatnonzero(start)
+        return data[~space], moved[first], np.searchsorted(first, at), whole
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = pc.match_substring_regex(texts, _WHOLE[self.kind])
-        quick = pc.if_else(whole, "", texts)
-        quick = pc.replace_substring_regex(pc.ascii_lower(quick) if self.kind == "word" else quick, *_PIECES[self.kind])
-        lists = pc.split_pattern(quick, _MARK)
-        bounds = np.asarray(lists.offsets).astype(np.int64)
-        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        quick = pc.ascii_lower(texts) if self.kind == "word" else texts
+        data, first, bounds, whole = self._cut(*text_bytes(quick))
+        odd = np.flatnonzero(whole)
+        if len(odd):
+            data, first, bounds, _ = self._cut(*text_bytes(pc.if_else(pa.array(whole), "", quick)))
+        offsets = np.append(first, len(data)).astype(np.int64)
+        cut = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = cut.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.known) + len(pieces) > MAX_PIECES:
             self._forget()
@@ -98,8 +164,7 @@ class PieceEncoder:
         lengths = self.length[codes].astype(np.int64)
         sums = np.concatenate(([0], np.cumsum(lengths)))
         ids = self.pool[np.repeat(self.at[codes] - sums[:-1], lengths) + np.arange(sums[-1])]
-        offsets = sums[bounds - bounds[0]]
-        odd = np.flatnonzero(np.asarray(whole))
+        offsets = sums[bounds]
         if not len(odd):
             return ids, offsets
         own = {int(i): np.asarray(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in odd}
