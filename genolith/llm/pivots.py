@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from genolith.llm.common import Scratch, components, read
 
-LENGTH = 8
+LENGTH = 10
 #: Pivots: PER_ROOT times the square root of the rows, between these bounds.
 PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 16_384
 BLOCK = 1024
@@ -78,10 +78,10 @@ def _canonical(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray)
 
 
 def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
-    """Links within runs of one list (and pair of blocks): rows (a, null, links of a) and edges (a, b, null)."""
+    """Links within runs of one list (and pair of blocks): rows (class, null, its links) and edges (id, id, null)."""
     rows = rows.combine_chunks()
     column = lambda c: np.asarray(rows.column(c).combine_chunks())
-    rep, times, low, high, i, j, own = (column(c) for c in ("rep", "times", "low", "high", "i", "j", "own"))
+    rep, ident, times, low, high, i, j, own = (column(c) for c in ("rep", "id", "times", "low", "high", "i", "j", "own"))
     x, near = unit(matrix(rows.column("embedding").combine_chunks())), matrix(rows.column("near").combine_chunks(), np.int32)
     key = np.stack([low, high, i, j], 1)
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
@@ -130,7 +130,7 @@ def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
     some, tied = np.flatnonzero(links), np.flatnonzero(parent != np.arange(len(rep)))
     nulls = lambda n: pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[rep[some], rep[tied]]), pa.concat_arrays([nulls(len(some)), pa.array(rep[parent[tied]])]), pa.concat_arrays([pa.array(links[some]), nulls(len(tied))])], names=["a", "b", "n"]
+        [pa.array(np.r_[rep[some], ident[tied]]), pa.concat_arrays([nulls(len(some)), pa.array(ident[parent[tied]])]), pa.concat_arrays([pa.array(links[some]), nulls(len(tied))])], names=["a", "b", "n"]
     )
 
 
@@ -161,18 +161,20 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, lengt
     Linked are vectors whose cosine is found to be ``least`` or more, never others. A vector that is
     null, empty, zero or has null or non-finite components links with nothing, as do those of another
     dimension than most have. Equal vectors link with each other. Rows that share a vec_id are one
-    node of the components. A row without vec_id gets a null component and is kept.
+    node of the components. A row without
+    vec_id gets a null component and is kept.
     """
     spark = scratch.spark
     good = usable(vectors.selectExpr("CAST(vec_id AS bigint) AS vec_id", "embedding"))
-    classes = scratch.keep(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "classes")
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"))
+    classes = scratch.keep(classes.withColumn("rep", F.xxhash64("embedding", "id")), "classes")  # ids may be shared by classes
     most = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = vectors.selectExpr("CAST(vec_id AS bigint) AS vec_id", "embedding")
     if most is None:
         return rows.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "true AS kept")
     same = classes.where(F.size("embedding") == most["d"])
     wanted = pivots or max(LEAST_PIVOTS, min(MOST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(most["count"]))))
-    sample = same.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("embedding").toPandas()
+    sample = same.orderBy(F.xxhash64("id"), "rep").limit(wanted).select("embedding").toPandas()
     points = unit(np.array(sample["embedding"].tolist(), np.float64))
     length = min(length, len(points))
     described = scratch.keep(permutations(same, points, length), "described")
@@ -186,15 +188,15 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, lengt
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         placed = postings.join(lists, ["low", "high"]).withColumn("own", own)
         spread = placed.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("rep", "low", "high", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-        full = spread.join(described.select("rep", "embedding", "times", "near"), "rep")
-        ordered = full.select("rep", "times", "low", "high", "i", "j", "own", "embedding", "near").repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
+        full = spread.join(described.select("rep", "id", "embedding", "times", "near"), "rep")
+        ordered = full.select("rep", "id", "times", "low", "high", "i", "j", "own", "embedding", "near").repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
         found = scratch.keep(compare_lists(ordered, least), "found")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     same_id = good.groupBy("vec_id").agg(F.count("*").alias("rows")).where("rows > 1").select("vec_id")
-    tied = good.join(same_id, "vec_id", "left_semi").join(classes.select("embedding", "rep"), "embedding").selectExpr("vec_id AS a", "rep AS b")
+    tied = good.join(same_id, "vec_id", "left_semi").join(classes.select("embedding", "id"), "embedding").selectExpr("vec_id AS a", "id AS b")
     labels = components(found.where("b IS NOT NULL").select("a", "b").unionByName(tied), scratch)
-    per_class = classes.join(counts, classes["rep"] == counts["a"], "left").select("embedding", "rep", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    per_class = per_class.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("embedding", F.coalesce("component_id", "rep").alias("low"), "n_links")
+    per_class = classes.join(counts, classes["rep"] == counts["a"], "left").select("embedding", "id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    per_class = per_class.join(labels.withColumnRenamed("node", "id"), "id", "left").select("embedding", F.coalesce("component_id", "id").alias("low"), "n_links")
     per_class = scratch.keep(per_class, "per_class")
     joined = usable(rows).join(per_class, "embedding").select("vec_id", "n_links", F.col("low").alias("component_id"))
     bad = rows.where(f"NOT {_USABLE}")
