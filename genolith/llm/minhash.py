@@ -9,7 +9,8 @@ expectation at any depth).
 * At every node the members are first held against one hub. Verified links are joined into
   components, and a node whose members are all in one component is finished: what is asked for
   is which documents are reachable, so a group of copies costs one comparison each.
-* Nodes of at most ``leaf`` members are then compared exhaustively, pairs of one component aside.
+* Nodes with at most ``leaf`` members outside of their largest component are then compared
+  exhaustively, pairs of one component aside.
 * Larger nodes get more hubs and branch. Below ``depth`` they no longer branch, but hubs are drawn
   until every member was held against all others or is in one component with them: nothing is capped.
 
@@ -31,7 +32,7 @@ from genolith.llm.common import Scratch, components, read
 from genolith.llm.shingles import chunks, mix, shingle_sets
 
 COORDINATES = 64
-TREES, LEAF, DEPTH = 12, 48, 10
+TREES, LEAF, DEPTH = 12, 32, 10
 #: Ids that are broadcast at most to pick out the texts to verify.
 BROADCAST_IDS = 400_000
 _A = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,44 +91,47 @@ class ChosenPathJoin:
 
     def components(self) -> DataFrame | None:
         """(node, component_id) of the classes that are linked."""
-        rows = self.scratch.keep(self.classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {self.trees - 1}), t -> xxhash64(t, sig[t]))")).alias("node")), "rows_0")
+        scratch = self.scratch
+        rows = scratch.keep(self.classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {self.trees - 1}), t -> xxhash64(t, sig[t]))")).alias("node")), "rows_0")
         level = 0
         while True:
             level += 1
-            nodes = self.open_nodes(rows, level)
+            labelled = self.labelled(rows)
+            nodes = self.open_nodes(labelled, level)
             if nodes is None:
                 return self.labels
-            rows = self.scratch.keep(rows.join(nodes.select("node", "size"), "node"), f"rows_{level}_open")
-            self.scratch.drop(f"rows_{level - 1}")
-            if level == 1:
-                pairs = self.star(rows, nodes)
-            else:
-                pairs = self.star(rows.where(F.col("size") > self.leaf), nodes).unionByName(self.exhaustive(rows.where(F.col("size") <= self.leaf)))
-            self.confirm(pairs, level)
+            rows = scratch.keep(labelled.join(nodes.select("node", "size", "minor", "main"), "node"), f"rows_{level}_open")
+            scratch.drop(f"rows_{level - 1}")
+            rest = rows if level == 1 else rows.where(F.col("minor") > self.leaf)
+            pairs = self.star(rest, nodes)
             if level > 1:
-                rows = rows.where(F.col("size") > self.leaf)
-                if level <= self.depth:
-                    rows = self.branch(rows)
-                else:  # a hub that met all members is done
-                    hubs = nodes.select("node", F.explode("hubs").alias("rep"))
-                    rows = rows.join(hubs, ["node", "rep"], "left_anti")
-            rows = self.scratch.keep(rows.select("node", "rep"), f"rows_{level}")
-            self.scratch.drop(f"rows_{level}_open", f"nodes_{level}")
-            self.scratch.spark._jvm.System.gc()  # lets Spark remove the shuffle files of tables that are written by now
+                pairs = pairs.unionByName(self.exhaustive(rows.where(F.col("minor") <= self.leaf)))
+            self.confirm(pairs, level)
+            if level > self.depth:  # a hub that met all members is done
+                hubs = nodes.select("node", F.explode("hubs").alias("rep"))
+                rest = rest.join(hubs, ["node", "rep"], "left_anti")
+            elif level > 1:
+                rest = self.branch(rest)
+            rows = scratch.keep(rest.select("node", "rep"), f"rows_{level}")
+            scratch.drop(f"rows_{level}_open", f"nodes_{level}")
+            scratch.spark._jvm.System.gc()  # lets Spark remove the shuffle files of tables that are written by now
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """node, rep, label: the component that a class is known to be in, or itself."""
+        if self.labels is None:
+            return rows.select("node", "rep", F.col("rep").alias("label"))
+        joined = rows.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
+        return joined.select("node", "rep", F.coalesce("component_id", "rep").alias("label"))
 
     def open_nodes(self, rows: DataFrame, level: int) -> DataFrame | None:
-        """node, size, hubs of the nodes that hold more than one component."""
-        if self.labels is not None:
-            rows = rows.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
-        else:
-            rows = rows.withColumn("component_id", F.lit(None).cast("long"))
-        label = F.coalesce("component_id", "rep")
+        """node, size, main (largest component), minor (members outside of it), hubs of the nodes that hold more than one component."""
         # level 1 has the same order of hubs everywhere, so that all trees compare a group with one member
         count = 1 if level == 1 else min(64, 4 << max(0, level - self.depth))
         draw = [F.struct(F.xxhash64("rep") if level == 1 else F.xxhash64("rep", "node", F.lit(level), F.lit(i)), "rep") for i in range(count)]
-        found = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(label).alias("low"), F.max(label).alias("high"), *[F.min(d).alias(f"h{i}") for i, d in enumerate(draw)])
-        found = found.where("low < high").select("node", "size", F.array_distinct(F.array(*[F.col(f"h{i}.rep") for i in range(count)])).alias("hubs"))
-        found = self.scratch.keep(found, f"nodes_{level}")
+        per = rows.groupBy("node", "label").agg(F.count("*").alias("n"), *[F.min(d).alias(f"h{i}") for i, d in enumerate(draw)])
+        found = per.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(count)]).where("labels > 1")
+        hubs = F.array_distinct(F.array(*[F.col(f"h{i}.rep") for i in range(count)]))
+        found = self.scratch.keep(found.select("node", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("minor"), hubs.alias("hubs")), f"nodes_{level}")
         return found if found.limit(1).count() else None
 
     @staticmethod
@@ -136,14 +140,11 @@ class ChosenPathJoin:
         paired = rows.select("node", "rep").join(nodes.select("node", "hubs"), "node").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub")
         return paired.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
-    def exhaustive(self, rows: DataFrame) -> DataFrame:
-        """Pairs of different components in nodes of at most ``leaf`` members."""
-        if self.labels is not None:
-            rows = rows.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("label"))
-        else:
-            rows = rows.select("node", "rep", F.col("rep").alias("label"))
-        other = rows.select("node", F.col("rep").alias("b"), F.col("label").alias("other"))
-        return rows.join(other, "node").where("rep < b AND label <> other").select(F.col("rep").alias("a"), "b")
+    @staticmethod
+    def exhaustive(rows: DataFrame) -> DataFrame:
+        """Pairs of different components, in nodes with at most ``leaf`` members outside their main one: those against all, linear in the members."""
+        few = rows.where("label <> main").select("node", F.col("rep").alias("x"), F.col("label").alias("own"))
+        return few.join(rows.select("node", "rep", "label"), "node").where("label <> own").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
 
     def branch(self, rows: DataFrame) -> DataFrame:
         """Children of each row: one branch, in a quarter of the nodes two."""
