@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from genolith.llm.shingles import text_bytes
+from genolith.llm.shingles import LOWER, text_bytes
 
 BLANK, LINE, LETTER, DIGIT, OTHER, ODD = range(6)
 
@@ -95,6 +95,8 @@ class PieceEncoder:
     def _cut(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes without what is dropped, piece starts there, first piece of each text and the end, whether each text is odd)."""
         n, word = len(data), self.kind == "word"
+        if word:
+            data = LOWER[data]
         kind = _CLASS[data]
         later = (data & 0xC0) == 0x80  # second byte of a character
         second = np.flatnonzero(later)
@@ -146,11 +148,10 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        quick = pc.ascii_lower(texts) if self.kind == "word" else texts
-        data, first, bounds, whole = self._cut(*text_bytes(quick))
+        data, first, bounds, whole = self._cut(*text_bytes(texts))
         odd = np.flatnonzero(whole)
         if len(odd):
-            data, first, bounds, _ = self._cut(*text_bytes(pc.if_else(pa.array(whole), "", quick)))
+            data, first, bounds, _ = self._cut(*text_bytes(pc.if_else(pa.array(whole), "", texts)))
         offsets = np.append(first, len(data)).astype(np.int64)
         cut = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = cut.dictionary_encode()

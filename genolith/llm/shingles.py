@@ -15,8 +15,8 @@ _PLACE = _SEED.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,7 +49,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word and the end): words are runs without ASCII white space, A-Z lower-cased."""
     data, at = text_bytes(texts)
-    data = _LOWER[data]
+    data = LOWER[data]
     inside = ~_SEPARATOR[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
