@@ -212,3 +212,23 @@ def test_run_and_stream(spark, tmp_path):
 
     stream_tables(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "cp"), outgroup=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s" / "align")).count() == 1
+
+
+def test_templates(spark):
+    from genolith.plans.templates import TEMPLATES, build
+    from genolith.schema import TABLES
+
+    schema = dict(TABLES)
+    schema["isw"] += ", isw_syn double, isw_nsy double, isw_stop double"
+    schema["snp"] += ", snp_r double, snp_dprime double, " + ", ".join(f"snp_{c} double" for c in ("r2_s", "dprime_abs_s", "r2_i", "r2_ni", "dprime_abs_i", "dprime_abs_ni"))
+    schema["gsw"] += ", gsw_bed_count double"
+    empty = {n: spark.createDataFrame([], s) for n, s in schema.items()}
+    assert len(TEMPLATES) == 26
+    for name, t in TEMPLATES.items():
+        assert build(empty, name).count() == (0 if t.key else 1), name
+    isw = spark.createDataFrame([(i, 1, i % 3, 0.1 * i, 10 * i) for i in range(9)], "isw_id long, isw_indel_id long, isw_distance int, isw_pi double, isw_length int")
+    indel = spark.createDataFrame([(1, 1, 0.0)], "indel_id long, align_id long, indel_slippage double")
+    got = {r.key: r for r in build({"isw": isw}, "common-d1_combine").collect()}
+    assert (got[2].COUNT, got[2].SUM_length) == (3, 150)
+    assert build({"isw": isw, "indel": indel}, "common-d1_make_combine_slippage", where=["indel_slippage >= 1"]).count() == 0
+    assert [r.key for r in build({"isw": isw}, "common-d1_combine", key="floor(isw_length / 40)", limit=2).collect()] == [0, 1]
