@@ -232,3 +232,34 @@ def test_templates(spark):
     assert (got[2].COUNT, got[2].SUM_length) == (3, 150)
     assert build({"isw": isw, "indel": indel}, "common-d1_make_combine_slippage", where=["indel_slippage >= 1"]).count() == 0
     assert [r.key for r in build({"isw": isw}, "common-d1_combine", key="floor(isw_length / 40)", limit=2).collect()] == [0, 1]
+
+
+def test_small_enrichers(spark):
+    df = spark.createDataFrame([("1-10,15-20", ["3-4,18-18", "8-9"]), ("1-10", [])], "w string, g array<string>")
+    gaps = F.transform("g", lambda x: iv.parse(x))
+    assert [r.n for r in df.select(enrich.slice_indels(iv.parse(F.col("w")), gaps).alias("n")).collect()] == [3, 0]
+    rows = spark.createDataFrame([(i, 2.0, 4.0) for i in range(50)], "i int, t double, u double")
+    b = enrich.bootstrap_ratio(rows, "t", "u", 20).first()
+    assert b.mean == pytest.approx(0.5) and b.p5 == pytest.approx(0.5) and b.stderr == pytest.approx(0.0, abs=1e-9)
+    isw = spark.createDataFrame([(1, 7, 1, 100, 5)], "isw_id long, isw_indel_id long, align_id long, isw_length int, x int")
+    indels = spark.createDataFrame([(7, "1100")], "indel_id long, indel_occured string")
+    snps = spark.createDataFrame([(1, 1, 1, 10, "1000", 1.0), (2, 1, 1, 20, "1100", 0.0), (3, 1, 1, 30, "unknown", 0.0)], "snp_id long, isw_id long, align_id long, snp_pos int, snp_occured string, snp_cpg double")
+    r = enrich.branch_snps(isw, indels, snps).first()
+    assert (r.indel_id, r.with_indel, r.without_indel) == (7, 0.75, 0.0)
+    ld = {x.snp_id: x for x in enrich.indel_snp_ld(snps, isw, indels).collect()}
+    assert ld[2].snp_r == pytest.approx(1.0) and ld[1].snp_r == pytest.approx(1 / math.sqrt(3)) and ld[3].snp_r is None
+    assert enrich.isw_cpg(isw, snps).first().isw_cpg_pi == pytest.approx(0.01)
+    windows = spark.createDataFrame([(5, 1, 1, 25), (6, 1, 26, 40)], "segment_id long, align_id long, ws int, we int")
+    w = enrich.window_ld(windows, snps, "segment_id", "ws", "we").collect()
+    assert [(x.segment_id, x.r2_s) for x in w] == [(5, pytest.approx(1 / 3))]
+    genes = spark.createDataFrame([("g", "I", 105, 130), ("h", "I", 10, 20)], "gene string, chr_name string, start int, end int")
+    targets = spark.createDataFrame([(1, "1-7,10-20", "I", 101, 118, "+")], "align_id long, runlist string, chr_name string, chr_start int, chr_end int, chr_strand string").withColumn("spans", iv.parse(F.col("runlist")))
+    c = enrich.clipped(genes, targets).collect()
+    assert [(x.gene, x.align_start, x.align_end, x.is_full) for x in c] == [("g", 5, 20, 0)]
+    t = spark.createDataFrame([(1, 11, 5), (1, 12, 9), (1, 10, 9)], "gene_id long, transcript_id long, length int")
+    assert enrich.longest_transcripts(t).first().transcript_id == 10
+    ofg = spark.createDataFrame([(1, 1, 500, 560, 1, 1000)], "ofg_id long, align_id long, rank_start int, rank_end int, low int, high int")
+    got = enrich.ofg_windows(ofg).collect()
+    assert {x.ofgsw_distance for x in got} == {0, 1, 2, 3, 4} and len(got) == 9
+    coded = spark.createDataFrame([(1, 3, 1.0, 0.0, 0.0), (1, None, 9.0, 9.0, 9.0)], "isw_id long, exon_id long, snp_syn double, snp_nsy double, snp_stop double")
+    assert tuple(enrich.summed_rates(coded, "isw_id", isw, "isw_length").first()) == (1, 0.01, 0.0, 0.0)
