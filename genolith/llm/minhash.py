@@ -11,7 +11,7 @@ expectation at any depth).
   is which documents are reachable, so a group of copies costs one comparison each.
 * Nodes with at most ``leaf`` members outside of their largest component are then compared
   exhaustively, pairs of one component aside.
-* Larger nodes get more hubs and branch. Below ``depth`` they no longer branch, but hubs are drawn
+* Larger nodes get another hub and branch. Below ``depth`` they no longer branch, but hubs are drawn
   until every member was held against all others or is in one component with them: nothing is capped.
 
 A pair is dropped without a look at its sets only if their sketches of 64 minwise bytes agree in so
@@ -22,6 +22,7 @@ are confirmed on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +109,7 @@ class ChosenPathJoin:
                 pairs = pairs.unionByName(self.exhaustive(rows.where(F.col("minor") <= self.leaf)))
             self.confirm(pairs, level)
             if level > self.depth:  # a hub that met all members is done
-                hubs = nodes.select("node", F.explode("hubs").alias("rep"))
+                hubs = nodes.select("node", F.explode("hubs.rep").alias("rep"))
                 rest = rest.join(hubs, ["node", "rep"], "left_anti")
             elif level > 1:
                 rest = self.branch(rest)
@@ -126,19 +127,19 @@ class ChosenPathJoin:
     def open_nodes(self, rows: DataFrame, level: int) -> DataFrame | None:
         """node, size, main (largest component), minor (members outside of it), hubs of the nodes that hold more than one component."""
         # level 1 has the same order of hubs everywhere, so that all trees compare a group with one member
-        count = 1 if level == 1 else min(64, 4 << max(0, level - self.depth))
-        draw = [F.struct(F.xxhash64("rep") if level == 1 else F.xxhash64("rep", "node", F.lit(level), F.lit(i)), "rep") for i in range(count)]
+        count = 1 if level <= self.depth else min(64, 4 << (level - self.depth))
+        draw = [F.struct(F.xxhash64("rep") if level == 1 else F.xxhash64("rep", "node", F.lit(level), F.lit(i)), "rep", "label") for i in range(count)]
         per = rows.groupBy("node", "label").agg(F.count("*").alias("n"), *[F.min(d).alias(f"h{i}") for i, d in enumerate(draw)])
         found = per.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(count)]).where("labels > 1")
-        hubs = F.array_distinct(F.array(*[F.col(f"h{i}.rep") for i in range(count)]))
+        hubs = F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.rep").alias("rep"), F.col(f"h{i}.label").alias("label")) for i in range(count)]))
         found = self.scratch.keep(found.select("node", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("minor"), hubs.alias("hubs")), f"nodes_{level}")
         return found if found.limit(1).count() else None
 
     @staticmethod
     def star(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs of a node's hubs with all its members: linear in the members."""
-        paired = rows.select("node", "rep").join(nodes.select("node", "hubs"), "node").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub")
-        return paired.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        """Pairs of a node's hubs with its members of other components: linear in the members."""
+        paired = rows.select("node", "rep", "label").join(nodes.select("node", "hubs"), "node").select("rep", "label", F.explode("hubs").alias("hub")).where("label <> hub.label")
+        return paired.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
 
     @staticmethod
     def exhaustive(rows: DataFrame) -> DataFrame:
@@ -157,8 +158,8 @@ class ChosenPathJoin:
         """Verifies pairs not verified before; extends links and labels."""
         scratch, percent = self.scratch, self.percent
         pairs = pairs.distinct()
-        for done in self.tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        if self.tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.tested), ["a", "b"], "left_anti")
         need = least_agreement(percent / 100)
 
         def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +174,7 @@ class ChosenPathJoin:
         near = scratch.keep(near, f"pairs_{level}")
         self.tested.append(near)
         self.fetch(near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct(), level)
-        sets = self.sets[0]
-        for s in self.sets[1:]:
-            sets = sets.unionByName(s)
+        sets = reduce(DataFrame.unionByName, self.sets)
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -195,8 +194,8 @@ class ChosenPathJoin:
 
     def fetch(self, wanted: DataFrame, level: int) -> None:
         """Writes the full sets of classes that have none yet, from the text of their representatives."""
-        for s in self.sets:
-            wanted = wanted.join(s.select("rep"), "rep", "left_anti")
+        if self.sets:
+            wanted = wanted.join(reduce(DataFrame.unionByName, self.sets).select("rep"), "rep", "left_anti")
         wanted = self.scratch.keep(wanted.join(self.classes.select("rep", "n_shingles", "f1"), "rep"), f"wanted_{level}")
         n, k = wanted.count(), self.k
 
