@@ -7,6 +7,12 @@ pivots in proportion to the square root of the rows there are as many lists as r
 at least two shared pivots are candidates; each is looked at in one list only, that of the two
 smallest pivots it shares, and verified by its cosine in double precision.
 
+Where many pivots lie near a vector, the order of its nearest is noise, and the more so the larger
+the table is. A vector with ``length`` pivots or more at a cosine of DENSE is therefore left out of the
+lists. Its home is a band of angles around the nearest of a few centres of dense places, and it
+is compared with every vector that the triangle inequality allows to be linked with the band: such
+links are all found, whatever the size of a group.
+
 A list is compared in blocks: one of more than BLOCK rows is cut, and pairs of its blocks go to
 different tasks. No pairs leave a task, only each vector's number of links and enough edges to
 connect what is linked. Vectors that are equal are one row with a multiplicity.
@@ -28,6 +34,10 @@ LENGTH = 10
 #: Pivots: PER_ROOT times the square root of the rows, between these bounds.
 PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 16_384
 BLOCK = 1024
+#: Cosine of a near pivot; a home is compared in blocks of WIDE times as many rows, as it has no lists of pairs.
+DENSE, WIDE = 0.75, 4
+#: ``low`` of the lists that are homes; ``high`` is then the home, centre * BANDS + band.
+_HOME, BANDS = -1, 64
 _NONE = np.int32(2**31 - 1)
 
 
@@ -52,9 +62,82 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def permutations(classes: DataFrame, pivots: np.ndarray, length: int) -> DataFrame:
-    """classes and ``near``: the ``length`` nearest pivots, nearest first, ties by number."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)
+def dense_centres(pivots: np.ndarray, length: int) -> np.ndarray:
+    """Centres of the places with many pivots.
+
+    Of ``length`` pivots at DENSE of one vector, two have at least the cosine ``mutual`` (their mean is that or more). Every
+    pivot with such a neighbour is at DENSE of a centre, or is one.
+    """
+    if len(pivots) < length or length < 2:
+        return np.zeros((0, pivots.shape[1]))
+    mutual = (length * DENSE**2 - 1) / (length - 1)
+    count = np.concatenate([(pivots[i : i + 512] @ pivots.T >= mutual).sum(1) for i in range(0, len(pivots), 512)])
+    open_, out = count >= 2, []
+    for at in np.argsort(-count, kind="stable"):
+        if not open_[at]:
+            continue
+        centre = pivots[at]
+        for _ in range(2):
+            mean = pivots[pivots @ centre >= DENSE**2].sum(0)
+            centre = mean / (np.linalg.norm(mean) or 1)
+        if pivots[at] @ centre < DENSE:
+            centre = pivots[at]
+        open_[pivots @ centre >= DENSE] = False
+        open_[at] = False
+        out.append(centre)
+    return np.array(out).reshape(len(out), pivots.shape[1])
+
+
+def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T, -1, 1))
+
+
+def permutations(classes: DataFrame, pivots: np.ndarray, length: int, centres: np.ndarray, least: float) -> DataFrame:
+    """classes, ``near`` (the ``length`` nearest pivots, nearest first, ties by number) and ``home`` (-1 for a vector in no dense place)."""
+    shared = classes.sparkSession.sparkContext.broadcast((pivots, centres))
+    width = math.acos(least) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, centres = shared.value
+        for batch in batches:
+            near, home = [], []
+            for i in range(0, batch.num_rows, 1024):
+                x = unit(matrix(batch.column("embedding").slice(i, 1024)))
+                score = x @ pivots.T
+                near.append(np.argsort(-score, axis=1, kind="stable")[:, :length].astype(np.int32))
+                own = np.full(len(x), -1, np.int32)
+                dense = np.flatnonzero((score >= DENSE).sum(1) >= length) if len(centres) else []
+                if len(dense):
+                    angle = angles(x[dense], centres)
+                    own[dense] = angle.argmin(1) * BANDS + np.minimum(angle.min(1) // width, BANDS - 1)
+                home.append(own)
+            near = np.concatenate(near) if near else np.zeros((0, length), np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
+            home = pa.array(np.concatenate(home) if home else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, home], names=[*batch.schema.names, "near", "home"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
+    return classes.mapInArrow(run, f"{schema}, near array<int>, home int")
+
+
+def visits(described: DataFrame, homes: list[int], centres: np.ndarray, least: float) -> DataFrame:
+    """rep, low, high: the homes a vector is compared in, its own and all later ones with which it can have a link."""
+    keys = np.array(sorted(homes))
+    shared = described.sparkSession.sparkContext.broadcast((keys, centres[keys // BANDS]))
+    reach = math.acos(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, centres = shared.value
+        inner, outer = (keys % BANDS) * reach / 2 - reach - 1e-6, (keys % BANDS + 1) * reach / 2 + reach + 1e-6
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                angle, own = angles(unit(matrix(part.column("embedding"))), centres), np.asarray(part.column("home"))[:, None]
+                p, k = np.nonzero((angle >= inner) & (angle <= outer) & (own <= keys))
+                high = keys[k].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(p)), pa.array(np.full(len(p), _HOME, np.int32)), pa.array(high)], names=["rep", "low", "high"])
+
+    return described.select("rep", "embedding", "home").mapInArrow(run, "rep long, low int, high int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +164,7 @@ def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
     """Links within runs of one list (and pair of blocks): rows (class, null, its links) and edges (id, id, null)."""
     rows = rows.combine_chunks()
     column = lambda c: np.asarray(rows.column(c).combine_chunks())
-    rep, ident, times, low, high, i, j, own = (column(c) for c in ("rep", "id", "times", "low", "high", "i", "j", "own"))
+    rep, ident, times, low, high, i, j, own, home = (column(c) for c in ("rep", "id", "times", "low", "high", "i", "j", "own", "home"))
     x, near = unit(matrix(rows.column("embedding").combine_chunks())), matrix(rows.column("near").combine_chunks(), np.int32)
     key = np.stack([low, high, i, j], 1)
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
@@ -103,8 +186,36 @@ def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
             going = parent[p] != parent[q]
             p, q = p[going], q[going]
 
+    def compare_home(a: int, b: int) -> None:
+        """Pairs with at least one vector at home here; counted by whole rows, as most are links."""
+        rows = np.arange(a, b)[np.argsort(home[a:b] != high[a], kind="stable")]  # those at home first
+        one = rows[own[rows] == i[a]]
+        two = one if i[a] == j[a] else rows[own[rows] == j[a]]
+        here, y, weight = home[two] == high[a], x[two], times[two].astype(np.float64)
+        inside = parent[a:b]
+        for at in range(0, len(one), 256):
+            p = one[at : at + 256]
+            own_here = home[p] == high[a]
+            if not own_here.any() and not here.any():
+                continue
+            mask = x[p] @ y.T >= least
+            mask &= own_here[:, None] | here
+            if two is one:
+                mask[np.arange(len(p)), np.arange(at, at + len(p))] = False
+            weights = mask.astype(np.float64)
+            links[p] += (weights @ weight).astype(np.int64)
+            if two is not one:
+                links[two] += (times[p].astype(np.float64) @ weights).astype(np.int64)
+            for k in np.flatnonzero((mask & (parent[p][:, None] != parent[two])).any(1)):
+                joined = np.unique(np.r_[parent[p[k]], parent[two[mask[k]]]])
+                inside[np.isin(inside, joined)] = joined[0]
+
     size = ends - first
-    short = size <= 24
+    homes = low[first] == _HOME
+    short = (size <= 24) & ~homes
+    for a, b in zip(first[homes].tolist(), ends[homes].tolist()):
+        if b - a > 1:
+            compare_home(a, b)
     # short runs: all their pairs in one go
     for n in np.unique(size[short]):
         if n < 2:
@@ -118,7 +229,7 @@ def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
             p, q = p[across], q[across]
             ok = np.einsum("ij,ij->i", x[p], x[q]) >= least
             found(p[ok], q[ok])
-    for a, b in zip(first[~short].tolist(), ends[~short].tolist()):
+    for a, b in zip(first[~short & ~homes].tolist(), ends[~short & ~homes].tolist()):
         for at in range(a, b, 256):
             cosine = x[at : min(b, at + 256)] @ x[a:b].T
             p, q = np.nonzero(cosine >= least)
@@ -177,19 +288,25 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, lengt
     sample = same.orderBy(F.xxhash64("id"), "rep").limit(wanted).select("embedding").toPandas()
     points = unit(np.array(sample["embedding"].tolist(), np.float64))
     length = min(length, len(points))
-    described = scratch.keep(permutations(same, points, length), "described")
+    centres = dense_centres(points, length)
+    described = scratch.keep(permutations(same, points, length, centres, least), "described")
     if length < 2:  # one vector
         found = spark.createDataFrame([], "a long, b long, n long")
     else:
         pairs = F.expr("flatten(transform(near, x -> transform(filter(near, y -> y > x), y -> struct(x AS low, y AS high))))")
-        postings = scratch.keep(described.select("rep", F.explode(pairs).alias("k")).select("rep", "k.low", "k.high"), "postings")
-        lists = postings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        postings = described.where("home < 0").select("rep", F.explode(pairs).alias("k")).select("rep", "k.low", "k.high")
+        homes = [r["home"] for r in described.where("home >= 0").select("home").distinct().collect()]  # bands of centres, no more than a few for each pivot
+        if homes:
+            postings = postings.unionByName(visits(described, homes, centres, least))
+        postings = scratch.keep(postings, "postings")
+        size = F.when(F.col("low") == _HOME, WIDE * block).otherwise(block)
+        lists = postings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
         lists = scratch.keep(lists, "lists")
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         placed = postings.join(lists, ["low", "high"]).withColumn("own", own)
         spread = placed.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("rep", "low", "high", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-        full = spread.join(described.select("rep", "id", "embedding", "times", "near"), "rep")
-        ordered = full.select("rep", "id", "times", "low", "high", "i", "j", "own", "embedding", "near").repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
+        full = spread.join(described.select("rep", "id", "embedding", "times", "near", "home"), "rep")
+        ordered = full.select("rep", "id", "times", "low", "high", "i", "j", "own", "home", "embedding", "near").repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
         found = scratch.keep(compare_lists(ordered, least), "found")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     same_id = good.groupBy("vec_id").agg(F.count("*").alias("rows")).where("rows > 1").select("vec_id")

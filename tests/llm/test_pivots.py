@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from genolith.llm import pivots
 from genolith.llm.common import Scratch
@@ -72,3 +73,21 @@ def test_recall(spark):
     want = int((x @ x.T >= 0.9).sum()) - len(rows)
     got = pivots.near_vectors(df, Scratch(spark, "t")).agg({"n_links": "sum"}).first()[0]
     assert want > 0 and 0.95 * want <= got <= want
+
+
+@pytest.mark.parametrize(("n", "mean", "block"), [(2_000, 0.92, 1024), (2_000, 0.99, 16), (9_000, 0.92, 128), (9_000, 0.95, 1024)])
+def test_recall_in_a_hot_group(spark, n, mean, block):
+    """A third of the rows are near copies with this mean cosine; what is found must not depend on their number."""
+    r = np.random.default_rng(n)
+    x = r.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = n // 3
+    x[:g] = np.sqrt(mean) * x[n - 1] + np.sqrt(1 - mean) * x[:g]
+    x[g : g + 200] = x[g + 200 : g + 400] + r.normal(size=(200, 64)) * 0.01
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    got = {v.vec_id: v for v in pivots.near_vectors(df, Scratch(spark, "t"), block=block).collect()}
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found[:g] == want[:g]).all() and (found <= want).all() and found[g:].sum() >= 0.95 * want[g:].sum()
+    assert {got[i].component_id for i in range(g) if want[i]} == {int(np.flatnonzero(want[:g])[0])}
