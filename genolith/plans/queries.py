@@ -366,7 +366,8 @@ _DNA = f"dna AS (SELECT doc_id, regexp_replace(translate(lower(text), '{_DNA_FRO
 
 
 def dna(spark, d):
-    return table(spark, d, "documents").selectExpr("doc_id", f"substring(regexp_replace(translate(lower(text), '{_DNA_FROM}', '{_DNA_TO}'), '[^ACGT]', ''), 1, 400) AS s")
+    """Letters of whole texts. _DNA takes the first 400 only: SQL that depends on more differs from its query."""
+    return table(spark, d, "documents").selectExpr("doc_id", f"regexp_replace(translate(lower(text), '{_DNA_FROM}', '{_DNA_TO}'), '[^ACGT]', '') AS s")
 
 
 @query(f"""WITH {_DNA}, k AS (SELECT s[i:i + 2] AS k FROM (SELECT s, unnest(range(1, len(s) - 1)) AS i FROM dna)), c AS (SELECT k, reverse(translate(k, 'ACGT', 'TGCA')) AS r FROM k),
