@@ -1,26 +1,27 @@
 """MinHash near-duplicates by chosen paths (set similarity join by recursive branching).
 
-Documents of one shingle set are one class. Classes descend ``trees`` independent trees: at a
-node, a coordinate chosen by the node's own hash picks the minwise token that each member
-branches on, and in a quarter of the nodes a second one (1.25 branches on average, the
-inverse of the similarity sought: a pair at the threshold keeps one common path in
-expectation at any depth).
-
-* At every node the members are first held against one hub. Verified links are joined into
-  components, and a node whose members are all in one component is finished: what is asked for
-  is which documents are reachable, so a group of copies costs one comparison each.
-* Nodes with at most ``leaf`` members outside of their largest component are then compared
-  exhaustively, pairs of one component aside.
-* Larger nodes get another hub and branch. Below ``depth`` they no longer branch, but hubs are drawn
-  until every member was held against all others or is in one component with them: nothing is capped.
-
-A pair is dropped without a look at its sets only if their sketches of 64 minwise bytes agree in so
-few places that a pair at the threshold would do so with probability below 1e-6. All other links
-are confirmed on the full sets.
+Documents of one shingle set are one class. Classes descend independent trees: the root of a tree
+branches on one minwise token, and so does every node below, on a coordinate that the node's own
+hash picks (in a quarter of the nodes on two: 1.25 branches on average, the inverse of the
+similarity sought, so a pair at the threshold keeps one common path in expectation at any depth).
+
+* What is asked for is which documents are reachable, so linked classes are contracted: a node whose members are
+  all in one component is finished.
+* Nodes of at most ``leaf`` members are compared exhaustively by sketches of 64 minwise tokens. First only a forest over the
+  components of the node goes to verification, best agreement first; what remains open after that is looked at again with more
+  pairs for each member, at last with all.
+* Larger nodes are held against a few hubs, which is linear, and then branch. Below ``depth`` they no longer branch
+  but are compared exhaustively in blocks: nothing is capped.
+* Trees are repeated until a pair at the threshold is missed with a probability of ``miss`` at most, given the
+  depth that was reached.
+
+A pair is dropped without a look at its sets only if its sketches agree in so few places that a pair at
+the threshold would do so with probability below 1e-6. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,8 +34,14 @@ from genolith.llm.common import Scratch, components, read
 from genolith.llm.shingles import chunks, mix, shingle_sets
 
 COORDINATES = 64
-TREES, LEAF, DEPTH = 12, 32, 10
-#: Ids that are broadcast at most to pick out the texts to verify.
+LEAF, DEPTH, HUBS = 1024, 12, 4
+#: Probability to miss a pair at the threshold in all trees together.
+MISS = 1e-6
+#: Trees that go first: what they link need not be compared in the others.
+FIRST_TREES = 2
+#: Candidates for each member of a node, in the rounds of verification; None is all.
+ROUNDS = (1, 8, 64, None)
+#: Ids that are broadcast at most (24 bytes each) to pick out the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 _A = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _X = np.random.default_rng(8).integers(1, 1 << 63, COORDINATES, np.uint64)
@@ -45,11 +52,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
         least = np.minimum(least, ((shingles[i : i + 2048, None] ^ _X) * _A).min(0))
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return (least >> np.uint64(32)).astype("<u4")
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (128 bits of the whole set), sig array<int>, sk binary (a byte for each coordinate); sig and sk null for an empty set."""
+    """doc_id, n_shingles, f1, f2 (128 bits of the whole set), sig (COORDINATES unsigned 32-bit values; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,14 +66,11 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     n.append(len(s))
                     f1.append(s.sum(dtype=np.uint64))
                     f2.append(mix(s + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
-                    sig.append(signature(s))
-                flat = np.concatenate(sig) if sig else np.zeros(0, np.uint32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES), pa.int32()), pa.array(flat.view(np.int32)))
-                sk = pa.array([(x & 255).astype(np.uint8).tobytes() for x in sig], pa.binary())
+                    sig.append(signature(s).tobytes() if len(s) else None)
                 signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(n, np.int64)), signed(f1), signed(f2), lists, sk], names=["doc_id", "n_shingles", "f1", "f2", "sig", "sk"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(n, np.int64)), signed(f1), signed(f2), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>, sk binary")
+    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def least_agreement(threshold: float, miss: float = 1e-6) -> int:
@@ -79,43 +83,174 @@ def least_agreement(threshold: float, miss: float = 1e-6) -> int:
     return at if threshold < 1 else COORDINATES
 
 
+def trees_for(depth: int, threshold: float, miss: float) -> int:
+    """Trees after which a pair at the threshold has met in some node, but for a chance of ``miss``, where nodes end at ``depth``."""
+    meets = 1.0
+    for _ in range(depth):
+        one = threshold * meets
+        meets = 0.75 * one + 0.25 * (1 - (1 - one) ** 2)
+    meets *= threshold
+    return COORDINATES if meets <= 0 else 1 if meets >= 1 else min(COORDINATES, math.ceil(math.log(miss) / math.log(1 - meets)))
+
+
+def _sketch_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+
+
+def _forest(group: np.ndarray, p: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Indices of the edges (p, q) that join the groups they connect, heaviest first (Boruvka's rounds). ``group``: of each row."""
+    group, chosen, left = group.copy(), [], np.arange(len(p))
+    while True:
+        left = left[group[p[left]] != group[q[left]]]
+        if not len(left):
+            return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        ends = np.r_[group[p[left]], group[q[left]]]
+        edge = np.r_[left, left]
+        order = np.lexsort((edge, -w[edge], ends))
+        best = np.unique(edge[order[np.r_[True, ends[order][1:] != ends[order][:-1]]]])
+        chosen.append(best)
+        low = np.arange(group.max() + 1)
+        a, b = group[p[best]], group[q[best]]
+        while (low[a] != low[b]).any():
+            least = np.minimum(low[a], low[b])
+            np.minimum.at(low, a, least)
+            np.minimum.at(low, b, least)
+            low = low[low]
+        while (low[low] != low).any():
+            low = low[low]
+        group = low[group]
+
+
+def compare_nodes(rows: DataFrame, need: int, percent: int, top: int | None) -> DataFrame:
+    """a, b: pairs to verify from runs of one ``grp`` (sorted); a row (null, null, node) says that the node has more.
+
+    Columns: grp, node, rep, label, n, own, i, j, sig. Where i and j differ only pairs across the
+    two blocks count. A run that a batch cuts waits for its rest: two blocks of rows at most.
+    """
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        column = lambda c: np.asarray(table.column(c).combine_chunks())
+        grp, node, rep, label, n, own, i, j = (column(c) for c in ("grp", "node", "rep", "label", "n", "own", "i", "j"))
+        sig = _sketch_matrix(table.column("sig").combine_chunks())
+        first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+        size = np.diff(np.r_[first, len(grp)])
+        ps, qs, ws = [], [], []
+
+        def look(p: np.ndarray, q: np.ndarray) -> None:
+            ok = (label[p] != label[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])) & ((i[p] == j[p]) | (own[p] != own[q]))
+            p, q = p[ok], q[ok]
+            for at in range(0, len(p), 16_384):
+                a, b = p[at : at + 16_384], q[at : at + 16_384]
+                w = (sig[a] == sig[b]).sum(1)
+                ps.append(a[w >= need])
+                qs.append(b[w >= need])
+                ws.append(w[w >= need])
+
+        for s in np.unique(size[(size > 1) & (size <= 32)]):
+            u, v = np.triu_indices(int(s), 1)
+            starts = first[size == s, None]
+            for at in range(0, len(starts), 4096):
+                look((starts[at : at + 4096] + u).ravel(), (starts[at : at + 4096] + v).ravel())
+        for a, s in zip(first[size > 32].tolist(), size[size > 32].tolist()):
+            for at in range(0, s, 256):
+                u, v = np.meshgrid(np.arange(at, min(s, at + 256)), np.arange(at, s), indexing="ij")
+                look(a + u[u < v], a + v[u < v])
+        p, q, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ps, qs, ws))
+        if top is None:
+            take = np.arange(len(p))
+        else:
+            run = np.repeat(np.arange(len(first)), size)
+            groups = np.unique(np.stack([run, label], 1), axis=0, return_inverse=True)[1].ravel() if len(run) else run
+            take = _forest(groups, p, q, w)
+            if top > 1:
+                ends, edge = np.r_[p, q], np.r_[np.arange(len(p)), np.arange(len(p))]
+                order = np.lexsort((edge, -w[edge], ends))
+                ends, edge = ends[order], edge[order]
+                start = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
+                rank = np.arange(len(ends)) - np.repeat(start, np.diff(np.r_[start, len(ends)]))
+                take = np.union1d(take, edge[rank < top])
+        rest = np.ones(len(p), bool)
+        rest[take] = False
+        more = np.unique(node[p[rest]])
+        x, y = rep[p[take]], rep[q[take]]
+        nulls = pa.nulls(len(more), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(np.minimum(x, y)), nulls]), pa.concat_arrays([pa.array(np.maximum(x, y)), nulls]), pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(more)])], names=["a", "b", "node"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            if not table.num_rows:
+                continue
+            grp = np.asarray(table.column("grp").combine_chunks())
+            first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+            held, table = table.slice(int(first[-1])), table.slice(0, int(first[-1]))
+            # pieces of some two million pairs, cut between runs
+            cost = np.cumsum(np.diff(first).astype(np.int64) ** 2)
+            at = 0
+            while at < len(first) - 1:
+                to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 4_000_000, "right")))
+                yield compare(table.slice(int(first[at]), int(first[to] - first[at])))
+                at = to
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return rows.mapInArrow(run, "a long, b long, node long")
+
+
+def compare_hubs(rows: DataFrame, need: int, percent: int) -> DataFrame:
+    """a, b: each row (rep, label, n, sig) with that of its ``hubs`` (same fields) in another component that it agrees with most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs = batch.column("hubs")
+            flat = hubs.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(hubs.offsets)))
+            own = lambda c: np.asarray(batch.column(c))[owner]
+            hub = lambda c: np.asarray(flat.field(c))
+            w = (_sketch_matrix(batch.column("sig"))[owner] == _sketch_matrix(flat.field("sig"))).sum(1) if len(owner) else np.zeros(0, np.int64)
+            ok = np.flatnonzero((w >= need) & (own("label") != hub("label")) & (100 * np.minimum(own("n"), hub("n")) >= percent * np.maximum(own("n"), hub("n"))))
+            ok = ok[np.lexsort((-w[ok], owner[ok]))]
+            ok = ok[np.r_[True, owner[ok][1:] != owner[ok][:-1]]] if len(ok) else ok
+            x, y = own("rep")[ok], hub("rep")[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return rows.select("rep", "label", "n", "sig", "hubs").mapInArrow(run, "a long, b long")
+
+
 class ChosenPathJoin:
-    """One run over a table of classes (rep long, n_shingles long, sig, sk)."""
+    """One run over a table of classes (rep long, n_shingles long, f1 long, sig binary)."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, trees: int, leaf: int, depth: int):
+    def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, miss: float, leaf: int, depth: int):
         self.docs, self.classes, self.scratch, self.k, self.percent = docs, classes, scratch, k, percent
-        self.trees, self.leaf, self.depth = trees, leaf, depth
-        self.links: DataFrame | None = None
+        self.miss, self.leaf, self.depth = miss, leaf, depth
+        self.need = least_agreement(percent / 100)
         self.labels: DataFrame | None = None
         self.tested: list[DataFrame] = []
         self.sets: list[DataFrame] = []
+        self.deep: list[DataFrame] = []
+        self.step = 0
+
+    def _name(self, what: str) -> str:
+        self.step += 1
+        return f"{what}_{self.step}"
 
     def components(self) -> DataFrame | None:
         """(node, component_id) of the classes that are linked."""
-        scratch = self.scratch
-        rows = scratch.keep(self.classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {self.trees - 1}), t -> xxhash64(t, sig[t]))")).alias("node")), "rows_0")
-        level = 0
-        while True:
-            level += 1
-            labelled = self.labelled(rows)
-            nodes = self.open_nodes(labelled, level)
-            if nodes is None:
-                return self.labels
-            rows = scratch.keep(labelled.join(nodes.select("node", "size", "minor", "main"), "node"), f"rows_{level}_open")
-            scratch.drop(f"rows_{level - 1}")
-            rest = rows if level == 1 else rows.where(F.col("minor") > self.leaf)
-            pairs = self.star(rest, nodes)
-            if level > 1:
-                pairs = pairs.unionByName(self.exhaustive(rows.where(F.col("minor") <= self.leaf)))
-            self.confirm(pairs, level)
-            if level > self.depth:  # a hub that met all members is done
-                hubs = nodes.select("node", F.explode("hubs.rep").alias("rep"))
-                rest = rest.join(hubs, ["node", "rep"], "left_anti")
-            elif level > 1:
-                rest = self.branch(rest)
-            rows = scratch.keep(rest.select("node", "rep"), f"rows_{level}")
-            scratch.drop(f"rows_{level}_open", f"nodes_{level}")
-            scratch.spark._jvm.System.gc()  # lets Spark remove the shuffle files of tables that are written by now
+        shallow = trees_for(0, self.percent / 100, self.miss)
+        low, high, deepest, source = 0, min(FIRST_TREES, shallow), 0, self.classes
+        while low < high:
+            tree = F.explode(F.expr(f"transform(sequence({low}, {high - 1}), t -> xxhash64(t, substring(sig, 4 * t + 1, 4)))"))
+            deepest = max(deepest, self.descend(source.select("rep", tree.alias("node"))))
+            low = high
+            high = shallow if low < shallow else trees_for(deepest, self.percent / 100, self.miss)
+            if low >= shallow and low < high:  # more trees, for the members of nodes that branched
+                source = self.classes.join(reduce(DataFrame.unionByName, self.deep).distinct(), "rep", "left_semi")
+        return self.labels
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """node, rep, label: the component that a class is known to be in, or itself."""
@@ -124,56 +259,77 @@ class ChosenPathJoin:
         joined = rows.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
         return joined.select("node", "rep", F.coalesce("component_id", "rep").alias("label"))
 
-    def open_nodes(self, rows: DataFrame, level: int) -> DataFrame | None:
-        """node, size, main (largest component), minor (members outside of it), hubs of the nodes that hold more than one component."""
-        # level 1 has the same order of hubs everywhere, so that all trees compare a group with one member
-        count = 1 if level <= self.depth else min(64, 4 << (level - self.depth))
-        draw = [F.struct(F.xxhash64("rep") if level == 1 else F.xxhash64("rep", "node", F.lit(level), F.lit(i)), "rep", "label") for i in range(count)]
-        per = rows.groupBy("node", "label").agg(F.count("*").alias("n"), *[F.min(d).alias(f"h{i}") for i, d in enumerate(draw)])
-        found = per.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(count)]).where("labels > 1")
-        hubs = F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.rep").alias("rep"), F.col(f"h{i}.label").alias("label")) for i in range(count)]))
-        found = self.scratch.keep(found.select("node", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("minor"), hubs.alias("hubs")), f"nodes_{level}")
-        return found if found.limit(1).count() else None
-
-    @staticmethod
-    def star(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs of a node's hubs with its members of other components: linear in the members."""
-        paired = rows.select("node", "rep", "label").join(nodes.select("node", "hubs"), "node").select("rep", "label", F.explode("hubs").alias("hub")).where("label <> hub.label")
-        return paired.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-
-    @staticmethod
-    def exhaustive(rows: DataFrame) -> DataFrame:
-        """Pairs of different components, in nodes with at most ``leaf`` members outside their main one: those against all, linear in the members."""
-        few = rows.where("label <> main").select("node", F.col("rep").alias("x"), F.col("label").alias("own"))
-        return few.join(rows.select("node", "rep", "label"), "node").where("label <> own").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+    def open_nodes(self, labelled: DataFrame) -> DataFrame:
+        """node, size of the nodes that hold more than one component."""
+        per = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        return per.where("low <> high").select("node", "size")
+
+    def descend(self, rows: DataFrame) -> int:
+        """Compares what meets in the trees with these roots (node, rep); returns the depth reached."""
+        level = 0
+        while True:
+            labelled = self.scratch.keep(self.labelled(rows), name := self._name("rows"))
+            nodes = self.scratch.keep(self.open_nodes(labelled), self._name("nodes"))
+            largest = nodes.agg(F.max("size")).first()[0]
+            if largest is None:
+                return level
+            sketch = self.classes.select("rep", F.col("n_shingles").alias("n"), "sig")
+            branching = largest > self.leaf and level < self.depth
+            members = labelled.join(nodes, "node")
+            large = star = None
+            if branching:
+                large = self.scratch.keep(members.where(F.col("size") > self.leaf).select("node", "rep", "label").join(sketch, "rep"), self._name("large"))
+                star = self.star(large, level)
+                members = members.where(F.col("size") <= self.leaf)
+                if level == 0:
+                    self.deep.append(large.select("rep").distinct())
+            for top in ROUNDS:
+                found = self.scratch.keep(compare_nodes(self.blocks(members.join(sketch, "rep")), self.need, self.percent, top), self._name("found"))
+                pairs = found.where("a IS NOT NULL").select("a", "b")
+                self.confirm(pairs if star is None else pairs.unionByName(star))
+                star = None
+                again = found.where("a IS NULL").select("node").distinct()
+                if top is None or not again.limit(1).count():
+                    break
+                members = self.scratch.keep(self.labelled(labelled.join(again, "node", "left_semi")), self._name("again"))
+                members = members.join(self.open_nodes(members).select("node"), "node", "left_semi").join(nodes, "node")
+            self.scratch.drop(name)
+            if not branching:
+                return level
+            rows = self.branch(large)
+            level += 1
+
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """Rows of nodes in runs for ``compare_nodes``; nodes beyond the leaf size are cut, and each two of their blocks meet."""
+        count = F.ceil(F.col("size") / self.leaf).cast("int")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        placed = members.withColumn("blocks", count).withColumn("own", own).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+        placed = placed.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).withColumn("grp", F.xxhash64("node", "i", "j"))
+        return placed.select("grp", "node", "rep", "label", "n", "own", "i", "j", "sig").repartition("grp").sortWithinPartitions("grp")
+
+    def star(self, large: DataFrame, level: int) -> DataFrame:
+        """Each member of a large node with the best of its hubs: linear in the members."""
+        draw = F.min_by(F.struct("rep", "label", "n", "sig"), F.xxhash64("rep", F.lit(level))).alias("hub")
+        hubs = large.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("part")).agg(draw).groupBy("node").agg(F.collect_list("hub").alias("hubs"))
+        return compare_hubs(large.join(hubs, "node"), self.need, self.percent)
 
     def branch(self, rows: DataFrame) -> DataFrame:
         """Children of each row: one branch, in a quarter of the nodes two."""
-        coordinate = "sig[CAST(pmod(xxhash64(node, j), {}) AS int)]".format(COORDINATES)
+        coordinate = f"substring(sig, 4 * CAST(pmod(xxhash64(node, j), {COORDINATES}) AS int) + 1, 4)"
         ways = F.expr("CASE WHEN pmod(xxhash64(node, 'ways'), 4) = 0 THEN array(0, 1) ELSE array(0) END")
-        with_sig = rows.select("node", "rep").join(self.classes.select("rep", "sig"), "rep")
-        return with_sig.select("node", "rep", "sig", F.explode(ways).alias("j")).select("rep", F.expr(f"xxhash64(node, j, {coordinate})").alias("node"))
+        return rows.select("node", "rep", "sig", F.explode(ways).alias("j")).select("rep", F.expr(f"xxhash64(node, j, {coordinate})").alias("node"))
 
-    def confirm(self, pairs: DataFrame, level: int) -> None:
-        """Verifies pairs not verified before; extends links and labels."""
+    def confirm(self, pairs: DataFrame) -> None:
+        """Verifies pairs not verified before; contracts what is linked."""
         scratch, percent = self.scratch, self.percent
         pairs = pairs.distinct()
         if self.tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, self.tested), ["a", "b"], "left_anti")
-        need = least_agreement(percent / 100)
-
-        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("ska", "skb"))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in "ab"], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= need))
-
-        own = self.classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sk").alias("ska"))
-        other = own.toDF("b", "nb", "skb")
-        # the size of the smaller set bounds the similarity
-        near = pairs.join(own, "a").join(other, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ska", "skb").mapInArrow(agree, "a long, b long")
-        near = scratch.keep(near, f"pairs_{level}")
+        near = scratch.keep(pairs, self._name("pairs"))
+        if not near.limit(1).count():
+            return
         self.tested.append(near)
-        self.fetch(near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct(), level)
+        self.fetch(near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct())
         sets = reduce(DataFrame.unionByName, self.sets)
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +342,20 @@ class ChosenPathJoin:
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in "ab"], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         full = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        found = scratch.keep(full.mapInArrow(verify, "a long, b long"), f"links_{level}")
-        if not found.limit(1).count():
+        links = scratch.keep(full.mapInArrow(verify, "a long, b long"), self._name("links"))
+        if not links.limit(1).count():
             return
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = scratch.keep(components(self.links, scratch, f"cc_{level}"), f"labels_{level}")
+        edges = links if self.labels is None else links.unionByName(self.labels.selectExpr("node AS a", "component_id AS b"))
+        self.labels = scratch.keep(components(edges, scratch, self._name("cc")), self._name("labels"))
 
-    def fetch(self, wanted: DataFrame, level: int) -> None:
+    def fetch(self, wanted: DataFrame) -> None:
         """Writes the full sets of classes that have none yet, from the text of their representatives."""
         if self.sets:
             wanted = wanted.join(reduce(DataFrame.unionByName, self.sets).select("rep"), "rep", "left_anti")
-        wanted = self.scratch.keep(wanted.join(self.classes.select("rep", "n_shingles", "f1"), "rep"), f"wanted_{level}")
+        wanted = self.scratch.keep(wanted.join(self.classes.select("rep", "n_shingles", "f1"), "rep"), self._name("wanted"))
         n, k = wanted.count(), self.k
+        if not n:
+            return
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,10 +367,10 @@ class ChosenPathJoin:
 
         side = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
         texts = self.docs.selectExpr("CAST(doc_id AS bigint) AS rep", "text").join(side, "rep").select("rep", "text", "n_shingles", "f1")
-        self.sets.append(self.scratch.keep(texts.mapInArrow(run, "rep long, shingles binary"), f"sets_{level}"))
+        self.sets.append(self.scratch.keep(texts.mapInArrow(run, "rep long, shingles binary"), self._name("sets")))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, miss: float = MISS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs (doc_id, text).
 
     Linked are documents with 100 * |A & B| >= percent * |A | B| of k-word shingle sets; component_id is
@@ -223,14 +381,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     """
     raw = scratch.keep(sketches(docs, k), "sketches")
     sized = raw.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sized.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("sk").alias("sk"))
+    classes = sized.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"))
     classes = scratch.keep(classes, "classes")
     # rows that share an id tie their classes together; an id may stand for several classes
     one = classes.select("rep", "n_shingles", "f1", "f2")
     shared = sized.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     tied = sized.join(shared, "doc_id", "left_semi").select("doc_id", "n_shingles", "f1", "f2").join(one, ["n_shingles", "f1", "f2"]).selectExpr("doc_id AS a", "rep AS b")
     tied = scratch.keep(tied.distinct(), "tied")
-    labels = ChosenPathJoin(docs, classes, scratch, k, percent, trees, leaf, depth).components()
+    labels = ChosenPathJoin(docs, classes, scratch, k, percent, miss, leaf, depth).components()
     if tied.limit(1).count():
         edges = tied if labels is None else tied.unionByName(labels.selectExpr("node AS a", "component_id AS b"))
         labels = scratch.keep(components(edges, scratch, "cc_tied"), "labels_tied")
