@@ -7,11 +7,11 @@ similarity sought, so a pair at the threshold keeps one common path in expectati
 
 * What is asked for is which documents are reachable, so linked classes are contracted: a node whose members are
   all in one component is finished.
-* Nodes of at most ``leaf`` members are compared exhaustively by sketches of 64 minwise tokens. First only a forest over the
-  components of the node goes to verification, best agreement first; what remains open after that is looked at again with more
-  pairs for each member, at last with all.
-* Larger nodes are held against a few hubs, which is linear, and then branch. Below ``depth`` they no longer branch
-  but are compared exhaustively in blocks: nothing is capped.
+* Small nodes are compared exhaustively, in blocks of ``leaf`` members: first by sketches of 64 minwise tokens, then the members
+  that have a candidate by their full sets. A pair that met in the root of an earlier tree was decided there. The first tree goes
+  alone, so that most copies are one component before the others look at them.
+* Larger nodes (over SMALL blocks) are held against a few hubs, which is linear, and then branch. Below ``depth`` they no
+  longer branch but are compared exhaustively in blocks: nothing is capped.
 * Trees are repeated until a pair at the threshold is missed with a probability of ``miss`` at most, given the
   depth that was reached.
 
@@ -34,13 +34,12 @@ from genolith.llm.common import Scratch, components, read
 from genolith.llm.shingles import chunks, mix, shingle_sets
 
 COORDINATES = 64
-LEAF, DEPTH, HUBS = 1024, 12, 4
+#: Members of a block, blocks of a node that is small, levels, hubs of a large node.
+LEAF, SMALL, DEPTH, HUBS = 1024, 8, 12, 4
+#: Shingles of the members of one block, about.
+BLOCK_SHINGLES = 2_000_000
 #: Probability to miss a pair at the threshold in all trees together.
 MISS = 1e-6
-#: Trees that go first: what they link need not be compared in the others.
-FIRST_TREES = 2
-#: Candidates for each member of a node, in the rounds of verification; None is all.
-ROUNDS = (1, 8, 64, None)
 #: Ids that are broadcast at most (24 bytes each) to pick out the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 _A = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,109 +96,155 @@ def _sketch_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
 
 
+def _joined(group: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """group, with the groups that rows p and q tie together made one."""
+    if not len(p):
+        return group
+    low = np.arange(group.max() + 1)
+    a, b = group[p], group[q]
+    while (low[a] != low[b]).any():
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+    while (low[low] != low).any():
+        low = low[low]
+    return low[group]
+
+
 def _forest(group: np.ndarray, p: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Indices of the edges (p, q) that join the groups they connect, heaviest first (Boruvka's rounds). ``group``: of each row."""
-    group, chosen, left = group.copy(), [], np.arange(len(p))
+    chosen, left = [], np.arange(len(p))
     while True:
         left = left[group[p[left]] != group[q[left]]]
         if not len(left):
             return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-        ends = np.r_[group[p[left]], group[q[left]]]
-        edge = np.r_[left, left]
+        ends, edge = np.r_[group[p[left]], group[q[left]]], np.r_[left, left]
         order = np.lexsort((edge, -w[edge], ends))
         best = np.unique(edge[order[np.r_[True, ends[order][1:] != ends[order][:-1]]]])
         chosen.append(best)
-        low = np.arange(group.max() + 1)
-        a, b = group[p[best]], group[q[best]]
-        while (low[a] != low[b]).any():
-            least = np.minimum(low[a], low[b])
-            np.minimum.at(low, a, least)
-            np.minimum.at(low, b, least)
-            low = low[low]
-        while (low[low] != low).any():
-            low = low[low]
-        group = low[group]
-
-
-def compare_nodes(rows: DataFrame, need: int, percent: int, top: int | None) -> DataFrame:
-    """a, b: pairs to verify from runs of one ``grp`` (sorted); a row (null, null, node) says that the node has more.
-
-    Columns: grp, node, rep, label, n, own, i, j, sig. Where i and j differ only pairs across the
-    two blocks count. A run that a batch cuts waits for its rest: two blocks of rows at most.
+        group = _joined(group, p[best], q[best])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.Table]:
+    """Tables of whole runs of ``grp`` with some ``most`` pairs each. A run that a batch cuts waits for its rest: two blocks of rows at most."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        if not table.num_rows:
+            continue
+        grp = np.asarray(table.column("grp").combine_chunks())
+        first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+        held, table = table.slice(int(first[-1])), table.slice(0, int(first[-1]))
+        cost, at = np.cumsum(np.diff(first).astype(np.int64) ** 2), 0
+        while at < len(first) - 1:
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + most, "right")))
+            yield table.slice(int(first[at]), int(first[to] - first[at])).combine_chunks()
+            at = to
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _candidates(table: pa.Table, need: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, places of agreement): the pairs of rows of one run that may be linked and are not known to be in one component.
+
+    Pairs that met in the root of an earlier tree were decided there, unless both are ``deep``. Where i and j differ only
+    pairs across the two blocks count.
     """
+    grp, label, n, own, i, j, tree, deep = (np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("grp", "label", "n", "own", "i", "j", "tree", "deep"))
+    sig = _sketch_matrix(table.column("sig").combine_chunks())
+    first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(grp)])
+    ps, qs, ws = [], [], []
+
+    def look(p: np.ndarray, q: np.ndarray) -> None:
+        ok = (label[p] != label[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])) & ((i[p] == j[p]) | (own[p] != own[q]))
+        p, q = p[ok], q[ok]
+        for at in range(0, len(p), 16_384):
+            x, y = p[at : at + 16_384], q[at : at + 16_384]
+            same = sig[x] == sig[y]
+            w = same.sum(1)
+            early = (same & (np.arange(COORDINATES) < tree[x][:, None])).any(1) & ~(deep[x] & deep[y])
+            ok = (w >= need) & ~early
+            ps.append(x[ok])
+            qs.append(y[ok])
+            ws.append(w[ok])
+
+    for s in np.unique(size[(size > 1) & (size <= 32)]):
+        u, v = np.triu_indices(int(s), 1)
+        starts = first[size == s, None]
+        for at in range(0, len(starts), 2048):
+            look((starts[at : at + 2048] + u).ravel(), (starts[at : at + 2048] + v).ravel())
+    for a, s in zip(first[size > 32].tolist(), size[size > 32].tolist()):
+        for at in range(0, s, 128):
+            u, v = np.meshgrid(np.arange(at, min(s, at + 128)), np.arange(at, s), indexing="ij")
+            look(a + u[u < v], a + v[u < v])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ps, qs, ws))
+
+
+def promising(rows: DataFrame, need: int, percent: int) -> DataFrame:
+    """node, rep: members of runs (grp, node, rep, label, n, own, i, j, tree, deep, sig; sorted by grp) that have a candidate."""
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        column = lambda c: np.asarray(table.column(c).combine_chunks())
-        grp, node, rep, label, n, own, i, j = (column(c) for c in ("grp", "node", "rep", "label", "n", "own", "i", "j"))
-        sig = _sketch_matrix(table.column("sig").combine_chunks())
-        first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
-        size = np.diff(np.r_[first, len(grp)])
-        ps, qs, ws = [], [], []
-
-        def look(p: np.ndarray, q: np.ndarray) -> None:
-            ok = (label[p] != label[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])) & ((i[p] == j[p]) | (own[p] != own[q]))
-            p, q = p[ok], q[ok]
-            for at in range(0, len(p), 16_384):
-                a, b = p[at : at + 16_384], q[at : at + 16_384]
-                w = (sig[a] == sig[b]).sum(1)
-                ps.append(a[w >= need])
-                qs.append(b[w >= need])
-                ws.append(w[w >= need])
-
-        for s in np.unique(size[(size > 1) & (size <= 32)]):
-            u, v = np.triu_indices(int(s), 1)
-            starts = first[size == s, None]
-            for at in range(0, len(starts), 4096):
-                look((starts[at : at + 4096] + u).ravel(), (starts[at : at + 4096] + v).ravel())
-        for a, s in zip(first[size > 32].tolist(), size[size > 32].tolist()):
-            for at in range(0, s, 256):
-                u, v = np.meshgrid(np.arange(at, min(s, at + 256)), np.arange(at, s), indexing="ij")
-                look(a + u[u < v], a + v[u < v])
-        p, q, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ps, qs, ws))
-        if top is None:
-            take = np.arange(len(p))
-        else:
-            run = np.repeat(np.arange(len(first)), size)
-            groups = np.unique(np.stack([run, label], 1), axis=0, return_inverse=True)[1].ravel() if len(run) else run
-            take = _forest(groups, p, q, w)
-            if top > 1:
-                ends, edge = np.r_[p, q], np.r_[np.arange(len(p)), np.arange(len(p))]
-                order = np.lexsort((edge, -w[edge], ends))
-                ends, edge = ends[order], edge[order]
-                start = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
-                rank = np.arange(len(ends)) - np.repeat(start, np.diff(np.r_[start, len(ends)]))
-                take = np.union1d(take, edge[rank < top])
-        rest = np.ones(len(p), bool)
-        rest[take] = False
-        more = np.unique(node[p[rest]])
-        x, y = rep[p[take]], rep[q[take]]
-        nulls = pa.nulls(len(more), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(np.minimum(x, y)), nulls]), pa.concat_arrays([pa.array(np.maximum(x, y)), nulls]), pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(more)])], names=["a", "b", "node"]
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            p, q, _ = _candidates(table, need, percent)
+            take = pa.array(np.union1d(p, q))
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(take) for c in ("node", "rep")], names=["node", "rep"])
+
+    return rows.mapInArrow(run, "node long, rep long")
+
+
+def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets p and q; many pairs of few sets by products of 0/1 matrices."""
+    if len(p) <= 8 * len(sets):
+        return np.array([len(x) + len(y) - len(np.union1d(x, y)) for x, y in ((sets[a], sets[b]) for a, b in zip(p.tolist(), q.tolist()))], np.int64)
+    used, at = np.unique(np.r_[p, q], return_inverse=True)
+    values = np.concatenate([sets[k] for k in used.tolist()])
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used.tolist()])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    owner, column = owner[count[column] > 1], column[count[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(used), len(used)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        part = np.zeros((len(used), 2048), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        total += part @ part.T
+    return total[at[: len(p)], at[len(p) :]].astype(np.int64)
+
+
+def linked(rows: DataFrame, need: int, percent: int) -> DataFrame:
+    """a, b: links that join the components of each run as far as all its links do. Columns as for ``promising``, and ``shingles``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            if not table.num_rows:
-                continue
-            grp = np.asarray(table.column("grp").combine_chunks())
-            first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
-            held, table = table.slice(int(first[-1])), table.slice(0, int(first[-1]))
-            # pieces of some two million pairs, cut between runs
-            cost = np.cumsum(np.diff(first).astype(np.int64) ** 2)
-            at = 0
-            while at < len(first) - 1:
-                to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 4_000_000, "right")))
-                yield compare(table.slice(int(first[at]), int(first[to] - first[at])))
-                at = to
-        if held is not None and held.num_rows:
-            yield compare(held)
-
-    return rows.mapInArrow(run, "a long, b long, node long")
+        for table in _runs(batches):
+            p, q, w = _candidates(table, need, percent)
+            rep, label, n = (np.asarray(table.column(c).combine_chunks()) for c in ("rep", "label", "n"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+            start = np.asarray(table.column("grp").combine_chunks())
+            group = np.unique(np.stack([np.cumsum(np.r_[0, start[1:] != start[:-1]]), label], 1), axis=0, return_inverse=True)[1].ravel()
+            out: list[np.ndarray] = []
+
+            def verify(some: np.ndarray) -> np.ndarray:
+                both = shared_counts(sets, p[some], q[some])
+                return some[100 * both >= percent * (n[p[some]] + n[q[some]] - both)]
+
+            # a forest first; then only what is still apart
+            for some in (_forest(group, p, q, w), None):
+                if some is None:
+                    some = np.flatnonzero(group[p] != group[q])
+                found = verify(some)
+                tied = found[_forest(group, p[found], q[found], w[found])]
+                out.append(tied)
+                group = _joined(group, p[tied], q[tied])
+            chosen = np.concatenate(out)
+            x, y = rep[p[chosen]], rep[q[chosen]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def compare_hubs(rows: DataFrame, need: int, percent: int) -> DataFrame:
@@ -227,10 +272,9 @@ class ChosenPathJoin:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percent: int, miss: float, leaf: int, depth: int):
         self.docs, self.classes, self.scratch, self.k, self.percent = docs, classes, scratch, k, percent
-        self.miss, self.leaf, self.depth = miss, leaf, depth
+        self.miss, self.leaf, self.most, self.depth = miss, leaf, SMALL * leaf, depth
         self.need = least_agreement(percent / 100)
         self.labels: DataFrame | None = None
-        self.tested: list[DataFrame] = []
         self.sets: list[DataFrame] = []
         self.deep: list[DataFrame] = []
         self.step = 0
@@ -242,70 +286,71 @@ class ChosenPathJoin:
     def components(self) -> DataFrame | None:
         """(node, component_id) of the classes that are linked."""
         shallow = trees_for(0, self.percent / 100, self.miss)
-        low, high, deepest, source = 0, min(FIRST_TREES, shallow), 0, self.classes
+        low, high, deepest, source = 0, 1, 0, self.classes
         while low < high:
-            tree = F.explode(F.expr(f"transform(sequence({low}, {high - 1}), t -> xxhash64(t, substring(sig, 4 * t + 1, 4)))"))
-            deepest = max(deepest, self.descend(source.select("rep", tree.alias("node"))))
+            tree = F.explode(F.expr(f"transform(sequence({low}, {high - 1}), t -> struct(xxhash64(t, substring(sig, 4 * t + 1, 4)) AS node, t))")).alias("x")
+            deepest = max(deepest, self.descend(source.select("rep", tree).selectExpr("x.node", "rep", "CAST(x.t AS smallint) AS tree")))
             low = high
             high = shallow if low < shallow else trees_for(deepest, self.percent / 100, self.miss)
-            if low >= shallow and low < high:  # more trees, for the members of nodes that branched
+            if shallow <= low < high:  # more trees, for the members of nodes that branched
                 source = self.classes.join(reduce(DataFrame.unionByName, self.deep).distinct(), "rep", "left_semi")
         return self.labels
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """node, rep, label: the component that a class is known to be in, or itself."""
+        """node, rep, tree, label: the component that a class is known to be in, or itself."""
         if self.labels is None:
-            return rows.select("node", "rep", F.col("rep").alias("label"))
+            return rows.select("node", "rep", "tree", F.col("rep").alias("label"))
         joined = rows.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
-        return joined.select("node", "rep", F.coalesce("component_id", "rep").alias("label"))
-
-    def open_nodes(self, labelled: DataFrame) -> DataFrame:
-        """node, size of the nodes that hold more than one component."""
-        per = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        return per.where("low <> high").select("node", "size")
+        return joined.select("node", "rep", "tree", F.coalesce("component_id", "rep").alias("label"))
 
     def descend(self, rows: DataFrame) -> int:
-        """Compares what meets in the trees with these roots (node, rep); returns the depth reached."""
-        level = 0
+        """Compares what meets in the trees with these roots (node, rep, tree); returns the depth reached."""
+        level, scratch = 0, self.scratch
         while True:
-            labelled = self.scratch.keep(self.labelled(rows), name := self._name("rows"))
-            nodes = self.scratch.keep(self.open_nodes(labelled), self._name("nodes"))
+            labelled = scratch.keep(self.labelled(rows), name := self._name("rows"))
+            per = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+            nodes = scratch.keep(per.where("low <> high").select("node", "size"), self._name("nodes"))
             largest = nodes.agg(F.max("size")).first()[0]
             if largest is None:
                 return level
             sketch = self.classes.select("rep", F.col("n_shingles").alias("n"), "sig")
-            branching = largest > self.leaf and level < self.depth
-            members = labelled.join(nodes, "node")
-            large = star = None
+            branching = largest > self.most and level < self.depth
+            members = labelled.join(nodes, "node").join(sketch, "rep")
             if branching:
-                large = self.scratch.keep(members.where(F.col("size") > self.leaf).select("node", "rep", "label").join(sketch, "rep"), self._name("large"))
-                star = self.star(large, level)
-                members = members.where(F.col("size") <= self.leaf)
+                large = scratch.keep(members.where(F.col("size") > self.most), self._name("large"))
                 if level == 0:
                     self.deep.append(large.select("rep").distinct())
-            for top in ROUNDS:
-                found = self.scratch.keep(compare_nodes(self.blocks(members.join(sketch, "rep")), self.need, self.percent, top), self._name("found"))
-                pairs = found.where("a IS NOT NULL").select("a", "b")
-                self.confirm(pairs if star is None else pairs.unionByName(star))
-                star = None
-                again = found.where("a IS NULL").select("node").distinct()
-                if top is None or not again.limit(1).count():
-                    break
-                members = self.scratch.keep(self.labelled(labelled.join(again, "node", "left_semi")), self._name("again"))
-                members = members.join(self.open_nodes(members).select("node"), "node", "left_semi").join(nodes, "node")
-            self.scratch.drop(name)
+                self.confirm(self.star(large, level))
+                members = members.where(F.col("size") <= self.most)
+            members = self.with_deep(members)
+            some = scratch.keep(promising(self.blocks(members), self.need, self.percent).distinct(), self._name("some"))
+            self.fetch(some.select("rep").distinct())
+            if self.sets:
+                full = self.with_deep(self.labelled(labelled.join(some, ["node", "rep"], "left_semi"))).join(sketch, "rep").join(self.all_sets(), "rep")
+                size = some.join(self.classes.select("rep", "n_shingles"), "rep").groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("total"))
+                self.contract(linked(self.blocks(full.join(size, "node")), self.need, self.percent))
+            scratch.drop(name)
             if not branching:
                 return level
             rows = self.branch(large)
             level += 1
 
+    def with_deep(self, members: DataFrame) -> DataFrame:
+        """members and ``deep``: whether a root of theirs branched, so that meeting in it decided nothing."""
+        if not self.deep:
+            return members.withColumn("deep", F.lit(False))
+        ids = reduce(DataFrame.unionByName, self.deep).distinct().withColumn("deep", F.lit(True))
+        return members.join(ids, "rep", "left").withColumn("deep", F.coalesce("deep", F.lit(False)))
+
     def blocks(self, members: DataFrame) -> DataFrame:
-        """Rows of nodes in runs for ``compare_nodes``; nodes beyond the leaf size are cut, and each two of their blocks meet."""
-        count = F.ceil(F.col("size") / self.leaf).cast("int")
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        placed = members.withColumn("blocks", count).withColumn("own", own).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+        """Rows of nodes in runs; nodes of more than ``leaf`` members, or BLOCK_SHINGLES of ``total``, are cut, and each two of their blocks meet."""
+        count = F.ceil(F.col("size") / self.leaf)
+        if "total" in members.columns:
+            count = F.least(F.greatest(count, F.ceil(F.col("total") / BLOCK_SHINGLES)), F.col("size"))
+        placed = members.withColumn("blocks", count.cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
         placed = placed.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).withColumn("grp", F.xxhash64("node", "i", "j"))
-        return placed.select("grp", "node", "rep", "label", "n", "own", "i", "j", "sig").repartition("grp").sortWithinPartitions("grp")
+        columns = ["grp", "node", "rep", "label", "n", "own", "i", "j", "tree", "deep", "sig", *["shingles"] * ("shingles" in members.columns)]
+        return placed.select(*columns).repartition("grp").sortWithinPartitions("grp")
 
     def star(self, large: DataFrame, level: int) -> DataFrame:
         """Each member of a large node with the best of its hubs: linear in the members."""
@@ -317,20 +362,19 @@ class ChosenPathJoin:
         """Children of each row: one branch, in a quarter of the nodes two."""
         coordinate = f"substring(sig, 4 * CAST(pmod(xxhash64(node, j), {COORDINATES}) AS int) + 1, 4)"
         ways = F.expr("CASE WHEN pmod(xxhash64(node, 'ways'), 4) = 0 THEN array(0, 1) ELSE array(0) END")
-        return rows.select("node", "rep", "sig", F.explode(ways).alias("j")).select("rep", F.expr(f"xxhash64(node, j, {coordinate})").alias("node"))
+        children = rows.select("node", "rep", "sig", "tree", F.explode(ways).alias("j"))
+        return children.select(F.expr(f"xxhash64(node, j, {coordinate})").alias("node"), "rep", "tree")
+
+    def all_sets(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.sets)
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Verifies pairs not verified before; contracts what is linked."""
-        scratch, percent = self.scratch, self.percent
-        pairs = pairs.distinct()
-        if self.tested:
-            pairs = pairs.join(reduce(DataFrame.unionByName, self.tested), ["a", "b"], "left_anti")
-        near = scratch.keep(pairs, self._name("pairs"))
-        if not near.limit(1).count():
-            return
-        self.tested.append(near)
+        """Verifies single pairs of hubs with members, by plain joins whose hot keys Spark can split."""
+        percent = self.percent
+        near = self.scratch.keep(pairs.distinct(), self._name("pairs"))
         self.fetch(near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct())
-        sets = reduce(DataFrame.unionByName, self.sets)
+        if not self.sets:
+            return
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -341,17 +385,21 @@ class ChosenPathJoin:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in "ab"], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        full = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        links = scratch.keep(full.mapInArrow(verify, "a long, b long"), self._name("links"))
+        full = near.join(self.all_sets().toDF("b", "y"), "b").join(self.all_sets().toDF("a", "x"), "a").select("a", "b", "x", "y")
+        self.contract(full.mapInArrow(verify, "a long, b long"))
+
+    def contract(self, links: DataFrame) -> None:
+        """Takes links (a, b) into the components."""
+        links = self.scratch.keep(links, self._name("links"))
         if not links.limit(1).count():
             return
         edges = links if self.labels is None else links.unionByName(self.labels.selectExpr("node AS a", "component_id AS b"))
-        self.labels = scratch.keep(components(edges, scratch, self._name("cc")), self._name("labels"))
+        self.labels = self.scratch.keep(components(edges, self.scratch, self._name("cc")), self._name("labels"))
 
     def fetch(self, wanted: DataFrame) -> None:
         """Writes the full sets of classes that have none yet, from the text of their representatives."""
         if self.sets:
-            wanted = wanted.join(reduce(DataFrame.unionByName, self.sets).select("rep"), "rep", "left_anti")
+            wanted = wanted.join(self.all_sets().select("rep"), "rep", "left_anti")
         wanted = self.scratch.keep(wanted.join(self.classes.select("rep", "n_shingles", "f1"), "rep"), self._name("wanted"))
         n, k = wanted.count(), self.k
         if not n:

@@ -118,14 +118,14 @@ def test_a_large_group_of_near_copies_branches(spark):
     r = random.Random(1)
     base = [f"v{r.randrange(5000)}" for _ in range(60)]
     texts = []
-    for _ in range(400):
+    for _ in range(160):
         copy = list(base)
         for _ in range(r.randrange(1, 5)):
             copy[r.randrange(60)] = f"x{r.randrange(10**6)}"
         texts.append(" ".join(copy))
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = minhash.near_duplicates(df, Scratch(spark, "t"), k=4, leaf=40, depth=3).collect()
+    got = minhash.near_duplicates(df, Scratch(spark, "t"), k=4, leaf=40, depth=2).collect()
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows, 4, 80)
 
 
