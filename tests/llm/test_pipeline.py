@@ -42,11 +42,12 @@ def brute(docs, items, labels):
     nll = sorted(s[3] for s in scored if s[3] is not None)
     q = [nll[max(0, math.ceil(x * len(nll)) - 1)] for x in (0.05, 0.5)]
     limit = q[1] + max((q[1] - q[0]) * quality.REACH, quality.MARGIN)
-    docs = [(d, t) for d, t, n, x in scored if x is not None and x <= limit + quality.NOISE / math.sqrt(n)]
+    floor = 2 * q[1] - limit
+    docs = [(d, t) for d, t, n, x in scored if x is not None and floor - quality.NOISE / math.sqrt(n) <= x <= limit + quality.NOISE / math.sqrt(n)]
     low = {(d): c for d, _, c in brute_components(docs, 5, 80)}
     kept, seen = [], set()
     for d, t in docs:
-        if d is None or (low[d] == d and d not in seen):
+        if d is None or (low[d] == d and d not in seen):  # the rows without id resemble no other
             kept.append((d, t))
             seen.add(d)
     grams = lambda t: {tuple(w[i : i + 5]) for w in [words(t or "")] for i in range(len(w) - 4)}
@@ -68,5 +69,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
     assert sorted(((r.doc_id, r.length, r.ids_crc32) for r in got), key=str) == brute(docs, items, labels)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "packing"]
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    long = "the same words stand here in the very same order as they do there and nothing else"
+    rows = [(1, long, "a"), (1, "quite another text that has nothing to do with the first one at all", "b"), (2, long + " x", "c"), (None, long, "d"), (3, None, "e"), (3, "", "f"), (4, "alone", "g"), (4, "alone", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted(r.kept for r in got) == ["a", "b", "e", "f", "g"]
