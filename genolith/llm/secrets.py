@@ -3,8 +3,8 @@
 A candidate is a run of at least ``min_length`` characters that a key could be written in. Its
 log-likelihood ratio under a first-order Markov model of random strings and one of ordinary
 identifiers, both trained from labelled samples, decides. Everything runs as DataFrame
-expressions: positions come from the lengths of the pieces between matches, scores from a
-constant array of transition log-ratios.
+expressions: positions come from running sums of the lengths of the pieces between matches, scores from a
+constant array of transition log-ratios. Work is in proportion to the text and, nearly, to its hits.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genolith.llm.common import read
 
 # The base patterns of the contract, in the order in which kinds are listed.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# Runs are maximal, so a least length in the pattern finds what a test of each match afterwards would.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
@@ -91,69 +92,125 @@ def train(samples: Iterable[tuple[str, bool]], smoothing: float = 0.5) -> list[f
     return table
 
 
-def _spans(text: str, pattern: str, keep: str, when: str) -> str:
-    """SQL for an array of (s, e): code-point ranges of the leftmost non-overlapping matches for which ``keep`` (of m) holds."""
+#: Elements that one step of a running value handles by itself.
+_STEP = 256
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """For each element of an array of longs what ``combine`` makes of ``start`` and all before it. Steps of _STEP elements, so that no long array is copied for each element."""
+    zero = F.lit(start).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / _STEP).cast("int")), lambda b: F.slice(values, b * _STEP + 1, _STEP))
+    total = lambda first, xs: F.aggregate(xs, first, combine)
+    nothing = F.array().cast("array<struct<at:bigint,x:array<bigint>>>")
+    placed = F.aggregate(
+        blocks,
+        F.struct(zero.alias("at"), nothing.alias("out")),
+        lambda acc, x: F.struct(total(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("x")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    inside = lambda p: F.aggregate(
+        p["x"],
+        F.struct(p["at"].alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.flatten(F.transform(placed, inside))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _greater(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _lengths(pairs: Column, length: Callable[[Column], Column]) -> Column:
+    return F.transform(pairs, lambda x: (length(x["p"]) + length(x["m"])).cast("long"))
+
+
+def _with_spans(df: DataFrame, name: str, pattern: str, keep: Callable[[Column], Column], when: str) -> DataFrame:
+    """df and ``name``: array of (s, e, bs, be), ranges in code points and in bytes of the leftmost non-overlapping matches in _sx_t that ``keep`` takes."""
     quoted = "r'" + pattern.replace("'", r"\x27") + "'"
-    kind = "array<struct<s:int,e:int>>"
-    return (
-        f"CASE WHEN {when} THEN aggregate(arrays_zip(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0)), "
-        f"named_struct('at', 0, 'out', CAST(array() AS {kind})), "
-        f"(acc, x) -> named_struct('at', acc.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'out', CASE WHEN x.`1` IS NOT NULL AND ({keep.format(m='x.`1`')}) "
-        "THEN concat(acc.out, array(named_struct('s', acc.at + length(x.`0`), 'e', acc.at + length(x.`0`) + length(x.`1`)))) ELSE acc.out END), "
-        f"acc -> acc.out) ELSE CAST(array() AS {kind}) END"
+    t = F.when(F.expr(when), F.col("_sx_t")).otherwise(F.lit(""))  # a text that cannot match is not searched
+    df = df.withColumn("_sx_s", t).withColumn("_sx_m", F.expr(f"regexp_extract_all(_sx_s, {quoted}, 0)")).withColumn("_sx_p", F.expr(f"split(_sx_s, {quoted}, -1)"))
+    # pieces and matches take turns: a match starts where its piece and all before it end
+    for at, length in (("_sx_c", F.char_length), ("_sx_o", F.octet_length)):
+        steps = _lengths(F.arrays_zip(F.slice("_sx_p", 1, F.size("_sx_m")).alias("p"), F.col("_sx_m").alias("m")), length)
+        df = df.withColumn(f"{at}l", F.when(F.size("_sx_m") > 0, steps).otherwise(F.array().cast("array<bigint>")))
+        df = df.withColumn(at, running(F.col(f"{at}l"), _plus))
+    zipped = F.filter(F.arrays_zip(F.col("_sx_m").alias("m"), F.col("_sx_c").alias("c"), F.col("_sx_cl").alias("cl"), F.col("_sx_o").alias("o"), F.col("_sx_ol").alias("ol")), lambda x: keep(x["m"]))
+    end = lambda x, a, l: x[a] + x[l]
+    span = lambda x: F.struct(
+        (end(x, "c", "cl") - F.char_length(x["m"])).cast("int").alias("s"), end(x, "c", "cl").cast("int").alias("e"), (end(x, "o", "ol") - F.octet_length(x["m"])).cast("int").alias("bs"), end(x, "o", "ol").cast("int").alias("be")
     )
+    return df.withColumn(name, F.transform(zipped, span)).drop("_sx_s", "_sx_m", "_sx_p", "_sx_c", "_sx_cl", "_sx_o", "_sx_ol")
+
+
+def _likely(table: list[float], min_length: int, total: float, mean: float) -> Callable[[Column], Column]:
+    """Whether a candidate's log-likelihood ratio reaches ``total``, and ``mean`` a transition. Its characters are cut out once."""
+    ratios = F.expr("CAST(split('" + ",".join(f"{x:.4f}" for x in table) + "', ',') AS array<float>)")
+    code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
 
+    def keep(m: Column) -> Column:
+        n = F.char_length(m)
+        step = lambda codes: lambda a, i: a + F.get(ratios, F.get(codes, i - 1) * len(ALPHABET) + F.get(codes, i))
+        score = lambda codes: F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), step(codes))
+        each = F.transform(F.array(F.transform(F.split(m, ""), lambda c: F.expr("0") + code(c))), score)
+        return (n >= min_length) & (F.get(each, F.lit(0)) >= F.greatest(F.lit(total), mean * (n - 1)))
 
-def _score_sql(m: str, table: list[float], total: float, mean: float) -> str:
-    """SQL predicate: the candidate's log-likelihood ratio reaches ``total``, and ``mean`` a transition."""
-    array = "CAST(split('" + ",".join(f"{x:.4f}" for x in table) + "', ',') AS array<float>)"
-    step = f"{array}[(instr('{ALPHABET}', substr({m}, i, 1)) - 1) * {len(ALPHABET)} + instr('{ALPHABET}', substr({m}, i + 1, 1)) - 1]"
-    ratio = f"aggregate(sequence(1, length({m}) - 1), 0D, (a, i) -> a + {step})"
-    return f"{ratio} >= greatest({total}D, {mean}D * (length({m}) - 1))"
+    return keep
 
 
-def find_secrets(docs: DataFrame, table: list[float] | None = None, min_length: int = MIN_LENGTH, total: float = MIN_TOTAL, mean: float = MIN_MEAN) -> DataFrame:
-    """The input with ``found``: array of (kind, s, e), by start and then kind as listed in KINDS.
+def _ranked(rank: int, kind: str) -> Column:
+    return F.transform(f"_sx_{kind}", lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["e"].alias("e"), x["bs"].alias("bs"), x["be"].alias("be")))
 
-    A null text holds nothing. A Markov span that overlaps a base span is not reported; base
-    spans of different kinds may overlap each other. Rows are independent: repeats and keys of
-    any kind are kept. Other columns stay, but for one named ``found`` or starting with ``_sx_``,
-    which is replaced.
+
+def find_secrets(docs: DataFrame, table: list[float] | None = None, min_length: int = MIN_LENGTH, total: float = MIN_TOTAL, mean: float = MIN_MEAN, name: str = "found") -> DataFrame:
+    """The input with ``name``: array of (kind, s, e, bs, be), by start and then kind as listed in KINDS; bs and be are in bytes.
+
+    A null text holds nothing. Spans of different kinds may overlap; a Markov span that is the same as a base span is not reported
+    twice. Rows are independent: repeats and keys of any kind are kept. Other columns stay, but for one called ``name`` or
+    starting with ``_sx_``, which is replaced.
     """
     table = table or train(labelled_samples())
     symbols = "A-Za-z0-9+/_.=-"
-    keep = f"length({{m}}) >= {min_length} AND {_score_sql('{m}', table, total, mean)}"
+    every = lambda m: F.lit(True)
+    long_enough = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 6
     hits = {
-        "assign": (ASSIGN, f"length(regexp_extract({{m}}, r'{ASSIGN.replace(chr(39), chr(92) + 'x27')}', 2)) >= 6", r"rlike(_sx_t, r'(?i)passw|secret|token|api_?key')"),
-        "access": (ACCESS, "length({m}) >= 20", "contains(_sx_t, 'AKIA')"),
-        "hex": (HEX, "length({m}) >= 24", r"rlike(_sx_t, r'[0-9a-f]{24}')"),
-        "markov": (rf"(?<![{symbols}])[{symbols}]{{{min_length},}}+", keep, rf"rlike(_sx_t, r'[{symbols}]{{{min_length}}}')"),
+        "assign": (ASSIGN, long_enough, r"rlike(_sx_t, r'(?i)passw|secret|token|api_?key')"),
+        "access": (ACCESS, every, "contains(_sx_t, 'AKIA')"),
+        "hex": (HEX, every, r"rlike(_sx_t, r'[0-9a-f]{24}')"),
+        "markov": (rf"(?<![{symbols}])[{symbols}]{{{min_length},}}+", _likely(table, min_length, total, mean), rf"rlike(_sx_t, r'[{symbols}]{{{min_length}}}')"),
     }
     df = docs.withColumn("_sx_t", F.coalesce("text", F.lit("")))
-    for kind, (pattern, test, when) in hits.items():
-        df = df.withColumn(f"_sx_{kind}", F.expr(_spans("_sx_t", pattern, test, when)))
-    struct = "transform({c}, x -> named_struct('s', x.s, 'rank', {r}, 'kind', '{k}', 'e', x.e))"
-    base = ", ".join(struct.format(c=f"_sx_{k}", r=r, k=k) for r, k in enumerate(KINDS[:3]))
-    df = df.withColumn("_sx_base", F.expr(f"concat({base})"))
-    free = "filter(_sx_markov, m -> NOT exists(_sx_base, b -> b.s < m.e AND m.s < b.e))"
-    df = df.withColumn("found", F.expr(f"transform(array_sort(concat(_sx_base, {struct.format(c=free, r=3, k='markov')})), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))"))
-    return df.drop("_sx_t", "_sx_base", *[f"_sx_{k}" for k in KINDS])
+    for kind, (pattern, keep, when) in hits.items():
+        df = _with_spans(df, f"_sx_{kind}", pattern, keep, when)
+    df = df.withColumn("_sx_markov", F.array_except("_sx_markov", F.concat("_sx_assign", "_sx_access", "_sx_hex")))
+    ranked = [_ranked(rank, kind) for rank, kind in enumerate(KINDS)]
+    found = F.transform(F.array_sort(F.concat(*ranked)), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["bs"].alias("bs"), x["be"].alias("be")))
+    return df.withColumn(name, found).drop("_sx_t", *[f"_sx_{k}" for k in KINDS])
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """Each found span of a text replaced by [kind]; overlapping spans count as one, named by the first. n_chars, if there, follows."""
+    """Each found span of a text replaced by [kind]; overlapping spans count as one, named by the first. n_chars, if there, follows; all other columns, whatever
+    they are called (but for names that start with _rd_ or _sx_), stay as they are, and so do rows without a secret."""
     columns = docs.columns
-    merged = F.expr(
-        "aggregate(found, CAST(array() AS array<struct<kind:string,s:int,e:int>>), (acc, x) -> CASE WHEN size(acc) > 0 AND x.s < element_at(acc, -1).e "
-        "THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('kind', element_at(acc, -1).kind, 's', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e)))) ELSE concat(acc, array(x)) END)"
-    )
-    pieces = F.expr(
-        "aggregate(_rd_m, named_struct('at', 0, 'out', ''), (acc, x) -> named_struct('at', x.e, 'out', concat(acc.out, substring(text, acc.at + 1, x.s - acc.at), '[', x.kind, ']')), "
-        "acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))"
-    )
-    df = find_secrets(docs, **options).withColumn("_rd_m", merged).withColumn("text", F.when(F.size("_rd_m") > 0, pieces).otherwise(F.col("text")))
+    df = find_secrets(docs, name="_rd_f", **options)
+    # a run of overlapping spans starts where a span starts at or beyond all ends before it, and ends at the last of these
+    df = df.withColumn("_rd_e", F.transform("_rd_f", lambda x: x["be"].cast("long"))).withColumn("_rd_r", running(F.col("_rd_e"), _greater))
+    df = df.withColumn("_rd_n", F.filter(F.arrays_zip(F.col("_rd_f").alias("f"), F.col("_rd_r").alias("r")), lambda x: x["f"]["bs"] >= x["r"]))
+    ends = F.concat(F.transform(F.slice("_rd_n", 2, F.greatest(F.size("_rd_n") - 1, F.lit(0))), lambda x: x["r"]), F.array(F.array_max("_rd_e")))
+    df = df.withColumn("_rd_z", F.arrays_zip(F.col("_rd_n").alias("n"), ends.alias("to")))
+    cut = lambda b, a, z: F.substring(b, a + 1, z - a).cast("string")
+    tail = lambda b: lambda x, i: F.concat(F.lit("["), x["n"]["f"]["kind"], F.lit("]"), cut(b, x["to"].cast("int"), F.coalesce(F.get("_rd_z", i + 1)["n"]["f"]["bs"], F.octet_length(b)).cast("int")))
+    whole = lambda b: F.concat(cut(b, F.lit(0), F.get("_rd_z", F.lit(0))["n"]["f"]["bs"]), F.array_join(F.transform("_rd_z", tail(b)), ""))
+    # the bytes go through a lambda, so that they are not copied out of the row for each piece
+    pieces = F.get(F.transform(F.array(F.col("text").cast("binary")), whole), F.lit(0))
+    some = F.size("_rd_f") > 0
+    df = df.withColumn("text", F.when(some, pieces).otherwise(F.col("text")))
     if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.when(F.size("_rd_m") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        df = df.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return df.select(*columns)
 
 

@@ -59,6 +59,7 @@ def brute(docs, items, labels):
         for s, _, kind, e in brute_secrets(t):
             if s >= at:
                 text, at = text + t[at:s] + f"[{kind}]", e
+            at = max(at, e)
         out.append((d, np.array(library.encode(text + t[at:], add_special_tokens=False).ids + [0], "<u4")))
     return sorted(((d, len(ids), zlib.crc32(ids.tobytes())) for d, ids in out), key=str)
 
