@@ -1,23 +1,23 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search.
 
-The items are cut into size classes (powers of two of their shingle count). For each item,
-``tokens`` independent minwise functions each select one shingle; a selected shingle is a
-uniform draw from the item, so it lies in a document with probability equal to the
-containment. One shared token makes a candidate: at containment 0.8 an item is missed with
-probability 0.2 ** tokens. A document is held only against classes whose smallest possible
-match it has shingles for. Candidates are verified by exact shingle containment. DataFrame
-functions only; documents are never sketched or cut, however long they are.
+The items are cut into size classes (powers of two of their shingle count). Of each item the minwise hash selects its
+lowest shingles, as many as its class needs: a document that holds the threshold's share of an item lacks few of its
+shingles, so in small classes one more than it may lack is selected and no item can be missed; in larger ones ``tokens``
+are, and an item at containment 0.8 is missed with a probability under 0.2 ** tokens. One shared token makes a candidate. A
+document is held only against classes whose smallest possible match it has shingles for. The candidates' texts are
+written, and verified by exact shingle containment. DataFrame functions only; documents are never sketched or cut,
+however long they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genolith.llm.common import Scratch, read
 
-#: Largest number of items whose shingles may be broadcast: 35 bytes a shingle, under 60 shingles an item on average.
-BROADCAST_ITEMS = 5_000
+#: Rows of shingles or tokens (some 50 bytes each) that may be broadcast; more are joined by a shuffle, whose hot keys Spark splits.
+BROADCAST_ROWS = 1_000_000
 
 
 def with_words(df: DataFrame, *keys: str) -> DataFrame:
@@ -61,12 +61,14 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, k: int
     sizes = target.groupBy("item_id").agg(F.count("*").alias("item_shingles"))
     sized = target.join(sizes, "item_id")
     # class 2^c <= size < 2^(c+1): the least that a document must hold for any item of the class
-    need = F.ceil(F.pow(F.lit(2.0), F.floor(F.log2("item_shingles"))) * threshold)
-    signature = sized.groupBy("item_id", "item_shingles", "n").agg(*[F.min_by("h", F.xxhash64("h", F.lit(s))).alias(f"t{s}") for s in range(tokens)])
-    signature = signature.select("item_id", "n", need.alias("need"), F.explode(F.array_distinct(F.array(*[f"t{s}" for s in range(tokens)]))).alias("h"))
-    signature = scratch.keep(signature.select("item_id", "n", "need", "h"), "signature")
-    n_items = sizes.count()
-    small = (lambda df: F.broadcast(df)) if n_items <= BROADCAST_ITEMS else (lambda df: df)
+    low = F.pow(F.lit(2.0), F.floor(F.log2("item_shingles")))
+    need = F.ceil(low * threshold - 1e-9)
+    # a match lacks at most this many shingles of an item of the class
+    lacks = F.floor((2 * low - 1) * (1 - threshold) + 1e-9)
+    order = Window.partitionBy("item_id").orderBy(F.xxhash64("h", F.lit(1)), "h", "n")  # of one item
+    signature = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.least(lacks + 1, F.lit(tokens)))
+    signature = scratch.keep(signature.select("item_id", "n", need.alias("need"), "h"), "signature")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     lengths = [r["n"] for r in target.select("n").distinct().collect()]  # at most k values
 
     def exploded(source: DataFrame) -> DataFrame:
@@ -82,7 +84,8 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, k: int
         return docs.where("false").selectExpr("doc_id", "CAST(NULL AS bigint) AS item_id", "0L AS matched", "0L AS item_shingles", "0D AS containment")
     candidates = exploded(docs).join(small(signature.drop("n")), "h").where("n_words - n + 1 >= need").select("doc_id", "item_id").distinct()
     candidates = scratch.keep(candidates, "candidates")
-    again = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    # written first: else the optimizer cuts every text into words once more below this join
+    again = scratch.keep(docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi"), "again")
     hits = exploded(again).join(small(sized.drop("n")), "h").select("doc_id", "item_id", "item_shingles", "h")
     matched = hits.distinct().groupBy("doc_id", "item_id", "item_shingles").agg(F.count("*").alias("matched"))
     exact = matched.where(F.col("matched") >= F.col("item_shingles") * F.lit(threshold)).join(candidates, ["doc_id", "item_id"], "left_semi")
