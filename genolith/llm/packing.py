@@ -2,7 +2,7 @@
 
 Only the histogram of lengths (one count for each length up to the capacity) reaches the driver.
 There, patterns of one to three lengths that fill a sequence exactly are enumerated, their
-repeat counts are fitted to the histogram by non-negative least squares and rounded down,
+repeat counts are fitted to the histogram by non-negative least squares and rounded to the nearest,
 and what is left is packed best-fit-decreasing, again on the histogram. Each slot of a
 pattern then owns a range of ranks within its length, so that the documents find their places by
 their rank: a distributed, salted row number.
@@ -57,10 +57,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def fit_patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, most: int = 200_000) -> list[tuple[tuple[int, ...], int]]:
+def fit_patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) that together use every count of the histogram exactly.
 
-    Patterns of three lengths beyond ``most`` are thinned evenly; what no pattern takes is packed all the same.
+    All patterns of up to three lengths that fill the capacity are there: some 350,000 at most for a capacity of 2048. Their
+    repeats are rounded to the nearest, as far as the counts last; what no pattern takes is packed best-fit-decreasing.
     """
     left = np.zeros(capacity + 1, np.int64)
     for n, c in histogram.items():
@@ -71,7 +72,6 @@ def fit_patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
     c = capacity - a - b
     ok = (a <= b) & (b <= c) & (left[np.clip(c, 0, capacity)] > 0)
     triples = np.stack([a[ok], b[ok], c[ok]], 1)
-    triples = triples[:: max(1, -(-len(triples) // most))]
     width = [np.pad(np.array(p, np.int64), (0, 3 - len(p))) for p in some]
     table = np.concatenate([np.array(width, np.int64).reshape(-1, 3), triples])
     out: list[tuple[tuple[int, ...], int]] = []
@@ -165,7 +165,7 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFr
     counts = scratch.keep(counts.select("length", "_pk_salt", F.coalesce(F.sum("_pk_n").over(before), F.lit(0)).alias("_pk_before")), "ranks")
     within = Window.partitionBy("length", "_pk_salt").orderBy("doc_id", "piece", "start")
     ranked = salted.withColumn("_pk_row", F.row_number().over(within)).join(counts, ["length", "_pk_salt"]).withColumn("_pk_rank", F.expr("_pk_before + _pk_row - 1")).drop("_pk_salt", "_pk_row", "_pk_before")
-    shared = scratch.spark.sparkContext.broadcast(table)  # at most a few slots for each pattern: bounded by the capacity, not by the rows
+    shared = scratch.spark.sparkContext.broadcast(table)  # up to 3 slots of 32 bytes for each of some capacity ** 2 / 12 patterns, and the residuals' groups: bounded by the capacity (about 35 MB for 2048), not by the rows
     names = items.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
