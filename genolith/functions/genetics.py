@@ -83,48 +83,6 @@ def call_snps(m: np.ndarray, outgroup: np.ndarray | None = None) -> list[dict]:
     return out
 
 
-def ref_pair_d(ref: str, a: str, b: str) -> tuple[float, float, float]:
-    """(only a differs, only b differs, both do and from each other), each by length; derived states that are shared count nowhere."""
-    n = len(ref)
-    if not n:
-        return 0.0, 0.0, 0.0
-    d1 = sum(x != r and y == r for r, x, y in zip(ref, a, b))
-    d2 = sum(y != r and x == r for r, x, y in zip(ref, a, b))
-    dc = sum(x != r and y != r and x != y for r, x, y in zip(ref, a, b))
-    return d1 / n, d2 / n, dc / n
-
-
-def two_group_d(ref: str, group1: Sequence[str], group2: Sequence[str], window: int) -> dict:
-    """d_indel, d_noindel, d_bii, d_bnn, d_complex of a window: means over pairs across and within two groups of SNP strings."""
-    n = len(ref)
-    cross = [ref_pair_d(ref, a, b) for a, b in product(group1, group2)]
-    within = [[ref_pair_d(ref, a, b) for a, b in combinations(g, 2)] for g in (group1, group2)]
-    mean = lambda xs: float(np.mean(xs)) * n / window if xs else 0.0
-    everything = [*cross, *within[0], *within[1]]
-    return {"d_indel": mean([x[0] for x in cross]), "d_noindel": mean([x[1] for x in cross]), "d_bii": mean([x[0] + x[1] for x in within[0]]), "d_bnn": mean([x[0] + x[1] for x in within[1]]), "d_complex": mean([x[2] for x in everything])}
-
-
-def window_d(indel_occured: str, snps: Sequence[tuple[str, str, str]], window: int) -> list[dict] | None:
-    """two_group_d under three filters, for SNPs as (outgroup base, all bases, occured); null if the indel has one group only.
-
-    Filter 1: all. 2: without SNPs whose derived state is fixed in either group. 3: also without those whose derived
-    base occurs in both groups.
-    """
-    if set(indel_occured) != {"0", "1"}:
-        return None
-    with_, without = ([i for i, c in enumerate(indel_occured) if c == bit] for bit in "10")
-    known = [s for s in snps if set(s[2]) <= {"0", "1"} and s[0]]
-    fixed = lambda o, g: all(o[i] == "1" for i in g)
-    some = lambda o, g: any(o[i] == "1" for i in g)
-    second = [s for s in known if not fixed(s[2], with_) and not fixed(s[2], without)]
-    third = [s for s in second if not (some(s[2], with_) and some(s[2], without))]
-    out = []
-    for chosen in (known, second, third):
-        strings = ["".join(s[1][i] for s in chosen) for i in range(len(indel_occured))]
-        out.append(two_group_d("".join(s[0] for s in chosen), [strings[i] for i in with_], [strings[i] for i in without], window))
-    return out
-
-
 def segment_stats(seq: np.ndarray, size: int, step: int) -> tuple[float | None, ...]:
     """gc mean, sample std, cv and mean absolute difference of neighbours, of sub-windows of bases; null where too few."""
     gcs = [x for x in (gc_ratio(seq[i : i + size]) for i in range(0, len(seq) - size + 1, step)) if x is not None]

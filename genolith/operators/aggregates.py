@@ -14,10 +14,10 @@ def mean_and_spread(columns: Sequence[str]) -> list[Column]:
 
 
 def column_stat(df: DataFrame, columns: Sequence[str], where: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """type, average, minimum, maximum, std, count, sum: a row for each column (and group), in one pass."""
+    """type, average, minimum, maximum, std, count, sum: a row for each column (and group), in one pass. Sums are taken in decimals, so that their order does not matter."""
     df = df.where(where) if where else df
     stacked = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("type"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*by, "x.*")
-    return stacked.groupBy(*by, "type").agg(F.avg("v").alias("average"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.stddev_pop("v").alias("std"), F.count("v").alias("count"), F.sum("v").alias("sum"))
+    return stacked.groupBy(*by, "type").agg(F.avg("v").alias("average"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.stddev_pop("v").alias("std"), F.count("v").alias("count"), F.sum(F.col("v").cast("decimal(28,10)")).cast("double").alias("sum"))
 
 
 def ratio_of_means(a: Column, b: Column) -> Column:

@@ -81,23 +81,53 @@ def snp_windows(snps: DataFrame, isw: DataFrame, width: int = 1000) -> DataFrame
     return joins.binned_interval_join(snps.drop("isw_id"), spans, ["align_id"], "snp_pos", "isw_start", "isw_end", width, "left", "isw_id").drop("isw_start", "isw_end")
 
 
+def d_terms(group: Column, bases: Column, outgroup: Column) -> Column:
+    """What one SNP adds to the D values of a window, as a struct (indel, noindel, bii, bnn, complex, second, third).
+
+    ``group`` and ``bases`` have a character for each sequence: 1 or 0, whether it has the indel, and its base. The five
+    are means over pairs: one of each group with only the first, or only the second derived (other than the outgroup's base); two of one group
+    with one derived; any two with different derived bases. ``second`` is whether no group is fixed for one derived base;
+    ``third`` is that, or a fixed base that the other group has too.
+    """
+    each = F.arrays_zip(F.split(group, "").alias("g"), F.split(bases, "").alias("b"))
+    of = lambda bit: F.transform(F.filter(each, lambda x: x["g"] == bit), lambda x: x["b"])
+    both = F.struct(of("1").alias("one"), of("0").alias("two"), F.array_distinct(F.filter(F.split(bases, ""), lambda x: x != outgroup)).alias("derived"))
+    times = lambda xs, b: F.size(F.filter(xs, lambda x: x == b)).cast("double")
+    pairs = lambda n: n * (n - 1) / 2
+    over = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
+
+    def terms(x: Column) -> Column:
+        one, two, derived = x["one"], x["two"], x["derived"]
+        n, m = F.size(one).cast("double"), F.size(two).cast("double")
+        i, j = n - times(one, outgroup), m - times(two, outgroup)
+        alike = lambda f: F.aggregate(derived, F.lit(0.0), f)
+        differ = i * j - alike(lambda t, b: t + times(one, b) * times(two, b))
+        differ = differ + pairs(i) - alike(lambda t, b: t + pairs(times(one, b))) + pairs(j) - alike(lambda t, b: t + pairs(times(two, b)))
+        fixed = lambda xs: (F.size(F.array_distinct(xs)) == 1) & (F.get(xs, F.lit(0)) != outgroup)
+        free = ~fixed(one) & ~fixed(two)
+        shared = F.when(fixed(one), F.array_contains(two, F.get(one, F.lit(0)))).when(fixed(two), F.array_contains(one, F.get(two, F.lit(0)))).otherwise(True)
+        return F.struct(
+            over(i * (m - j), n * m).alias("indel"), over((n - i) * j, n * m).alias("noindel"), over(i * (n - i), pairs(n)).alias("bii"), over(j * (m - j), pairs(m)).alias("bnn"),
+            over(differ, pairs(n + m)).alias("complex"), free.alias("second"), shared.alias("third"),
+        )
+
+    return F.get(F.transform(F.array(both), terms), F.lit(0))
+
+
 def d_values(isw: DataFrame, indels: DataFrame, snps: DataFrame) -> DataFrame:
-    """isw_id and 15 D columns. A window's SNPs, at most one for each base of it, meet in one array."""
-    gathered = snps.where("isw_id IS NOT NULL").groupBy("isw_id").agg(F.array_sort(F.collect_list(F.struct("snp_pos", "snp_outgroup_base", "snp_all_bases", "snp_occured"))).alias("snps"))
-    rows = isw.select("isw_id", "isw_indel_id", "isw_length").join(indels.selectExpr("indel_id AS isw_indel_id", "indel_occured"), "isw_indel_id").join(gathered, "isw_id", "left")
-    groups = ("indel", "noindel", "bii", "bnn", "complex")
-    names = [f"isw_d_{x}{f}" for f in ("", "2", "3") for x in groups]
+    """isw_id and 15 D columns: sums of ``d_terms`` over a window's SNPs by its length, of all, of the second and of the third kind.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                snps = [] if r["snps"] is None else [(x["snp_outgroup_base"], x["snp_all_bases"], x["snp_occured"]) for x in r["snps"]]
-                d = g.window_d(r["indel_occured"], snps, r["isw_length"])
-                out.append([r["isw_id"], *([None] * 15 if d is None else [f[f"d_{x}"] for f in d for x in groups])])
-            yield pd.DataFrame(out, columns=["isw_id", *names])
-
-    return rows.select("isw_id", "indel_occured", "isw_length", "snps").mapInPandas(run, "isw_id long, " + ", ".join(f"{n} double" for n in names))
+    A window without SNPs has zeros. Null where the indel is ``unknown`` or all sequences are on one side of it. SNPs without an
+    outgroup base count nowhere. SNPs of three bases, whose own state is unknown, count like others.
+    """
+    rows = isw.select("isw_id", "isw_indel_id", "isw_length").join(indels.selectExpr("indel_id AS isw_indel_id", "indel_occured"), "isw_indel_id")
+    known = F.col("indel_occured").rlike("^[01]+$") & F.contains("indel_occured", F.lit("0")) & F.contains("indel_occured", F.lit("1"))
+    some = snps.where("isw_id IS NOT NULL AND snp_outgroup_base <> ''").select("isw_id", "snp_outgroup_base", "snp_all_bases").join(rows.where(known), "isw_id")
+    x = some.select("isw_id", d_terms(F.col("indel_occured"), F.col("snp_all_bases"), F.col("snp_outgroup_base")).alias("x")).select("isw_id", "x.*")
+    kinds = {"": F.lit(True), "2": F.col("second"), "3": F.col("third")}
+    sums = x.groupBy("isw_id").agg(*[F.sum(F.when(when, F.col(c))).alias(f"_{c}{k}") for k, when in kinds.items() for c in ("indel", "noindel", "bii", "bnn", "complex")])
+    value = lambda n: F.when(known, F.coalesce(F.col(f"_{n}"), F.lit(0.0)) / F.col("isw_length")).alias(f"isw_d_{n}")
+    return rows.join(sums, "isw_id", "left").select("isw_id", *[value(c + k) for k in kinds for c in ("indel", "noindel", "bii", "bnn", "complex")])
 
 
 def comparable(aligns: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from genolith.functions import intervals as iv
 from genolith.operators import aggregates as agg
 from genolith.operators import buckets as bk
-from genolith.operators import joins
+from genolith.operators import enrich, joins
 from genolith.plans import reports as rp
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -178,7 +178,7 @@ def quartile_levels(spark, d):
     return rp.quantile_metrics(isw(spark, d), "length", ["distance"], PGC)
 
 
-_STAT = "round(avg({c}), 4) AS average, round(min({c}), 6) AS minimum, round(max({c}), 6) AS maximum, round(stddev_pop({c}), 4) AS std, count({c}) AS count, round(sum({c}), 1) AS sum"
+_STAT = "round(avg({c}), 4) AS average, round(min({c}), 6) AS minimum, round(max({c}), 6) AS maximum, round(stddev_pop({c}), 4) AS std, count({c}) AS count, round(CAST(sum(CAST({c} AS DECIMAL(28, 10))) AS DOUBLE), 1) AS sum"
 
 
 def _stat_rounded(df: DataFrame) -> DataFrame:
@@ -362,11 +362,11 @@ def nearest_variant(spark, d):
 
 
 _DNA_FROM, _DNA_TO = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-_DNA = f"dna AS (SELECT doc_id, regexp_replace(translate(lower(text), '{_DNA_FROM}', '{_DNA_TO}'), '[^ACGT]', '', 'g')[1:400] AS s FROM documents)"
+_DNA = f"dna AS (SELECT doc_id, regexp_replace(translate(lower(text), '{_DNA_FROM}', '{_DNA_TO}'), '[^ACGT]', '', 'g') AS s FROM documents)"
 
 
 def dna(spark, d):
-    """Letters of whole texts. _DNA takes the first 400 only: SQL that depends on more differs from its query."""
+    """Letters of whole texts."""
     return table(spark, d, "documents").selectExpr("doc_id", f"regexp_replace(translate(lower(text), '{_DNA_FROM}', '{_DNA_TO}'), '[^ACGT]', '') AS s")
 
 
@@ -376,13 +376,43 @@ def kmer_canonical(spark, d):
     return rp.canonical_kmers(dna(spark, d), "s", 3)
 
 
-@query(f"""WITH {_DNA}, p AS (SELECT doc_id, s[101:101] AS one, s[201:203] AS three, s[97:100] AS l1, s[102:105] AS r1, s[198:200] AS l3, s[204:206] AS r3, s[300:300] AS a, s[301:301] AS base, s[302:302] AS c FROM dna WHERE len(s) >= 310)
-SELECT doc_id, CASE WHEN position(repeat(one, 4) IN l1 || one || r1) > 0 THEN 1 ELSE 0 END AS slip_one, CASE WHEN l3 = three OR r3 = three THEN 1 ELSE 0 END AS slip_three,
-CASE WHEN (base = 'C' AND c = 'G') OR (base = 'G' AND a = 'C') THEN 1 ELSE 0 END AS cpg FROM p""")
+@query(f"""WITH {_DNA}, i AS (SELECT doc_id, s, unnest(range(5, len(s) - 4)) AS i FROM dna), p AS (SELECT doc_id, s[i:i] AS one, s[i - 4:i - 1] AS l1, s[i + 1:i + 4] AS r1, s[i:i + 2] AS three, s[i - 3:i - 1] AS l3, s[i + 3:i + 5] AS r3,
+s[i - 1:i - 1] AS a, s[i + 1:i + 1] AS c FROM i) SELECT doc_id, count(*) AS sites, CAST(sum(CASE WHEN position(repeat(one, 4) IN l1 || one || r1) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS slip_one,
+CAST(sum(CASE WHEN l3 = three OR r3 = three THEN 1 ELSE 0 END) AS BIGINT) AS slip_three, CAST(sum(CASE WHEN (one = 'C' AND c = 'G') OR (one = 'G' AND a = 'C') THEN 1 ELSE 0 END) AS BIGINT) AS cpg FROM p GROUP BY doc_id""")
 def slippage_cpg(spark, d):
-    s = dna(spark, d).where("length(s) >= 310").selectExpr("doc_id", "substring(s, 101, 1) AS one", "substring(s, 201, 3) AS three", "substring(s, 97, 4) AS l1", "substring(s, 102, 4) AS r1", "substring(s, 198, 3) AS l3", "substring(s, 204, 3) AS r3", "substring(s, 300, 1) AS a", "substring(s, 301, 1) AS base", "substring(s, 302, 1) AS c")
-    mutant = F.when(F.col("base") == "C", "C->T").when(F.col("base") == "G", "G->A").otherwise("A->G")
-    return s.select("doc_id", rp.slippage(F.col("one"), F.col("l1"), F.col("r1")).alias("slip_one"), rp.slippage(F.col("three"), F.col("l3"), F.col("r3")).alias("slip_three"), rp.cpg(mutant, F.col("a"), F.col("c")).alias("cpg"))
+    """All sites of whole texts with four letters on their left and five on their right."""
+    windows = F.explode(rp.letter_runs(F.col("s"), 10)).alias("w")
+    s = dna(spark, d).where("length(s) >= 10").select("doc_id", windows)
+    part = lambda at, n: F.substring("w", at, n)
+    mutant = F.when(part(5, 1) == "C", "C->T").when(part(5, 1) == "G", "G->A").otherwise("A->G")
+    one, three = rp.slippage(part(5, 1), part(1, 4), part(6, 4)), rp.slippage(part(5, 3), part(2, 3), part(8, 3))
+    total = lambda c, name: F.sum(c.cast("long")).alias(name)
+    return s.groupBy("doc_id").agg(F.count("*").alias("sites"), total(one, "slip_one"), total(three, "slip_three"), total(rp.cpg(mutant, part(4, 1), part(6, 1)), "cpg"))
+
+
+_SITES = "'ACGT'"
+_D_SQL = f"""WITH w AS (SELECT o_orderkey AS isw_id, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 7 = 1 THEN '11111' ELSE list_element(['11000', '10100', '01110', '10000', '00111'], CAST(o_custkey % 5 AS INT) + 1) END AS g, CAST(100 + o_custkey % 50 AS INT) AS len FROM orders),
+s AS (SELECT l_orderkey AS isw_id, l_linenumber AS n, {_SITES}[CAST(l_partkey % 4 AS INT) + 1] AS o, list_transform(range(0, 5), lambda k: {_SITES}[CAST((l_partkey + CASE WHEN (l_suppkey >> k) % 3 = 0 THEN l_linenumber + (k * l_suppkey) % 2 ELSE 0 END) % 4 AS INT) + 1]) AS b FROM lineitem),
+x AS (SELECT w.isw_id, n, len, o, g[i + 1] AS gi, g[j + 1] AS gj, b[i + 1] AS bi, b[j + 1] AS bj FROM w JOIN s USING (isw_id), range(0, 5) r(i), range(0, 5) q(j) WHERE i <> j AND position('0' IN g) > 0 AND position('1' IN g) > 0),
+f AS (SELECT isw_id, n, count(DISTINCT bi) FILTER (gi = '1') = 1 AND bool_and(bi <> o) FILTER (gi = '1') AS f1, count(DISTINCT bi) FILTER (gi = '0') = 1 AND bool_and(bi <> o) FILTER (gi = '0') AS f0, bool_or(gi <> gj AND bi = bj AND bi <> o) AS shared FROM x GROUP BY 1, 2),
+y AS (SELECT x.*, NOT f1 AND NOT f0 AS second, CASE WHEN f1 OR f0 THEN shared ELSE true END AS third FROM x JOIN f USING (isw_id, n)),
+k(k) AS (VALUES (1), (2), (3)),
+t AS (SELECT isw_id, k, n, len, sum(CASE WHEN gi = '1' AND gj = '0' AND bi <> o AND bj = o THEN 1.0 ELSE 0 END) / count(*) FILTER (gi = '1' AND gj = '0') AS indel, sum(CASE WHEN gi = '1' AND gj = '0' AND bi = o AND bj <> o THEN 1.0 ELSE 0 END) / count(*) FILTER (gi = '1' AND gj = '0') AS noindel,
+coalesce(sum(CASE WHEN gi = '1' AND gj = '1' AND (bi = o) <> (bj = o) THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (gi = '1' AND gj = '1'), 0), 0) AS bii, coalesce(sum(CASE WHEN gi = '0' AND gj = '0' AND (bi = o) <> (bj = o) THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (gi = '0' AND gj = '0'), 0), 0) AS bnn,
+sum(CASE WHEN bi <> o AND bj <> o AND bi <> bj THEN 1.0 ELSE 0 END) / count(*) AS complex FROM y, k WHERE k = 1 OR (k = 2 AND second) OR (k = 3 AND third) GROUP BY 1, 2, 3, 4),
+u AS (SELECT isw_id, k, sum(indel) AS indel, sum(noindel) AS noindel, sum(bii) AS bii, sum(bnn) AS bnn, sum(complex) AS complex FROM t GROUP BY 1, 2)
+SELECT w.isw_id, """ + ", ".join(f"CASE WHEN position('0' IN g) > 0 AND position('1' IN g) > 0 THEN round(coalesce(max({c}) FILTER (k = {i}), 0) / len, 6) END AS isw_d_{c}{'' if i == 1 else i}" for i in (1, 2, 3) for c in ("indel", "noindel", "bii", "bnn", "complex")) + " FROM w LEFT JOIN u USING (isw_id) GROUP BY w.isw_id, g, len"
+
+
+@query(_D_SQL)
+def d_values(spark, d):
+    """D values of windows that stand for orders, with SNPs of up to four bases that stand for their lines."""
+    orders = table(spark, d, "orders").selectExpr("o_orderkey AS isw_id", "o_orderkey AS isw_indel_id", "CAST(100 + o_custkey % 50 AS int) AS isw_length", "o_custkey")
+    groups = "CASE WHEN isw_id % 7 = 0 THEN 'unknown' WHEN isw_id % 7 = 1 THEN '11111' ELSE element_at(array('11000', '10100', '01110', '10000', '00111'), CAST(o_custkey % 5 AS int) + 1) END AS indel_occured"
+    base = f"substring({_SITES}, CAST((l_partkey + CASE WHEN shiftright(l_suppkey, k) % 3 = 0 THEN l_linenumber + (k * l_suppkey) % 2 ELSE 0 END) % 4 AS int) + 1, 1)"
+    snps = table(spark, d, "lineitem").selectExpr("l_orderkey AS isw_id", f"substring({_SITES}, CAST(l_partkey % 4 AS int) + 1, 1) AS snp_outgroup_base", f"array_join(transform(sequence(0, 4), k -> {base}), '') AS snp_all_bases")
+    out = enrich.d_values(orders, orders.selectExpr("isw_indel_id AS indel_id", groups), snps)
+    return out.select("isw_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "isw_id"])
 
 
 @query("""WITH x AS (SELECT o_orderkey AS id, CAST(o_orderkey % 50 AS INT) AS a, CAST(o_custkey % 40 AS INT) AS b FROM orders)

@@ -106,10 +106,14 @@ def linkage(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(poly, d / F.sqrt(pa * (1 - pa) * pb * (1 - pb))), F.when(poly, F.try_divide(d, top))
 
 
+def letter_runs(sequence: Column, k: int) -> Column:
+    """All runs of k letters ACGT, in one pass of a regular expression: substring counts from the start each time, the square of a sequence's length."""
+    return F.regexp_extract_all(sequence, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+
+
 def canonical_kmers(df: DataFrame, sequence: str, k: int, by: Sequence[str] = ()) -> DataFrame:
     """k-mers with their reverse complements as one: kmer, gc, count, freq; those with other letters than ACGT are left out."""
-    # one pass of a regular expression: substring counts from the start each time, the square of a sequence's length
-    grams = df.select(*by, F.explode(F.expr(f"regexp_extract_all({sequence}, '(?=([ACGT]{{{k}}}))', 1)")).alias("s"))
+    grams = df.select(*by, F.explode(letter_runs(F.col(sequence), k)).alias("s"))
     # counted before they are merged: at most 4 ** k groups meet
     counted = grams.groupBy(*by, "s").agg(F.count("*").alias("n"))
     other = F.reverse(F.translate("s", "ACGT", "TGCA"))

@@ -263,3 +263,45 @@ def test_small_enrichers(spark):
     assert {x.ofgsw_distance for x in got} == {0, 1, 2, 3, 4} and len(got) == 9
     coded = spark.createDataFrame([(1, 3, 1.0, 0.0, 0.0), (1, None, 9.0, 9.0, 9.0)], "isw_id long, exon_id long, snp_syn double, snp_nsy double, snp_stop double")
     assert tuple(enrich.summed_rates(coded, "isw_id", isw, "isw_length").first()) == (1, 0.01, 0.0, 0.0)
+
+
+def pairwise_d(group, bases, outgroup):
+    """The five means over pairs of sequences of one SNP, pair by pair."""
+    one, two = ([i for i, g in enumerate(group) if g == bit] for bit in "10")
+    derived = lambda i: bases[i] != outgroup
+    mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+    cross = [(i, j) for i in one for j in two]
+    within = [[(x, y) for k, x in enumerate(g) for y in g[k + 1 :]] for g in (one, two)]
+    single = lambda ps: mean([derived(i) != derived(j) for i, j in ps])
+    return [
+        mean([derived(i) and not derived(j) for i, j in cross]), mean([derived(j) and not derived(i) for i, j in cross]), single(within[0]), single(within[1]),
+        mean([derived(i) and derived(j) and bases[i] != bases[j] for i, j in cross + within[0] + within[1]]),
+    ]
+
+
+def test_d_values_by_pairs(spark):
+    import itertools
+
+    windows = [(1, 1, 100), (2, 2, 50), (3, 3, 10), (4, 4, 10), (5, 1, 10)]
+    indels = [(1, "1100"), (2, "1000"), (3, "unknown"), (4, "1111")]
+    cases = ["".join(x) for x in itertools.product("ACT", repeat=4)]
+    snps = [(w, "A", b) for w in (1, 2, 3, 4) for b in cases] + [(1, "", "TTTT"), (None, "A", "TTTT")]
+    args = [spark.createDataFrame(r, s) for r, s in ((windows, "isw_id long, isw_indel_id long, isw_length int"), (indels, "indel_id long, indel_occured string"), (snps, "isw_id long, snp_outgroup_base string, snp_all_bases string"))]
+    got = {r.isw_id: list(r)[1:] for r in enrich.d_values(*args).collect()}
+    assert got[3] == got[4] == [None] * 15 and got[5] == [0.0] * 15
+    for isw_id, group, length in ((1, "1100", 100), (2, "1000", 50)):
+        want = [0.0] * 15
+        for b in cases:
+            sides = [{x for x, g in zip(b, group) if g == bit} for bit in "10"]
+            fixed = [s for s, other in (sides, sides[::-1]) if len(s) == 1 and s != {"A"}]
+            recurs = any(s <= other for s, other in (sides, sides[::-1]) if len(s) == 1 and s != {"A"})
+            for kind, there in enumerate((True, not fixed, not fixed or recurs)):
+                for k, x in enumerate(pairwise_d(group, b, "A")):
+                    want[5 * kind + k] += x / length if there else 0
+        assert got[isw_id] == pytest.approx(want)
+    # the cases that the filters are about: a derived base fixed in one group and found in the other, and one fixed in neither
+    terms = lambda b: spark.createDataFrame([("1100", b, "A")], "g string, b string, o string").select(enrich.d_terms(*map(F.col, "gbo")).alias("x")).first().x
+    assert (terms("TTTA").second, terms("TTTA").third) == (False, True)
+    assert (terms("TATA").second, terms("TATA").third) == (True, True)
+    assert (terms("TTAA").second, terms("TTAA").third) == (False, False)
+    assert terms("TTCA").complex > 0
