@@ -42,6 +42,8 @@ BLOCK_SHINGLES = 2_000_000
 MISS = 1e-6
 #: Ids that are broadcast at most (24 bytes each) to pick out the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
+#: Rows with a sketch (some 320 bytes each) that are broadcast at most.
+BROADCAST_SKETCHES = 50_000
 _A = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _X = np.random.default_rng(8).integers(1, 1 << 63, COORDINATES, np.uint64)
 
@@ -326,9 +328,12 @@ class ChosenPathJoin:
             some = scratch.keep(promising(self.blocks(members), self.need, self.percent).distinct(), self._name("some"))
             self.fetch(some.select("rep").distinct())
             if self.sets:
-                full = self.with_deep(self.labelled(labelled.join(some, ["node", "rep"], "left_semi"))).join(sketch, "rep").join(self.all_sets(), "rep")
                 size = some.join(self.classes.select("rep", "n_shingles"), "rep").groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("total"))
-                self.contract(linked(self.blocks(full.join(size, "node")), self.need, self.percent))
+                want = scratch.keep(self.labelled(labelled.join(some, ["node", "rep"], "left_semi")).join(size, "node"), self._name("want"))
+                rows = want.count()
+                full = self.with_deep(sketch.join(F.broadcast(want) if rows <= BROADCAST_IDS else want, "rep"))
+                full = self.all_sets().join(F.broadcast(full) if rows <= BROADCAST_SKETCHES else full, "rep")
+                self.contract(linked(self.blocks(full), self.need, self.percent))
             scratch.drop(name)
             if not branching:
                 return level
@@ -385,7 +390,9 @@ class ChosenPathJoin:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in "ab"], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        full = near.join(self.all_sets().toDF("b", "y"), "b").join(self.all_sets().toDF("a", "x"), "a").select("a", "b", "x", "y")
+        side = F.broadcast(near) if near.count() <= BROADCAST_IDS else near  # few pairs are brought to the sets, not all sets to the pairs
+        x, y = self.all_sets().toDF("a", "x").join(side, "a"), self.all_sets().toDF("b", "y").join(side, "b")
+        full = x.join(y, ["a", "b"]).select("a", "b", "x", "y")
         self.contract(full.mapInArrow(verify, "a long, b long"))
 
     def contract(self, links: DataFrame) -> None:

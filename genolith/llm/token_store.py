@@ -8,8 +8,8 @@ task that is run again replaces its output. Each row holds one block:
     code of the n + 1 boundaries; code of the doc_ids less the smallest; m ids.
 
 An Elias-Fano code of n values up to u keeps the low floor(log2(u / n)) bits of each value
-packed, and the rest in unary: 2 + log2(u / n) bits a value. ``select`` finds one value from a
-sample of one position in 64 of the unary part.
+packed, and the rest in unary: 2 + log2(u / n) bits a value. One position in SAMPLE of the unary part is stored
+as a sample (32 bits); ``select`` finds values from these, and reading takes all its offsets from there.
 """
 
 from __future__ import annotations
@@ -34,12 +34,16 @@ HEAD = struct.Struct("<4sQQQQqQQ")
 SAMPLE = 64
 
 
+#: Place of each set bit of a byte, lowest first.
+_PLACES = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
+_ONES = np.array([b.bit_count() for b in range(256)], np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers in near-minimal space."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self._samples: np.ndarray | None = None
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -50,45 +54,38 @@ class EliasFano:
         at = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         high[at] = 1
-        return cls(n, bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(high, bitorder="little"))
+        return cls(n, bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(high, bitorder="little"), at[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQ", self.n, self.low_bits, len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<QQQ", self.n, self.low_bits, len(self.high)) + self.samples.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, bits, size = struct.unpack_from("<QQQ", data)
-        low = np.frombuffer(data, np.uint8, -(-n * bits // 8), 24)
-        return cls(n, bits, low, np.frombuffer(data, np.uint8, size, 24 + len(low)))
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            out |= (low.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        samples = np.frombuffer(data, "<u4", -(-n // SAMPLE), 24)
+        low = np.frombuffer(data, np.uint8, -(-n * bits // 8), 24 + samples.nbytes)
+        return cls(n, bits, low, np.frombuffer(data, np.uint8, size, 24 + samples.nbytes + len(low)), samples)
+
+    def select(self, i: np.ndarray | int) -> np.ndarray:
+        """Values i: from the sample before each, byte by byte through the unary part, then the low bits."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        if len(i) and (i.min() < 0 or i.max() >= self.n):
+            raise IndexError("no such value")
+        at = self.samples[i // SAMPLE].astype(np.int64)
+        byte, todo = at >> 3, i % SAMPLE
+        word = self.high[byte] >> (at & 7) << (at & 7) if len(i) else np.zeros(0, np.uint8)
+        going = np.flatnonzero(_ONES[word] <= todo)
+        while len(going):
+            todo[going] -= _ONES[word[going]]
+            byte[going] += 1
+            word[going] = self.high[byte[going]]
+            going = going[_ONES[word[going]] <= todo[going]]
+        out = (8 * byte + _PLACES[word, todo] - i).astype(np.uint64) << np.uint64(self.low_bits)
+        for bit in range(self.low_bits):
+            place = i * self.low_bits + bit
+            out |= (self.low[place >> 3] >> (place & 7) & 1).astype(np.uint64) << np.uint64(bit)
         return out
 
-    def select(self, i: int) -> int:
-        """Value i, from the sample before it and at most a few bytes of the unary part."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        if self._samples is None:
-            self._samples = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[::SAMPLE].astype(np.uint32)
-        at, todo = int(self._samples[i // SAMPLE]), i % SAMPLE
-        byte, word = at >> 3, int(self.high[at >> 3]) >> (at & 7) << (at & 7)
-        while (n := word.bit_count()) <= todo:
-            todo, byte = todo - n, byte + 1
-            word = int(self.high[byte])
-        for _ in range(todo):
-            word &= word - 1
-        at = 8 * byte + (word & -word).bit_length() - 1
-        low, first = 0, i * self.low_bits
-        if self.low_bits:
-            some = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3].tobytes(), "little")
-            low = some >> (first & 7) & ((1 << self.low_bits) - 1)
-        return (at - i) << self.low_bits | low
-
 
 def encode_block(doc_ids: list[int | None], boundaries: np.ndarray, ids: np.ndarray) -> bytes:
     """doc_ids ascending, nulls first; boundaries n + 1 values from 0."""
@@ -106,7 +103,8 @@ def decode_block(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     if magic != MAGIC:
         raise ValueError("not a block of this format")
     at = HEAD.size
-    keys = (EliasFano.from_bytes(data[at + a : at + a + b]).values() + np.uint64(least % (1 << 64))).astype(np.int64)
+    code = EliasFano.from_bytes(data[at + a : at + a + b])
+    keys = (code.select(np.arange(code.n)) + np.uint64(least % (1 << 64))).astype(np.int64)
     return [None] * nulls + keys.tolist(), EliasFano.from_bytes(data[at : at + a]), np.frombuffer(data, f"<u{width}", m, at + a + b)
 
 
@@ -150,7 +148,7 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> Data
         for batch in batches:
             for part, before, data in zip(*(batch.column(c).to_pylist() for c in ("part", "before", "data"))):
                 doc_ids, boundaries, ids = decode_block(data)
-                bounds = boundaries.values().astype(np.int64)
+                bounds = boundaries.select(np.arange(boundaries.n)).astype(np.int64)
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 columns = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(bounds[:-1] + before + first[part]), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64())}

@@ -66,7 +66,7 @@ def test_repeated_ids(spark):
 
 def test_recall(spark):
     """Against all pairs of a table of the driver's."""
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.select("vec_id", "embedding").collect()
     x = np.array([r.embedding for r in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
