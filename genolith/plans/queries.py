@@ -376,9 +376,13 @@ def kmer_canonical(spark, d):
     return rp.canonical_kmers(dna(spark, d), "s", 3)
 
 
-@query(f"""WITH {_DNA}, i AS (SELECT doc_id, s, unnest(range(5, len(s) - 4)) AS i FROM dna), p AS (SELECT doc_id, s[i:i] AS one, s[i - 4:i - 1] AS l1, s[i + 1:i + 4] AS r1, s[i:i + 2] AS three, s[i - 3:i - 1] AS l3, s[i + 3:i + 5] AS r3,
-s[i - 1:i - 1] AS a, s[i + 1:i + 1] AS c FROM i) SELECT doc_id, count(*) AS sites, CAST(sum(CASE WHEN position(repeat(one, 4) IN l1 || one || r1) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS slip_one,
-CAST(sum(CASE WHEN l3 = three OR r3 = three THEN 1 ELSE 0 END) AS BIGINT) AS slip_three, CAST(sum(CASE WHEN (one = 'C' AND c = 'G') OR (one = 'G' AND a = 'C') THEN 1 ELSE 0 END) AS BIGINT) AS cpg FROM p GROUP BY doc_id""")
+_AROUND = ", ".join(f"{'lag' if k < 0 else 'lead'}(ch, {abs(k)}) OVER w AS {'m' if k < 0 else 'p'}{abs(k)}" for k in (*range(-4, 0), *range(1, 6)))
+
+
+@query(f"""WITH {_DNA}, i AS (SELECT doc_id, unnest(string_split(s, '')) AS ch, unnest(range(1, len(s) + 1)) AS i FROM dna), x AS (SELECT doc_id, ch, {_AROUND} FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, ch AS one, m4 || m3 || m2 || m1 AS l1, p1 || p2 || p3 || p4 AS r1, ch || p1 || p2 AS three, m3 || m2 || m1 AS l3, p3 || p4 || p5 AS r3, m1 AS a, p1 AS c FROM x WHERE m4 IS NOT NULL AND p5 IS NOT NULL) SELECT doc_id, count(*) AS sites,
+CAST(sum(CASE WHEN position(repeat(one, 4) IN l1 || one || r1) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS slip_one, CAST(sum(CASE WHEN l3 = three OR r3 = three THEN 1 ELSE 0 END) AS BIGINT) AS slip_three,
+CAST(sum(CASE WHEN (one = 'C' AND c = 'G') OR (one = 'G' AND a = 'C') THEN 1 ELSE 0 END) AS BIGINT) AS cpg FROM p GROUP BY doc_id""")
 def slippage_cpg(spark, d):
     """All sites of whole texts with four letters on their left and five on their right."""
     windows = F.explode(rp.letter_runs(F.col("s"), 10)).alias("w")
@@ -392,7 +396,7 @@ def slippage_cpg(spark, d):
 
 _SITES = "'ACGT'"
 _D_SQL = f"""WITH w AS (SELECT o_orderkey AS isw_id, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 7 = 1 THEN '11111' ELSE list_element(['11000', '10100', '01110', '10000', '00111'], CAST(o_custkey % 5 AS INT) + 1) END AS g, CAST(100 + o_custkey % 50 AS INT) AS len FROM orders),
-s AS (SELECT l_orderkey AS isw_id, l_linenumber AS n, {_SITES}[CAST(l_partkey % 4 AS INT) + 1] AS o, list_transform(range(0, 5), lambda k: {_SITES}[CAST((l_partkey + CASE WHEN (l_suppkey >> k) % 3 = 0 THEN l_linenumber + (k * l_suppkey) % 2 ELSE 0 END) % 4 AS INT) + 1]) AS b FROM lineitem),
+s AS (SELECT l_orderkey AS isw_id, row_number() OVER () AS n, {_SITES}[CAST(l_partkey % 4 AS INT) + 1] AS o, list_transform(range(0, 5), lambda k: {_SITES}[CAST((l_partkey + CASE WHEN (l_suppkey >> k) % 3 = 0 THEN l_linenumber + (k * l_suppkey) % 2 ELSE 0 END) % 4 AS INT) + 1]) AS b FROM lineitem),
 x AS (SELECT w.isw_id, n, len, o, g[i + 1] AS gi, g[j + 1] AS gj, b[i + 1] AS bi, b[j + 1] AS bj FROM w JOIN s USING (isw_id), range(0, 5) r(i), range(0, 5) q(j) WHERE i <> j AND position('0' IN g) > 0 AND position('1' IN g) > 0),
 f AS (SELECT isw_id, n, count(DISTINCT bi) FILTER (gi = '1') = 1 AND bool_and(bi <> o) FILTER (gi = '1') AS f1, count(DISTINCT bi) FILTER (gi = '0') = 1 AND bool_and(bi <> o) FILTER (gi = '0') AS f0, bool_or(gi <> gj AND bi = bj AND bi <> o) AS shared FROM x GROUP BY 1, 2),
 y AS (SELECT x.*, NOT f1 AND NOT f0 AS second, CASE WHEN f1 OR f0 THEN shared ELSE true END AS third FROM x JOIN f USING (isw_id, n)),
