@@ -405,7 +405,7 @@ t AS (SELECT isw_id, k, n, len, sum(CASE WHEN gi = '1' AND gj = '0' AND bi <> o
 coalesce(sum(CASE WHEN gi = '1' AND gj = '1' AND (bi = o) <> (bj = o) THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (gi = '1' AND gj = '1'), 0), 0) AS bii, coalesce(sum(CASE WHEN gi = '0' AND gj = '0' AND (bi = o) <> (bj = o) THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (gi = '0' AND gj = '0'), 0), 0) AS bnn,
 sum(CASE WHEN bi <> o AND bj <> o AND bi <> bj THEN 1.0 ELSE 0 END) / count(*) AS complex FROM y, k WHERE k = 1 OR (k = 2 AND second) OR (k = 3 AND third) GROUP BY 1, 2, 3, 4),
 u AS (SELECT isw_id, k, sum(indel) AS indel, sum(noindel) AS noindel, sum(bii) AS bii, sum(bnn) AS bnn, sum(complex) AS complex FROM t GROUP BY 1, 2)
-SELECT w.isw_id, """ + ", ".join(f"CASE WHEN position('0' IN g) > 0 AND position('1' IN g) > 0 THEN round(coalesce(max({c}) FILTER (k = {i}), 0) / len, 6) END AS isw_d_{c}{'' if i == 1 else i}" for i in (1, 2, 3) for c in ("indel", "noindel", "bii", "bnn", "complex")) + " FROM w LEFT JOIN u USING (isw_id) GROUP BY w.isw_id, g, len"
+SELECT w.isw_id, """ + ", ".join(f"CASE WHEN position('0' IN g) > 0 AND position('1' IN g) > 0 THEN round(coalesce(max({c}) FILTER (k = {i}), 0) / len, 9) END AS isw_d_{c}{'' if i == 1 else i}" for i in (1, 2, 3) for c in ("indel", "noindel", "bii", "bnn", "complex")) + " FROM w LEFT JOIN u USING (isw_id) GROUP BY w.isw_id, g, len"
 
 
 @query(_D_SQL)
@@ -416,7 +416,7 @@ def d_values(spark, d):
     base = f"substring({_SITES}, CAST((l_partkey + CASE WHEN shiftright(l_suppkey, k) % 3 = 0 THEN l_linenumber + (k * l_suppkey) % 2 ELSE 0 END) % 4 AS int) + 1, 1)"
     snps = table(spark, d, "lineitem").selectExpr("l_orderkey AS isw_id", f"substring({_SITES}, CAST(l_partkey % 4 AS int) + 1, 1) AS snp_outgroup_base", f"array_join(transform(sequence(0, 4), k -> {base}), '') AS snp_all_bases")
     out = enrich.d_values(orders, orders.selectExpr("isw_indel_id AS indel_id", groups), snps)
-    return out.select("isw_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "isw_id"])
+    return out.select("isw_id", *[F.round(c, 9).alias(c) for c in out.columns if c != "isw_id"])
 
 
 @query("""WITH x AS (SELECT o_orderkey AS id, CAST(o_orderkey % 50 AS INT) AS a, CAST(o_custkey % 40 AS INT) AS b FROM orders)
