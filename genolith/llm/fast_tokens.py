@@ -36,8 +36,8 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 #: Second bytes of letters and numbers among U+00A0 to U+00BF, and the blank there.
 _ODD_LATIN = np.isin(np.arange(256), [0xA0, 0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]) | (np.arange(256) < 0xA0)
-MAX_PIECES = 1_000_000
-CHUNK_BYTES = 8 << 20
+MAX_PIECES = 300_000
+CHUNK_BYTES = 1 << 20
 
 
 class PieceEncoder:

@@ -317,7 +317,8 @@ class ChosenPathJoin:
                 return level
             sketch = self.classes.select("rep", F.col("n_shingles").alias("n"), "sig")
             branching = largest > self.most and level < self.depth
-            members = labelled.join(nodes, "node").join(sketch, "rep")
+            opened = scratch.keep(labelled.join(nodes, "node"), self._name("open"))
+            members = sketch.join(F.broadcast(opened) if opened.count() <= BROADCAST_IDS // 2 else opened, "rep")
             if branching:
                 large = scratch.keep(members.where(F.col("size") > self.most), self._name("large"))
                 if level == 0:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _SEED = np.random.default_rng(20_240)
 _BYTE = _SEED.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _SEED.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
