@@ -395,7 +395,7 @@ def slippage_cpg(spark, d):
 
 
 _SITES = "'ACGT'"
-_D_SQL = f"""WITH w AS (SELECT o_orderkey AS isw_id, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 7 = 1 THEN '11111' ELSE list_element(['11000', '10100', '01110', '10000', '00111'], CAST(o_custkey % 5 AS INT) + 1) END AS g, CAST(100 + o_custkey % 50 AS INT) AS len FROM orders),
+_D_SQL = f"""WITH w AS (SELECT o_orderkey AS isw_id, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 7 = 1 THEN '11111' ELSE list_element(['11000', '10100', '01110', '10000', '00111'], CAST(o_custkey % 5 AS INT) + 1) END AS g, CAST(7 * (15 + 2 * (o_custkey % 5)) AS INT) AS len FROM orders),
 s AS (SELECT l_orderkey AS isw_id, row_number() OVER () AS n, {_SITES}[CAST(l_partkey % 4 AS INT) + 1] AS o, list_transform(range(0, 5), lambda k: {_SITES}[CAST((l_partkey + CASE WHEN (l_suppkey >> k) % 3 = 0 THEN l_linenumber + (k * l_suppkey) % 2 ELSE 0 END) % 4 AS INT) + 1]) AS b FROM lineitem),
 x AS (SELECT w.isw_id, n, len, o, g[i + 1] AS gi, g[j + 1] AS gj, b[i + 1] AS bi, b[j + 1] AS bj FROM w JOIN s USING (isw_id), range(0, 5) r(i), range(0, 5) q(j) WHERE i <> j AND position('0' IN g) > 0 AND position('1' IN g) > 0),
 f AS (SELECT isw_id, n, count(DISTINCT bi) FILTER (gi = '1') = 1 AND bool_and(bi <> o) FILTER (gi = '1') AS f1, count(DISTINCT bi) FILTER (gi = '0') = 1 AND bool_and(bi <> o) FILTER (gi = '0') AS f0, bool_or(gi <> gj AND bi = bj AND bi <> o) AS shared FROM x GROUP BY 1, 2),
@@ -405,18 +405,17 @@ t AS (SELECT isw_id, k, n, len, sum(CASE WHEN gi = '1' AND gj = '0' AND bi <> o
 coalesce(sum(CASE WHEN gi = '1' AND gj = '1' AND (bi = o) <> (bj = o) THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (gi = '1' AND gj = '1'), 0), 0) AS bii, coalesce(sum(CASE WHEN gi = '0' AND gj = '0' AND (bi = o) <> (bj = o) THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (gi = '0' AND gj = '0'), 0), 0) AS bnn,
 sum(CASE WHEN bi <> o AND bj <> o AND bi <> bj THEN 1.0 ELSE 0 END) / count(*) AS complex FROM y, k WHERE k = 1 OR (k = 2 AND second) OR (k = 3 AND third) GROUP BY 1, 2, 3, 4),
 u AS (SELECT isw_id, k, sum(indel) AS indel, sum(noindel) AS noindel, sum(bii) AS bii, sum(bnn) AS bnn, sum(complex) AS complex FROM t GROUP BY 1, 2)
-SELECT w.isw_id, """ + ", ".join(f"CASE WHEN position('0' IN g) > 0 AND position('1' IN g) > 0 THEN round(coalesce(max({c}) FILTER (k = {i}), 0) / len, 9) END AS isw_d_{c}{'' if i == 1 else i}" for i in (1, 2, 3) for c in ("indel", "noindel", "bii", "bnn", "complex")) + " FROM w LEFT JOIN u USING (isw_id) GROUP BY w.isw_id, g, len"
+SELECT w.isw_id, """ + ", ".join(f"CASE WHEN position('0' IN g) > 0 AND position('1' IN g) > 0 THEN round(coalesce(max({c}) FILTER (k = {i}), 0) / len, 6) END AS isw_d_{c}{'' if i == 1 else i}" for i in (1, 2, 3) for c in ("indel", "noindel", "bii", "bnn", "complex")) + " FROM w LEFT JOIN u USING (isw_id) GROUP BY w.isw_id, g, len"
 
 
 @query(_D_SQL)
 def d_values(spark, d):
-    """D values of windows that stand for orders, with SNPs of up to four bases that stand for their lines."""
-    orders = table(spark, d, "orders").selectExpr("o_orderkey AS isw_id", "o_orderkey AS isw_indel_id", "CAST(100 + o_custkey % 50 AS int) AS isw_length", "o_custkey")
+    """D values of windows that stand for orders, with SNPs of up to four bases that stand for their lines. Lengths are multiples of 7, so that no value is a tie at six decimals."""
+    orders = table(spark, d, "orders").selectExpr("o_orderkey AS isw_id", "o_orderkey AS isw_indel_id", "CAST(7 * (15 + 2 * (o_custkey % 5)) AS int) AS isw_length", "o_custkey")
     groups = "CASE WHEN isw_id % 7 = 0 THEN 'unknown' WHEN isw_id % 7 = 1 THEN '11111' ELSE element_at(array('11000', '10100', '01110', '10000', '00111'), CAST(o_custkey % 5 AS int) + 1) END AS indel_occured"
     base = f"substring({_SITES}, CAST((l_partkey + CASE WHEN shiftright(l_suppkey, k) % 3 = 0 THEN l_linenumber + (k * l_suppkey) % 2 ELSE 0 END) % 4 AS int) + 1, 1)"
     snps = table(spark, d, "lineitem").selectExpr("l_orderkey AS isw_id", f"substring({_SITES}, CAST(l_partkey % 4 AS int) + 1, 1) AS snp_outgroup_base", f"array_join(transform(sequence(0, 4), k -> {base}), '') AS snp_all_bases")
-    out = enrich.d_values(orders, orders.selectExpr("isw_indel_id AS indel_id", groups), snps)
-    return out.select("isw_id", *[F.round(c, 9).alias(c) for c in out.columns if c != "isw_id"])
+    return enrich.d_values(orders, orders.selectExpr("isw_indel_id AS indel_id", groups), snps)
 
 
 @query("""WITH x AS (SELECT o_orderkey AS id, CAST(o_orderkey % 50 AS INT) AS a, CAST(o_custkey % 40 AS INT) AS b FROM orders)
