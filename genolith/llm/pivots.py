@@ -139,19 +139,6 @@ def visits(described: DataFrame, homes: list[int], centres: np.ndarray, least: f
 
     return described.select("rep", "embedding", "home").mapInArrow(run, "rep long, low int, high int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for i in range(0, batch.num_rows, 1024):
-                score = unit(matrix(batch.column("embedding").slice(i, 1024))) @ shared.value.T
-                near.append(np.argsort(-score, axis=1, kind="stable")[:, :length].astype(np.int32))
-            near = np.concatenate(near) if near else np.zeros((0, length), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "near"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, f"{schema}, near array<int>")
-
 
 def _canonical(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Whether low and high are the two smallest entries that rows of a and b share."""
@@ -266,12 +253,37 @@ def compare_lists(rows: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, n long")
 
 
+def _links(same: DataFrame, count: int, scratch: Scratch, tag: str, least: float, length: int, block: int, pivots: int | None) -> DataFrame:
+    """Rows (class, null, its links) and edges (id, id, null) of the ``count`` classes of one dimension."""
+    wanted = pivots or max(LEAST_PIVOTS, min(MOST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(count))))
+    sample = same.orderBy(F.xxhash64("id"), "rep").limit(wanted).select("embedding").toPandas()
+    points = unit(np.array(sample["embedding"].tolist(), np.float64))
+    length = min(length, len(points))
+    centres = dense_centres(points, length)
+    described = scratch.keep(permutations(same, points, length, centres, least), f"described{tag}")
+    pairs = F.expr("flatten(transform(near, x -> transform(filter(near, y -> y > x), y -> struct(x AS low, y AS high))))")
+    postings = described.where("home < 0").select("rep", F.explode(pairs).alias("k")).select("rep", "k.low", "k.high")
+    homes = [r["home"] for r in described.where("home >= 0").select("home").distinct().collect()]  # bands of centres, no more than a few for each pivot
+    if homes:
+        postings = postings.unionByName(visits(described, homes, centres, least))
+    postings = scratch.keep(postings, f"postings{tag}")
+    size = F.when(F.col("low") == _HOME, WIDE * block).otherwise(block)
+    lists = postings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    lists = scratch.keep(lists, f"lists{tag}")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = postings.join(lists, ["low", "high"]).withColumn("own", own)
+    spread = placed.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("rep", "low", "high", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    full = spread.join(described.select("rep", "id", "embedding", "times", "near", "home"), "rep")
+    ordered = full.select("rep", "id", "times", "low", "high", "i", "j", "own", "home", "embedding", "near").repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
+    return scratch.keep(compare_lists(ordered, least), f"found{tag}")
+
+
 def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, length: int = LENGTH, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors (vec_id, embedding).
 
     Linked are vectors whose cosine is found to be ``least`` or more, never others. A vector that is
-    null, empty, zero or has null or non-finite components links with nothing, as do those of another
-    dimension than most have. Equal vectors link with each other. Rows that share a vec_id are one
+    null, empty, zero or has null or non-finite components links with nothing. Each dimension is indexed by itself,
+    as vectors of different dimensions have no cosine. Equal vectors link with each other. Rows that share a vec_id are one
     node of the components. A row without
     vec_id gets a null component and is kept.
     """
@@ -279,35 +291,14 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, lengt
     good = usable(vectors.selectExpr("CAST(vec_id AS bigint) AS vec_id", "embedding"))
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"))
     classes = scratch.keep(classes.withColumn("rep", F.xxhash64("embedding", "id")), "classes")  # ids may be shared by classes
-    most = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = vectors.selectExpr("CAST(vec_id AS bigint) AS vec_id", "embedding")
-    if most is None:
+    sizes = classes.groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy("d").collect()  # one row for each dimension
+    if not classes.limit(1).count():
         return rows.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "true AS kept")
-    same = classes.where(F.size("embedding") == most["d"])
-    wanted = pivots or max(LEAST_PIVOTS, min(MOST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(most["count"]))))
-    sample = same.orderBy(F.xxhash64("id"), "rep").limit(wanted).select("embedding").toPandas()
-    points = unit(np.array(sample["embedding"].tolist(), np.float64))
-    length = min(length, len(points))
-    centres = dense_centres(points, length)
-    described = scratch.keep(permutations(same, points, length, centres, least), "described")
-    if length < 2:  # one vector
-        found = spark.createDataFrame([], "a long, b long, n long")
-    else:
-        pairs = F.expr("flatten(transform(near, x -> transform(filter(near, y -> y > x), y -> struct(x AS low, y AS high))))")
-        postings = described.where("home < 0").select("rep", F.explode(pairs).alias("k")).select("rep", "k.low", "k.high")
-        homes = [r["home"] for r in described.where("home >= 0").select("home").distinct().collect()]  # bands of centres, no more than a few for each pivot
-        if homes:
-            postings = postings.unionByName(visits(described, homes, centres, least))
-        postings = scratch.keep(postings, "postings")
-        size = F.when(F.col("low") == _HOME, WIDE * block).otherwise(block)
-        lists = postings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
-        lists = scratch.keep(lists, "lists")
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        placed = postings.join(lists, ["low", "high"]).withColumn("own", own)
-        spread = placed.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("rep", "low", "high", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-        full = spread.join(described.select("rep", "id", "embedding", "times", "near", "home"), "rep")
-        ordered = full.select("rep", "id", "times", "low", "high", "i", "j", "own", "home", "embedding", "near").repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
-        found = scratch.keep(compare_lists(ordered, least), "found")
+    found = spark.createDataFrame([], "a long, b long, n long")
+    for r in sizes:
+        same = classes.where(F.size("embedding") == r["d"])
+        found = found.unionByName(_links(same, r["count"], scratch, f"_{r['d']}", least, length, block, pivots))
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     same_id = good.groupBy("vec_id").agg(F.count("*").alias("rows")).where("rows > 1").select("vec_id")
     tied = good.join(same_id, "vec_id", "left_semi").join(classes.select("embedding", "id"), "embedding").selectExpr("vec_id AS a", "id AS b")

@@ -65,8 +65,10 @@ def test_repeated_ids(spark):
 
 
 def test_recall(spark):
-    """Against all pairs of a table of the driver's."""
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    """Against all pairs, with groups of two to forty vectors whose links lie around the threshold."""
+    r = np.random.default_rng(11)
+    made = [v for _ in range(300) for c in [r.normal(size=64)] for v in c + r.normal(size=(int(r.integers(2, 40)), 64)) * 0.3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id long, embedding array<double>").repartition(4)
     rows = df.select("vec_id", "embedding").collect()
     x = np.array([r.embedding for r in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -91,3 +93,10 @@ def test_recall_in_a_hot_group(spark, n, mean, block):
     found = np.array([got[i].n_links for i in range(n)])
     assert (found[:g] == want[:g]).all() and (found <= want).all() and found[g:].sum() >= 0.95 * want[g:].sum()
     assert {got[i].component_id for i in range(g) if want[i]} == {int(np.flatnonzero(want[:g])[0])}
+
+
+def test_each_dimension_is_compared(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 0.01, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [5.0]), (7, [2.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in pivots.near_vectors(df, Scratch(spark, "t")).collect())
+    assert got == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True)]
