@@ -36,8 +36,8 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 #: Second bytes of letters and numbers among U+00A0 to U+00BF, and the blank there.
 _ODD_LATIN = np.isin(np.arange(256), [0xA0, 0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]) | (np.arange(256) < 0xA0)
-MAX_PIECES = 300_000
-CHUNK_BYTES = 1 << 20
+MAX_PIECES = 1_000_000
+CHUNK_BYTES = 8 << 20
 
 
 class PieceEncoder:
@@ -54,6 +54,7 @@ class PieceEncoder:
             self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         else:
             self.ends[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+        self.most = MAX_PIECES
         self._forget()
 
     def _forget(self) -> None:
@@ -156,7 +157,7 @@ class PieceEncoder:
         cut = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = cut.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.known) + len(pieces) > MAX_PIECES:
+        if len(self.known) + len(pieces) > self.most:
             self._forget()
         new = [p for p in pieces if p not in self.known]
         if new:
@@ -172,14 +173,14 @@ class PieceEncoder:
         parts = [own[i] if i in own else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
-    def encode_chunks(self, batch: pa.RecordBatch, column: str = "text"):
-        """(slice of the batch, ids, offsets), at most about CHUNK_BYTES of text at once, a text being whole."""
+    def encode_chunks(self, batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES):
+        """(slice of the batch, ids, offsets), at most about ``size`` bytes of text at once, a text being whole."""
         texts = batch.column(column)
         sizes = np.cumsum(np.nan_to_num(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(sizes, before + size, "right")))
             part = batch.slice(at, to - at)
             yield part, *self.encode(part.column(column))
             at = to

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genolith.llm.common import Scratch, read
-from genolith.llm.fast_tokens import encoder, vocabulary_path
+from genolith.llm.fast_tokens import CHUNK_BYTES, encoder, vocabulary_path
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
+#: Pieces that a worker remembers where it returns the ids too.
+FEWER_PIECES = 300_000
 #: Rows of one length that get their ranks in one task, about.
 ROWS_A_SALT = 200_000
 
@@ -36,9 +38,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, "word")
+        encode, size = encoder(path, "word"), CHUNK_BYTES
+        if with_ids:  # the ids that go out take memory too
+            encode.most, size = FEWER_PIECES, 1 << 20
         for batch in batches:
-            for part, ids, offsets in encode.encode_chunks(batch):
+            for part, ids, offsets in encode.encode_chunks(batch, size=size):
                 out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     own = np.append(ids[a:b], END_ID).astype("<u4")
