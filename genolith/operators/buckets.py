@@ -95,9 +95,14 @@ def quantile_levels(df: DataFrame, value: Column, parts: int = 4, digits: int |
     return cuts.select(F.posexplode("q").alias("i", "lo"), "q").where(F.col("i") < parts).select((F.col("i") + 1).alias("band"), "lo", F.element_at("q", F.col("i") + 2).alias("hi"))
 
 
-def frequency_levels(n: int) -> list[tuple[str, int, int]]:
-    """(name, lo, hi) of allele frequencies 1 to n - 1: one by one up to three, else three chunks of nearly equal size, the larger ones first."""
-    values = list(range(1, n))
+def frequency_levels(n: int, highest: int | None = None, singly: int | None = None) -> list[tuple[str, int, int]]:
+    """(name, lo, hi) of allele frequencies among n strains: 1 to ``highest`` (n - 1 if not given; the highest that was found, where
+    frequencies are folded), one by one up to three, else three chunks of nearly equal size, the larger ones first.
+    With ``singly`` those under it, each alone.
+    """
+    if singly is not None:
+        return [(f"{v}of{n}", v, v) for v in range(1, singly)]
+    values = list(range(1, (n - 1 if highest is None else highest) + 1))
     if len(values) <= 3:
         return [(f"{v}of{n}", v, v) for v in values]
     small, extra = divmod(len(values), 3)

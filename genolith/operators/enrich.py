@@ -148,20 +148,33 @@ def segment_table(aligns: DataFrame, sequences: DataFrame, config: Config = Conf
 
 
 def extreme_table(aligns: DataFrame, sequences: DataFrame, config: Config = Config()) -> DataFrame:
-    """Troughs and crests of the gc wave with wave lengths and amplitudes to the neighbours (null at the ends); positions are ranks in the comparable set."""
+    """Troughs and crests of the gc wave with wave lengths and amplitudes to the neighbours; positions are ranks in the comparable set.
+
+    The first and last extreme of an alignment measure their outer amplitude to its first and last window, and
+    their outer wave length from their middle to the ends of the comparable set.
+    """
     rows = comparable(aligns, sequences).select("align_id", "bases")
+    half = config.wave_window_size // 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(r.align_id, x["start"], x["end"], x["gc"], x["flag"]) for r in pdf.itertuples() for x in g.gc_wave(np.frombuffer(r.bases.encode(), np.uint8), config.wave_window_size, config.wave_window_step, config.vicinal_size, config.fall_range) if x["flag"]]
-            yield pd.DataFrame(out, columns=["align_id", "rank_start", "rank_end", "gc", "extreme_type"])
+            out = []
+            for r in pdf.itertuples():
+                wave = g.gc_wave(np.frombuffer(r.bases.encode(), np.uint8), config.wave_window_size, config.wave_window_step, config.vicinal_size, config.fall_range)
+                out += [(r.align_id, x["start"], x["end"], x["gc"], x["flag"], wave[0]["gc"], wave[-1]["gc"], len(r.bases)) for x in wave if x["flag"]]
+            yield pd.DataFrame(out, columns=["align_id", "rank_start", "rank_end", "gc", "extreme_type", "first_gc", "last_gc", "size"])
 
-    x = rows.mapInPandas(run, "align_id long, rank_start int, rank_end int, gc double, extreme_type string")
+    x = rows.mapInPandas(run, "align_id long, rank_start int, rank_end int, gc double, extreme_type string, first_gc double, last_gc double, size int")
     w = Window.partitionBy("align_id").orderBy("rank_start")
     x = x.withColumn("extreme_id", F.xxhash64("align_id", "rank_start"))
-    side = lambda f: [(F.abs(F.col("rank_start") - f("rank_start").over(w))).alias("l"), F.abs(F.col("gc") - f("gc").over(w)).alias("a")]
-    (ll, la), (rl, ra) = side(F.lag), side(F.lead)
-    return x.select("extreme_id", F.coalesce(F.lag("extreme_id").over(w), F.lit(0).cast("long")).alias("prev_extreme_id"), "align_id", "extreme_type", "rank_start", "rank_end", F.col("gc").alias("extreme_gc"), la.alias("extreme_left_amplitude"), ra.alias("extreme_right_amplitude"), ll.alias("extreme_left_wave_length"), rl.alias("extreme_right_wave_length"))
+    middle = F.col("rank_start") + half - 1
+    amplitude = lambda f, end: F.abs(F.col("gc") - F.coalesce(f("gc").over(w), F.col(end)))
+    left = F.coalesce(F.col("rank_start") - F.lag("rank_start").over(w), middle)
+    right = F.coalesce(F.lead("rank_start").over(w) - F.col("rank_start"), F.col("size") - middle)
+    return x.select(
+        "extreme_id", F.coalesce(F.lag("extreme_id").over(w), F.lit(0).cast("long")).alias("prev_extreme_id"), "align_id", "extreme_type", "rank_start", "rank_end", F.col("gc").alias("extreme_gc"),
+        amplitude(F.lag, "first_gc").alias("extreme_left_amplitude"), amplitude(F.lead, "last_gc").alias("extreme_right_amplitude"), left.alias("extreme_left_wave_length"), right.alias("extreme_right_wave_length"),
+    )
 
 
 def gsw_table(extremes: DataFrame, config: Config = Config()) -> DataFrame:
@@ -220,6 +233,17 @@ def feature_portions(windows: DataFrame, features: DataFrame, ident: str, start:
     return windows.select(ident, size.alias("_n")).join(sums, ident, "left").select(ident, *[F.when(F.col("_n") > 0, F.coalesce(F.col(k), F.lit(0)) / F.col("_n")).alias(k) for k in kinds])
 
 
+def portions_on_chr(table: DataFrame, ident: str, start: str, end: str, targets: DataFrame, features: DataFrame, prefix: str) -> DataFrame:
+    """ident, ``prefix``_coding and ``prefix``_repeats: ``feature_portions`` of what the target has at alignment columns start..end.
+
+    ``targets`` is what ``chr_positions`` gives. A column in a gap stands for the base before it.
+    """
+    x = table.select(ident, "align_id", F.col(start).alias("_a"), F.col(end).alias("_b")).join(targets, "align_id")
+    at = lambda c: align_to_chr(F.col("spans"), F.col(c), F.col("chr_start"), F.col("chr_end"), F.col("chr_strand"))
+    x = x.select(ident, "chr_name", at("_a").alias("_x"), at("_b").alias("_y")).select(ident, "chr_name", F.least("_x", "_y").alias("_start"), F.greatest("_x", "_y").alias("_end"))
+    return feature_portions(x, features, ident, "_start", "_end").select(ident, F.col("cds").alias(f"{prefix}_coding"), F.col("repeat").alias(f"{prefix}_repeats"))
+
+
 def indel_slippage(indels: DataFrame, sequences: DataFrame) -> DataFrame:
     """indel_id, indel_slippage; flanks are the target's, as far as no other indel is nearer."""
     t = sequences.where("seq_role = 'T'").select("align_id", "seq_seq")

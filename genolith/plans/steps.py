@@ -10,29 +10,41 @@ from pyspark.sql import functions as F
 
 from genolith.config import Config
 from genolith.operators import enrich, ingest
-from genolith.plans import reports as rp
+from genolith.plans.sheets import sheets
 from genolith.sources import readers, sinks
 
-#: Numbers that the name ``common`` stands for.
-COMMON = (1, 2, 3, 4, 5, 21, 30, 31, 40, 41, 44)
+#: Numbers that names stand for.
+PRESETS = {
+    "all": tuple(range(1, 46)),
+    "skeleton": (1, 2, 3),
+    "basic": (1, 2, 3, 4, 5, 40),
+    "common": (1, 2, 3, 4, 5, 21, 30, 31, 40, 41, 44),
+    "gc": (1, 2, 3, 4, 5, 10, 21, 30, 31, 40, 41, 42),
+    "gene": (1, 2, 3, 4, 5, 10, 20, 21, 30, 31, 32, 33, 40, 41, 42, 43, 44),
+    "stat": (40, 41, 42, 43, 44),
+}
+REPORTS = {40: "common", 41: "multi", 42: "gc", 44: "mvar"}
 
 
 def selected(run: str, known: Sequence[int]) -> list[int]:
-    """Step numbers of ``all``, ``common``, or a list such as ``1-5,21``; those that are not known are left out."""
-    if run in ("all", "common"):
-        wanted = known if run == "all" else COMMON
-    else:
-        wanted = [n for part in run.split(",") for a, _, b in [part.strip().partition("-")] for n in range(int(a), int(b or a) + 1)]
+    """Step numbers of a preset's name, or of a list such as ``1-5,21`` or ``1 2 40``; those that are not known are left out."""
+    parts = run.strip("'\" ").replace(",", " ").split()
+    wanted = PRESETS[run] if run in PRESETS else [n for part in parts for a, _, b in [part.partition("-")] for n in range(int(a), int(b or a) + 1)]
     return [n for n in known if n in set(wanted)]
 
 
 class Run:
-    """Tables of one study below ``root``; each step writes new versions of what it changes."""
+    """Tables of one study below ``root``; each step writes new versions of what it changes.
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), outgroup: bool = False):
+    ``annotation`` is YAML text with cds and repeat; ``genes`` and ``exons`` are tables in chromosome coordinates (chr_name, start,
+    end; an exon also exon_id, exon_strand, exon_frame). Steps without their input are left out.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), outgroup: bool = False, annotation: str | None = None, genes: DataFrame | None = None, exons: DataFrame | None = None):
         self.spark, self.root, self.config, self.outgroup = spark, root, config, outgroup
+        self.annotation, self.genes, self.exons = annotation, genes, exons
         self.tables: dict[str, DataFrame] = {}
-        self.version = 0
+        self.version, self.logged = 0, False
 
     def put(self, name: str, df: DataFrame, *order: str) -> None:
         self.version += 1
@@ -60,28 +72,79 @@ class Run:
         self.put("extreme", enrich.extreme_table(t["align"], t["sequence"], self.config), "align_id")
         self.put("gsw", enrich.gsw_table(t["extreme"], self.config), "align_id")
 
+    def targets(self) -> DataFrame:
+        return enrich.chr_positions(self.tables["sequence"])
+
+    def place_genes(self) -> None:
+        """Genes and exons cut to the blocks they lie on, in alignment columns."""
+        t = self.targets()
+        if self.genes is not None:
+            self.put("gene", enrich.clipped(self.genes, t), "align_id", "align_start")
+        if self.exons is not None:
+            placed = enrich.clipped(self.exons, t).withColumnsRenamed({"align_start": "exon_start", "align_end": "exon_end", "is_full": "exon_is_full"})
+            self.put("exon", placed, "align_id", "exon_start")
+
     def cv(self) -> None:
+        """cv around windows, in ranks of the target's bases; around waves in ranks of the comparable set."""
         t = self.tables
         target = t["sequence"].where("seq_role = 'T'").select("align_id", F.col("seq_seq").alias("bases"))
         self.put("isw", enrich.window_cv(t["isw"].drop("isw_cv"), target, "isw_start", "isw_end", self.config, "isw_cv"), "align_id", "isw_start")
+        if "gsw" in t:
+            bases = enrich.comparable(t["align"], t["sequence"]).select("align_id", "bases")
+            self.put("gsw", enrich.window_cv(t["gsw"].drop("gsw_cv"), bases, "rank_start", "rank_end", self.config, "gsw_cv"), "align_id")
+
+    def annotate(self) -> None:
+        """Portions in coding regions and repeats of alignments, indels, SNPs and windows."""
+        features, targets = readers.annotation(self.spark, self.annotation), self.targets()
+        for name, start, end in (("align", "_first", "align_length"), ("indel", "indel_start", "indel_end"), ("snp", "snp_pos", "snp_pos"), ("isw", "isw_start", "isw_end")):
+            table = self.tables[name]
+            portions = enrich.portions_on_chr(table.withColumn("_first", F.lit(1)), f"{name}_id", start, end, targets, features, name)
+            self.put(name, sinks.updated(table, portions, f"{name}_id"), "align_id", *([start] if name != "align" else []))
+
+    def substitutions(self) -> None:
+        """CpG sites, and linkage of SNPs with the indel nearest to their window."""
+        t = self.tables
+        snp = sinks.updated(t["snp"], enrich.snp_cpg(t["snp"], t["sequence"]), "snp_id")
+        if self.outgroup:
+            snp = sinks.updated(snp, enrich.indel_snp_ld(t["snp"], t["isw"], t["indel"]), "snp_id")
+        self.put("snp", snp, "align_id", "snp_pos")
+        self.put("isw", sinks.updated(t["isw"], enrich.isw_cpg(t["isw"], t["snp"]), "isw_id"), "align_id", "isw_start")
+
+    def codons(self) -> None:
+        """Synonymous and other changes of SNPs in exons, and their rates by window."""
+        t = self.tables
+        exons = t["exon"].select("align_id", "exon_id", "exon_start", "exon_end", "exon_strand", "exon_frame")
+        self.put("snp", sinks.updated(t["snp"], enrich.snp_codons(t["snp"], exons, t["sequence"]), "snp_id"), "align_id", "snp_pos")
+        rates = enrich.summed_rates(t["snp"], "isw_id", t["isw"], "isw_length").withColumnsRenamed({c: f"isw_{c}" for c in ("syn", "nsy", "stop")})
+        self.put("isw", sinks.updated(t["isw"], rates, "isw_id"), "align_id", "isw_start")
 
     def slippage(self) -> None:
         t = self.tables
         self.put("indel", sinks.updated(t["indel"], enrich.indel_slippage(t["indel"], t["sequence"]), "indel_id"), "align_id", "indel_start")
 
-    def report(self) -> dict[str, DataFrame]:
-        isw = self.tables["isw"].selectExpr("isw_distance AS distance", "isw_density AS density", "isw_pi AS pi", "isw_gc AS gc", *(["isw_cv AS cv"] if "isw_cv" in self.tables["isw"].columns else []))
-        metrics = [c for c in ("pi", "gc", "cv") if c in isw.columns]
-        sheets = {"d1_pi_gc_cv": rp.metrics(isw, ["distance"], metrics), "d2_pi_gc_cv": rp.metrics(isw, ["density"], metrics), "d1_comb_pi_gc_cv": rp.combined_metrics(isw, "distance", metrics, self.config.combine_threshold), "indel_length": rp.length_histogram(self.tables["indel"], "indel_length", ["indel_gc"])}
-        sinks.write_sheets(sheets, f"{self.root}/report")
-        return sheets
+    def report(self, number: int) -> dict[str, DataFrame]:
+        """The sheets of one report that the tables allow, below ``report/`` and its name."""
+        name = REPORTS[number]
+        meta = {"meta": self.spark.read.parquet(f"{self.root}/meta")} if self.logged else {}
+        made = sheets({**self.tables, **meta}, name, self.config)
+        if made:
+            sinks.write_sheets(made, f"{self.root}/report/{name}")
+        return made
 
     def run(self, folder: str, run: str = "common") -> list[int]:
-        steps: dict[int, tuple[str, Callable]] = {2: ("generate", lambda: self.generate(folder)), 3: ("windows", self.windows), 5: ("slippage", self.slippage), 20: ("gc", self.gc), 21: ("cv", self.cv), 40: ("report", self.report)}
-        done = selected(run, sorted(steps))
+        """Runs the selected steps in the order of their numbers; returns those that ran.
+
+        2 tables of alignments, 5 windows of indels, 10 gc waves and segments, 20 genes and exons, 21 cv, 30 annotation,
+        31 slippage, 32 CpG and linkage, 33 codons, 40 to 44 reports. Tables are made anew by 2, so 1, 3 and 4 have nothing left to do.
+        """
+        steps: dict[int, tuple[str, Callable[[], object]]] = {2: ("generate", lambda: self.generate(folder)), 5: ("windows", self.windows), 10: ("gc", self.gc), 20: ("genes", self.place_genes), 21: ("cv", self.cv), 30: ("annotation", self.annotate), 31: ("slippage", self.slippage), 32: ("substitutions", self.substitutions), 33: ("codons", self.codons)}
+        steps |= {n: (f"report {name}", lambda n=n: self.report(n)) for n, name in REPORTS.items()}
+        absent = {20: self.genes is None and self.exons is None, 30: self.annotation is None, 33: self.exons is None}
+        done = [n for n in selected(run, sorted(steps)) if not absent.get(n)]
         for n in done:
             name, step = steps[n]
             began = time.time()
             step()
             sinks.log_step(self.spark, self.root, name, time.time() - began, f"run {n}")
+            self.logged = True
         return done

@@ -20,9 +20,15 @@ def emptied(table: DataFrame, window: DataFrame | None = None) -> tuple[DataFram
 
 
 def updated(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """A new version of a table: columns of ``updates`` replace or join its own, by key; rows without an update get null."""
+    """A new version of a table: columns of ``updates`` replace its own or are added, by key (once in ``updates``).
+
+    Rows without an update keep what they had, null in added columns.
+    """
     fresh = [c for c in updates.columns if c != key]
-    return table.drop(*fresh).join(updates, key, "left")
+    found = updates.select(key, F.lit(True).alias("_found"), *[F.col(c).alias(f"_new_{c}") for c in fresh])
+    value = lambda c, old: F.when(F.col("_found"), F.col(f"_new_{c}")).otherwise(old).alias(c)
+    own = [value(c, F.col(c)) if c in fresh else F.col(c) for c in table.columns]
+    return table.join(found, key, "left").select(*own, *[value(c, F.lit(None)) for c in fresh if c not in table.columns])
 
 
 def has_values(df: DataFrame, column: str) -> bool:

@@ -12,6 +12,7 @@ from genolith.operators import aggregates as agg
 from genolith.operators import buckets as bk
 from genolith.operators import enrich, ingest, joins
 from genolith.plans import reports as rp
+from genolith.plans.sheets import sheets
 from genolith.plans.steps import Run, selected
 from genolith.sources import readers, sinks
 
@@ -108,6 +109,11 @@ def test_gc_wave_and_segments(spark):
     assert {x.segment_type: x["count"] for x in segments} == {"1": 2, "2": 10, "3": 20}
     extremes = enrich.extreme_table(aligns, sequences)
     gsw = enrich.gsw_table(extremes).collect()
+    ends = extremes.orderBy("rank_start").collect()
+    assert ends[0].extreme_left_wave_length == ends[0].rank_start + 49 and ends[-1].extreme_right_wave_length == len(seq) - ends[-1].rank_start - 49
+    wave = g.gc_wave(np.frombuffer(seq.encode(), np.uint8), 100, 100, 500, 0.1)
+    assert ends[0].extreme_left_amplitude == pytest.approx(abs(ends[0].extreme_gc - wave[0]["gc"])) and ends[-1].extreme_right_amplitude == pytest.approx(abs(ends[-1].extreme_gc - wave[-1]["gc"]))
+    assert all(a.extreme_right_wave_length == b.extreme_left_wave_length and a.extreme_right_amplitude == b.extreme_left_amplitude for a, b in zip(ends, ends[1:]))
     assert {x.gsw_type for x in gsw} == {"A", "D", "T", "C"} and all(x.gsw_distance + x.gsw_distance_crest >= 1 for x in gsw)
     assert all(x.gsw_crest_gc > x.gsw_trough_gc for x in gsw)
 
@@ -125,6 +131,7 @@ def test_fold_and_pieces(spark):
         run += r.w
     assert bk.frequency_levels(4) == [("1of4", 1, 1), ("2of4", 2, 2), ("3of4", 3, 3)]
     assert [x[1:] for x in bk.frequency_levels(9)] == [(1, 3), (4, 6), (7, 8)]
+    assert [x[1:] for x in bk.frequency_levels(9, 4)] == [(1, 2), (3, 3), (4, 4)] and bk.frequency_levels(9, singly=4) == [("1of9", 1, 1), ("2of9", 2, 2), ("3of9", 3, 3)]
 
 
 def _by_bucket(df):
@@ -184,6 +191,8 @@ def test_sources_and_sinks(spark, tmp_path):
     for style in ("csv", "tsv", "neat", "table", "box"):
         sinks.write_query(df, str(tmp_path / style), style)
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "box")).collect()) == ["| 1 | x    |", "| 2 | NULL |"]
+    change = spark.createDataFrame([(2, "y", 5)], "a int, b string, c int")
+    assert sorted(map(tuple, sinks.updated(df, change, "a").collect())) == [(1, "x", None), (2, "y", 5)]
     assert sinks.has_values(df, "b") and not sinks.has_values(df.where("a = 2"), "b") and not sinks.has_values(df, "c")
     assert readers.run_sql(spark, "SELECT count(*) AS n FROM toy; DROP TABLE x", {"toy": df})[0].first().n == 2
     features = spark.createDataFrame([("I", "cds", 5, 14), ("I", "repeat", 100, 200)], "chr_name string, kind string, start int, end int")
@@ -202,9 +211,22 @@ def test_run_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     text = f">T.I(+):1-3000\n{seq}\n>Q.I(+):1-2992\n{''.join(other)}\n>O.I(+):1-3000\n{seq}\n"
     (tmp_path / "in" / "b.fas").write_text(text)
-    assert selected("1-3,40", [2, 3, 5, 40]) == [2, 3, 40]
-    run = Run(spark, str(tmp_path / "out"), Config(min_length=100, combine_threshold=3), outgroup=True)
-    assert run.run(str(tmp_path / "in"), "all") == [2, 3, 5, 20, 21, 40]
+    assert selected("1-3,40", [2, 3, 5, 40]) == [2, 3, 40] and selected("gc", [5, 10, 20, 41, 43]) == [5, 10, 41] and selected("2 21", [2, 5, 21]) == [2, 21]
+    exons = spark.createDataFrame([("I", 1, 1500, 1, "+", 0)], "chr_name string, start int, end int, exon_id long, exon_strand string, exon_frame int")
+    note = "cds:\n  I: 1-1500\nrepeat:\n  I: 2001-2100\n"
+    run = Run(spark, str(tmp_path / "out"), Config(min_length=100, combine_threshold=3), outgroup=True, annotation=note, exons=exons)
+    assert run.run(str(tmp_path / "in"), "all") == [2, 5, 10, 20, 21, 30, 31, 32, 33, 40, 41, 42, 44]
+    assert run.tables["align"].first().align_coding == pytest.approx(0.5) and run.tables["align"].first().align_repeats == pytest.approx(100 / 3000)
+    assert all(s.snp_coding == float(s.snp_pos <= 1500) for s in run.tables["snp"].collect())
+    assert all((s.snp_codons is not None) <= (s.snp_pos <= 1500) for s in run.tables["snp"].collect()) and run.tables["snp"].where("snp_syn IS NOT NULL").count() > 3
+    names = {r: {p.name for p in (tmp_path / "out" / "report" / r).iterdir()} for r in ("common", "multi", "mvar")}
+    assert {"basic", "process", "summary", "d1_pi_gc_cv", "d2_comb_coding", "group_density", "indel_length_100", "distance_tri_trv", "align_repeat", "snp_indel_ratio", "index"} <= names["common"]
+    assert {"distance", "distance3", "distance_freq", "di_dn_ttest"} <= names["multi"] and {"indel_basic", "snp_list", "snp_codon_list", "strain_list"} <= names["mvar"]
+    made = sheets(run.tables, names=["basic", "distance_snp", "group_distance"])
+    assert made["basic"].first().snps_per_100 == pytest.approx(100 * run.tables["snp"].count() / made["basic"].first().comparables)
+    assert made["distance_snp"].groupBy("distance").agg(F.sum("share").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+    bands = {r.band: r["count"] for r in made["group_distance"].collect()}
+    assert bands[5] == run.tables["isw"].where("isw_distance BETWEEN 3 AND 5").count() and 19 in bands
     isw = run.tables["isw"].collect()
     assert isw and all(w.isw_d_indel is not None for w in isw)
     assert all(s.isw_id is None or any(w.isw_id == s.isw_id and w.isw_start <= s.snp_pos <= w.isw_end for w in isw) for s in run.tables["snp"].collect())
