@@ -18,7 +18,7 @@ def _span(start: Column, end: Column) -> Column:
 
 
 def merge(spans: Column) -> Column:
-    """Any array of (start, end) as a set: sorted, overlapping and adjacent ones joined."""
+    """Any array of (start, end) as a set: sorted, overlapping and adjacent ones joined. What is a set already is only sorted and compared with its neighbours."""
     empty = F.expr(_EMPTY)
 
     def step(acc: Column, x: Column) -> Column:
@@ -26,7 +26,11 @@ def merge(spans: Column) -> Column:
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_span(last["start"], F.greatest(last["end"], x["end"]))))
         return F.when((F.size(acc) > 0) & (x["start"] <= last["end"] + 1), joined).otherwise(F.concat(acc, F.array(_span(x["start"], x["end"]))))
 
-    return F.aggregate(F.array_sort(spans), empty, step)
+    def joined(s: Column) -> Column:
+        apart = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.coalesce(b["start"] > a["end"] + 1, F.lit(True)))
+        return F.when(F.forall(apart, lambda x: x), F.transform(s, lambda x: _span(x["start"], x["end"]))).otherwise(F.aggregate(s, empty, step))
+
+    return F.get(F.transform(F.array(F.array_sort(spans)), joined), F.lit(0))
 
 
 def parse(runlist: Column) -> Column:

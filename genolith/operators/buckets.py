@@ -90,9 +90,27 @@ def pieces(df: DataFrame, order: Sequence[Column], weight: Column, piece: float,
 
 
 def quantile_levels(df: DataFrame, value: Column, parts: int = 4, digits: int | None = None) -> DataFrame:
-    """band, lo, hi: levels between exact quantiles, both ends inclusive: rows on a cut are in two levels."""
-    cuts = df.agg(F.percentile(value, [i / parts for i in range(parts + 1)]).alias("q")).select(F.transform("q", lambda x: F.round(x, digits)).alias("q") if digits is not None else F.col("q"))
-    return cuts.select(F.posexplode("q").alias("i", "lo"), "q").where(F.col("i") < parts).select((F.col("i") + 1).alias("band"), "lo", F.element_at("q", F.col("i") + 2).alias("hi"))
+    """band, lo, hi: levels between exact quantiles (interpolated), both ends inclusive: rows on a cut are in two levels.
+
+    Ranks come from counts of distinct values in ranges of the value, so that no task holds all of them. No values, no levels.
+    """
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.select(value.cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(blocks, "v").withColumn("_p", F.spark_partition_id())
+    sums = ranged.groupBy("_p").agg(F.sum("n").alias("s"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    before = sums.select("_p", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("_p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("before") + F.col("run")
+    placed = ranged.withColumn("run", F.sum("n").over(within)).join(F.broadcast(before), "_p").select("v", (end - F.col("n")).alias("first"), (end - 1).alias("last"))
+    cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i / parts).alias("q")) for i in range(parts + 1)]))
+    at = sums.agg(F.sum("s").alias("total")).where("total > 0").select("total", cut.alias("c")).select("c.i", ((F.col("total") - 1) * F.col("c.q")).alias("at"))
+    at = at.select("i", "at", F.floor("at").alias("below"), F.ceil("at").alias("above"))
+    holds = lambda rank: F.col(rank).between(F.col("first"), F.col("last"))
+    found = placed.join(F.broadcast(at), holds("below") | holds("above")).groupBy("i", "at", "below", "above").agg(F.max(F.when(holds("below"), F.col("v"))).alias("low"), F.max(F.when(holds("above"), F.col("v"))).alias("high"))
+    cuts = found.select("i", F.when(F.col("below") == F.col("above"), F.col("low")).otherwise((F.col("above") - F.col("at")) * F.col("low") + (F.col("at") - F.col("below")) * F.col("high")).alias("lo"))
+    cuts = cuts.withColumn("lo", F.round("lo", digits)) if digits is not None else cuts
+    return cuts.select((F.col("i") + 1).alias("band"), "lo", F.lead("lo").over(Window.orderBy("i")).alias("hi")).where(F.col("band") <= parts)  # a row for each cut
 
 
 def frequency_levels(n: int, highest: int | None = None, singly: int | None = None) -> list[tuple[str, int, int]]:

@@ -206,9 +206,9 @@ def basic_facts(spark, d):
     return facts.crossJoin(nested)  # one row each
 
 
-@query("SELECT (i - 1) // 3 + 1 AS step, max(CASE WHEN (i - 1) % 3 = 0 THEN v END) AS operation, max(CASE WHEN (i - 1) % 3 = 1 THEN v END) AS duration, max(CASE WHEN (i - 1) % 3 = 2 THEN v END) AS command FROM (SELECT n_nationkey + 1 AS i, n_name AS v FROM nation WHERE n_nationkey < 24) GROUP BY 1")
+@query("SELECT (i - 1) // 3 + 1 AS step, max(CASE WHEN (i - 1) % 3 = 0 THEN v END) AS operation, max(CASE WHEN (i - 1) % 3 = 1 THEN v END) AS duration, max(CASE WHEN (i - 1) % 3 = 2 THEN v END) AS command FROM (SELECT n_nationkey + 1 AS i, n_name AS v FROM nation) GROUP BY 1")
 def process_triples(spark, d):
-    rows = table(spark, d, "nation").where("n_nationkey < 24").selectExpr("CAST(n_nationkey DIV 3 + 1 AS bigint) AS step", "n_nationkey % 3 AS m", "n_name")
+    rows = table(spark, d, "nation").selectExpr("CAST(n_nationkey DIV 3 + 1 AS bigint) AS step", "n_nationkey % 3 AS m", "n_name")
     return rows.groupBy("step").agg(*[F.max(F.when(F.col("m") == i, F.col("n_name"))).alias(c) for i, c in enumerate(("operation", "duration", "command"))])
 
 

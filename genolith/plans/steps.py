@@ -51,8 +51,10 @@ class Run:
         self.tables[name] = sinks.write_table(df, f"{self.root}/v{self.version}", name, order)
 
     def generate(self, folder: str) -> None:
-        blocks = readers.valid_alignments(readers.blocked_fasta(self.spark, folder, self.config.min_length), self.outgroup)
-        self.put("blocks", ingest.analyzed(blocks, self.outgroup))
+        """Tables of the alignments below a folder; blocks that are none are listed in the table ``rejected``."""
+        read = readers.blocked_fasta(self.spark, folder, self.config.min_length)
+        self.put("rejected", readers.rejected_alignments(read, self.outgroup))
+        self.put("blocks", ingest.analyzed(readers.valid_alignments(read, self.outgroup), self.outgroup))
         b = self.tables["blocks"]
         self.put("align", ingest.align_table(b, self.outgroup), "align_id")
         self.put("sequence", ingest.sequence_table(b, self.outgroup), "align_id", "seq_position")

@@ -54,10 +54,19 @@ def blocked_fasta(spark: SparkSession, folder: str, min_length: int = 0, streami
     return blocks.where(F.length(F.get("rows", 0)["seq"]) >= min_length).select("align_id", "file", "rows")
 
 
-def valid_alignments(blocks: DataFrame, outgroup: bool = False) -> DataFrame:
-    """Blocks of at least two rows (three with an outgroup) of equal length; others are left out."""
+def _valid(outgroup: bool) -> F.Column:
     length = F.length(F.get("rows", 0)["seq"])
-    return blocks.where((F.size("rows") >= (3 if outgroup else 2)) & F.forall("rows", lambda r: F.length(r["seq"]) == length))
+    return F.coalesce((F.size("rows") >= (3 if outgroup else 2)) & F.forall("rows", lambda r: F.length(r["seq"]) == length), F.lit(False))
+
+
+def valid_alignments(blocks: DataFrame, outgroup: bool = False) -> DataFrame:
+    """Blocks of at least two rows (three with an outgroup) of equal length; ``rejected_alignments`` has the others."""
+    return blocks.where(_valid(outgroup))
+
+
+def rejected_alignments(blocks: DataFrame, outgroup: bool = False) -> DataFrame:
+    """align_id, file, names and lengths of the rows of blocks that are not valid alignments."""
+    return blocks.where(~_valid(outgroup)).select("align_id", "file", F.transform("rows", lambda r: r["name"]).alias("names"), F.transform("rows", lambda r: F.length(r["seq"])).alias("lengths"))
 
 
 def genome_fasta(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,17 +101,25 @@ def chromosomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def annotation(spark: SparkSession, text: str) -> DataFrame:
-    """chr_name, kind, start, end from YAML with ``cds`` and ``repeat``: chromosome to runlist (two levels of plain keys)."""
-    found, kind = {}, None
-    for line in text.splitlines():
-        m = re.match(r"^(\s*)([^:#\s][^:]*):\s*(.*?)\s*$", line)
-        if not m or line.strip() == "---":
+    """chr_name, kind, start, end from YAML with ``cds`` and ``repeat``: chromosome to runlist.
+
+    Two levels of plain keys are read; other kinds are skipped, and whatever else YAML allows (flow maps, lists, deeper levels, text
+    over several lines) raises ValueError.
+    """
+    found, kind, depth = {}, None, None
+    for number, line in enumerate(text.splitlines(), 1):
+        if not line.strip() or line.strip() in ("---", "...") or line.lstrip().startswith("#"):
             continue
-        if not m[1]:
-            kind = m[2].strip("'\"")
+        m = re.match(r"^( *)([^:#\s\[{&*!|>-][^:]*?|'[^']*'|\"[^\"]*\") *:(?: +(.*?))? *(?: #.*)?$", line)
+        value = (m[3] or "").strip("'\"") if m else ""
+        if not m or not re.fullmatch(r"[-\d, ]*", value) or bool(m[1]) != bool(value) or (m[1] and (kind is None or depth not in (None, m[1]))):
+            raise ValueError(f"annotation, line {number}: expected 'kind:' or '  chromosome: runlist'")
+        key = m[2].strip("'\"")
+        if m[1]:
+            found[kind][key], depth = value, m[1]
+        else:
+            kind, depth = key, None
             found.setdefault(kind, {})
-        elif kind:
-            found[kind][m[2].strip("'\"")] = m[3].strip("'\"")
     if missing := {"cds", "repeat"} - set(found):
         raise ValueError(f"annotation lacks {sorted(missing)}")
     rows = [(c, k, r) for k in ("cds", "repeat") for c, r in found[k].items()]
@@ -111,12 +128,16 @@ def annotation(spark: SparkSession, text: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sources: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """tag, type, chr_name, start, end from (file, tag, type) lists of ``chr:start-end`` lines; lines without a chromosome are left out."""
+    """tag, type, chr_name, start, end from (file, tag, type) lists of ``chr:start-end`` lines; lines without a chromosome are left out.
+
+    A line may have several spans, ``chr:1-5,9-12``: each gives a row.
+    """
     out = None
     for path, tag, kind in sources:
-        at = lambda i: F.regexp_extract("value", r"^\s*(?:[^.\s]+\.)?([^\s:(]+)(?:\([+-]\))?:(\d+)(?:-(\d+))?", i)
-        df = spark.read.text(path).select(F.lit(tag).alias("tag"), F.lit(kind).alias("type"), at(1).alias("chr_name"), at(2).alias("a"), at(3).alias("b")).where("chr_name <> '' AND a <> ''")
-        df = df.select("tag", "type", "chr_name", F.col("a").cast("int").alias("start"), F.when(F.col("b") != "", F.col("b")).otherwise(F.col("a")).cast("int").alias("end"))
+        at = lambda i: F.regexp_extract("value", r"^\s*(?:[^.\s]+\.)?([^\s:(]+)(?:\([+-]\))?:(\d+(?:-\d+)?(?:,\d+(?:-\d+)?)*)", i)
+        df = spark.read.text(path).select(F.lit(tag).alias("tag"), F.lit(kind).alias("type"), at(1).alias("chr_name"), at(2).alias("spans")).where("chr_name <> ''")
+        df = df.select("tag", "type", "chr_name", F.explode(F.split("spans", ",")).alias("s"))
+        df = df.select("tag", "type", "chr_name", F.substring_index("s", "-", 1).cast("int").alias("start"), F.substring_index("s", "-", -1).cast("int").alias("end"))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -124,7 +145,8 @@ def positions(spark: SparkSession, sources: Sequence[tuple[str, str, str]]) -> D
 def genes(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Genes or exons from Parquet with the columns of the table that it has."""
     df = spark.read.parquet(path)
-    return df.select(*[c for c in df.columns if c in TABLES[table] or c in ("chr_name", "start", "end")])
+    known = {c.split()[0] for c in TABLES[table].split(", ")} | {"chr_name", "start", "end"}
+    return df.select(*[c for c in df.columns if c in known])
 
 
 def select_statements(text: str) -> list[str]:

@@ -24,6 +24,8 @@ def toy(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("fas")
     (folder / "a.fas").write_text(F1 + "\n>S288c.II(+):1-3\nACG\n>RM11.II(+):1-3\nACG\n\n>bad\nAC\n>worse\nACG\n")
     blocks = readers.valid_alignments(readers.blocked_fasta(spark, str(folder), 10))
+    rejected = readers.rejected_alignments(readers.blocked_fasta(spark, str(folder)), True).collect()
+    assert sorted((r.names, r.lengths) for r in rejected) == [(["S288c", "RM11"], [3, 3]), (["S288c", "RM11"], [20, 20]), (["bad", "worse"], [2, 3])]
     return ingest.analyzed(blocks).cache()
 
 
@@ -134,6 +136,16 @@ def test_fold_and_pieces(spark):
     assert [x[1:] for x in bk.frequency_levels(9, 4)] == [(1, 2), (3, 3), (4, 4)] and bk.frequency_levels(9, singly=4) == [("1of9", 1, 1), ("2of9", 2, 2), ("3of9", 3, 3)]
 
 
+def test_quantile_levels(spark):
+    r = random.Random(5)
+    for values, parts in (([r.random() for _ in range(501)], 4), ([r.randrange(9) / 8 for _ in range(200)], 4), ([0.25] * 30, 3), ([1.0, 2.0], 5)):
+        got = sorted(map(tuple, bk.quantile_levels(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), F.col("v"), parts).collect()))
+        q = np.quantile(values, [i / parts for i in range(parts + 1)])
+        assert [x[0] for x in got] == list(range(1, parts + 1))
+        assert [x[1] for x in got] == pytest.approx(list(q[:-1])) and [x[2] for x in got] == pytest.approx(list(q[1:]))
+    assert bk.quantile_levels(spark.createDataFrame([], "v double"), F.col("v")).count() == 0
+
+
 def _by_bucket(df):
     out = {}
     for r in df.collect():
@@ -179,8 +191,13 @@ def test_null_and_zero(spark):
 def test_sources_and_sinks(spark, tmp_path):
     a = readers.annotation(spark, "---\ncds:\n  I: 1-10,20\nrepeat:\n  II: 5-7\n").collect()
     assert sorted(map(tuple, a)) == [("I", "cds", 1, 10), ("I", "cds", 20, 20), ("II", "repeat", 5, 7)]
-    (tmp_path / "p.txt").write_text("I:10-20\nno position\nS288c.II(+):7\n")
-    assert sorted(map(tuple, readers.positions(spark, [(str(tmp_path / "p.txt"), "t", "k")]).collect())) == [("t", "k", "I", 10, 20), ("t", "k", "II", 7, 7)]
+    quoted = readers.annotation(spark, "cds:\n  'I': 1-10  # first\n\nother:\n  I: 5\nrepeat:\n  II: '5-7,9'\n").collect()
+    assert sorted(map(tuple, quoted)) == [("I", "cds", 1, 10), ("II", "repeat", 5, 7), ("II", "repeat", 9, 9)]
+    for wrong in ("cds: {I: 1-10}\nrepeat:\n  I: 1\n", "cds:\n  I:\n    x: 1-2\nrepeat:\n  I: 1\n", "cds:\n  - I\nrepeat:\n  I: 1\n", "cds:\n  I: 1\n"):
+        with pytest.raises(ValueError):
+            readers.annotation(spark, wrong)
+    (tmp_path / "p.txt").write_text("I:10-20\nno position\nS288c.II(+):7\nIII:1-5,9,12-13\n")
+    assert sorted(map(tuple, readers.positions(spark, [(str(tmp_path / "p.txt"), "t", "k")]).collect())) == [("t", "k", "I", 10, 20), ("t", "k", "II", 7, 7), ("t", "k", "III", 1, 5), ("t", "k", "III", 9, 9), ("t", "k", "III", 12, 13)]
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "chr1.fa").write_text(">x\n" + "ACGT" * 30 + "N" * 5 + "ACGT" * 30 + "N" * 60 + "ACGT" * 5 + "\n")
     got = readers.valid_regions(readers.genome_fasta(spark, str(tmp_path / "g")), min_length=100, truncate=100).collect()
