@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genolith.scratch import Scratch
+
 #: Distinct keys that a histogram may have to be folded in one row.
 MOST_KEYS = 1_000_000
 
@@ -62,49 +64,50 @@ def by_bands(df: DataFrame, value: Column, edges: DataFrame) -> DataFrame:
     return df.withColumn("_v", value).join(F.broadcast(edges), F.col("_v").between(F.col("lo"), F.col("hi"))).drop("_v")
 
 
-def top_portion(df: DataFrame, key: Column, weight: Column, portion: float) -> DataFrame:
-    """key: the smallest set of largest keys that holds ``portion`` of all weight.
+def running_before(df: DataFrame, order: Sequence[Column], weight: Column, name: str, descending: bool = False, blocks: int | None = None) -> DataFrame:
+    """df with ``name``: the sum of ``weight`` over all rows that come before in the order, 0 for the first.
 
-    Sums of keys run from the top in a window over distinct keys.
+    No task sees all rows: they are dealt into ranges of the order, sums of ranges are added up, and each range adds its own.
+    The ranges are written first, as Spark samples their limits anew for each shuffle, and two readings would not agree.
+    There are ``blocks`` of them, or as many as the session has shuffle partitions.
     """
-    sums = df.select(key.alias("key"), weight.alias("w")).where("key IS NOT NULL").groupBy("key").agg(F.sum("w").alias("w"))
-    down = Window.orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("key", F.coalesce(F.sum("w").over(down), F.lit(0)).alias("before"), F.sum("w").over(Window.partitionBy()).alias("total")).where(F.col("before") < F.col("total") * portion).select("key")
+    keys = [f"_o{i}" for i in range(len(order))]
+    sort = [F.desc(k) if descending else F.asc(k) for k in keys]
+    keyed = df.select("*", weight.alias("_w"), *[c.alias(k) for c, k in zip(order, keys)])
+    ranged = keyed.repartitionByRange(*([blocks] if blocks else []), *sort).withColumn("_p", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "running").keep(ranged, "ranged")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_p").agg(F.sum("_w").alias("_s"))  # as many rows as there are ranges
+    before = sums.select("_p", F.sum("_s").over(earlier(Window.orderBy("_p"))).alias("_before"))
+    within = F.sum("_w").over(earlier(Window.partitionBy("_p").orderBy(*sort)))
+    placed = ranged.withColumn("_run", within).join(F.broadcast(before), "_p")
+    zero = F.lit(0)
+    return placed.withColumn(name, F.coalesce("_before", zero) + F.coalesce("_run", zero)).drop("_w", "_p", "_run", "_before", *keys)
 
 
-def pieces(df: DataFrame, order: Sequence[Column], weight: Column, piece: float, blocks: int = 64) -> DataFrame:
-    """df with ``piece``: rows in order, cut each time their running weight passes a multiple of ``piece``.
+def top_portion(df: DataFrame, key: Column, weight: Column, portion: float) -> DataFrame:
+    """key: the smallest set of largest keys that holds ``portion`` of all weight. Sums run from the top, over distinct keys."""
+    sums = df.select(key.alias("key"), weight.alias("w")).where("key IS NOT NULL").groupBy("key").agg(F.sum("w").alias("w"))
+    down = running_before(sums, [F.col("key")], F.col("w"), "before", descending=True)
+    total = down.agg(F.sum("w").alias("total"))
+    return down.crossJoin(F.broadcast(total)).where(F.col("before") < F.col("total") * portion).select("key")  # one row
 
-    The running sum is exact without one task seeing all rows: rows are dealt into ranges of the order,
-    sums of ranges are added up, and each range adds its own.
-    """
-    keyed = df.select("*", weight.alias("_w"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    names = [f"_o{i}" for i in range(len(order))]
-    ranged = keyed.repartitionByRange(blocks, *names).withColumn("_p", F.spark_partition_id())
-    within = Window.partitionBy("_p").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = ranged.groupBy("_p").agg(F.sum("_w").alias("_s"))
-    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    running = ranged.withColumn("_run", F.sum("_w").over(within)).join(F.broadcast(before), "_p")
-    at = F.floor((F.col("_before") + F.col("_run") - F.col("_w")) / piece).cast("long") + 1
-    return running.withColumn("piece", at).drop("_w", "_p", "_run", "_before", *names)
+
+def pieces(df: DataFrame, order: Sequence[Column], weight: Column, piece: float, blocks: int | None = None) -> DataFrame:
+    """df with ``piece``: rows in order, cut each time their running weight passes a multiple of ``piece``."""
+    running = running_before(df, order, weight, "_sum", blocks=blocks)
+    return running.withColumn("piece", F.floor(F.col("_sum") / piece).cast("long") + 1).drop("_sum")
 
 
 def quantile_levels(df: DataFrame, value: Column, parts: int = 4, digits: int | None = None) -> DataFrame:
     """band, lo, hi: levels between exact quantiles (interpolated), both ends inclusive: rows on a cut are in two levels.
 
-    Ranks come from counts of distinct values in ranges of the value, so that no task holds all of them. No values, no levels.
+    Ranks come from running counts of distinct values, so that no task holds all of them. No values, no levels.
     """
-    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.select(value.cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange(blocks, "v").withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p").agg(F.sum("n").alias("s"))
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
-    before = sums.select("_p", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("_p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("before") + F.col("run")
-    placed = ranged.withColumn("run", F.sum("n").over(within)).join(F.broadcast(before), "_p").select("v", (end - F.col("n")).alias("first"), (end - 1).alias("last"))
+    placed = running_before(counts, [F.col("v")], F.col("n"), "first").withColumn("last", F.col("first") + F.col("n") - 1)
     cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i / parts).alias("q")) for i in range(parts + 1)]))
-    at = sums.agg(F.sum("s").alias("total")).where("total > 0").select("total", cut.alias("c")).select("c.i", ((F.col("total") - 1) * F.col("c.q")).alias("at"))
+    at = placed.agg(F.sum("n").alias("total")).where("total > 0").select("total", cut.alias("c")).select("c.i", ((F.col("total") - 1) * F.col("c.q")).alias("at"))
     at = at.select("i", "at", F.floor("at").alias("below"), F.ceil("at").alias("above"))
     holds = lambda rank: F.col(rank).between(F.col("first"), F.col("last"))
     found = placed.join(F.broadcast(at), holds("below") | holds("above")).groupBy("i", "at", "below", "above").agg(F.max(F.when(holds("below"), F.col("v"))).alias("low"), F.max(F.when(holds("above"), F.col("v"))).alias("high"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genolith.scratch import Scratch
+
 
 def binned_interval_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str, start: str, end: str, width: int, how: str = "inner", first_by: str | None = None) -> DataFrame:
     """Points with the intervals of the same keys that hold them, both ends inclusive.
@@ -64,16 +66,27 @@ def pairs_within(df: DataFrame, on: Sequence[str], position: str, ident: str, ne
 def nearest(points: DataFrame, others: DataFrame, on: Sequence[str], point: str, other: str, other_id: str) -> DataFrame:
     """points with the id and distance of the nearest other row of the same keys, ties to the smaller id; null if there is none.
 
-    Both are sorted together once, and looked up before and after: no pairs are made.
+    Both are dealt together into ranges of (keys, position), so that a hot key is in many of them, and looked up before and
+    after within a range; what a range lacks comes from the last and the first other row of the ranges around it, one each.
+    No pairs are made. Null keys are one key. Rows without a position are near to nothing.
     """
     keys = list(on)
     p = points.select("*", F.col(point).alias("_at"), F.lit(None).cast(others.schema[other_id].dataType).alias("_id"), F.lit(1).alias("_is"))
-    o = others.groupBy(*keys, F.col(other).alias("_at")).agg(F.min(other_id).alias("_id")).withColumn("_is", F.lit(0))
-    both = p.unionByName(o, allowMissingColumns=True)
-    down = Window.partitionBy(*keys).orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = others.where(F.col(other).isNotNull()).groupBy(*keys, F.col(other).alias("_at")).agg(F.min(other_id).alias("_id")).withColumn("_is", F.lit(0))
+    both = p.unionByName(o, allowMissingColumns=True).repartitionByRange(*keys, "_at", "_is").withColumn("_p", F.spark_partition_id())
+    both = Scratch(points.sparkSession, "nearest").keep(both, "ranged")  # the limits of ranges are sampled anew for each shuffle
     hit = F.when(F.col("_is") == 0, F.struct("_at", "_id"))
-    found = both.withColumn("_b", F.last(hit, True).over(down)).withColumn("_a", F.last(hit, True).over(up)).where("_is = 1")
-    options = F.array_sort(F.filter(F.array(*[F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(f"{x}._at") - F.col("_at")).alias("d"), F.col(f"{x}._id").alias("i"))) for x in ("_a", "_b")]), lambda x: x.isNotNull()))
-    best = F.get(options, 0)
+    ends = both.groupBy(*keys, "_p").agg(F.max(hit).alias("_last"), F.min(hit).alias("_first"))
+    along = Window.partitionBy(*keys).orderBy("_p")  # a row for each range
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inside = Window.partitionBy("_p", *keys)
+    to_here = lambda *order: inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_b", F.last(hit, True).over(to_here("_at", "_is"))).withColumn("_a", F.last(hit, True).over(to_here(F.desc("_at"), "_is"))).where("_is = 1")
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    found = found.join(ends, same)
+    around = [F.coalesce("_b", "_before"), F.coalesce("_a", "_after")]
+    away = [F.when(x.isNotNull() & F.col("_at").isNotNull(), F.struct(F.abs(x["_at"] - F.col("_at")).alias("d"), x["_id"].alias("i"))) for x in around]
+    best = F.coalesce(F.least(*away), *away)
     return found.select(*points.columns, best["i"].alias("nearest_id"), best["d"].alias("nearest_distance"))

@@ -297,8 +297,7 @@ _BITS = "b AS (SELECT user_id, CASE WHEN count(*) = 1 THEN 'unknown' ELSE " + "
 
 
 def bits(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("_events_bits")
-    return spark.sql(f"WITH {_BITS.replace('FROM events', 'FROM _events_bits')} SELECT * FROM b")
+    return spark.sql(f"WITH {_BITS.replace('FROM events', 'FROM {events}')} SELECT * FROM b", events=table(spark, d, "events"))
 
 
 @query(f"WITH {_BITS} SELECT user_id % 2 AS side, i AS position, CAST(sum(CASE WHEN bits[i] = '1' THEN 1 ELSE 0 END) AS BIGINT) AS count FROM b, range(1, 6) t(i) WHERE bits <> 'unknown' GROUP BY 1, 2".replace(" AS position", "::INT AS position"))

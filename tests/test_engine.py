@@ -136,6 +136,41 @@ def test_fold_and_pieces(spark):
     assert [x[1:] for x in bk.frequency_levels(9, 4)] == [(1, 2), (3, 3), (4, 4)] and bk.frequency_levels(9, singly=4) == [("1of9", 1, 1), ("2of9", 2, 2), ("3of9", 3, 3)]
 
 
+def test_running_sums_beyond_a_sample(spark):
+    """More rows than Spark samples for the limits of ranges: sums of ranges and rows must still agree."""
+    df = spark.range(40_000).selectExpr("id", "pmod(xxhash64(id), 100000) AS k", "pmod(hash(id), 9) + 1 AS w", "repeat('x', 40) AS other")
+    got = {r.id: r.before for r in bk.running_before(df, [F.col("k"), F.col("id")], F.col("w"), "before", blocks=16).collect()}
+    run = 0
+    for r in sorted(df.select("k", "id", "w").collect()):
+        assert got[r.id] == run
+        run += r.w
+    top = {r.key for r in bk.top_portion(df, F.col("k"), F.col("w"), 0.1).collect()}
+    weights, seen, want = {}, 0, set()
+    for r in df.select("k", "w").collect():
+        weights[r.k] = weights.get(r.k, 0) + r.w
+    for k in sorted(weights, reverse=True):
+        if seen < run * 0.1:
+            want.add(k)
+        seen += weights[k]
+    assert top == want
+    assert bk.running_before(df.where("false"), [F.col("k")], F.col("w"), "before").collect() == []
+
+
+def test_nearest_of_a_hot_key(spark):
+    r = random.Random(11)
+    keys = ["hot"] * 6 + ["b", None]
+    points = [(i, r.choice(keys), r.choice([r.randrange(40_000), None]) if i % 50 == 0 else r.randrange(40_000)) for i in range(6_000)]
+    others = [(i, r.choice(keys), None if i % 40 == 0 else r.randrange(40_000)) for i in range(900)] + [(2_000, "hot", 7), (1_999, "hot", 7)]
+    p, o = spark.createDataFrame(points, "id int, k string, at int"), spark.createDataFrame(others, "oid int, k string, o_at int")
+    got = {x.id: (x.nearest_id, x.nearest_distance) for x in joins.nearest(p, o.withColumnRenamed("o_at", "pos"), ["k"], "at", "pos", "oid").collect()}
+    assert len(got) == len(points)
+    for i, k, at in points:
+        d = [(abs(x - at), j) for j, l, x in others if l == k and x is not None] if at is not None else []
+        assert got[i] == (min(d)[::-1] if d else (None, None))
+    none = joins.nearest(p, o.where("false"), ["k"], "at", "o_at", "oid")
+    assert none.where("nearest_id IS NULL").count() == len(points)
+
+
 def test_quantile_levels(spark):
     r = random.Random(5)
     for values, parts in (([r.random() for _ in range(501)], 4), ([r.randrange(9) / 8 for _ in range(200)], 4), ([0.25] * 30, 3), ([1.0, 2.0], 5)):
