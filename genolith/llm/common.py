@@ -1,15 +1,15 @@
-"""What the operators of this subpackage share: reading, the shared folder, components."""
+"""What the operators of this subpackage share: reading, components; ``Scratch`` is passed on from the package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genolith.scratch import Scratch
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -18,49 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests in one process) a temporary one is set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="genolith-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-class Scratch:
-    """Intermediate tables of one run, as Parquet below the shared folder.
-
-    A written table cuts lineage: a lost executor costs a re-read, never a recomputation
-    from the input. Tables that are no longer read are dropped early; the rest go when
-    the driver's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-        self._fs.deleteOnExit(self._path(self.root))
-
-    def keep(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._fs.delete(self._path(f"{self.root}/{name}"), True)
-
-
 def ascii_lower(column) -> "F.Column":
     """A-Z lower-cased, all else as it is."""
     return F.translate(column, UPPER, LOWER)
