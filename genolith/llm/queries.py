@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genolith.llm import chat_format, decontaminate, minhash, packing, pivots, quality, secrets, suffix_dedup, token_store, url_filter
+from genolith.llm import chat_format, decontaminate, divergence, minhash, packing, pivots, quality, search, secrets, suffix_dedup, token_store, url_filter, warc
 
 QUERIES = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_search": search.op12_search,
+    "op13_warc": warc.op13_warc,
 }
 ORACLE_SQL = {
     "op2_pivots": pivots.ORACLE,
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op5_chat_format": chat_format.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_search": search.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
