@@ -21,6 +21,7 @@ class Config:
     near: int = 100  # bases within which SNPs count as neighbours
     combine_threshold: int = 1000
     piece: int = 100_000
+    segment_piece: int = 500_000
     standalone: tuple[int, ...] = (-1, 0)
     last_portion: float = 0.05
     segment_styles: dict[int, int] = field(default_factory=lambda: {1: 5000, 2: 1000, 3: 500})

@@ -7,8 +7,11 @@ there are rows; ``fold`` checks that before it brings a histogram into one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +102,116 @@ def pieces(df: DataFrame, order: Sequence[Column], weight: Column, piece: float,
     return running.withColumn("piece", F.floor(F.col("_sum") / piece).cast("long") + 1).drop("_sum")
 
 
+def _next_cuts(weights: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums, and for each row the first row whose piece is full if a new one begins after this row (the number of rows: none)."""
+    sums = np.cumsum(weights)
+    return sums, np.searchsorted(sums, sums + piece, side="left")
+
+
+def range_function(weights: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What a range of rows makes of the weight that its first piece already has, as (at, rest, cuts, total).
+
+    Entry k, the first with carried + at[k] >= piece, gives the weight that is left after the range's last cut and
+    the number of cuts; without such an entry there is no cut, and ``total`` is added to what was carried. Chains of cuts that meet
+    are one entry, so that tables are short where weights vary.
+    """
+    sums, after = _next_cuts(weights, piece)
+    n = len(weights)
+    last = np.where(after < n, after, np.arange(n))
+    cuts = np.where(after < n, 1, 0)
+    while True:  # pointers are doubled until each is at the end of its chain
+        further = last[last]
+        if (further == last).all():
+            break
+        cuts, last = cuts + cuts[last], further
+    first = np.flatnonzero(np.diff(sums, prepend=0) > 0)  # a row of weight 0 fills no piece
+    first = first[: np.searchsorted(sums[first], piece, side="left") + 1]
+    rest, cuts = sums[-1] - sums[last[first]], cuts[first] + 1
+    # of neighbours with the same outcome the last one stands for all
+    keep = np.append((rest[1:] != rest[:-1]) | (cuts[1:] != cuts[:-1]), True) if len(first) else np.zeros(0, bool)
+    return sums[first][keep], rest[keep], cuts[keep], int(sums[-1])
+
+
+def cuts_from(weights: np.ndarray, piece: int, carried: int) -> list[int]:
+    """The rows of a range after which a piece ends, if the first already has ``carried``."""
+    sums, after = _next_cuts(weights, piece)
+    out, at = [], int(np.searchsorted(sums, piece - carried, side="left"))
+    while at < len(weights):
+        out.append(at)
+        at = int(after[at])
+    return out
+
+
+def greedy_pieces(df: DataFrame, order: Sequence[Column], weight: Column, piece: float, by: Sequence[Column] = (), blocks: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """df with ``piece``: rows in order gather weight until they have ``piece`` or more, then a new one begins; from 1, in each group of ``by``.
+
+    The cut depends on all cuts before it, and yet no task sees all rows: they are dealt into ranges of the order, which are
+    written. Each range gives its function from the weight carried in to the weight carried out (``range_function``); these are
+    chained, a row for each range and group in order, and then each range cuts its own rows. A function has entries for the rows
+    within one piece of weight from the range's start at most; where a piece is larger than a range these are all of its rows, 24 bytes
+    each, and pass the chaining task one range at a time.
+
+    Weights may not be negative; null ones count as 0. Those that are not integers are taken in millionths, so that sums do
+    not depend on their order. ``order`` may have descending columns (``F.desc``). Rows that are equal in it are in that of a hash of
+    all columns.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "pieces")
+    kind = df.select(weight.alias("w")).schema["w"].dataType.typeName()
+    unit = 1 if kind in ("byte", "short", "integer", "long") else 1_000_000
+    size = round(piece * unit)
+    if size < 1:
+        raise ValueError("pieces must have a weight")
+    groups = [f"_g{i}" for i in range(len(by))]
+    keyed = df.select("*", F.coalesce(F.round(weight * unit).cast("long"), F.lit(0).cast("long")).alias("_w"), F.xxhash64(*df.columns).alias("_h"), *[c.alias(k) for c, k in zip(by, groups)])
+    sort = [*groups, *order, "_h"]
+    ranged = keyed.repartitionByRange(*([blocks] if blocks else []), *sort).sortWithinPartitions(*sort)
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = ranged.withColumns({"_p": F.spark_partition_id(), "_i": row, "_g": F.xxhash64(F.lit(0), *groups)}).drop("_h", *groups)
+    ranged = scratch.keep(ranged, "ranged")
+    thin = ranged.select("_p", "_i", "_w", "_g")
+    if thin.where("_w < 0").limit(1).count():
+        raise ValueError("weights may not be negative")
+
+    def parts(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+        pdf = pdf.sort_values("_i")
+        group = pdf["_g"].to_numpy()
+        limits = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        for a, b in zip(limits, [*limits[1:], len(pdf)]):
+            yield int(pdf["_g"].iloc[a]), pdf.iloc[a:b]
+
+    def functions(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(int(pdf["_p"].iloc[0]), group, *range_function(part["_w"].to_numpy(), size)) for group, part in parts(pdf)]
+        return pd.DataFrame(rows, columns=["_p", "_g", "at", "rest", "cuts", "total"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, carried, before = None, 0, 0
+        for batch in batches:
+            out = []
+            for i, (p, g, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_p", "_g", "total")))):
+                if g != group:
+                    group, carried, before = g, 0, 0
+                out.append((p, g, carried, before))
+                at, rest, cuts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("at", "rest", "cuts"))
+                k = int(np.searchsorted(at, size - carried, side="left"))
+                if k < len(at):
+                    carried, before = int(rest[k]), before + int(cuts[k])
+                else:
+                    carried += total
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["_p", "_g", "carried", "before"])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(int(pdf["_p"].iloc[0]), int(part["_i"].iloc[c])) for _, part in parts(pdf) for c in cuts_from(part["_w"].to_numpy(), size, int(part["carried"].iloc[0]))]
+        return pd.DataFrame(rows, columns=["_p", "_i"])
+
+    tables = thin.groupBy("_p").applyInPandas(functions, "_p long, _g long, at array<long>, rest array<long>, cuts array<long>, total long")
+    state = scratch.keep(tables.repartition("_g").sortWithinPartitions("_g", "_p").mapInArrow(chain, "_p long, _g long, carried long, before long"), "state")
+    cuts = thin.join(state, ["_p", "_g"]).groupBy("_p").applyInPandas(cut, "_p long, _i long").withColumn("_cut", F.lit(1))
+    earlier = Window.partitionBy("_p", "_g").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(scratch.keep(cuts, "cuts"), ["_p", "_i"], "left").join(state, ["_p", "_g"])
+    number = F.col("before") + F.coalesce(F.sum("_cut").over(earlier), F.lit(0)) + 1
+    return placed.withColumn("piece", number.cast("long")).select(*df.columns, "piece")
+
+
 def quantile_levels(df: DataFrame, value: Column, parts: int = 4, digits: int | None = None) -> DataFrame:
     """band, lo, hi: levels between exact quantiles (interpolated), both ends inclusive: rows on a cut are in two levels.
 

@@ -1,13 +1,11 @@
 """What is derived from the tables of an alignment: windows, waves, segments, annotation, linkage, codons.
 
-Windows are made and placed with DataFrame functions. Where bases are counted, only the slices that a
-window needs go to an Arrow function, not whole sequences.
+Windows are made and placed with DataFrame functions. Bases are counted in blocks of columns (``sequences.Store``), never in a
+whole sequence for each window. Functions that take ``sequences`` take the table or a store of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +15,18 @@ from genolith.config import Config
 from genolith.functions import genetics as g
 from genolith.functions import intervals as iv
 from genolith.operators import joins
+from genolith.operators.sequences import Store
 from genolith.plans import reports as rp
 
-_WINDOW = "array<struct<start:int,end:int,type:string,distance:int,density:int>>"
-
-
-def _interval_windows(start: str, end: str) -> Column:
-    return F.udf(lambda a, b: g.interval_windows(a, b), _WINDOW, useArrow=True)(start, end)
+def interval_windows(a: str, b: str, size: int = 100) -> Column:
+    """Windows of an interval between indels (start, end, type, distance, density): one S at -1 if under two windows long, else L and R
+    from both ends inward; the rest goes to the innermost L."""
+    n, m = f"({b} - {a} + 1)", f"CAST(({b} - {a} + 1) div {size} AS int)"
+    window = lambda start, end, kind, distance: f"named_struct('start', CAST({start} AS int), 'end', CAST({end} AS int), 'type', '{kind}', 'distance', {distance}, 'density', {m} - 1)"
+    left = window(f"{a} + {size} * k", f"{a} + {size} * k + {size - 1} + CASE WHEN k = ({m} + 1) div 2 - 1 THEN {n} - {size} * {m} ELSE 0 END", "L", "k")
+    right = window(f"{b} - {size} * k - {size - 1}", f"{b} - {size} * k", "R", "k")
+    counted = lambda many: f"sequence(0, CAST({many} AS int) - 1)"
+    return F.expr(f"CASE WHEN {n} <= 0 THEN array() WHEN {m} < 2 THEN array({window(a, b, 'S', -1)}) ELSE concat(transform({counted(f'({m} + 1) div 2')}, k -> {left}), transform({counted(f'{m} div 2')}, k -> {right})) END")
 
 
 def _feature_windows(*args) -> Column:
@@ -31,47 +34,36 @@ def _feature_windows(*args) -> Column:
     return F.udf(lambda a, b, low, high, style: g.feature_windows(a, b, low, high, style), kind, useArrow=True)(*args)
 
 
-def slice_stats(slices: str) -> Column:
-    """Statistics of an array of equally long slices; gc of the first."""
-
-    def run(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for rows in column:
-            m = g.matrix(list(rows))
-            s = g.column_stats(m)
-            out.append((s["comparables"], s["identities"], s["differences"], s["pi"], g.gc_ratio(m[0])))
-        return pd.DataFrame(out, columns=["comparables", "identities", "differences", "pi", "gc"])
-
-    return F.pandas_udf(run, "comparables int, identities int, differences int, pi double, gc double")(slices)
-
+def gc_spread(windows: DataFrame, order: str = "k", *keys: str) -> DataFrame:
+    """keys, mean, std, cv, mdcw of the gc of sub-windows: mean, spread of the sample, that by the mean's distance from 0 or 1, and the mean step
+    from one to the next. Sub-windows without bases are left out; with one only, all but the mean are null."""
+    known = windows.where("gc IS NOT NULL").withColumn("_step", F.abs(F.col("gc") - F.lag("gc").over(Window.partitionBy(*keys).orderBy(order))))
+    x = known.groupBy(*keys).agg(F.avg("gc").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("gc")).alias("std"), F.avg("_step").alias("mdcw"))
+    return x.select(*keys, "mean", "std", F.try_divide("std", F.when(F.col("mean") <= 0.5, F.col("mean")).otherwise(1 - F.col("mean"))).alias("cv"), "mdcw")
 
-def sub_window_stats(size: int, step: int):
-    """Column function: gc mean, std, cv, mdcw of sub-windows of a string."""
 
-    @F.pandas_udf("mean double, std double, cv double, mdcw double")
-    def stats(seq: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([g.segment_stats(np.frombuffer(s.encode(), np.uint8), size, step) for s in seq], columns=["mean", "std", "cv", "mdcw"])
+def sub_window_spread(spans: DataFrame, ident: str, first: str, length: str, store: Store, size: int, step: int, ranks: bool) -> DataFrame:
+    """ident and ``gc_spread`` of the sub-windows of spans (align_id, ident, first, length), in columns or in ranks of the comparable set."""
+    subs = spans.where(F.col(length) >= size).select("align_id", ident, F.col(first).alias("_first"), F.posexplode(F.sequence(F.lit(0), F.col(length) - size, F.lit(step))).alias("k", "_at"))
+    subs = subs.select("align_id", ident, "k", (F.col("_first") + F.col("_at")).alias("_start")).withColumns({"_end": F.col("_start") + size - 1, "_sub": F.xxhash64(ident, "k")})
+    if ranks:
+        subs = store.column_of(subs, "free", _a="_start", _b="_end")
+    a, b = ("_a", "_b") if ranks else ("_start", "_end")
+    gc = F.try_divide("gc_of_free", "bases_of_free") if ranks else F.try_divide("gc", "bases")
+    counted = store.sums(subs, "_sub", a, b).select("_sub", gc.alias("gc"))
+    return gc_spread(subs.select("_sub", ident, "k").join(counted, "_sub"), "k", ident)
 
-    return stats
 
-
-def ingroup(sequences: DataFrame) -> DataFrame:
-    """align_id and its sequences in order, without the outgroup."""
-    rows = sequences.where("seq_role <> 'O'").groupBy("align_id").agg(F.array_sort(F.collect_list(F.struct("seq_position", "seq_seq"))).alias("r"))
-    return rows.select("align_id", F.transform("r", lambda x: x["seq_seq"]).alias("seqs"))
-
-
-def isw_table(indels: DataFrame, sequences: DataFrame) -> DataFrame:
+def isw_table(indels: DataFrame, sequences: DataFrame | Store) -> DataFrame:
     """Windows between neighbouring indels: L, R or S; the nearest indel is the left one for L and S, the right one for R."""
     w = Window.partitionBy("align_id").orderBy("indel_start")
     between = indels.select("align_id", "indel_id", F.lag("indel_id").over(w).alias("prev_indel_id"), (F.lag("indel_end").over(w) + 1).alias("a"), (F.col("indel_start") - 1).alias("b")).where("a <= b")
-    windows = between.select("align_id", "indel_id", "prev_indel_id", F.explode(_interval_windows("a", "b")).alias("w"))
-    sliced = windows.join(ingroup(sequences), "align_id").select("align_id", "indel_id", "prev_indel_id", "w", F.transform("seqs", lambda s: F.substring(s, F.col("w.start"), F.col("w.end") - F.col("w.start") + 1)).alias("slices"))
-    s = sliced.withColumn("s", slice_stats("slices"))
-    return s.select(
-        F.xxhash64("align_id", "w.start", "w.end").alias("isw_id"), "indel_id", "prev_indel_id", "align_id", F.when(F.col("w.type") == "R", F.col("indel_id")).otherwise(F.col("prev_indel_id")).alias("isw_indel_id"),
+    x = between.select("align_id", "indel_id", "prev_indel_id", F.explode(interval_windows("a", "b")).alias("w")).withColumn("isw_id", F.xxhash64("align_id", "w.start", "w.end"))
+    stats = Store.of(sequences).stats(x.select("align_id", "isw_id", "w.start", "w.end"), "isw_id", "start", "end")
+    return x.join(stats, "isw_id").select(
+        "isw_id", "indel_id", "prev_indel_id", "align_id", F.when(F.col("w.type") == "R", F.col("indel_id")).otherwise(F.col("prev_indel_id")).alias("isw_indel_id"),
         F.col("w.start").alias("isw_start"), F.col("w.end").alias("isw_end"), (F.col("w.end") - F.col("w.start") + 1).alias("isw_length"), F.col("w.type").alias("isw_type"), F.col("w.distance").alias("isw_distance"), F.col("w.density").alias("isw_density"),
-        F.col("s.differences").alias("isw_differences"), F.col("s.pi").alias("isw_pi"), F.col("s.gc").alias("isw_gc"),
+        F.col("differences").cast("int").alias("isw_differences"), F.col("pi").alias("isw_pi"), F.col("gc").alias("isw_gc"),
     )
 
 
@@ -130,41 +122,79 @@ def d_values(isw: DataFrame, indels: DataFrame, snps: DataFrame) -> DataFrame:
     return rows.join(sums, "isw_id", "left").select("isw_id", *[value(c + k) for k in kinds for c in ("indel", "noindel", "bii", "bnn", "complex")])
 
 
-def comparable(aligns: DataFrame, sequences: DataFrame) -> DataFrame:
-    """align_id, spans (comparable set), bases (target at the set, joined)."""
-    target = sequences.where("seq_role = 'T'").select("align_id", "seq_seq")
-    a = aligns.select("align_id", iv.parse(F.col("align_comparable_runlist")).alias("spans")).join(target, "align_id")
-    return a.select("align_id", "spans", iv.substr_spans(F.col("seq_seq"), F.col("spans")).alias("bases"))
+def window_table(windows: DataFrame, ident: str, sequences: DataFrame | Store, start: str = "window_start", end: str = "window_end", of_set: bool = True) -> DataFrame:
+    """window_id (``ident``), align_id, window_start, window_end (alignment columns), window_length, window_comparables, window_identities,
+    window_differences, window_indel, window_pi, window_gc.
 
-
-def segment_table(aligns: DataFrame, sequences: DataFrame, config: Config = Config()) -> DataFrame:
-    """Consecutive slices of the comparable set, a short tail left out, with the gc of their sub-windows; positions are ranks in the set."""
-    styles = F.explode(F.array(*[F.struct(F.lit(str(t)).alias("type"), F.lit(n).alias("size")) for t, n in config.segment_styles.items()]))
-    rows = comparable(aligns, sequences).select("align_id", "spans", "bases", styles.alias("x")).select("*", F.floor(F.length("bases") / F.col("x.size")).cast("int").alias("n")).where("n > 0")
-    cut = rows.select("align_id", "x.type", "x.size", "bases", "spans", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("first", F.col("i") * F.col("size") + 1)
-    stats = sub_window_stats(config.stat_window_size, config.stat_window_step)
-    s = cut.withColumn("s", stats(F.substring("bases", F.col("first"), F.col("size"))))
-    return s.select(F.xxhash64("align_id", "type", "first").alias("segment_id"), "align_id", F.col("type").alias("segment_type"), iv.at(F.col("spans"), F.col("first")).alias("window_start"), iv.at(F.col("spans"), F.col("first") + F.col("size") - 1).alias("window_end"), *[F.col(f"s.{c}").alias(f"segment_gc_{c}") for c in ("mean", "std", "cv", "mdcw")])
+    With ``of_set`` a window is the comparable columns between its ends: its indels are the breaks of that set. Else it is all
+    columns, and its indels are the runs of gaps in it less one, as gaps at its edge belong to its neighbours.
+    """
+    s = Store.of(sequences).stats(windows.select("align_id", ident, start, end), ident, start, end)
+    x = windows.select("align_id", F.col(ident).alias("window_id"), F.col(start).alias("window_start"), F.col(end).alias("window_end")).join(s.withColumnRenamed(ident, "window_id"), "window_id")
+    indels = F.col("gap_runs") if of_set else F.greatest(F.col("gap_runs") - 1, F.lit(0))
+    counts = [F.col(c).cast("int").alias(f"window_{c}") for c in ("comparables", "identities", "differences")]
+    return x.select("window_id", "align_id", "window_start", "window_end", (F.col("window_end") - F.col("window_start") + 1).alias("window_length"), *counts, indels.cast("int").alias("window_indel"), F.col("pi").alias("window_pi"), F.col("gc_of_free" if of_set else "gc").alias("window_gc"))
 
 
-def extreme_table(aligns: DataFrame, sequences: DataFrame, config: Config = Config()) -> DataFrame:
+def segment_table(aligns: DataFrame, sequences: DataFrame | Store, config: Config = Config()) -> DataFrame:
+    """Consecutive slices of the comparable set, a short tail left out, with the gc of their sub-windows; positions are alignment columns."""
+    store = Store.of(sequences)
+    styles = F.explode(F.array(*[F.struct(F.lit(str(t)).alias("type"), F.lit(n).alias("size")) for t, n in config.segment_styles.items()]))
+    sized = store.sizes("free").join(aligns.select("align_id"), "align_id", "left_semi").select("align_id", F.col("size").alias("n"), styles.alias("x"))
+    cut = sized.select("align_id", "x.type", "x.size", F.floor(F.col("n") / F.col("x.size")).cast("int").alias("n")).where("n > 0")
+    cut = cut.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("first", F.col("i") * F.col("size") + 1).withColumns({"last": F.col("first") + F.col("size") - 1, "segment_id": F.xxhash64("align_id", "type", "first")})
+    spread = sub_window_spread(cut, "segment_id", "first", "size", store, config.stat_window_size, config.stat_window_step, ranks=True)
+    placed = store.column_of(cut, "free", window_start="first", window_end="last").select("segment_id", F.col("segment_id").alias("window_id"), "align_id", F.col("type").alias("segment_type"), "window_start", "window_end")
+    return placed.join(spread, "segment_id", "left").select(*placed.columns, *[F.col(c).alias(f"segment_gc_{c}") for c in ("mean", "std", "cv", "mdcw")])
+
+
+def wave_windows(store: Store, config: Config = Config()) -> DataFrame:
+    """align_id, k, rank_start, gc, last: sliding windows over the comparable set, k from 0 to ``last``."""
+    size, step = config.wave_window_size, config.wave_window_step
+    many = store.sizes("free").where(F.col("size") >= size).select("align_id", "size", F.floor((F.col("size") - size) / step).cast("int").alias("last"))
+    x = many.select("align_id", "size", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k"))
+    x = x.withColumns({"rank_start": F.col("k") * step + 1, "rank_end": F.col("k") * step + size, "wave_id": F.xxhash64("align_id", "k")})
+    placed = store.column_of(x, "free", a="rank_start", b="rank_end")
+    counted = store.sums(placed, "wave_id", "a", "b").select("wave_id", F.try_divide("gc_of_free", "bases_of_free").alias("gc"))
+    return x.join(counted, "wave_id").select("align_id", "k", "rank_start", "rank_end", "gc", "last", "size")
+
+
+def wave_flags(waves: DataFrame, around: int, fall: float, chunk: int = 10_000) -> DataFrame:
+    """Windows that are a trough (T) or crest (C), with ``flag``; flags take turns in each alignment.
+
+    A window is a trough (crest) if its gc is the least (most) within ``around`` windows on both sides, with a rise (fall) of ``fall`` or
+    more on both; of several in a row of one kind the most extreme stays, of equal ones the first. Windows of an alignment are
+    dealt into chunks, each with its neighbours' windows as far as it looks, so that no task sees a whole alignment; only
+    flagged windows are put in a row.
+    """
+    of = lambda k: F.floor(k / max(chunk, around)).cast("int")
+    dealt = waves.withColumn("_chunk", F.explode(F.array_distinct(F.array(of(F.col("k") - around), of(F.col("k")), of(F.col("k") + around)))))
+    w = Window.partitionBy("align_id", "_chunk").orderBy("k")
+    sides = {"b": w.rowsBetween(-around, -1), "a": w.rowsBetween(1, around)}
+    seen = dealt.withColumns({f"_{name}{s}": f("gc").over(side) for s, side in sides.items() for name, f in (("lo", F.min), ("hi", F.max))}).where(F.col("_chunk") == of(F.col("k")))
+    gc = F.col("gc")
+    inside = gc.isNotNull() & F.col("_lob").isNotNull() & F.col("_loa").isNotNull()
+    trough = inside & (gc <= F.least("_lob", "_loa")) & (F.col("_hib") - gc >= fall) & (F.col("_hia") - gc >= fall)
+    crest = inside & (gc >= F.greatest("_hib", "_hia")) & (gc - F.col("_lob") >= fall) & (gc - F.col("_loa") >= fall)
+    found = seen.withColumn("flag", F.when(trough, "T").when(crest, "C")).where("flag IS NOT NULL").select(*waves.columns, "flag")
+    along = Window.partitionBy("align_id").orderBy("k")
+    turn = found.withColumn("_turn", F.coalesce(F.col("flag") != F.lag("flag").over(along), F.lit(True)).cast("int")).withColumn("_turn", F.sum("_turn").over(along))
+    best = Window.partitionBy("align_id", "_turn").orderBy(F.when(F.col("flag") == "T", gc).otherwise(-gc), "k")
+    return turn.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_turn")
+
+
+def extreme_table(aligns: DataFrame, sequences: DataFrame | Store, config: Config = Config()) -> DataFrame:
     """Troughs and crests of the gc wave with wave lengths and amplitudes to the neighbours; positions are ranks in the comparable set.
 
     The first and last extreme of an alignment measure their outer amplitude to its first and last window, and
     their outer wave length from their middle to the ends of the comparable set.
     """
-    rows = comparable(aligns, sequences).select("align_id", "bases")
+    store = Store.of(sequences)
     half = config.wave_window_size // 2
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                wave = g.gc_wave(np.frombuffer(r.bases.encode(), np.uint8), config.wave_window_size, config.wave_window_step, config.vicinal_size, config.fall_range)
-                out += [(r.align_id, x["start"], x["end"], x["gc"], x["flag"], wave[0]["gc"], wave[-1]["gc"], len(r.bases)) for x in wave if x["flag"]]
-            yield pd.DataFrame(out, columns=["align_id", "rank_start", "rank_end", "gc", "extreme_type", "first_gc", "last_gc", "size"])
-
-    x = rows.mapInPandas(run, "align_id long, rank_start int, rank_end int, gc double, extreme_type string, first_gc double, last_gc double, size int")
+    waves = store.scratch.keep(wave_windows(store, config).join(aligns.select("align_id"), "align_id", "left_semi"), f"waves_{config.wave_window_size}_{config.wave_window_step}")
+    ends = waves.where("k = 0 OR k = last").groupBy("align_id").agg(F.max(F.when(F.col("k") == 0, F.col("gc"))).alias("first_gc"), F.max(F.when(F.col("k") == F.col("last"), F.col("gc"))).alias("last_gc"))
+    flagged = wave_flags(waves, max(1, config.vicinal_size // config.wave_window_step), config.fall_range)
+    x = flagged.join(ends, "align_id").withColumnRenamed("flag", "extreme_type")
     w = Window.partitionBy("align_id").orderBy("rank_start")
     x = x.withColumn("extreme_id", F.xxhash64("align_id", "rank_start"))
     middle = F.col("rank_start") + half - 1
@@ -193,12 +223,21 @@ def gsw_table(extremes: DataFrame, config: Config = Config()) -> DataFrame:
     return x.select(F.xxhash64("extreme_id", "k").alias("gsw_id"), "extreme_id", "prev_extreme_id", "align_id", kind.alias("gsw_type"), distance.alias("gsw_distance"), (F.col("density") - distance + 1).alias("gsw_distance_crest"), F.col("extreme_left_wave_length").alias("gsw_wave_length"), F.col("extreme_left_amplitude").alias("gsw_amplitude"), trough.alias("gsw_trough_gc"), crest.alias("gsw_crest_gc"), F.try_divide(F.col("extreme_left_amplitude"), F.col("extreme_left_wave_length") * F.lit(1e-5)).cast("int").alias("gsw_gradient"), start.alias("rank_start"), (start + size - 1).alias("rank_end"))
 
 
-def window_cv(windows: DataFrame, bases: DataFrame, start: str, end: str, config: Config = Config(), name: str = "cv") -> DataFrame:
-    """windows with the cv of a segment around their middle, moved inside the ends; ``bases`` has align_id and bases, in the same coordinates."""
-    n = config.stat_segment_size
-    w = windows.join(bases.select("align_id", "bases"), "align_id")
-    first = F.greatest(F.least(F.floor((F.col(start) + F.col(end)) / 2 - n / 2 + 1).cast("int"), F.length("bases") - n + 1), F.lit(1))
-    return w.withColumn(name, sub_window_stats(config.stat_window_size, config.stat_window_step)(F.substring("bases", first, F.lit(n)))["cv"]).drop("bases")
+def window_cv(windows: DataFrame, ident: str, sequences: DataFrame | Store, start: str, end: str, config: Config = Config(), name: str = "cv", ranks: bool = False) -> DataFrame:
+    """windows with the gc cv of a segment around their middle, moved inside the ends; start and end are columns, or ranks in the comparable set."""
+    store, n = Store.of(sequences), config.stat_segment_size
+    ends = store.sizes("free") if ranks else store.blocks.groupBy("align_id").agg(F.max(F.col("block") * store.size + F.length(F.get("rows", 0)) - 1).cast("int").alias("size"))
+    first = F.greatest(F.least(F.floor((F.col(start) + F.col(end)) / 2 - n / 2 + 1).cast("int"), F.col("size") - n + 1), F.lit(1))
+    spans = windows.join(ends, "align_id").select("align_id", ident, first.alias("first"), F.least(F.lit(n), "size").alias("length"))
+    spread = sub_window_spread(spans, ident, "first", "length", store, config.stat_window_size, config.stat_window_step, ranks)
+    return windows.join(spread.select(ident, F.col("cv").alias(name)), ident, "left")
+
+
+def intra_cv(windows: DataFrame, ident: str, sequences: DataFrame | Store, start: str, end: str, name: str = "intra_cv", size: int = 20, step: int = 20, ranks: bool = False) -> DataFrame:
+    """windows with the gc cv of the small sub-windows that they consist of."""
+    spans = windows.select("align_id", ident, F.col(start).alias("first"), (F.col(end) - F.col(start) + 1).alias("length"))
+    spread = sub_window_spread(spans, ident, "first", "length", Store.of(sequences), size, step, ranks)
+    return windows.join(spread.select(ident, F.col("cv").alias(name)), ident, "left")
 
 
 def chr_positions(sequences: DataFrame) -> DataFrame:
@@ -244,22 +283,25 @@ def portions_on_chr(table: DataFrame, ident: str, start: str, end: str, targets:
     return feature_portions(x, features, ident, "_start", "_end").select(ident, F.col("cds").alias(f"{prefix}_coding"), F.col("repeat").alias(f"{prefix}_repeats"))
 
 
-def indel_slippage(indels: DataFrame, sequences: DataFrame) -> DataFrame:
+def indel_slippage(indels: DataFrame, sequences: DataFrame | Store) -> DataFrame:
     """indel_id, indel_slippage; flanks are the target's, as far as no other indel is nearer."""
-    t = sequences.where("seq_role = 'T'").select("align_id", "seq_seq")
-    x = indels.where("indel_seq <> ''").join(t, "align_id")
     n = F.when(F.length("indel_seq") == 1, F.lit(4)).otherwise(F.length("indel_seq"))
-    left = F.when(F.col("left_extand") >= n, F.substring("seq_seq", F.col("indel_start") - n, n)).otherwise(" ")
-    right = F.when(F.col("right_extand") >= n, F.substring("seq_seq", F.col("indel_end") + 1, n)).otherwise(" ")
-    return x.select("indel_id", rp.slippage(F.col("indel_seq"), left, right).alias("indel_slippage"))
+    x = indels.where("indel_seq <> ''")
+    side = lambda name, there, a, b: F.when(there, F.struct(F.lit(name).alias("side"), a.alias("a"), b.alias("b")))
+    both = F.array(side("l", F.col("left_extand") >= n, F.col("indel_start") - n, F.col("indel_start") - 1), side("r", F.col("right_extand") >= n, F.col("indel_end") + 1, F.col("indel_end") + n))
+    flanks = x.select("align_id", "indel_id", F.explode(F.filter(both, lambda s: s.isNotNull())).alias("s")).select("align_id", "indel_id", "s.*")
+    found = Store.of(sequences).slices(flanks, ["indel_id", "side"], "a", "b", first_only=True).groupBy("indel_id").agg(*[F.max(F.when(F.col("side") == s, F.get("slices", 0))).alias(s) for s in "lr"])
+    blank = lambda c: F.coalesce(F.col(c), F.lit(" "))
+    return x.select("indel_id", "indel_seq").join(found, "indel_id", "left").select("indel_id", rp.slippage(F.col("indel_seq"), blank("l"), blank("r")).alias("indel_slippage"))
 
 
-def snp_cpg(snps: DataFrame, sequences: DataFrame) -> DataFrame:
+def snp_cpg(snps: DataFrame, sequences: DataFrame | Store) -> DataFrame:
     """snp_id, snp_cpg by the target's neighbours."""
-    t = sequences.where("seq_role = 'T'").select("align_id", "seq_seq")
-    x = snps.join(t, "align_id")
-    base = lambda d: F.when(F.col("snp_pos") + d >= 1, F.substring("seq_seq", F.col("snp_pos") + d, F.lit(1)))
-    return x.select("snp_id", rp.cpg(F.col("snp_mutant_to"), base(-1), base(1)).alias("snp_cpg"))
+    x = snps.select("align_id", "snp_id", F.greatest(F.col("snp_pos") - 1, F.lit(1)).alias("a"), (F.col("snp_pos") + 1).alias("b"))
+    found = Store.of(sequences).slices(x, ["snp_id"], "a", "b", first_only=True).select("snp_id", F.get("slices", 0).alias("s"))
+    y = snps.select("snp_id", "snp_pos", "snp_mutant_to").join(found, "snp_id")
+    at = F.when(F.col("snp_pos") > 1, 2).otherwise(1)
+    return y.select("snp_id", rp.cpg(F.col("snp_mutant_to"), F.when(F.col("snp_pos") > 1, F.left("s", F.lit(1))), F.substring("s", at + 1, F.lit(1))).alias("snp_cpg"))
 
 
 def isw_cpg(isw: DataFrame, snps: DataFrame) -> DataFrame:
@@ -268,29 +310,54 @@ def isw_cpg(isw: DataFrame, snps: DataFrame) -> DataFrame:
     return isw.select("isw_id", "isw_length").join(n, "isw_id", "left").select("isw_id", (F.coalesce("n", F.lit(0)) / F.col("isw_length")).alias("isw_cpg_pi"))
 
 
+def _pair_ld(x: DataFrame, keys: list[str], near: int, masks: dict[str, str]) -> DataFrame:
+    """keys, low, high, and r2_m, dprime_abs_m for each mask m (a column of the keys, or none) of pairs of SNPs at most ``near`` apart."""
+    pairs = joins.pairs_within(x, keys, "snp_pos", "snp_id", near)
+    out = [*keys, F.col("snp_pos_a").alias("low"), F.col("snp_pos_b").alias("high")]
+    for name, mask in masks.items():
+        r, dprime = rp.linkage_packed(F.col("bits_a"), F.col("bits_b"), F.col(f"{mask}_a") if mask else None)
+        out += [(r * r).alias(f"r2_{name}"), F.when(r.isNotNull(), F.abs(dprime)).alias(f"dprime_abs_{name}")]
+    return pairs.select(*out)
+
+
 def neighbour_ld(snps: DataFrame, near: int = 100) -> DataFrame:
-    """snp_id, near_snp_number, r2_s, dprime_abs_s: over all pairs of SNPs within ``near`` of a SNP (itself included).
+    """snp_id, near_snp_number, r2_s, dprime_abs_s: over all pairs of SNPs within ``near`` of a SNP (itself included), for those with a neighbour.
+
+    Each pair is compared once, as packed bits; ``joins.means_around`` gives every SNP its mean.
+    """
+    x = snps.select("align_id", "snp_id", "snp_pos", rp.pack_bits(F.col("snp_occured")).alias("bits"))
+    pairs = _pair_ld(x.where("bits IS NOT NULL"), ["align_id"], 2 * near, {"s": ""})
+    at = snps.select("align_id", "snp_id", "snp_pos")
+    means = joins.means_around(pairs, at, at, ["align_id"], "snp_id", "snp_pos", near, ["r2_s", "dprime_abs_s"])
+    return means.where("n > 1").withColumnRenamed("n", "near_snp_number")
+
+
+def group_ld(snps: DataFrame, isw: DataFrame, indels: DataFrame, near: int = 100) -> DataFrame:
+    """snp_id, r2_i, dprime_abs_i, r2_ni, dprime_abs_ni: the same means among the strains that have the indel nearest to the SNP's window, and
+    among the others, for SNPs with a neighbour and such an indel.
 
-    Pairs come from bins, so their number follows the density of SNPs and no alignment is gathered.
+    Pairs are compared once for each indel that SNPs near them have.
     """
-    x = snps.select("align_id", "snp_id", "snp_pos", "snp_occured")
-    around = joins.pairs_within(x, ["align_id"], "snp_pos", "snp_id", 2 * near)
-    r, dprime = rp.linkage(F.col("snp_occured_a"), F.col("snp_occured_b"))
-    linked = around.select("align_id", F.col("snp_pos_a").alias("pa"), F.col("snp_pos_b").alias("pb"), r.alias("r"), F.abs(dprime).alias("d")).where("r IS NOT NULL")
-    # a pair counts for each SNP within ``near`` of both of its ends; those lie in [pb - near, pa + near]
-    spans = linked.withColumn("low", F.col("pb") - near).withColumn("high", F.col("pa") + near)
-    counts = joins.binned_interval_join(x.select("align_id", "snp_id", "snp_pos"), spans, ["align_id"], "snp_pos", "low", "high", 2 * near)
-    means = counts.groupBy("snp_id").agg(F.avg(F.col("r") * F.col("r")).alias("r2_s"), F.avg("d").alias("dprime_abs_s"))
-    close = joins.pairs_within(x, ["align_id"], "snp_pos", "snp_id", near)
-    number = close.select(F.explode(F.array("snp_id_a", "snp_id_b")).alias("snp_id")).groupBy("snp_id").agg((F.count("*") + 1).alias("near_snp_number"))
-    return x.select("snp_id").join(number, "snp_id").join(means, "snp_id", "left")
+    bits = snps.select("align_id", "snp_id", "snp_pos", rp.pack_bits(F.col("snp_occured")).alias("bits"))
+    own = snps.select("snp_id", "snp_pos", "align_id", "isw_id").join(isw.select("isw_id", F.col("isw_indel_id").alias("indel_id")), "isw_id").select("align_id", "snp_id", "snp_pos", "indel_id")
+    close = joins.pairs_within(snps.select("align_id", "snp_id", "snp_pos"), ["align_id"], "snp_pos", "snp_id", near)
+    met = own.select("snp_id", "indel_id").unionByName(own.select(F.col("snp_id").alias("snp_id_a"), "indel_id").join(close, "snp_id_a").select(F.col("snp_id_b").alias("snp_id"), "indel_id"))
+    met = met.unionByName(own.select(F.col("snp_id").alias("snp_id_b"), "indel_id").join(close, "snp_id_b").select(F.col("snp_id_a").alias("snp_id"), "indel_id")).distinct()
+    mask = rp.pack_bits(F.col("indel_occured"))
+    masks = indels.select("indel_id", mask.alias("one")).where("one IS NOT NULL").select("indel_id", "one", rp.complement_bits(F.col("one")).alias("zero"))
+    x = met.join(bits, "snp_id").join(masks, "indel_id")
+    pairs = _pair_ld(x.where("bits IS NOT NULL"), ["align_id", "indel_id"], 2 * near, {"i": "one", "ni": "zero"})
+    asking = own.join(masks.select("indel_id"), "indel_id", "left_semi")
+    means = joins.means_around(pairs, x.select("align_id", "indel_id", "snp_pos"), asking, ["align_id", "indel_id"], "snp_id", "snp_pos", near, ["r2_i", "dprime_abs_i", "r2_ni", "dprime_abs_ni"])
+    return means.where("n > 1").drop("n")
 
 
 def window_ld(windows: DataFrame, snps: DataFrame, ident: str, start: str, end: str, width: int = 1000) -> DataFrame:
     """ident, r2_s, dprime_abs_s: means over the pairs of SNPs within each window (of bounded length, such as segments of 500)."""
-    inside = joins.binned_interval_join(snps.select("align_id", "snp_id", "snp_pos", "snp_occured"), windows.select("align_id", ident, start, end), ["align_id"], "snp_pos", start, end, width)
-    a, b = (inside.select(ident, F.col("snp_pos").alias(f"p{i}"), F.col("snp_occured").alias(f"o{i}")) for i in "ab")
-    r, dprime = rp.linkage(F.col("oa"), F.col("ob"))
+    x = snps.select("align_id", "snp_id", "snp_pos", rp.pack_bits(F.col("snp_occured")).alias("bits")).where("bits IS NOT NULL")
+    inside = joins.binned_interval_join(x, windows.select("align_id", ident, start, end), ["align_id"], "snp_pos", start, end, width)
+    a, b = (inside.select(ident, F.col("snp_pos").alias(f"p{i}"), F.col("bits").alias(f"o{i}")) for i in "ab")
+    r, dprime = rp.linkage_packed(F.col("oa"), F.col("ob"))
     return a.join(b, ident).where("pa < pb").select(ident, r.alias("r"), F.abs(dprime).alias("d")).where("r IS NOT NULL").groupBy(ident).agg(F.avg(F.col("r") * F.col("r")).alias("r2_s"), F.avg("d").alias("dprime_abs_s"))
 
 
@@ -307,7 +374,7 @@ def group_bits(snp: Column, indel: Column, bit: str) -> Column:
     return F.array_join(F.zip_with(F.split(snp, cut), F.split(indel, cut), lambda s, i: F.when(i == bit, s).otherwise("")), "")
 
 
-def snp_codons(snps: DataFrame, exons: DataFrame, sequences: DataFrame, width: int = 10_000) -> DataFrame:
+def snp_codons(snps: DataFrame, exons: DataFrame, sequences: DataFrame | Store, width: int = 10_000) -> DataFrame:
     """snp_id, exon_id, snp_codon_pos, snp_codons, snp_syn, snp_nsy, snp_stop.
 
     ``exons`` has align_id, exon_id, exon_start, exon_end (alignment columns), exon_strand and exon_frame (bases before the first
@@ -319,9 +386,10 @@ def snp_codons(snps: DataFrame, exons: DataFrame, sequences: DataFrame, width: i
     x = placed.withColumn("o", offset).where("o >= 0").withColumn("at", (F.col("o") % 3).cast("int"))
     first = F.when(minus, F.col("snp_pos") + F.col("at") - 2).otherwise(F.col("snp_pos") - F.col("at"))
     inside = (first >= F.col("exon_start")) & (first + 2 <= F.col("exon_end"))
-    x = x.withColumn("first", first).where(inside).join(ingroup(sequences), "align_id")
-    codon = lambda s: F.when(minus, F.reverse(F.translate(F.substring(s, F.col("first"), F.lit(3)), "ACGT", "TGCA"))).otherwise(F.substring(s, F.col("first"), F.lit(3)))
-    x = x.select("snp_id", "exon_id", "at", F.transform("seqs", codon).alias("codons"))
+    x = x.withColumn("first", first).where(inside).withColumn("last", F.col("first") + 2)
+    slices = Store.of(sequences).slices(x, ["snp_id"], "first", "last")
+    codon = lambda s: F.when(minus, F.reverse(F.translate(s, "ACGT", "TGCA"))).otherwise(s)
+    x = x.join(slices, "snp_id").select("snp_id", "exon_id", "at", F.transform("slices", codon).alias("codons"))
 
     @F.pandas_udf("syn double, nsy double, stop double")
     def rates(codons: pd.Series, at: pd.Series) -> pd.DataFrame:

@@ -63,6 +63,30 @@ def pairs_within(df: DataFrame, on: Sequence[str], position: str, ident: str, ne
     return a.join(b, [*keys, "_meet"]).where(before & (F.col(f"{position}_b") - F.col(f"{position}_a") <= near)).drop("_meet")
 
 
+def means_around(pairs: DataFrame, points: DataFrame, asking: DataFrame, on: Sequence[str], ident: str, position: str, near: int, measures: Sequence[str]) -> DataFrame:
+    """ident, n (points within ``near``), and the mean of each measure over pairs that have both ends within ``near`` of an asking row.
+
+    ``pairs`` has the keys, ``low`` and ``high`` positions and the measures, null where a pair has none; ``points`` and ``asking`` the keys and
+    a position. A pair counts from near below its higher end to near above its lower one: it is added at the one point and
+    taken off at the other, and a running sum along the positions gives every asking row its sums. Rows are
+    in proportion to pairs, however many rows ask. Keys are cut into bins of twice ``near``, each with its own sum.
+    """
+    keys, width = list(on), 2 * near
+    zero = F.lit(0.0)
+    values = [(f"_v_{m}", f"_c_{m}") for m in measures]
+    spans = pairs.select(*keys, (F.col("high") - near).alias("_from"), (F.col("low") + near).alias("_to"), *[x for m, (v, c) in zip(measures, values) for x in (F.coalesce(F.col(m).cast("double"), zero).alias(v), F.col(m).isNotNull().cast("long").alias(c))], F.lit(0).cast("long").alias("_n"))
+    none = [x for v, c in values for x in (zero.alias(v), F.lit(0).cast("long").alias(c))]
+    spans = spans.where("_from <= _to").unionByName(points.select(*keys, (F.col(position) - near).alias("_from"), (F.col(position) + near).alias("_to"), *none, F.lit(1).cast("long").alias("_n")))
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))))
+    sums = [x for pair in values for x in pair] + ["_n"]
+    begin = spans.select(*keys, "_bin", F.greatest("_from", F.col("_bin") * width).cast("long").alias("_at"), F.lit(0).alias("_kind"), *sums)
+    end = spans.where(F.floor(F.col("_to") / width) == F.col("_bin")).select(*keys, "_bin", F.col("_to").cast("long").alias("_at"), F.lit(2).alias("_kind"), *[(-F.col(c)).alias(c) for c in sums])
+    ask = asking.select(*keys, F.floor(F.col(position) / width).alias("_bin"), F.col(position).cast("long").alias("_at"), F.lit(1).alias("_kind"), *none, F.lit(0).cast("long").alias("_n"), ident)
+    along = Window.partitionBy(*keys, "_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = begin.unionByName(end).unionByName(ask, allowMissingColumns=True).select("_kind", ident, *[F.sum(c).over(along).alias(c) for c in sums]).where("_kind = 1")
+    return swept.select(ident, F.col("_n").alias("n"), *[F.when(F.col(c) > 0, F.col(v) / F.col(c)).alias(m) for m, (v, c) in zip(measures, values)])
+
+
 def nearest(points: DataFrame, others: DataFrame, on: Sequence[str], point: str, other: str, other_id: str) -> DataFrame:
     """points with the id and distance of the nearest other row of the same keys, ties to the smaller id; null if there is none.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,25 @@ def sorted_pieces(df: DataFrame, order: Sequence[Column], weight: Column, piece:
     return placed.groupBy("piece").agg(*agg.mean_and_spread(columns), F.count("*").alias("count"))
 
 
+def level_pieces(df: DataFrame, levels: Sequence[str], order: Sequence[Column], length: str, piece: float, measures: dict[str, Column]) -> DataFrame:
+    """Rows of each level in order, cut greedily into pieces of ``piece`` length: levels, piece, the means of ``measures``, count, sum_length."""
+    placed = bk.greedy_pieces(df, order, F.col(length), piece, [F.col(c) for c in levels])
+    return placed.groupBy(*levels, "piece").agg(*[F.avg(v).alias(f"avg_{k}") for k, v in measures.items()], F.count("*").alias("count"), F.sum(length).alias("sum_length"))
+
+
+def level_fits(pieces: DataFrame, levels: Sequence[str], x: str, ys: Sequence[str]) -> DataFrame:
+    """levels, y, n, r2, intercept, slope, p: the line of each measure on x over a level's pieces, all in one pass; p of its F test."""
+    each = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.col(y).cast("double").alias("v")) for y in ys])).alias("e")
+    stacked = pieces.select(*levels, F.col(x).alias("x"), each).select(*levels, "x", "e.*").where("x IS NOT NULL AND v IS NOT NULL")
+    fits = stacked.groupBy(*levels, "y").agg(F.count("*").alias("n"), *agg.line_fit(F.col("v"), F.col("x")))
+
+    @F.pandas_udf("double")
+    def p_value(r2: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([agg.line_p_value(None if pd.isna(a) else a, int(b)) for a, b in zip(r2, n)], dtype="float64")
+
+    return fits.withColumn("p", p_value("r2", "n"))
+
+
 def quantile_metrics(df: DataFrame, value: str, by: Sequence[str], columns: Sequence[str], parts: int = 4, digits: int | None = None) -> DataFrame:
     """Metrics by quantile level (a row on a cut counts in both) and further columns."""
     return banded_metrics(df, F.col(value), bk.quantile_levels(df, F.col(value), parts, digits), by, columns)
@@ -93,17 +113,51 @@ def bit_counts(df: DataFrame, bits: str, by: Sequence[str] = ()) -> DataFrame:
     return at.groupBy(*by, (F.col("position") + 1).alias("position")).agg(F.sum((F.col("bit") == "1").cast("long")).alias("count"))
 
 
+def _linkage(n: Column, a: Column, b: Column, ab: Column) -> tuple[Column, Column]:
+    """(r, D') from counts: of strains, of those with the first, the second, and both; null where either is monomorphic."""
+    pa, pb = F.try_divide(a, n), F.try_divide(b, n)
+    d = F.try_divide(ab, n) - pa * pb
+    top = F.when(d >= 0, F.least(pa * (1 - pb), (1 - pa) * pb)).otherwise(F.least(pa * pb, (1 - pa) * (1 - pb)))
+    poly = (pa > 0) & (pa < 1) & (pb > 0) & (pb < 1)
+    return F.when(poly, d / F.sqrt(pa * (1 - pa) * pb * (1 - pb))), F.when(poly, F.try_divide(d, top))
+
+
 def linkage(x: Column, y: Column) -> tuple[Column, Column]:
     """(r, D') of two bit strings of the same length; null where either is monomorphic or unknown."""
     ok = x.rlike("^[01]+$") & y.rlike("^[01]+$") & (F.length(x) == F.length(y))
     n = F.length(x).cast("double")
     ones = lambda c: F.length(F.regexp_replace(c, "0", ""))
     both = F.length(F.regexp_replace(F.array_join(F.zip_with(F.split(x, "(?<=.)(?=.)"), F.split(y, "(?<=.)(?=.)"), lambda a, b: F.when((a == "1") & (b == "1"), "1").otherwise("0")), ""), "0", ""))
-    pa, pb, pab = ones(x) / n, ones(y) / n, both / n
-    d = pab - pa * pb
-    top = F.when(d >= 0, F.least(pa * (1 - pb), (1 - pa) * pb)).otherwise(F.least(pa * pb, (1 - pa) * (1 - pb)))
-    poly = ok & (pa > 0) & (pa < 1) & (pb > 0) & (pb < 1)
-    return F.when(poly, d / F.sqrt(pa * (1 - pa) * pb * (1 - pb))), F.when(poly, F.try_divide(d, top))
+    return tuple(F.when(ok, v) for v in _linkage(n, ones(x), ones(y), both))
+
+
+#: Bits of a packed word.
+WORD = 62
+
+
+def pack_bits(bits: Column) -> Column:
+    """A string of 0 and 1 as (n, words), words being longs of WORD bits; null for other strings."""
+    words = F.transform(F.sequence(F.lit(0), F.ceil(F.length(bits) / WORD).cast("int") - 1), lambda i: F.conv(F.substring(bits, i * WORD + 1, F.lit(WORD)), 2, 10).cast("long"))
+    return F.when(bits.rlike("^[01]+$"), F.struct(F.length(bits).alias("n"), words.alias("words")))
+
+
+def complement_bits(packed: Column) -> Column:
+    """The packed bits of the strains that are not in the first."""
+    width = lambda i: F.least(packed["n"] - i * WORD, F.lit(WORD)).cast("int")
+    words = F.transform(packed["words"], lambda w, i: F.call_function("shiftleft", F.lit(1).cast("long"), width(i)) - 1 - w)
+    return F.when(packed.isNotNull(), F.struct(packed["n"].alias("n"), words.alias("words")))
+
+
+def linkage_packed(x: Column, y: Column, mask: Column | None = None) -> tuple[Column, Column]:
+    """``linkage`` of packed bits, among the strains of a mask (packed bits too) if there is one: ANDs and bit counts of words."""
+    both = lambda a, b: F.zip_with(a, b, lambda u, v: u.bitwiseAND(v))
+    ones = lambda w: F.aggregate(w, F.lit(0), lambda t, v: t + F.bit_count(v))
+    ok = x["n"] == y["n"]
+    a, b, n = x["words"], y["words"], x["n"]
+    if mask is not None:
+        ok &= x["n"] == mask["n"]
+        a, b, n = both(a, mask["words"]), both(b, mask["words"]), ones(mask["words"])
+    return tuple(F.when(ok, v) for v in _linkage(n.cast("double"), ones(a), ones(b), ones(both(a, b))))
 
 
 def letter_runs(sequence: Column, k: int) -> Column:

@@ -216,10 +216,11 @@ def indel_position_group(t, config):
 
 @sheet("common", align="align_indels align_differences align_comparables")
 def snp_indel_ratio(t, config):
-    """Quartiles of alignments by pi, with their ratio of substitutions to indels."""
-    a = t["align"].where("align_pi IS NOT NULL")
-    placed = bk.by_bands(a, F.col("align_pi"), bk.quantile_levels(a, F.col("align_pi")))
-    return placed.groupBy("band").agg(F.avg("align_pi").alias("avg_pi"), F.count("*").alias("count"), F.try_divide(F.sum("align_differences"), F.sum("align_indels")).alias("snp_indel_ratio"))
+    """Alignments with indels by pi, the most diverse first, cut into pieces of ``piece`` length: substitutions to indels, and both a kb."""
+    a = t["align"].where("align_indels > 0")
+    rate = lambda c, by, scale: F.try_divide(F.col(c) * scale, by)
+    measures = {"pi": F.col("align_pi"), "snp_indel": rate("align_differences", "align_indels", 1), "align_length": F.col("align_length"), "snp_kb": rate("align_differences", "align_length", 1000), "indel_kb": rate("align_indels", "align_length", 1000)}
+    return rp.level_pieces(a, [], [F.desc_nulls_last("align_pi"), F.col("align_id")], "align_length", config.piece, measures)
 
 
 @sheet("common", indel="indel_length")
@@ -403,6 +404,53 @@ for _name, _key, _step in (("distance_to_trough", "gsw_distance", None), ("dista
     _wave(_name, _key, _step)
 
 
+# --- segments, by type: ranked by one of their measures, cut into pieces, with a line for each type
+
+
+def _segments(t: Tables) -> DataFrame:
+    return t["segment"].drop("align_id", "window_start", "window_end").join(t["window"], "window_id")
+
+
+def segment_pieces(rows: DataFrame, metric: str, piece: float, more: Sequence[str] = ()) -> DataFrame:
+    """Segments of each type ranked by a measure, the highest first, cut into pieces."""
+    of = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
+    measures = {"gc": of("window_gc"), "pi": of("window_pi"), "indel_100bp": of("window_indel") / of("window_length") * 100, "cv": of("segment_gc_cv"), "std": of("segment_gc_std"), "mdcw": of("segment_gc_mdcw"), "coding": of("window_coding"), "r2": of("segment_r2_s"), "length": of("window_length")}
+    order = [F.desc_nulls_last(metric), F.asc_nulls_first("window_pi"), F.asc_nulls_first("window_indel"), F.asc("window_id")]
+    return rp.level_pieces(rows, ["segment_type", *more], order, "window_length", piece, measures)
+
+
+def _segment_sheets(name: str, metric: str, x: str) -> None:
+    def pieces(t, config):
+        """Pieces of segments, for each type."""
+        return segment_pieces(_segments(t), metric, config.segment_piece)
+
+    def fits(t, config):
+        """Lines of diversity, indels and linkage on the measure, for each type of segment."""
+        return rp.level_fits(pieces(t, config), ["segment_type"], x, ["avg_pi", "avg_indel_100bp", "avg_r2"])
+
+    table, column = ("window", metric) if metric.startswith("window") else ("segment", metric)
+    needs = {"segment": ["segment_type"], "window": ["window_pi"]} | {table: [column, *(["window_pi"] if table == "window" else ["segment_type"])]}
+    SHEETS[f"segment_{name}_indel"] = Sheet("gc", needs, pieces)
+    SHEETS[f"segment_{name}_lm"] = Sheet("gc", needs, fits)
+
+
+for _name, _metric, _x in (("gc", "window_gc", "avg_gc"), ("std", "segment_gc_std", "avg_std"), ("cv", "segment_gc_cv", "avg_cv"), ("mdcw", "segment_gc_mdcw", "avg_mdcw"), ("coding", "window_coding", "avg_coding")):
+    _segment_sheets(_name, _metric, _x)
+
+
+def _segment_features(name: str, metric: str) -> None:
+    def pieces(t, config):
+        """Short segments wholly in or outside coding regions and repeats, but for those in both."""
+        rows = _segments(t).where("segment_type = '3' AND (window_coding, window_repeats) IN ((1, 0), (0, 1), (0, 0))")
+        return segment_pieces(rows, metric, config.segment_piece, ["window_coding", "window_repeats"])
+
+    SHEETS[f"segment_{name}_indel_cr"] = Sheet("gc", {"segment": ["segment_type"], "window": ["window_pi", "window_coding", "window_repeats"]}, pieces)
+
+
+for _name, _metric in (("gc", "window_gc"), ("cv", "segment_gc_cv")):
+    _segment_features(_name, _metric)
+
+
 # --- variants
 
 

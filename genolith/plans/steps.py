@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from genolith.config import Config
 from genolith.operators import enrich, ingest
+from genolith.operators.sequences import Store
 from genolith.plans.sheets import sheets
 from genolith.sources import readers, sinks
 
@@ -44,6 +45,7 @@ class Run:
         self.spark, self.root, self.config, self.outgroup = spark, root, config, outgroup
         self.annotation, self.genes, self.exons = annotation, genes, exons
         self.tables: dict[str, DataFrame] = {}
+        self.store: Store | None = None
         self.version, self.logged = 0, False
 
     def put(self, name: str, df: DataFrame, *order: str) -> None:
@@ -58,21 +60,27 @@ class Run:
         b = self.tables["blocks"]
         self.put("align", ingest.align_table(b, self.outgroup), "align_id")
         self.put("sequence", ingest.sequence_table(b, self.outgroup), "align_id", "seq_position")
+        self.store = Store(self.tables["sequence"])
         self.put("indel", ingest.indel_table(b), "align_id", "indel_start")
         self.put("snp", ingest.snp_table(b), "align_id", "snp_pos")
 
     def windows(self) -> None:
         t = self.tables
-        self.put("isw", enrich.isw_table(t["indel"], t["sequence"]), "align_id", "isw_start")
+        self.put("isw", enrich.isw_table(t["indel"], self.store), "align_id", "isw_start")
         self.put("snp", enrich.snp_windows(t["snp"], t["isw"]), "align_id", "snp_pos")
         if self.outgroup:
             self.put("isw", sinks.updated(t["isw"], enrich.d_values(t["isw"], t["indel"], t["snp"]), "isw_id"), "align_id", "isw_start")
 
     def gc(self) -> None:
         t = self.tables
-        self.put("segment", enrich.segment_table(t["align"], t["sequence"], self.config), "align_id")
-        self.put("extreme", enrich.extreme_table(t["align"], t["sequence"], self.config), "align_id")
+        self.put("segment", enrich.segment_table(t["align"], self.store, self.config), "align_id")
+        self.put("extreme", enrich.extreme_table(t["align"], self.store, self.config), "align_id")
         self.put("gsw", enrich.gsw_table(t["extreme"], self.config), "align_id")
+        # windows of all three, as the comparable columns between their ends
+        rows = t["segment"].selectExpr("align_id", "segment_id AS window_id", "window_start", "window_end")
+        for name in ("extreme", "gsw"):
+            rows = rows.unionByName(self.store.column_of(t[name].selectExpr("align_id", f"{name}_id AS window_id", "rank_start", "rank_end"), "free", window_start="rank_start", window_end="rank_end").select(*rows.columns))
+        self.put("window", enrich.window_table(rows, "window_id", self.store), "align_id", "window_start")
 
     def targets(self) -> DataFrame:
         return enrich.chr_positions(self.tables["sequence"])
@@ -87,28 +95,34 @@ class Run:
             self.put("exon", placed, "align_id", "exon_start")
 
     def cv(self) -> None:
-        """cv around windows, in ranks of the target's bases; around waves in ranks of the comparable set."""
+        """cv around windows, in columns; around waves, and within them, in ranks of the comparable set."""
         t = self.tables
-        target = t["sequence"].where("seq_role = 'T'").select("align_id", F.col("seq_seq").alias("bases"))
-        self.put("isw", enrich.window_cv(t["isw"].drop("isw_cv"), target, "isw_start", "isw_end", self.config, "isw_cv"), "align_id", "isw_start")
+        self.put("isw", enrich.window_cv(t["isw"].drop("isw_cv"), "isw_id", self.store, "isw_start", "isw_end", self.config, "isw_cv"), "align_id", "isw_start")
         if "gsw" in t:
-            bases = enrich.comparable(t["align"], t["sequence"]).select("align_id", "bases")
-            self.put("gsw", enrich.window_cv(t["gsw"].drop("gsw_cv"), bases, "rank_start", "rank_end", self.config, "gsw_cv"), "align_id")
+            around = enrich.window_cv(t["gsw"].drop("gsw_cv", "gsw_intra_cv"), "gsw_id", self.store, "rank_start", "rank_end", self.config, "gsw_cv", ranks=True)
+            self.put("gsw", enrich.intra_cv(around, "gsw_id", self.store, "rank_start", "rank_end", "gsw_intra_cv", ranks=True), "align_id")
 
     def annotate(self) -> None:
         """Portions in coding regions and repeats of alignments, indels, SNPs and windows."""
         features, targets = readers.annotation(self.spark, self.annotation), self.targets()
-        for name, start, end in (("align", "_first", "align_length"), ("indel", "indel_start", "indel_end"), ("snp", "snp_pos", "snp_pos"), ("isw", "isw_start", "isw_end")):
+        for name, start, end in (("align", "_first", "align_length"), ("indel", "indel_start", "indel_end"), ("snp", "snp_pos", "snp_pos"), ("isw", "isw_start", "isw_end"), ("window", "window_start", "window_end")):
+            if name not in self.tables:
+                continue
             table = self.tables[name]
             portions = enrich.portions_on_chr(table.withColumn("_first", F.lit(1)), f"{name}_id", start, end, targets, features, name)
             self.put(name, sinks.updated(table, portions, f"{name}_id"), "align_id", *([start] if name != "align" else []))
 
     def substitutions(self) -> None:
-        """CpG sites, and linkage of SNPs with the indel nearest to their window."""
+        """CpG sites, and linkage: of SNPs near each other, also among strains with or without the indel nearest to their window, with that indel, and in segments."""
         t = self.tables
-        snp = sinks.updated(t["snp"], enrich.snp_cpg(t["snp"], t["sequence"]), "snp_id")
+        snp = sinks.updated(t["snp"], enrich.snp_cpg(t["snp"], self.store), "snp_id")
+        for means in (enrich.neighbour_ld(t["snp"], self.config.near), enrich.group_ld(t["snp"], t["isw"], t["indel"], self.config.near)):
+            snp = sinks.updated(snp, means.withColumnsRenamed({c: f"snp_{c}" for c in means.columns if c[:2] in ("r2", "dp")}), "snp_id")
         if self.outgroup:
             snp = sinks.updated(snp, enrich.indel_snp_ld(t["snp"], t["isw"], t["indel"]), "snp_id")
+        if "segment" in t:
+            linked = enrich.window_ld(t["segment"].where("window_end - window_start < 1000"), t["snp"], "segment_id", "window_start", "window_end")
+            self.put("segment", sinks.updated(t["segment"], linked.withColumnsRenamed({c: f"segment_{c}" for c in ("r2_s", "dprime_abs_s")}), "segment_id"), "align_id")
         self.put("snp", snp, "align_id", "snp_pos")
         self.put("isw", sinks.updated(t["isw"], enrich.isw_cpg(t["isw"], t["snp"]), "isw_id"), "align_id", "isw_start")
 
@@ -116,13 +130,13 @@ class Run:
         """Synonymous and other changes of SNPs in exons, and their rates by window."""
         t = self.tables
         exons = t["exon"].select("align_id", "exon_id", "exon_start", "exon_end", "exon_strand", "exon_frame")
-        self.put("snp", sinks.updated(t["snp"], enrich.snp_codons(t["snp"], exons, t["sequence"]), "snp_id"), "align_id", "snp_pos")
+        self.put("snp", sinks.updated(t["snp"], enrich.snp_codons(t["snp"], exons, self.store), "snp_id"), "align_id", "snp_pos")
         rates = enrich.summed_rates(t["snp"], "isw_id", t["isw"], "isw_length").withColumnsRenamed({c: f"isw_{c}" for c in ("syn", "nsy", "stop")})
         self.put("isw", sinks.updated(t["isw"], rates, "isw_id"), "align_id", "isw_start")
 
     def slippage(self) -> None:
         t = self.tables
-        self.put("indel", sinks.updated(t["indel"], enrich.indel_slippage(t["indel"], t["sequence"]), "indel_id"), "align_id", "indel_start")
+        self.put("indel", sinks.updated(t["indel"], enrich.indel_slippage(t["indel"], self.store), "indel_id"), "align_id", "indel_start")
 
     def report(self, number: int) -> dict[str, DataFrame]:
         """The sheets of one report that the tables allow, below ``report/`` and its name."""
