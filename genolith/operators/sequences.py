@@ -67,7 +67,7 @@ class Store:
 
     def __init__(self, sequences: DataFrame, scratch: Scratch | None = None, size: int = SIZE):
         self.size, self.scratch = size, scratch or Scratch(sequences.sparkSession, "sequences")
-        self.blocks = self.scratch.keep(column_blocks(sequences, size), "blocks")
+        self.blocks = self.scratch.keep(column_blocks(sequences, size), "column_blocks")
         self._members: dict[str, DataFrame] = {}
         self._places: dict[str, DataFrame] = {}
 

@@ -198,7 +198,7 @@ def alignment_window_table(spark, d):
 
 @query(f"""WITH RECURSIVE {COLUMNS}, {_SEGMENTS},
 o AS (SELECT align_id, a, gc / free AS gc, unlike / {len(_PAIRS)} / comp AS pi, indels, b - a + 1 AS n, sum(b - a + 1) OVER (ORDER BY gc / free DESC, unlike / {len(_PAIRS)} / comp, indels, align_id, a ROWS UNBOUNDED PRECEDING) AS run FROM v JOIN k USING (align_id, a, b)), {greedy_sql("o", 20_000)}
-SELECT piece + 1 AS piece, round(avg(gc), 6) AS avg_gc, count(*) AS count FROM o JOIN cuts ON run - n >= at AND run - n < until GROUP BY piece""")
+SELECT piece + 1 AS piece, round(avg(gc), 6) AS avg_gc, count(*) AS count FROM o JOIN cuts ON run - n >= begun AND run - n < until GROUP BY piece""")
 def alignment_segment_pieces(spark, d):
     """Equal rows are told apart by their places, which is why the order is written out here."""
     t = Tables(spark, d, "alignment_segment_pieces")

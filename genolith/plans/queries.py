@@ -158,35 +158,35 @@ def snp_indel_ratio(spark, d):
 def greedy_sql(rows: str, piece: float, by: str | None = None) -> str:
     """cut: the running weights at which pieces end, from ``rows`` (run, n and a group)."""
     g = by or "0"
-    return f"""cut AS (SELECT g, 0 AS piece, 0::HUGEINT AS at FROM (SELECT DISTINCT {g} AS g FROM {rows}) UNION ALL SELECT c.g, c.piece + 1, min(o.run)::HUGEINT FROM cut c JOIN {rows} o ON {("o." + by) if by else g} = c.g AND o.run >= c.at + {piece} GROUP BY c.g, c.piece),
-cuts AS (SELECT g, piece, at, coalesce(lead(at) OVER (PARTITION BY g ORDER BY piece), 9223372036854775807) AS until FROM cut)"""
+    return f"""cut AS (SELECT g, 0 AS piece, 0::HUGEINT AS begun FROM (SELECT DISTINCT {g} AS g FROM {rows}) UNION ALL SELECT c.g, c.piece + 1, min(o.run)::HUGEINT FROM cut c JOIN {rows} o ON {("o." + by) if by else g} = c.g AND o.run >= c.begun + {piece} GROUP BY c.g, c.piece),
+cuts AS (SELECT g, piece, begun, coalesce(lead(begun) OVER (PARTITION BY g ORDER BY piece), 9223372036854775807) AS until FROM cut)"""
 
 
 @query(f"""WITH RECURSIVE n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT o_totalprice AS price, n, k, sum(n) OVER (ORDER BY o_totalprice DESC, k ROWS UNBOUNDED PRECEDING) AS run FROM orders JOIN n ON k = o_orderkey), {greedy_sql("o", 333)}
-SELECT piece + 1 AS piece, round(avg(price), 6) AS avg_price, round(avg(n), 6) AS avg_n, count(*) AS count, CAST(sum(n) AS BIGINT) AS sum_length FROM o JOIN cuts ON run - n >= at AND run - n < until GROUP BY piece""")
+SELECT piece + 1 AS piece, round(avg(sqrt(price)), 6) AS avg_root, round(avg(n), 6) AS avg_n, count(*) AS count, CAST(sum(n) AS BIGINT) AS sum_length FROM o JOIN cuts ON run - n >= begun AND run - n < until GROUP BY piece""")
 def greedy_pieces(spark, d):
     counted = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
     rows = table(spark, d, "orders").selectExpr("o_orderkey AS k", "o_totalprice AS price").join(counted, "k")
-    return rp.level_pieces(rows, [], [F.desc("price"), F.col("k")], "n", 333, {"price": F.col("price"), "n": F.col("n")})
+    return rp.level_pieces(rows, [], [F.desc("price"), F.col("k")], "n", 333, {"root": F.sqrt("price"), "n": F.col("n")})
 
 
-_PARTS = f"""o AS (SELECT p_mfgr AS level, p_partkey AS k, p_retailprice AS price, p_size AS n, sum(p_size) OVER (PARTITION BY p_mfgr ORDER BY p_retailprice DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS run FROM part), {greedy_sql("o", 500, "level")},
-s AS (SELECT level, piece + 1 AS piece, avg(price) AS avg_price, avg(n) AS avg_size, count(*) AS count, CAST(sum(n) AS BIGINT) AS sum_length FROM o JOIN cuts ON g = level AND run - n >= at AND run - n < until GROUP BY level, piece)"""
+_PARTS = f"""o AS (SELECT p_brand AS level, p_partkey AS k, p_retailprice AS price, p_size AS n, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS run FROM part), {greedy_sql("o", 500, "level")},
+s AS (SELECT level, piece + 1 AS piece, avg(sqrt(price)) AS avg_root, avg(n) AS avg_size, count(*) AS count, CAST(sum(n) AS BIGINT) AS sum_length FROM o JOIN cuts ON g = level AND run - n >= begun AND run - n < until GROUP BY level, piece)"""
 
 
 def _part_pieces(spark, d) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr("p_mfgr AS level", "p_partkey AS k", "p_retailprice AS price", "p_size AS n")
-    return rp.level_pieces(rows, ["level"], [F.desc("price"), F.col("k")], "n", 500, {"price": F.col("price"), "size": F.col("n")})
+    rows = table(spark, d, "part").selectExpr("p_brand AS level", "p_partkey AS k", "p_retailprice AS price", "p_size AS n")
+    return rp.level_pieces(rows, ["level"], [F.desc("price"), F.col("k")], "n", 500, {"root": F.sqrt("price"), "size": F.col("n")})
 
 
-@query(f"WITH RECURSIVE {_PARTS} SELECT level, piece, round(avg_price, 6) AS avg_price, round(avg_size, 6) AS avg_size, count, sum_length FROM s")
+@query(f"WITH RECURSIVE {_PARTS} SELECT level, piece, round(avg_root, 6) AS avg_root, round(avg_size, 6) AS avg_size, count, sum_length FROM s")
 def segment_sorted_pieces(spark, d):
     return _part_pieces(spark, d)
 
 
-@query(f"WITH RECURSIVE {_PARTS} SELECT level, 'avg_size' AS y, count(*) AS n, round(regr_r2(avg_size, avg_price), 6) AS r2, round(regr_intercept(avg_size, avg_price), 4) AS intercept, round(regr_slope(avg_size, avg_price), 6) AS slope FROM s GROUP BY level")
+@query(f"WITH RECURSIVE {_PARTS} SELECT level, 'avg_size' AS y, count(*) AS n, round(regr_r2(avg_size, avg_root), 6) AS r2, round(regr_intercept(avg_size, avg_root), 4) AS intercept, round(regr_slope(avg_size, avg_root), 6) AS slope FROM s GROUP BY level")
 def segment_piece_fits(spark, d):
-    return rp.level_fits(_part_pieces(spark, d), ["level"], "avg_price", ["avg_size"]).drop("p").withColumn("intercept", F.round("intercept", 4))
+    return rp.level_fits(_part_pieces(spark, d), ["level"], "avg_root", ["avg_size"]).drop("p").withColumn("intercept", F.round("intercept", 4))
 
 
 @query("SELECT p_size, count(*) AS count, round(avg(p_retailprice), 6) AS avg_p_retailprice, CAST(sum(p_size) AS BIGINT) AS sum_length, coalesce(count(*) > lag(count(*)) OVER (ORDER BY p_size), false) AS special FROM part GROUP BY p_size")
