@@ -186,7 +186,13 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, min_length:
     df = docs.withColumn("_sx_t", F.coalesce("text", F.lit("")))
     for kind, (pattern, keep, when) in hits.items():
         df = _with_spans(df, f"_sx_{kind}", pattern, keep, when)
-    df = df.withColumn("_sx_markov", F.array_except("_sx_markov", F.concat("_sx_assign", "_sx_access", "_sx_hex")))
+    # a Markov span comes after the base spans of its limits in one sorted array, so that it is held against the one before it only
+    tagged = lambda spans, own: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(own).alias("own"), x["bs"].alias("bs"), x["be"].alias("be")))
+    df = df.withColumn("_sx_all", F.array_sort(F.concat(tagged(F.concat("_sx_assign", "_sx_access", "_sx_hex"), False), tagged(F.col("_sx_markov"), True))))
+    before = F.concat(F.array(F.lit(None)), F.slice("_sx_all", 1, F.greatest(F.size("_sx_all") - 1, F.lit(0))))
+    alone = lambda x: x["x"]["own"] & (x["b"].isNull() | (x["b"]["s"] != x["x"]["s"]) | (x["b"]["e"] != x["x"]["e"]))
+    df = df.withColumn("_sx_two", F.arrays_zip(F.col("_sx_all").alias("x"), before.alias("b")))
+    df = df.withColumn("_sx_markov", F.transform(F.filter("_sx_two", alone), lambda x: F.struct(*[x["x"][c].alias(c) for c in ("s", "e", "bs", "be")]))).drop("_sx_all", "_sx_two")
     ranked = [_ranked(rank, kind) for rank, kind in enumerate(KINDS)]
     found = F.transform(F.array_sort(F.concat(*ranked)), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["bs"].alias("bs"), x["be"].alias("be")))
     return df.withColumn(name, found).drop("_sx_t", *[f"_sx_{k}" for k in KINDS])
