@@ -441,7 +441,7 @@ for _name, _metric, _x in (("gc", "window_gc", "avg_gc"), ("std", "segment_gc_st
 def _segment_features(name: str, metric: str) -> None:
     def pieces(t, config):
         """Short segments wholly in or outside coding regions and repeats, but for those in both."""
-        rows = _segments(t).where("segment_type = '3' AND (window_coding, window_repeats) IN ((1, 0), (0, 1), (0, 0))")
+        rows = _segments(t).where("segment_type = '3' AND window_coding IN (0, 1) AND window_repeats IN (0, 1) AND window_coding + window_repeats < 2")
         return segment_pieces(rows, metric, config.segment_piece, ["window_coding", "window_repeats"])
 
     SHEETS[f"segment_{name}_indel_cr"] = Sheet("gc", {"segment": ["segment_type"], "window": ["window_pi", "window_coding", "window_repeats"]}, pieces)
