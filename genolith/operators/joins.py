@@ -63,6 +63,31 @@ def pairs_within(df: DataFrame, on: Sequence[str], position: str, ident: str, ne
     return a.join(b, [*keys, "_meet"]).where(before & (F.col(f"{position}_b") - F.col(f"{position}_a") <= near)).drop("_meet")
 
 
+def span_union(df: DataFrame, on: Sequence[str], start: str, end: str, scratch: Scratch) -> DataFrame:
+    """keys, start, end: the spans of each key with overlapping and adjacent ones joined; null or reversed spans are left out.
+
+    Rows are dealt into ranges of (keys, start), which are written, so that a key with most of the rows is in many of them. How far
+    the spans before a range reach is a running maximum over ranges, one row for each key and range; a joined span's start is carried
+    on in the same way.
+    """
+    keys = list(on)
+    rows = df.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b")).distinct()
+    ranged = scratch.keep(rows.repartitionByRange(*keys, "_a", "_b").withColumn("_p", F.spark_partition_id()), "union_ranged")
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_p", *keys).orderBy("_a", "_b")
+    before = ranged.groupBy(*keys, "_p").agg(F.max("_b").alias("_most")).select(*named, F.col("_p").alias("_q"), F.max("_most").over(earlier).alias("_reach"))
+    reach = F.greatest("_reach", F.max("_b").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = ranged.join(before, same).withColumn("_open", F.when(reach.isNull() | (F.col("_a") > reach + 1), F.col("_a"))).select(*keys, "_a", "_b", "_p", "_open")
+    opened = scratch.keep(opened, "union_opened")
+    carried = opened.groupBy(*keys, "_p").agg(F.max("_open").alias("_last")).select(*named, F.col("_p").alias("_q"), F.last("_last", True).over(earlier).alias("_from"))
+    held = F.coalesce(F.last("_open", True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_from"))
+    return opened.join(carried, same).withColumn("_start", held).groupBy(*keys, F.col("_start").alias(start)).agg(F.max("_b").alias(end))
+
+
 def means_around(pairs: DataFrame, points: DataFrame, asking: DataFrame, on: Sequence[str], ident: str, position: str, near: int, measures: Sequence[str]) -> DataFrame:
     """ident, n (points within ``near``), and the mean of each measure over pairs that have both ends within ``near`` of an asking row.
 

@@ -22,7 +22,7 @@ from genolith.scratch import Scratch
 #: Columns of a block.
 SIZE = 4096
 #: Sums over the columns of an interval; ``of_free`` are over columns without a gap in any sequence.
-SUMS = ("columns", "comparables", "differences", "pair_differences", "gc", "bases", "gc_of_free", "bases_of_free", "free", "target", "gap_runs")
+SUMS = ("columns", "comparables", "differences", "pair_differences", "gc", "bases", "gc_of_free", "bases_of_free", "free", "target", "target_gap_runs", "gap_runs")
 
 
 def column_blocks(sequences: DataFrame, size: int = SIZE) -> DataFrame:
@@ -56,7 +56,7 @@ def _running(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     alike = sum((body == ord(b)).sum(0).astype(np.int64) ** 2 for b in "ACGT")
     free, first = ~gap, body[0]
     gc, bases = g.GC[first], g.BASES[first]
-    each = [np.ones(len(gap), np.int64), comparable, comparable & (alike < n * n), np.where(comparable, (n * n - alike) // 2, 0), gc, bases, gc & free, bases & free, free, first != g.GAP, begins]
+    each = [np.ones(len(gap), np.int64), comparable, comparable & (alike < n * n), np.where(comparable, (n * n - alike) // 2, 0), gc, bases, gc & free, bases & free, free, first != g.GAP, (m[0, 1:] == g.GAP) & (m[0, :-1] != g.GAP), begins]
     out = np.zeros((len(SUMS), len(gap) + 1), np.int64)
     np.cumsum(np.array([x.astype(np.int64) for x in each]), axis=1, out=out[:, 1:])
     return out, gap, begins
@@ -65,10 +65,13 @@ def _running(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Store:
     """Blocks of the sequences of some alignments, written below the shared folder, with their rank directories."""
 
-    def __init__(self, sequences: DataFrame, scratch: Scratch | None = None, size: int = SIZE):
-        self.size, self.scratch = size, scratch or Scratch(sequences.sparkSession, "sequences")
-        self.blocks = self.scratch.keep(column_blocks(sequences, size), "column_blocks")
+    def __init__(self, sequences: DataFrame, scratch: Scratch | None = None, size: int = SIZE, name: str = ""):
+        """Of a sequence table, or of blocks as ``column_blocks`` gives them."""
+        self.size, self.scratch, self.name = size, scratch or Scratch(sequences.sparkSession, "sequences"), name
+        blocks = sequences if "rows" in sequences.columns else column_blocks(sequences, size)
+        self.blocks = self.scratch.keep(blocks, f"{name}column_blocks")
         self._members: dict[str, DataFrame] = {}
+        self._compressed: dict[str, Store] = {}
         self._places: dict[str, DataFrame] = {}
 
     @classmethod
@@ -79,9 +82,9 @@ class Store:
         """A row for each block that an interval touches: keys, align_id, block, a, b (columns within the block), head (the interval's first block)."""
         low, high = ((F.floor((F.col(c) - 1) / self.size)).cast("int") for c in (start, end))
         rows = intervals.where(F.col(start).isNotNull() & (F.col(start) <= F.col(end)) & (F.col(start) >= 1))
-        rows = rows.select("align_id", *keys, F.col(start).alias("_start"), F.col(end).alias("_end"), low.alias("_low"), F.explode(F.sequence(low, high)).alias("block"))
-        a, b = F.greatest(F.col("_start") - F.col("block") * self.size, F.lit(1)), F.least(F.col("_end") - F.col("block") * self.size, F.lit(self.size))
-        return rows.select("align_id", *keys, "block", a.cast("int").alias("a"), b.cast("int").alias("b"), (F.col("block") == F.col("_low")).alias("head"))
+        rows = rows.select("align_id", *keys, F.col(start).alias("_sq_start"), F.col(end).alias("_sq_end"), low.alias("_sq_low"), F.explode(F.sequence(low, high)).alias("block"))
+        a, b = F.greatest(F.col("_sq_start") - F.col("block") * self.size, F.lit(1)), F.least(F.col("_sq_end") - F.col("block") * self.size, F.lit(self.size))
+        return rows.select("align_id", *keys, "block", a.cast("int").alias("a"), b.cast("int").alias("b"), (F.col("block") == F.col("_sq_low")).alias("head"))
 
     def sums(self, intervals: DataFrame, ident: str, start: str, end: str) -> DataFrame:
         """ident (a long that is unique), rows (sequences) and SUMS of each interval of columns, what lies beyond the alignment left out.
@@ -139,10 +142,10 @@ class Store:
                     yield pa.RecordBatch.from_arrays(columns, names=["align_id", "block", "n", "columns"])
 
             size = self.size
-            held = self.scratch.keep(self.blocks.mapInArrow(run, "align_id long, block int, n int, columns array<int>"), kind)
+            held = self.scratch.keep(self.blocks.mapInArrow(run, "align_id long, block int, n int, columns array<int>"), f"{self.name}{kind}")
             before = Window.partitionBy("align_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
             base = held.select("align_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))  # a narrow row for each block
-            self._members[kind] = self.scratch.keep(held.join(base, ["align_id", "block"]), f"{kind}_members")
+            self._members[kind] = self.scratch.keep(held.join(base, ["align_id", "block"]), f"{self.name}{kind}_members")
         return self._members[kind]
 
     def sizes(self, kind: str) -> DataFrame:
@@ -157,9 +160,37 @@ class Store:
             skip = F.greatest(F.col("to") * self.size - F.col("base"), F.lit(0)).cast("int")
             part = F.slice("columns", skip + 1, F.least((F.col("to") + 1) * self.size - F.col("base"), F.col("n")).cast("int") - skip)
             held = x.select("align_id", F.col("to").cast("int").alias("block"), "base", part.alias("part")).groupBy("align_id", "block").agg(F.array_sort(F.collect_list(F.struct("base", "part"))).alias("p"))
-            self._places[kind] = self.scratch.keep(held.select("align_id", "block", F.flatten(F.transform("p", lambda p: p["part"])).alias("columns")), f"{kind}_places")
+            self._places[kind] = self.scratch.keep(held.select("align_id", "block", F.flatten(F.transform("p", lambda p: p["part"])).alias("columns")), f"{self.name}{kind}_places")
         return self._places[kind]
 
+    def compressed(self, kind: str) -> Store:
+        """A store of the columns of a set only: its columns are this one's ranks."""
+        if kind not in self._compressed:
+            size = self.size
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    out: dict[str, list] = {c: [] for c in ("align_id", "block", "offset", "rows")}
+                    for align, block, rows, columns, base in zip(*(batch.column(c).to_pylist() for c in ("align_id", "block", "rows", "columns", "base"))):
+                        kept = _matrix(rows)[:, np.array(columns) - block * size]
+                        for to in range(base // size, (base + kept.shape[1] - 1) // size + 1):
+                            a, b = max(to * size - base, 0), min((to + 1) * size - base, kept.shape[1])
+                            parts = [(to, base + a - to * size, kept[:, a:b])]
+                            if base + b == (to + 1) * size:  # a block's last column comes before the next one
+                                parts.append((to + 1, -1, kept[:, b - 1 : b]))
+                            for target, offset, part in parts:
+                                for c, v in (("align_id", align), ("block", target), ("offset", offset), ("rows", [r.tobytes().decode() for r in part])):
+                                    out[c].append(v)
+                    kinds = (("align_id", pa.int64()), ("block", pa.int32()), ("offset", pa.int32()), ("rows", pa.list_(pa.string())))
+                    yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in kinds], names=list(out))
+
+            parts = self.blocks.join(self.members(kind).where("n > 0"), ["align_id", "block"]).select("align_id", "block", "rows", "columns", "base").mapInArrow(run, "align_id long, block int, offset int, rows array<string>")
+            held = parts.groupBy("align_id", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "rows"))).alias("p")).where("p[size(p) - 1].offset >= 0")
+            start = F.when(F.get("p", 0)["offset"] < 0, "").otherwise(".")
+            rows = F.transform(F.sequence(F.lit(0), F.size(F.get("p", 0)["rows"]) - 1), lambda i: F.concat(start, F.array_join(F.transform("p", lambda x: F.get(x["rows"], i)), "")))
+            self._compressed[kind] = Store(held.select("align_id", "block", rows.alias("rows")), self.scratch, size, f"{kind}_only_")
+        return self._compressed[kind]
+
     def column_of(self, rows: DataFrame, kind: str, **ranks: str) -> DataFrame:
         """rows (with align_id) with a column for each name=rank column: the alignment column of that rank, from 1, in the set; null beyond it."""
         out = rows

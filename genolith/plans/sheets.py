@@ -451,6 +451,86 @@ for _name, _metric in (("gc", "window_gc"), ("cv", "segment_gc_cv")):
     _segment_features(_name, _metric)
 
 
+# --- positions and the windows around them
+
+
+def _ofg(t: Tables) -> DataFrame:
+    """Windows around positions, with the position's tag and type, and its own window's share of coding bases."""
+    own = t["window"].select("window_id", F.col("window_coding").alias("own_coding") if "window_coding" in t["window"].columns else F.lit(None).cast("double").alias("own_coding"))
+    features = t["ofg"].select("ofg_id", "ofg_tag", "ofg_type", "window_id").join(own, "window_id", "left").drop("window_id")
+    x = t["ofgsw"].drop("align_id", "rank_start", "rank_end").join(features, "ofg_id").join(t["window"], "window_id")
+    return x.withColumns({"distance": F.col("ofgsw_distance"), "pi": F.col("window_pi"), "indel": F.col("window_indel") / F.col("window_length") * 100, "gc": F.col("window_gc"), "cv": F.col("ofgsw_cv"), "repeats": F.col("window_repeats") if "window_repeats" in x.columns else F.lit(None).cast("double")})
+
+
+_OFG = ["pi", "indel", "gc", "cv", "repeats"]
+_OFG_NEEDS = {"ofg": ["ofg_tag"], "ofgsw": ["ofgsw_distance"], "window": ["window_pi"]}
+
+
+@sheet("ofg", "summary_ofg", **{t: " ".join(c) for t, c in _OFG_NEEDS.items()})
+def summary_ofg(t, config):
+    """Positions by tag and type, each and both, and their windows: counts and lengths."""
+    stack = lambda df, what: rp.labelled_counts(df, {f"{what} tag_type": F.concat_ws("_", "ofg_tag", "ofg_type"), f"{what} tag": F.col("ofg_tag"), f"{what} type": F.col("ofg_type")}, ["window_length"])
+    return stack(t["ofg"].join(t["window"].select("window_id", "window_length"), "window_id"), "ofg").unionByName(stack(_ofg(t), "ofgsw"))
+
+
+def _ofg_sheet(name: str, by: Sequence[str], where: str | None = None, needs: Mapping[str, Sequence[str]] = _OFG_NEEDS) -> None:
+    def plan(t, config):
+        """By distance from the position."""
+        rows = _ofg(t)
+        return rp.metrics(rows.where(where) if where else rows, [*by, "distance"], _OFG)
+
+    SHEETS[name] = Sheet("ofg", needs, plan)
+
+
+_CODED = {**_OFG_NEEDS, "window": ["window_pi", "window_coding"]}
+for _name, _by, _where, _needs in (
+    ("ofg_all", [], None, _OFG_NEEDS), ("ofg_tag", ["ofg_tag"], None, _OFG_NEEDS), ("ofg_type", ["ofg_type"], None, _OFG_NEEDS), ("ofg_tt", ["ofg_tag", "ofg_type"], None, _OFG_NEEDS),
+    ("ofg_coding", [], "own_coding = 1", _CODED), ("ofg_noncoding", [], "own_coding = 0", _CODED),
+    ("ofg_coding_pure", [], "own_coding = 1 AND window_coding = 1", _CODED), ("ofg_noncoding_pure", [], "own_coding = 0 AND window_coding = 0", _CODED),
+):
+    _ofg_sheet(_name, _by, _where, _needs)
+
+
+# --- genes
+
+
+@sheet("gene", gene="gene_stable_id", exon="exon_stable_id", window="window_pi")
+def summary_gene(t, config):
+    """Genes and exons, all and whole ones: how many, how long, how diverse, with how many indels."""
+    out = None
+    for name, table, ident, full in (("gene", "gene", "gene_stable_id", None), ("full gene", "gene", "gene_stable_id", "gene_is_full"), ("exon", "exon", "exon_stable_id", None), ("full exon", "exon", "exon_stable_id", "exon_is_full")):
+        rows = t[table].where(f"{full} = 1") if full else t[table]
+        x = rows.select("window_id", ident).join(t["window"].select("window_id", "window_length", "window_pi", "window_indel"), "window_id")
+        x = x.agg(F.lit(name).alias("name"), F.countDistinct(ident).alias("distinct"), F.count("*").alias("count"), F.avg("window_length").alias("avg_length"), F.sum("window_length").alias("sum_length"), F.avg("window_pi").alias("avg_pi"), F.sum("window_indel").alias("indel"), (F.try_divide(F.sum("window_indel"), F.sum("window_length")) * 100).alias("indel_100bp"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _dnds() -> list[Column]:
+    return [agg.ratio_of_means(F.col("isw_nsy"), F.col("isw_syn")).alias("dn_ds"), F.avg("isw_syn").alias("avg_syn"), F.avg("isw_nsy").alias("avg_nsy"), F.avg("isw_stop").alias("avg_stop"), F.count("*").alias("count")]
+
+
+@sheet("gene", isw="isw_syn isw_distance")
+def combined_dnds(t, config):
+    """dN/dS of windows by buckets of their distance."""
+    rows = t["isw"].where("isw_syn IS NOT NULL")
+    placed = bk.by_buckets(rows, F.col("isw_distance"), bk.fold(bk.histogram(rows, F.col("isw_distance")), config.combine_threshold, config.standalone))
+    return placed.groupBy("bucket").agg(F.avg("isw_distance").alias("avg_distance"), *_dnds())
+
+
+@sheet("gene", isw="isw_syn isw_distance", indel="indel_freq")
+def frequency_dnds(t, config):
+    """dN/dS by distance from indels that one strain has."""
+    near = t["isw"].where("isw_syn IS NOT NULL").join(t["indel"].select(F.col("indel_id").alias("isw_indel_id"), "indel_freq"), "isw_indel_id").where("indel_freq = 1")
+    return near.groupBy("isw_distance").agg(*_dnds())
+
+
+@sheet("gene", gene="gene_syn gene_stable_id")
+def gene_dnds(t, config):
+    """dN/dS of each gene."""
+    return t["gene"].select("gene_stable_id", "gene_tl_size", "gene_syn", "gene_nsy", "gene_stop", F.try_divide("gene_nsy", "gene_syn").alias("dn_ds"))
+
+
 # --- variants
 
 

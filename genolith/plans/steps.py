@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genolith.config import Config
-from genolith.operators import enrich, ingest
+from genolith.operators import annotate, enrich, ingest, joins
 from genolith.operators.sequences import Store
 from genolith.plans.sheets import sheets
+from genolith.scratch import Scratch
 from genolith.sources import readers, sinks
 
 #: Numbers that names stand for.
@@ -24,7 +25,7 @@ PRESETS = {
     "gene": (1, 2, 3, 4, 5, 10, 20, 21, 30, 31, 32, 33, 40, 41, 42, 43, 44),
     "stat": (40, 41, 42, 43, 44),
 }
-REPORTS = {40: "common", 41: "multi", 42: "gc", 44: "mvar"}
+REPORTS = {40: "common", 41: "multi", 42: "gc", 43: "gene", 44: "mvar"}
 
 
 def selected(run: str, known: Sequence[int]) -> list[int]:
@@ -83,16 +84,40 @@ class Run:
         self.put("window", enrich.window_table(rows, "window_id", self.store), "align_id", "window_start")
 
     def targets(self) -> DataFrame:
-        return enrich.chr_positions(self.tables["sequence"])
+        return annotate.targets(self.tables["sequence"])
 
     def place_genes(self) -> None:
-        """Genes and exons cut to the blocks they lie on, in alignment columns."""
-        t = self.targets()
+        """Genes and exons cut to the blocks they lie on, in alignment columns; exons of transcripts as the tables of genes have them."""
+        t, columns = self.targets(), {"a": "rank_start", "b": "rank_end"}
+        if self.genes is not None and self.exons is not None and {"gene_stable_id", "transcript_id"} <= set(self.exons.columns):
+            gene, exon = annotate.gene_tables(self.genes, self.exons, t, self.store, Scratch(self.spark, "genes"))
+            self.put("gene", gene, "align_id", "rank_start")
+            self.put("exon", self.store.column_of(exon, "target", exon_start="rank_start", exon_end="rank_end"), "align_id", "rank_start")
+            rows = self.tables["gene"].select("window_id", "align_id", "rank_start", "rank_end").unionByName(self.tables["exon"].select("window_id", "align_id", "rank_start", "rank_end"))
+            self.add_windows(rows)
+            return
         if self.genes is not None:
-            self.put("gene", enrich.clipped(self.genes, t), "align_id", "align_start")
+            placed = self.store.column_of(annotate.clipped(self.genes, t).where("rank_start < rank_end"), "target", **{f"align_{n}": c for n, c in (("start", "rank_start"), ("end", "rank_end"))})
+            self.put("gene", placed.drop(*columns.values()), "align_id", "align_start")
         if self.exons is not None:
-            placed = enrich.clipped(self.exons, t).withColumnsRenamed({"align_start": "exon_start", "align_end": "exon_end", "is_full": "exon_is_full"})
-            self.put("exon", placed, "align_id", "exon_start")
+            placed = self.store.column_of(annotate.clipped(self.exons, t).where("rank_start < rank_end"), "target", exon_start="rank_start", exon_end="rank_end")
+            self.put("exon", placed.drop(*columns.values()).withColumnRenamed("is_full", "exon_is_full"), "align_id", "exon_start")
+
+    def add_windows(self, rows: DataFrame) -> None:
+        """Windows of ranks of the target's bases come to the table, in place of those with the same ids."""
+        more = annotate.target_windows(rows, "window_id", self.store)
+        old = self.tables.get("window")
+        if old is not None:
+            more = old.join(rows.select("window_id"), "window_id", "left_anti").unionByName(more, allowMissingColumns=True)
+        self.put("window", more, "align_id", "window_start")
+
+    def place_positions(self, positions: DataFrame, style: str = "center_intact") -> None:
+        """Positions (tag, type, chr_name, start, end) as ofg, windows around them as ofgsw with their cv, and the windows of both."""
+        self.put("ofg", annotate.place_positions(positions, self.targets()), "align_id", "rank_start")
+        ofgsw = annotate.feature_windows(self.tables["ofg"], self.store, style)
+        self.put("ofgsw", enrich.window_cv(ofgsw, "ofgsw_id", self.store.compressed("target"), "rank_start", "rank_end", self.config, "ofgsw_cv"), "align_id", "rank_start")
+        columns = ["window_id", "align_id", "rank_start", "rank_end"]
+        self.add_windows(self.tables["ofg"].select(*columns).unionByName(self.tables["ofgsw"].select(*columns)))
 
     def cv(self) -> None:
         """cv around windows, in columns; around waves, and within them, in ranks of the comparable set."""
@@ -104,12 +129,13 @@ class Run:
 
     def annotate(self) -> None:
         """Portions in coding regions and repeats of alignments, indels, SNPs and windows."""
-        features, targets = readers.annotation(self.spark, self.annotation), self.targets()
+        found, targets = readers.annotation(self.spark, self.annotation), self.targets()
+        features = joins.span_union(found, ["chr_name", "kind"], "start", "end", Scratch(self.spark, "features"))
         for name, start, end in (("align", "_first", "align_length"), ("indel", "indel_start", "indel_end"), ("snp", "snp_pos", "snp_pos"), ("isw", "isw_start", "isw_end"), ("window", "window_start", "window_end")):
             if name not in self.tables:
                 continue
             table = self.tables[name]
-            portions = enrich.portions_on_chr(table.withColumn("_first", F.lit(1)), f"{name}_id", start, end, targets, features, name)
+            portions = annotate.portions(table.withColumn("_first", F.lit(1)), f"{name}_id", start, end, self.store, targets, features, name)
             self.put(name, sinks.updated(table, portions, f"{name}_id"), "align_id", *([start] if name != "align" else []))
 
     def substitutions(self) -> None:
@@ -133,14 +159,23 @@ class Run:
         self.put("snp", sinks.updated(t["snp"], enrich.snp_codons(t["snp"], exons, self.store), "snp_id"), "align_id", "snp_pos")
         rates = enrich.summed_rates(t["snp"], "isw_id", t["isw"], "isw_length").withColumnsRenamed({c: f"isw_{c}" for c in ("syn", "nsy", "stop")})
         self.put("isw", sinks.updated(t["isw"], rates, "isw_id"), "align_id", "isw_start")
+        if "gene_tl_size" in (t["gene"].columns if "gene" in t else ()):
+            self.gene_rates()
+
+    def gene_rates(self) -> None:
+        """dN/dS of genes, by the bases that their transcripts code."""
+        t = self.tables
+        coded = t["snp"].select("snp_id", "exon_id", "snp_syn", "snp_nsy", "snp_stop").where("exon_id IS NOT NULL").join(t["exon"].select("exon_id", "gene_id"), "exon_id")
+        rates = enrich.summed_rates(coded, "gene_id", t["gene"], "gene_tl_size").withColumnsRenamed({c: f"gene_{c}" for c in ("syn", "nsy", "stop")})
+        self.put("gene", sinks.updated(t["gene"], rates, "gene_id"), "align_id")
 
     def slippage(self) -> None:
         t = self.tables
         self.put("indel", sinks.updated(t["indel"], enrich.indel_slippage(t["indel"], self.store), "indel_id"), "align_id", "indel_start")
 
-    def report(self, number: int) -> dict[str, DataFrame]:
-        """The sheets of one report that the tables allow, below ``report/`` and its name."""
-        name = REPORTS[number]
+    def report(self, number: int | str) -> dict[str, DataFrame]:
+        """The sheets of one report (its number; or its name, as ``ofg`` has no number) that the tables allow, below ``report/`` and its name."""
+        name = REPORTS.get(number, number)
         meta = {"meta": self.spark.read.parquet(f"{self.root}/meta")} if self.logged else {}
         made = sheets({**self.tables, **meta}, name, self.config)
         if made:
