@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from genolith.functions.arrays import running
+
 TYPE = "array<struct<start:int,end:int>>"
 _EMPTY = f"CAST(array() AS {TYPE})"
 
@@ -19,16 +21,18 @@ def _span(start: Column, end: Column) -> Column:
 
 def merge(spans: Column) -> Column:
     """Any array of (start, end) as a set: sorted, overlapping and adjacent ones joined. What is a set already is only sorted and compared with its neighbours."""
-    empty = F.expr(_EMPTY)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_span(last["start"], F.greatest(last["end"], x["end"]))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"] + 1), joined).otherwise(F.concat(acc, F.array(_span(x["start"], x["end"]))))
+    def join(s: Column) -> Column:
+        # a joined span begins where one starts beyond all ends before it, and ends at the last of these for the next one
+        reach = running(F.transform(s, lambda x: x["end"].cast("long")), F.greatest, -(1 << 40))
+        opened = F.filter(F.arrays_zip(s.alias("s"), reach.alias("r")), lambda x: x["s"]["start"] > x["r"] + 1)
+        last = F.array_max(F.transform(s, lambda x: x["end"].cast("long")))
+        ends = F.concat(F.transform(F.slice(opened, 2, F.greatest(F.size(opened) - 1, F.lit(0))), lambda x: x["r"]), F.array(last))
+        return F.zip_with(opened, ends, lambda x, e: _span(x["s"]["start"], e))
 
     def joined(s: Column) -> Column:
         apart = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.coalesce(b["start"] > a["end"] + 1, F.lit(True)))
-        return F.when(F.forall(apart, lambda x: x), F.transform(s, lambda x: _span(x["start"], x["end"]))).otherwise(F.aggregate(s, empty, step))
+        return F.when(F.forall(apart, lambda x: x), F.transform(s, lambda x: _span(x["start"], x["end"]))).otherwise(join(s))
 
     return F.get(F.transform(F.array(F.array_sort(spans)), joined), F.lit(0))
 
@@ -121,13 +125,12 @@ def substr_spans(sequence: Column, spans: Column) -> Column:
 
 def runs_of(sequence: Column, pattern: str) -> Column:
     """Spans of the characters of a class, such as ``-`` for gaps; ``pattern`` is what may stand in brackets."""
-    others, runs = F.split(sequence, f"[{pattern}]+", -1), F.regexp_extract_all(sequence, F.lit(f"([{pattern}]+)"), F.lit(1))
-    zipped = F.arrays_zip(others.alias("x"), runs.alias("r"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("out"))
 
-    def step(acc: Column, z: Column) -> Column:
-        begin = acc["at"] + F.length(z["x"])
-        stop = begin + F.coalesce(F.length(z["r"]), F.lit(0))
-        return F.struct(stop.alias("at"), F.when(z["r"].isNotNull(), F.concat(acc["out"], F.array(_span(begin + 1, stop)))).otherwise(acc["out"]).alias("out"))
+    def placed(s: Column) -> Column:
+        runs = F.regexp_extract_all(s, F.lit(f"([{pattern}]+)"), F.lit(1))
+        others = F.slice(F.split(s, f"[{pattern}]+", -1), 1, F.size(runs))
+        lengths = F.zip_with(others, runs, lambda x, r: (F.length(x) + F.length(r)).cast("long"))
+        ends = F.zip_with(running(lengths, lambda a, b: a + b, 0), lengths, lambda a, b: a + b)
+        return F.zip_with(runs, ends, lambda r, e: _span(e - F.length(r) + 1, e))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.get(F.transform(F.array(sequence), placed), F.lit(0))

@@ -436,11 +436,13 @@ def slice_indels(window: Column, gap_sets: Column) -> Column:
 def bootstrap_ratio(df: DataFrame, top: str, bottom: str, replicates: int = 100, seed: int = 1) -> DataFrame:
     """mean, stderr, median, p5, p95 of sum(top) / sum(bottom) over resamples with replacement.
 
-    A row's weight in a replicate is a Poisson(1) draw from its hash: one pass, the same on every run. Replicates
-    without a ratio are left out.
+    A row's weight in a replicate is a Poisson(1) draw from its hash and its number among equal rows: the same on every run, and
+    equal rows draw by themselves. Replicates without a ratio are left out.
     """
     draw = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")
-    x = df.select(F.xxhash64(*df.columns).alias("h"), F.col(top).cast("double").alias("t"), F.col(bottom).cast("double").alias("u")).select("h", "t", "u", draw)
+    counted = df.groupBy(*df.columns).agg(F.count("*").cast("int").alias("_copies"))
+    each = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    x = each.select(F.xxhash64(*df.columns, "_copy").alias("h"), F.col(top).cast("double").alias("t"), F.col(bottom).cast("double").alias("u")).select("h", "t", "u", draw)
     p = F.pmod(F.xxhash64("h", "b", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     cumulative = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(8)])
     weight = sum(F.when(p >= float(c), 1).otherwise(0) for c in cumulative)

@@ -27,6 +27,8 @@ LENGTHS = [(1, 5), (6, 10), (11, 50), (51, 300)]
 EXTENDS = [(0, 0), (1, 2), (3, 4), (5, 9), (10, 19), (20, 999)]
 HALVES = [(0, 0), (1, 1)]
 GC_LEVELS = [(0, 0.2999), (0.3, 0.4999), (0.5, 1)]
+WAVE_LENGTHS = [(5, 10), (11, 20), (21, 30), (31, 999)]
+AMPLITUDES = [(10, 20), (21, 30), (31, 100)]
 TRANSITIONS = ("AG", "CT", "GA", "TC")
 
 
@@ -390,20 +392,64 @@ def extreme_summary(t, config):
     return agg.column_stat(t["extreme"], [f"extreme_{s}_{c}" for s in ("left", "right") for c in ("amplitude", "wave_length")], by=["extreme_type"])
 
 
+#: Measures of windows on waves.
+WAVE = ("distance", "pi", "indel", "gc", "cv")
+
+
+def _gsw(t: Tables) -> DataFrame:
+    """Windows on waves, with the pi, gc and indels a 100 bp of their windows, as far as these are there."""
+    x = t["gsw"].withColumn("distance", F.col("gsw_distance"))
+    x = x.withColumn("cv", F.col("gsw_cv")) if "gsw_cv" in x.columns else x
+    if "window" not in t:
+        return x
+    w = t["window"].select(F.col("window_id").alias("gsw_id"), F.col("window_pi").alias("pi"), F.col("window_gc").alias("gc"), (F.col("window_indel") / F.col("window_length") * 100).alias("indel"))
+    return x.join(w, "gsw_id", "left")
+
+
 def _wave(name: str, key: str, step: float | None = None) -> None:
     def plan(t, config):
-        """By buckets of a property of the wave: cv, and mean distance to the trough."""
+        """By buckets of a property of the wave: mean distance to the trough, and the measures of windows."""
+        x = _gsw(t)
         value = F.col(key) if step is None else bk.floor_bin(F.col(key), step).cast("int")
-        rows = t["gsw"].where(F.col(key).isNotNull()).select(value.alias("key"), F.col("gsw_distance").alias("distance"), *([F.col("gsw_cv").alias("cv")] if "gsw_cv" in t["gsw"].columns else []))
-        return rp.combined_metrics(rows, "key", [c for c in ("distance", "cv") if c in rows.columns], config.combine_threshold, ())
+        rows = x.where(F.col(key).isNotNull()).select(value.alias("key"), *[c for c in WAVE if c in x.columns])
+        return rp.combined_metrics(rows, "key", rows.columns[1:], config.combine_threshold, ())
 
-    SHEETS[name] = Sheet("gc", {"gsw": [key]}, plan)
+    SHEETS[name] = Sheet("gc", {"gsw": ["gsw_distance"], "window": ["window_gc"]} if key == "gc" else {"gsw": [key]}, plan)
 
 
-for _name, _key, _step in (("distance_to_trough", "gsw_distance", None), ("distance_to_crest", "gsw_distance_crest", None), ("wave_length", "gsw_wave_length", 100), ("amplitude", "gsw_amplitude", 0.01), ("gradient", "gsw_gradient", None), ("trough_gc", "gsw_trough_gc", 0.01), ("crest_gc", "gsw_crest_gc", 0.01)):
+for _name, _key, _step in (
+    ("distance_to_trough", "gsw_distance", None), ("distance_to_crest", "gsw_distance_crest", None), ("wave_length", "gsw_wave_length", 100), ("amplitude", "gsw_amplitude", 0.01), ("gradient", "gsw_gradient", None),
+    ("trough_gc", "gsw_trough_gc", 0.01), ("crest_gc", "gsw_crest_gc", 0.01), ("window_gc", "gc", 0.01), ("bed_count_trough", "gsw_bed_count", None),
+):
     _wave(_name, _key, _step)
 
 
+def _wave_series(name: str, key: str, step: float, levels: Sequence[tuple[int, int]]) -> None:
+    def plan(t, config):
+        """Indels by distance from the trough, to 10, for bands of the wave."""
+        rows = _gsw(t).where("distance <= 10").withColumn("value", bk.floor_bin(F.col(key), step))
+        return rp.banded_metrics(rows, F.col("value"), bk.bands(rows.sparkSession, levels), ["distance"], ["indel"])
+
+    SHEETS[name] = Sheet("gc", {"gsw": [key], "window": ["window_indel"]}, plan)
+
+
+for _name, _key, _step, _levels_ in (("d_wave_length_series", "gsw_wave_length", 100, WAVE_LENGTHS), ("d_amplitude_series", "gsw_amplitude", 0.01, AMPLITUDES)):
+    _wave_series(_name, _key, _step, _levels_)
+
+
+def _wave_quartiles(name: str, key: str, digits: int) -> None:
+    def plan(t, config):
+        """Indels by distance from the trough, 1 to 10, for quartiles of a gc."""
+        rows = _gsw(t).where("distance BETWEEN 1 AND 10")
+        return rp.quantile_metrics(rows, key, ["distance"], ["indel"], digits=digits)
+
+    SHEETS[name] = Sheet("gc", {"gsw": ["gsw_distance" if key == "gc" else key], "window": ["window_gc"]}, plan)
+
+
+for _name, _key, _digits in (("d_gc_series", "gc", 3), ("d_trough_gc_series", "gsw_trough_gc", 4), ("d_crest_gc_series", "gsw_crest_gc", 4)):
+    _wave_quartiles(_name, _key, _digits)
+
+
 # --- segments, by type: ranked by one of their measures, cut into pieces, with a line for each type
 
 
@@ -531,6 +577,75 @@ def gene_dnds(t, config):
     return t["gene"].select("gene_stable_id", "gene_tl_size", "gene_syn", "gene_nsy", "gene_stop", F.try_divide("gene_nsy", "gene_syn").alias("dn_ds"))
 
 
+@sheet("gene", gene="gene_syn gene_stable_id gene_biotype", window="window_pi", sequence="seq_role")
+def gene_list(t, config):
+    """Genes with their places; of genes that no alignment holds as a whole the parts are rolled up: ends of all, sums, and pi, syn and nsy by the length
+    of the parts that have them."""
+    target = t["sequence"].where("seq_role = 'T'").select("align_id", "chr_name")
+    named = [c for c in ("gene_external_name", "gene_biotype", "gene_strand", "gene_multitrans", "gene_multiexons") if c in t["gene"].columns]
+    w = t["window"].select("window_id", F.col("window_differences").alias("subs"), F.col("window_indel").alias("indel"), F.col("window_pi").alias("pi"))
+    x = t["gene"].join(w, "window_id").join(target.drop("chr_name"), "align_id").withColumn("size", F.col("rank_end") - F.col("rank_start") + 1)
+    columns = ["gene_stable_id", "chr_name", "start", "end", *named]
+    whole = x.where("gene_is_full = 1").select(F.col("gene_id").cast("string").alias("gene_ids"), *columns, F.lit(1).alias("gene_is_full"), F.lit(1).cast("long").alias("parts"), F.col("subs").cast("long").alias("subs"), F.col("indel").cast("long").alias("indel"), "pi", F.col("gene_syn").alias("syn"), F.col("gene_nsy").alias("nsy"))
+    weighed = lambda c: F.try_divide(F.sum(F.col(c) * F.col("size")), F.sum(F.when(F.col(c).isNotNull(), F.col("size")))).alias(c)
+    parts = x.where("gene_is_full = 0").withColumnsRenamed({"gene_syn": "syn", "gene_nsy": "nsy"})
+    rolled = parts.groupBy("gene_stable_id", "chr_name").agg(
+        F.array_join(F.array_sort(F.collect_list(F.col("gene_id").cast("string"))), ",").alias("gene_ids"), F.min("start").alias("start"), F.max("end").alias("end"), *[F.min(c).alias(c) for c in named],
+        F.lit(0).alias("gene_is_full"), F.count("*").alias("parts"), F.sum("subs").alias("subs"), F.sum("indel").alias("indel"), weighed("pi"), weighed("syn"), weighed("nsy"),
+    )
+    return whole.unionByName(rolled)
+
+
+# --- linkage: by distance (the first 20) and density (the first 35), for all indels, by their type and by their frequency
+
+
+def _linked(name: str, template: str, key: str, most: int) -> None:
+    needs = {"snp": ["snp_r"] if template == "ld-indel_ld" else ["snp_r2_s"], "isw": [key], "indel": ["indel_type"]}
+
+    def all_indels(t, config):
+        return build(t, template, key=key, limit=most)
+
+    def by(levels: Callable[[Tables], list[tuple[str, str]]]):
+        def plan(t, config):
+            out = None
+            for level, where in levels(t):
+                x = build(t, template, key=key, where=[where], limit=most).withColumn("level", F.lit(level))
+                out = x if out is None else out.unionByName(x)
+            return out
+
+        return plan
+
+    frequencies = lambda t: [(r["name"], f"indel_freq BETWEEN {r['lo']} AND {r['hi']}") for r in _levels(t).collect()]  # noqa: E731  a few levels
+    SHEETS[name] = Sheet("ld", needs, all_indels)
+    SHEETS[f"{name}_insdel"] = Sheet("ld", needs, by(lambda t: [("ins", "indel_type = 'I'"), ("del", "indel_type = 'D'")]))
+    SHEETS[f"{name}_freq"] = Sheet("ld", {**needs, "indel": ["indel_type", "indel_freq"], "sequence": ["seq_role"]}, by(frequencies))
+
+
+for _what in ("indel_ld", "snps_ld"):
+    for _d, _key, _most in (("d1", "isw_distance", 20), ("d2", "isw_density", 35)):
+        _linked(f"{_d}_{_what}", f"ld-{_what}", _key, _most)
+
+
+@sheet("multi", "summary_indel", **_FREQ)
+def summary_indel(t, config):
+    """Lengths of indels: of all, of each type, and of both by frequency."""
+    levels = _levels(t).unionByName(t["indel"].sparkSession.createDataFrame([("unknown", -1, -1)], "name string, lo int, hi int"))
+    kinds = t["indel"].select("indel_length", "indel_freq", F.explode(F.array(F.lit("all"), F.col("indel_type"))).alias("kind"))
+    banded = kinds.join(F.broadcast(levels), F.col("indel_freq").between(F.col("lo"), F.col("hi"))).select("indel_length", "kind", F.col("name").alias("level"))  # a row for each level
+    return agg.column_stat(banded.unionByName(kinds.select("indel_length", "kind", F.lit("all").alias("level"))), ["indel_length"], by=["kind", "level"])
+
+
+@sheet("mvar", indel="indel_seq indel_length")
+def indel_kmers(t, config):
+    """Words of 1 to 6 bases, each with its reverse complement, in indels by the bands of their length."""
+    rows = bk.by_bands(t["indel"], F.col("indel_length"), bk.bands(t["indel"].sparkSession, LENGTHS, "int"))
+    out = None
+    for k in range(1, 7):
+        x = rp.canonical_kmers(rows, "indel_seq", k, ["band"]).withColumn("k", F.lit(k))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 # --- variants
 
 

@@ -36,7 +36,7 @@ def selected(run: str, known: Sequence[int]) -> list[int]:
 
 
 class Run:
-    """Tables of one study below ``root``; each step writes new versions of what it changes.
+    """Tables of one study below ``root``; each step writes the tables and columns that it adds (``sinks.TableSet``).
 
     ``annotation`` is YAML text with cds and repeat; ``genes`` and ``exons`` are tables in chromosome coordinates (chr_name, start,
     end; an exon also exon_id, exon_strand, exon_frame). Steps without their input are left out.
@@ -45,13 +45,22 @@ class Run:
     def __init__(self, spark: SparkSession, root: str, config: Config = Config(), outgroup: bool = False, annotation: str | None = None, genes: DataFrame | None = None, exons: DataFrame | None = None):
         self.spark, self.root, self.config, self.outgroup = spark, root, config, outgroup
         self.annotation, self.genes, self.exons = annotation, genes, exons
-        self.tables: dict[str, DataFrame] = {}
-        self.store: Store | None = None
-        self.version, self.logged = 0, False
+        self.tables = sinks.TableSet(spark, root)
+        self.logged = False
+        self._store: Store | None = None
 
-    def put(self, name: str, df: DataFrame, *order: str) -> None:
-        self.version += 1
-        self.tables[name] = sinks.write_table(df, f"{self.root}/v{self.version}", name, order)
+    @property
+    def store(self) -> Store:
+        """Blocks of the sequences, made when they are first asked for."""
+        if self._store is None:
+            self._store = Store(self.tables["sequence"])
+        return self._store
+
+    def put(self, name: str, df: DataFrame, *order: str, part: str = "") -> None:
+        self.tables.put(name, df, *order, part=part)
+
+    def change(self, name: str, updates: DataFrame, step: str) -> None:
+        self.tables.change(name, updates, f"{name}_id", step)
 
     def generate(self, folder: str) -> None:
         """Tables of the alignments below a folder; blocks that are none are listed in the table ``rejected``."""
@@ -61,16 +70,16 @@ class Run:
         b = self.tables["blocks"]
         self.put("align", ingest.align_table(b, self.outgroup), "align_id")
         self.put("sequence", ingest.sequence_table(b, self.outgroup), "align_id", "seq_position")
-        self.store = Store(self.tables["sequence"])
+        self._store = None
         self.put("indel", ingest.indel_table(b), "align_id", "indel_start")
         self.put("snp", ingest.snp_table(b), "align_id", "snp_pos")
 
     def windows(self) -> None:
         t = self.tables
         self.put("isw", enrich.isw_table(t["indel"], self.store), "align_id", "isw_start")
-        self.put("snp", enrich.snp_windows(t["snp"], t["isw"]), "align_id", "snp_pos")
+        self.change("snp", enrich.snp_windows(t["snp"], t["isw"]).select("snp_id", "isw_id"), "windows")
         if self.outgroup:
-            self.put("isw", sinks.updated(t["isw"], enrich.d_values(t["isw"], t["indel"], t["snp"]), "isw_id"), "align_id", "isw_start")
+            self.change("isw", enrich.d_values(t["isw"], t["indel"], t["snp"]).drop("isw_indel_id", "isw_length"), "d_values")
 
     def gc(self) -> None:
         t = self.tables
@@ -81,7 +90,7 @@ class Run:
         rows = t["segment"].selectExpr("align_id", "segment_id AS window_id", "window_start", "window_end")
         for name in ("extreme", "gsw"):
             rows = rows.unionByName(self.store.column_of(t[name].selectExpr("align_id", f"{name}_id AS window_id", "rank_start", "rank_end"), "free", window_start="rank_start", window_end="rank_end").select(*rows.columns))
-        self.put("window", enrich.window_table(rows, "window_id", self.store), "align_id", "window_start")
+        self.put("window", enrich.window_table(rows, "window_id", self.store), "align_id", "window_start", part="gc")
 
     def targets(self) -> DataFrame:
         return annotate.targets(self.tables["sequence"])
@@ -94,7 +103,7 @@ class Run:
             self.put("gene", gene, "align_id", "rank_start")
             self.put("exon", self.store.column_of(exon, "target", exon_start="rank_start", exon_end="rank_end"), "align_id", "rank_start")
             rows = self.tables["gene"].select("window_id", "align_id", "rank_start", "rank_end").unionByName(self.tables["exon"].select("window_id", "align_id", "rank_start", "rank_end"))
-            self.add_windows(rows)
+            self.put("window", annotate.target_windows(rows, "window_id", self.store), "align_id", "window_start", part="genes")
             return
         if self.genes is not None:
             placed = self.store.column_of(annotate.clipped(self.genes, t).where("rank_start < rank_end"), "target", **{f"align_{n}": c for n, c in (("start", "rank_start"), ("end", "rank_end"))})
@@ -103,29 +112,22 @@ class Run:
             placed = self.store.column_of(annotate.clipped(self.exons, t).where("rank_start < rank_end"), "target", exon_start="rank_start", exon_end="rank_end")
             self.put("exon", placed.drop(*columns.values()).withColumnRenamed("is_full", "exon_is_full"), "align_id", "exon_start")
 
-    def add_windows(self, rows: DataFrame) -> None:
-        """Windows of ranks of the target's bases come to the table, in place of those with the same ids."""
-        more = annotate.target_windows(rows, "window_id", self.store)
-        old = self.tables.get("window")
-        if old is not None:
-            more = old.join(rows.select("window_id"), "window_id", "left_anti").unionByName(more, allowMissingColumns=True)
-        self.put("window", more, "align_id", "window_start")
-
     def place_positions(self, positions: DataFrame, style: str = "center_intact") -> None:
         """Positions (tag, type, chr_name, start, end) as ofg, windows around them as ofgsw with their cv, and the windows of both."""
         self.put("ofg", annotate.place_positions(positions, self.targets()), "align_id", "rank_start")
         ofgsw = annotate.feature_windows(self.tables["ofg"], self.store, style)
         self.put("ofgsw", enrich.window_cv(ofgsw, "ofgsw_id", self.store.compressed("target"), "rank_start", "rank_end", self.config, "ofgsw_cv"), "align_id", "rank_start")
         columns = ["window_id", "align_id", "rank_start", "rank_end"]
-        self.add_windows(self.tables["ofg"].select(*columns).unionByName(self.tables["ofgsw"].select(*columns)))
+        rows = self.tables["ofg"].select(*columns).unionByName(self.tables["ofgsw"].select(*columns))
+        self.put("window", annotate.target_windows(rows, "window_id", self.store), "align_id", "window_start", part="positions")
 
     def cv(self) -> None:
         """cv around windows, in columns; around waves, and within them, in ranks of the comparable set."""
         t = self.tables
-        self.put("isw", enrich.window_cv(t["isw"].drop("isw_cv"), "isw_id", self.store, "isw_start", "isw_end", self.config, "isw_cv"), "align_id", "isw_start")
+        self.change("isw", enrich.window_cv(t["isw"].select("align_id", "isw_id", "isw_start", "isw_end"), "isw_id", self.store, "isw_start", "isw_end", self.config, "isw_cv").select("isw_id", "isw_cv"), "cv")
         if "gsw" in t:
-            around = enrich.window_cv(t["gsw"].drop("gsw_cv", "gsw_intra_cv"), "gsw_id", self.store, "rank_start", "rank_end", self.config, "gsw_cv", ranks=True)
-            self.put("gsw", enrich.intra_cv(around, "gsw_id", self.store, "rank_start", "rank_end", "gsw_intra_cv", ranks=True), "align_id")
+            around = enrich.window_cv(t["gsw"].select("align_id", "gsw_id", "rank_start", "rank_end"), "gsw_id", self.store, "rank_start", "rank_end", self.config, "gsw_cv", ranks=True)
+            self.change("gsw", enrich.intra_cv(around, "gsw_id", self.store, "rank_start", "rank_end", "gsw_intra_cv", ranks=True).select("gsw_id", "gsw_cv", "gsw_intra_cv"), "cv")
 
     def annotate(self) -> None:
         """Portions in coding regions and repeats of alignments, indels, SNPs and windows."""
@@ -136,29 +138,28 @@ class Run:
                 continue
             table = self.tables[name]
             portions = annotate.portions(table.withColumn("_first", F.lit(1)), f"{name}_id", start, end, self.store, targets, features, name)
-            self.put(name, sinks.updated(table, portions, f"{name}_id"), "align_id", *([start] if name != "align" else []))
+            self.change(name, portions, "annotation")
 
     def substitutions(self) -> None:
         """CpG sites, and linkage: of SNPs near each other, also among strains with or without the indel nearest to their window, with that indel, and in segments."""
         t = self.tables
-        snp = sinks.updated(t["snp"], enrich.snp_cpg(t["snp"], self.store), "snp_id")
-        for means in (enrich.neighbour_ld(t["snp"], self.config.near), enrich.group_ld(t["snp"], t["isw"], t["indel"], self.config.near)):
-            snp = sinks.updated(snp, means.withColumnsRenamed({c: f"snp_{c}" for c in means.columns if c[:2] in ("r2", "dp")}), "snp_id")
+        self.change("snp", enrich.snp_cpg(t["snp"], self.store), "cpg")
+        for step, means in (("ld", enrich.neighbour_ld(t["snp"], self.config.near)), ("group_ld", enrich.group_ld(t["snp"], t["isw"], t["indel"], self.config.near))):
+            self.change("snp", means.withColumnsRenamed({c: f"snp_{c}" for c in means.columns if c[:2] in ("r2", "dp")}), step)
         if self.outgroup:
-            snp = sinks.updated(snp, enrich.indel_snp_ld(t["snp"], t["isw"], t["indel"]), "snp_id")
+            self.change("snp", enrich.indel_snp_ld(t["snp"], t["isw"], t["indel"]), "indel_ld")
         if "segment" in t:
             linked = enrich.window_ld(t["segment"].where("window_end - window_start < 1000"), t["snp"], "segment_id", "window_start", "window_end")
-            self.put("segment", sinks.updated(t["segment"], linked.withColumnsRenamed({c: f"segment_{c}" for c in ("r2_s", "dprime_abs_s")}), "segment_id"), "align_id")
-        self.put("snp", snp, "align_id", "snp_pos")
-        self.put("isw", sinks.updated(t["isw"], enrich.isw_cpg(t["isw"], t["snp"]), "isw_id"), "align_id", "isw_start")
+            self.change("segment", linked.withColumnsRenamed({c: f"segment_{c}" for c in ("r2_s", "dprime_abs_s")}), "ld")
+        self.change("isw", enrich.isw_cpg(t["isw"], t["snp"]), "cpg")
 
     def codons(self) -> None:
         """Synonymous and other changes of SNPs in exons, and their rates by window."""
         t = self.tables
         exons = t["exon"].select("align_id", "exon_id", "exon_start", "exon_end", "exon_strand", "exon_frame")
-        self.put("snp", sinks.updated(t["snp"], enrich.snp_codons(t["snp"], exons, self.store), "snp_id"), "align_id", "snp_pos")
+        self.change("snp", enrich.snp_codons(t["snp"], exons, self.store), "codons")
         rates = enrich.summed_rates(t["snp"], "isw_id", t["isw"], "isw_length").withColumnsRenamed({c: f"isw_{c}" for c in ("syn", "nsy", "stop")})
-        self.put("isw", sinks.updated(t["isw"], rates, "isw_id"), "align_id", "isw_start")
+        self.change("isw", rates, "codons")
         if "gene_tl_size" in (t["gene"].columns if "gene" in t else ()):
             self.gene_rates()
 
@@ -167,15 +168,16 @@ class Run:
         t = self.tables
         coded = t["snp"].select("snp_id", "exon_id", "snp_syn", "snp_nsy", "snp_stop").where("exon_id IS NOT NULL").join(t["exon"].select("exon_id", "gene_id"), "exon_id")
         rates = enrich.summed_rates(coded, "gene_id", t["gene"], "gene_tl_size").withColumnsRenamed({c: f"gene_{c}" for c in ("syn", "nsy", "stop")})
-        self.put("gene", sinks.updated(t["gene"], rates, "gene_id"), "align_id")
+        self.change("gene", rates, "codons")
 
     def slippage(self) -> None:
         t = self.tables
-        self.put("indel", sinks.updated(t["indel"], enrich.indel_slippage(t["indel"], self.store), "indel_id"), "align_id", "indel_start")
+        self.change("indel", enrich.indel_slippage(t["indel"], self.store), "slippage")
 
     def report(self, number: int | str) -> dict[str, DataFrame]:
-        """The sheets of one report (its number; or its name, as ``ofg`` has no number) that the tables allow, below ``report/`` and its name."""
+        """The sheets of one report (its number; or its name, as ``ofg`` and ``ld`` have no number) that the tables allow, below ``report/`` and its name."""
         name = REPORTS.get(number, number)
+        self.tables.compact()
         meta = {"meta": self.spark.read.parquet(f"{self.root}/meta")} if self.logged else {}
         made = sheets({**self.tables, **meta}, name, self.config)
         if made:
@@ -190,7 +192,7 @@ class Run:
         """
         steps: dict[int, tuple[str, Callable[[], object]]] = {2: ("generate", lambda: self.generate(folder)), 5: ("windows", self.windows), 10: ("gc", self.gc), 20: ("genes", self.place_genes), 21: ("cv", self.cv), 30: ("annotation", self.annotate), 31: ("slippage", self.slippage), 32: ("substitutions", self.substitutions), 33: ("codons", self.codons)}
         steps |= {n: (f"report {name}", lambda n=n: self.report(n)) for n, name in REPORTS.items()}
-        absent = {20: self.genes is None and self.exons is None, 30: self.annotation is None, 33: self.exons is None}
+        absent = {43: self.genes is None, 20: self.genes is None and self.exons is None, 30: self.annotation is None, 33: self.exons is None}
         done = [n for n in selected(run, sorted(steps)) if not absent.get(n)]
         for n in done:
             name, step = steps[n]

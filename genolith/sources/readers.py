@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genolith.functions import intervals as iv
+from genolith.operators import joins
+from genolith.operators.sequences import SIZE, Store
 from genolith.schema import TABLES
+from genolith.scratch import Scratch
 
 HEADER = r"^([^.\s(:]+)(?:\.([^\s(:]+))?(?:\(([+-])\))?(?::(\d+)(?:-(\d+))?)?"
 
@@ -69,23 +72,60 @@ def rejected_alignments(blocks: DataFrame, outgroup: bool = False) -> DataFrame:
     return blocks.where(~_valid(outgroup)).select("align_id", "file", F.transform("rows", lambda r: r["name"]).alias("names"), F.transform("rows", lambda r: F.length(r["seq"])).alias("lengths"))
 
 
-def genome_fasta(spark: SparkSession, folder: str) -> DataFrame:
-    """chr_name, seq: the first record of each ``.fa``, ``.fas`` or ``.fasta`` file, named after the file."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{fa,fas,fasta}").text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    record = F.get(F.filter(F.split("value", r"(?m)^>"), lambda e: F.trim(e) != ""), 0)
-    seq = F.upper(F.regexp_replace(F.regexp_replace(record, r"^[^\n]*\n", ""), r"\s", ""))
-    return text.select(F.regexp_extract("file", r"([^/]+)\.(?:fa|fas|fasta)$", 1).alias("chr_name"), seq.alias("seq"))
+class Genome:
+    """Chromosomes in blocks: ``names`` has align_id and chr_name, ``store`` the blocks of each, as of an alignment of one sequence."""
 
+    def __init__(self, names: DataFrame, store: Store):
+        self.names, self.store = names, store
 
-def valid_regions(genome: DataFrame, bridge: int = 50, min_length: int = 5000, truncate: int = 100_000) -> DataFrame:
+
+def genome_fasta(spark: SparkSession, folder: str, scratch: Scratch | None = None, size: int = SIZE) -> Genome:
+    """The first record of each ``.fa``, ``.fas`` or ``.fasta`` file, named after the file. Letters are made upper case.
+
+    Files are read line by line in splits of any size, never as one value: each split counts its headers and bases, running sums over the
+    splits of a file say which of its lines are in the first record and how many bases come before, and lines are dealt into
+    blocks. What stands before a file's first header belongs to no record; a record without bases gives nothing.
+    """
+    scratch = scratch or Scratch(spark, "genome")
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{fa,fas,fasta}").text(folder)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), "value")
+    head = F.col("value").startswith(">")
+    lines = lines.withColumns({"head": head.cast("int"), "bases": F.when(head, "").otherwise(F.upper(F.regexp_replace("value", r"\s", "")))})
+    lines = scratch.keep(lines.drop("value"), "lines")
+    within = Window.partitionBy("file", "split").orderBy("i")
+    seen = lines.withColumn("own_heads", F.sum("head").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    heads = lines.groupBy("file", "split").agg(F.sum("head").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("heads"))
+    first = seen.join(heads, ["file", "split"]).where("heads + own_heads = 1 AND head = 0 AND bases <> ''").select("file", "split", "i", "bases")
+    counts = first.groupBy("file", "split").agg(F.sum(F.octet_length("bases")).alias("n")).select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    running = F.coalesce(F.sum(F.octet_length("bases")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = first.join(counts, ["file", "split"]).withColumn("at", F.col("before") + running)
+    align = F.xxhash64("file").alias("align_id")
+
+    def cut(b: F.Column) -> F.Column:
+        low, high = F.floor(F.col("at") / size), F.floor((F.col("at") + F.octet_length(b) - 1) / size)
+        return F.transform(F.sequence(low, high), lambda k: F.struct(k.cast("int").alias("block"), F.greatest(F.col("at"), k * size).alias("from"), F.substring(b, (F.greatest(k * size - F.col("at"), F.lit(0)) + 1).cast("int"), F.least((k + 1) * size - F.greatest(F.col("at"), k * size), F.lit(size)).cast("int")).cast("string").alias("bases")))
+
+    parts = F.get(F.transform(F.array(F.col("bases").cast("binary")), cut), F.lit(0))
+    held = placed.select(align, F.explode(parts).alias("p")).select("align_id", "p.*").groupBy("align_id", "block").agg(F.array_sort(F.collect_list(F.struct("from", "bases"))).alias("p"))
+    blocks = held.select("align_id", "block", F.array(F.concat(F.lit("."), F.array_join(F.transform("p", lambda x: x["bases"]), ""))).alias("rows"))
+    names = lines.select("file").distinct().select(align, F.regexp_extract("file", r"([^/]+)\.(?:fa|fas|fasta)$", 1).alias("chr_name"))
+    return Genome(scratch.keep(names, "names"), Store(blocks, scratch, size, "genome_"))
+
+
+def valid_regions(genome: Genome, bridge: int = 50, min_length: int = 5000, truncate: int = 100_000) -> DataFrame:
     """chr_name, start, end, seq: stretches without other letters than ACGT-, gaps under ``bridge`` bridged, cut into pieces, the last with the rest."""
-    spans = iv.fill(iv.runs_of(F.col("seq"), "ACGT-"), bridge - 1)
-    spans = genome.select("chr_name", "seq", F.explode(spans).alias("s")).where(F.col("s.end") - F.col("s.start") + 1 >= min_length)
-    n = F.greatest(F.floor((F.col("s.end") - F.col("s.start") + 1) / truncate), F.lit(1))
-    cut = spans.select("chr_name", "seq", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i"))
-    start = (F.col("s.start") + F.col("i") * truncate).cast("int")
-    end = F.when(F.col("i") == F.col("n") - 1, F.col("s.end")).otherwise(start + truncate - 1).cast("int")
-    return cut.select("chr_name", start.alias("start"), end.alias("end"), F.substring("seq", start, end - start + 1).alias("seq"))
+    store = genome.store
+    bases = F.substring(F.get("rows", 0), F.lit(2), F.lit(store.size))
+    runs = store.blocks.select("align_id", (F.col("block") * store.size).alias("at"), F.explode(iv.runs_of(bases, "ACGT-")).alias("s"))
+    runs = runs.select("align_id", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end") + bridge - 1).alias("end"))  # spans reach as far as they bridge
+    spans = joins.span_union(runs, ["align_id"], "start", "end", Scratch(store.scratch.spark, "regions")).withColumn("end", F.col("end") - (bridge - 1)).where(F.col("end") - F.col("start") + 1 >= min_length)
+    n = F.greatest(F.floor((F.col("end") - F.col("start") + 1) / truncate), F.lit(1))
+    cut = spans.select("align_id", "start", "end", n.alias("n"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i"))
+    first = F.col("start") + F.col("i") * truncate
+    pieces = cut.select("align_id", first.cast("int").alias("start"), F.when(F.col("i") == F.col("n") - 1, F.col("end")).otherwise(first + truncate - 1).cast("int").alias("end"))
+    found = store.slices(pieces.withColumn("chr", F.col("align_id")), ["chr", "start", "end"], "start", "end").withColumnRenamed("chr", "align_id")
+    return found.join(genome.names, "align_id").select("chr_name", "start", "end", F.get("slices", 0).alias("seq"))
 
 
 def self_alignment(regions: DataFrame, target: str, query: str) -> DataFrame:
