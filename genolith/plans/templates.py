@@ -63,6 +63,7 @@ _LDS = {"AVG_r2": "avg(power(snp_r, 2))", "AVG_Dprime_abs": "avg(abs(snp_dprime)
 _KNOWN = "indel_occured <> 'unknown' AND snp_occured <> 'unknown'"
 _LENGTH = {"indel_number": "count(*)", "AVG_indel_gc": "avg(indel_gc)", "indel_sum": "sum(indel_length)"}
 
+# The names of templates and of their measures.
 TEMPLATES: dict[str, Template] = {
     "common-align": Template(("isw", "indel", "align"), means("isw_pi") | _COUNT, "isw_distance", by_right_neighbour=True),
     "common-d1_pi_gc_cv": Template(("isw",), _PGC | _COUNT, "isw_distance"),

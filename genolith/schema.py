@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The tables and columns that studies share, and their types.
 _DDL = {
     "align": "align_id long, align_length int, align_comparables int, align_identities int, align_differences int, align_gaps int, align_ns int, align_error int, align_pi double, align_indels int, align_gc double, align_average_gc double, align_comparable_runlist string, align_indel_runlist string, align_coding double, align_repeats double, align_coding_runlist string, align_repeats_runlist string",
     "chromosome": "chr_id long, common_name string, taxon_id int, chr_name string, chr_length int, assembly string",

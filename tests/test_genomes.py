@@ -8,7 +8,7 @@ from genolith.sources import readers
 
 def folder_of(tmp_path, r):
     records = {}
-    for name, n, width in (("chr1.fa", 7000, 60), ("chr2.fasta", 333, 7), ("sub/III.fas", 5000, 5000), ("empty.fa", 0, 60)):
+    for name, n, width in (("chr1.fa", 2500, 60), ("chr2.fasta", 333, 7), ("sub/III.fas", 2000, 2000), ("empty.fa", 0, 60)):
         seq = list("".join(r.choice("ACGTacgt") for _ in range(n)))
         for _ in range(n // 150):
             at = r.randrange(n)
