@@ -186,16 +186,17 @@ def test_sheets_of_linkage_waves_and_lists(spark):
     make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     t = {
         "isw": make([(1, 7, 1, 0, 3), (2, 7, 1, 1, 3), (3, 8, 1, 0, 5)], "isw_id long, isw_indel_id long, align_id long, isw_distance int, isw_density int"),
-        "indel": make([(7, 1, "I", 1, 6, "ACGTAC"), (8, 1, "D", 2, 2, "GG")], "indel_id long, align_id long, indel_type string, indel_freq int, indel_length int, indel_seq string"),
-        "snp": make([(1, 1, 1, 0.5, -0.4, 0.1), (2, 2, 1, 1.0, 0.2, 0.3), (3, 3, 1, -0.5, 0.6, 0.5), (4, 1, 1, None, None, 0.7)], "snp_id long, isw_id long, align_id long, snp_r double, snp_dprime double, snp_r2_s double").selectExpr("*", *[f"snp_r2_s AS snp_{c}" for c in ("dprime_abs_s", "r2_i", "r2_ni", "dprime_abs_i", "dprime_abs_ni")]),
+        "indel": make([(7, 1, "I", 1, 6, "ACGTAC"), (8, 1, "D", 2, 2, "GG")], "indel_id long, align_id long, indel_type string, indel_freq int, indel_length int, indel_seq string").withColumn("indel_occured", F.lit("0011")),
+        "snp": make([(1, 1, 1, 0.5, -0.4, 0.1), (2, 2, 1, 1.0, 0.2, 0.3), (3, 3, 1, -0.5, 0.6, 0.5), (4, 1, 1, None, None, 0.7)], "snp_id long, isw_id long, align_id long, snp_r double, snp_dprime double, snp_r2_s double").selectExpr("*", "'0101' AS snp_occured", *[f"snp_r2_s AS snp_{c}" for c in ("dprime_abs_s", "r2_i", "r2_ni", "dprime_abs_i", "dprime_abs_ni")]),
         "sequence": make([(1, "T", "I", 1, 900)] + [(1, "Q", "I", 1, 900)] * 3, "align_id long, seq_role string, chr_name string, chr_start int, chr_end int"),
         "gsw": make([(1, 1, 1, 1200, 0.15, 0.3, 0.6), (2, 2, 0, 1200, 0.15, 0.3, 0.6), (3, 11, 0, 400, 0.5, 0.2, 0.7)], "gsw_id long, gsw_distance int, gsw_distance_crest int, gsw_wave_length int, gsw_amplitude double, gsw_trough_gc double, gsw_crest_gc double"),
         "window": make([(1, 1, 0.1, 0.4, 2, 100, 5), (2, 1, 0.3, 0.5, 1, 100, 6), (3, 1, 0.2, 0.6, 0, 100, 7), (21, 1, 0.1, 0.4, 1, 50, 3), (22, 1, 0.2, 0.5, 2, 100, 4), (23, 2, 0.4, 0.5, 3, 100, 5)], "window_id long, align_id long, window_pi double, window_gc double, window_indel int, window_length int, window_differences int"),
         "gene": make([(21, 21, 1, "a", "I", 5, 54, "x", 1, 1, 50, 0.1, 0.2), (22, 22, 1, "b", "I", 800, 1000, "y", 0, 1, 100, 0.1, 0.3), (23, 23, 2, "b", "I", 800, 1000, "y", 0, 1, 300, None, None)], "gene_id long, window_id long, align_id long, gene_stable_id string, chr_name string, start int, end int, gene_biotype string, gene_is_full int, rank_start int, rank_end int, gene_syn double, gene_nsy double"),
     }
     t["sequence"] = t["sequence"].unionByName(make([(2, "T", "I", 901, 2000)], "align_id long, seq_role string, chr_name string, chr_start int, chr_end int"))
-    made = sheets(t)
-    assert {"d1_indel_ld", "d2_snps_ld_insdel", "d1_indel_ld_freq", "summary_indel", "indel_kmers", "gene_list", "distance_to_trough", "d_wave_length_series", "d_gc_series", "window_gc"} <= set(made)
+    names = {"d1_indel_ld", "d1_indel_ld_insdel", "d2_snps_ld_insdel", "d1_indel_ld_freq", "summary_indel", "indel_kmers", "gene_list", "distance_to_trough", "d_wave_length_series", "d_gc_series", "window_gc"}
+    made = sheets(t, names=list(names))
+    assert set(made) == names and all(df.count() > 0 for df in made.values())
     rows = {r.key: r for r in made["d1_indel_ld"].collect()}
     assert set(rows) == {0, 1} and rows[1].AVG_r2 == pytest.approx(1.0)
     assert {(r.level, r.key) for r in made["d1_indel_ld_insdel"].collect()} == {("ins", 0), ("ins", 1), ("del", 0)}
