@@ -1,14 +1,19 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Pivots are rows of the table (a sample of bounded size, chosen by hash). A vector is described by
-its ``length`` nearest pivots in their order. Inverted lists are kept for pairs of pivots: two
+its nearest pivots in their order. Inverted lists are kept for pairs of pivots: two
 vectors that share s pivots meet in s * (s - 1) / 2 lists, and a list stays short because with
 pivots in proportion to the square root of the rows there are as many lists as rows. Pairs with
 at least two shared pivots are candidates; each is looked at in one list only, that of the two
 smallest pivots it shares, and verified by its cosine in double precision.
 
+How many nearest pivots a vector needs depends on how crowded its place is: where vectors share a
+direction, a partner at the threshold has other nearest pivots, and the more so the more pivots there are. The
+number is therefore measured on the pivots themselves, by how close the tenth nearest pivot is: each
+is given partners at exactly the threshold, and its group takes the least length that finds enough of them.
+
 Where many pivots lie near a vector, the order of its nearest is noise, and the more so the larger
-the table is. A vector with ``length`` pivots or more at a cosine of DENSE is therefore left out of the
+the table is. A vector with NEAREST pivots or more at a cosine of DENSE is therefore left out of the
 lists. Its home is a band of angles around the nearest of a few centres of dense places, and it
 is compared with every vector that the triangle inequality allows to be linked with the band: such
 links are all found, whatever the size of a group.
@@ -30,9 +35,14 @@ from pyspark.sql import functions as F
 
 from genolith.llm.common import Scratch, components, read
 
-LENGTH = 10
-#: Pivots: PER_ROOT times the square root of the rows, between these bounds.
-PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 16_384
+#: How crowded a vector's place is: the cosine of its pivot of this rank.
+NEAREST = 10
+#: Lengths of a permutation to choose from, and the share of partners at the threshold that the one chosen must find.
+LENGTHS, TARGET = (8, 10, 12, 14, 16, 20, 24, 32), 0.98
+#: Pivots that lengths are measured on, in groups of GROUP_OF or more by how crowded they are, and partners of each kind for one.
+PROBES, GROUP_OF, MOST_GROUPS, PARTNERS = 2048, 128, 16, 2
+#: Pivots: PER_ROOT times the square root of the rows, between these bounds (lists keep their length up to 268 million rows).
+PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 65_536
 BLOCK = 1024
 #: Cosine of a near pivot; a home is compared in blocks of WIDE times as many rows, as it has no lists of pairs.
 DENSE, WIDE = 0.75, 4
@@ -88,30 +98,91 @@ def dense_centres(pivots: np.ndarray, length: int) -> np.ndarray:
     return np.array(out).reshape(len(out), pivots.shape[1])
 
 
+def nearest(score: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` best columns of each row, best first, ties by number (in rows of more than four times that many columns, ties with the last place as they come)."""
+    if score.shape[1] > 4 * length:
+        some = np.sort(np.argpartition(-score, length, axis=1)[:, : length + 1], axis=1)
+    else:
+        some = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    order = np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable")[:, :length]
+    return np.take_along_axis(some, order, 1).astype(np.int32)
+
+
+def crowding(score: np.ndarray) -> np.ndarray:
+    rank = min(NEAREST, score.shape[1])
+    return np.partition(score, -rank, axis=1)[:, -rank]
+
+
+def measured_lengths(pivots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Limits of crowding (ascending) and the length of a permutation in each of the groups that they part.
+
+    Partners of a probe have a cosine of ``least`` with it, in a random direction or in that of one of the sixteenth of the pivots
+    around it: the second kind stays in the subspace or cone that the vectors lie in. A probe is not its own pivot here. A group takes the least of
+    LENGTHS by which TARGET of the partners share two pivots with their probe, the last if none does.
+    """
+    none = np.zeros(0)
+    if len(pivots) < LEAST_PIVOTS:
+        return none, np.array([min(LENGTHS[-1], len(pivots))])
+    rng = np.random.default_rng(7)
+    most, crowd, hits = min(LENGTHS[-1], len(pivots) - 1), [], []
+    for at in range(0, min(PROBES, len(pivots)), 128):
+        x = pivots[at : at + 128][: PROBES - at]
+        rows = np.arange(len(x))
+        score = x @ pivots.T
+        score[rows, at + rows] = -np.inf
+        crowd.append(crowding(score))
+        around, kinds = nearest(score, max(most, len(pivots) // 16)), []
+        own = around[:, :most]
+        for kind in range(2):
+            found = []
+            for _ in range(PARTNERS):
+                noise = pivots[around[rows, rng.integers(0, around.shape[1], len(x))]] if kind else 0
+                noise = noise + rng.normal(size=x.shape) * (1e-6 if kind else 1)
+                noise = noise - (noise * x).sum(1, keepdims=True) * x
+                partner = least * x + math.sqrt(1 - least**2) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+                score = partner @ pivots.T
+                score[rows, at + rows] = -np.inf
+                same = own[:, :, None] == nearest(score, most)[:, None, :]
+                found.append([same[:, :n, :n].any(2).sum(1) >= 2 for n in LENGTHS])
+            kinds.append(np.mean(found, axis=0))
+        hits.append(kinds)
+    crowd, hits = np.concatenate(crowd), np.concatenate(hits, axis=2)  # hits: kind, length, probe
+    order = np.argsort(crowd, kind="stable")
+    order = order[crowd[order] < DENSE]  # the others are compared in homes
+    if not len(order):
+        return none, np.array([min(NEAREST, most)])
+    groups = np.array_split(order, max(1, min(MOST_GROUPS, len(order) // GROUP_OF)))
+    enough = [np.flatnonzero(hits[:, :, g].mean((0, 2)) >= TARGET) for g in groups]
+    lengths = np.array([min(most, LENGTHS[e[0]] if len(e) else LENGTHS[-1]) for e in enough])
+    return np.array([crowd[g[0]] for g in groups[1:]]), lengths
+
+
 def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T, -1, 1))
 
 
-def permutations(classes: DataFrame, pivots: np.ndarray, length: int, centres: np.ndarray, least: float) -> DataFrame:
-    """classes, ``near`` (the ``length`` nearest pivots, nearest first, ties by number) and ``home`` (-1 for a vector in no dense place)."""
+def permutations(classes: DataFrame, pivots: np.ndarray, limits: np.ndarray, lengths: np.ndarray, centres: np.ndarray, least: float) -> DataFrame:
+    """classes, ``near`` (the nearest pivots, nearest first, ties by number, -1 after the vector's length) and ``home`` (-1 for a vector in no dense place)."""
     shared = classes.sparkSession.sparkContext.broadcast((pivots, centres))
-    width = math.acos(least) / 2
+    width, most, step = math.acos(least) / 2, int(lengths.max()), max(16, 2**22 // len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, centres = shared.value
         for batch in batches:
             near, home = [], []
-            for i in range(0, batch.num_rows, 1024):
-                x = unit(matrix(batch.column("embedding").slice(i, 1024)))
+            for i in range(0, batch.num_rows, step):
+                x = unit(matrix(batch.column("embedding").slice(i, step)))
                 score = x @ pivots.T
-                near.append(np.argsort(-score, axis=1, kind="stable")[:, :length].astype(np.int32))
+                crowd, best = crowding(score), nearest(score, most)
+                best[np.arange(most) >= lengths[np.searchsorted(limits, crowd, side="right")][:, None]] = -1
+                near.append(best)
                 own = np.full(len(x), -1, np.int32)
-                dense = np.flatnonzero((score >= DENSE).sum(1) >= length) if len(centres) else []
+                dense = np.flatnonzero(crowd >= DENSE) if len(centres) else []
                 if len(dense):
                     angle = angles(x[dense], centres)
                     own[dense] = angle.argmin(1) * BANDS + np.minimum(angle.min(1) // width, BANDS - 1)
                 home.append(own)
-            near = np.concatenate(near) if near else np.zeros((0, length), np.int32)
+            near = np.concatenate(near) if near else np.zeros((0, most), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
             home = pa.array(np.concatenate(home) if home else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, home], names=[*batch.schema.names, "near", "home"])
@@ -142,7 +213,7 @@ def visits(described: DataFrame, homes: list[int], centres: np.ndarray, least: f
 
 def _canonical(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Whether low and high are the two smallest entries that rows of a and b share."""
-    both = np.where((a[:, :, None] == b[:, None, :]).any(2), a, _NONE)
+    both = np.where((a[:, :, None] == b[:, None, :]).any(2) & (a >= 0), a, _NONE)
     two = np.sort(both, axis=1)[:, :2]
     return (two[:, 0] == low) & (two[:, 1] == high)
 
@@ -253,15 +324,15 @@ def compare_lists(rows: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, n long")
 
 
-def _links(same: DataFrame, count: int, scratch: Scratch, tag: str, least: float, length: int, block: int, pivots: int | None) -> DataFrame:
+def _links(same: DataFrame, count: int, scratch: Scratch, tag: str, least: float, length: int | None, block: int, pivots: int | None) -> DataFrame:
     """Rows (class, null, its links) and edges (id, id, null) of the ``count`` classes of one dimension."""
     wanted = pivots or max(LEAST_PIVOTS, min(MOST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(count))))
     sample = same.orderBy(F.xxhash64("id"), "rep").limit(wanted).select("embedding").toPandas()
     points = unit(np.array(sample["embedding"].tolist(), np.float64))
-    length = min(length, len(points))
-    centres = dense_centres(points, length)
-    described = scratch.keep(permutations(same, points, length, centres, least), f"described{tag}")
-    pairs = F.expr("flatten(transform(near, x -> transform(filter(near, y -> y > x), y -> struct(x AS low, y AS high))))")
+    limits, lengths = (np.zeros(0), np.array([min(length, len(points))])) if length else measured_lengths(points, least)
+    centres = dense_centres(points, NEAREST)
+    described = scratch.keep(permutations(same, points, limits, lengths, centres, least), f"described{tag}")
+    pairs = F.expr("flatten(transform(filter(near, x -> x >= 0), x -> transform(filter(near, y -> y > x), y -> struct(x AS low, y AS high))))")
     postings = described.where("home < 0").select("rep", F.explode(pairs).alias("k")).select("rep", "k.low", "k.high")
     homes = [r["home"] for r in described.where("home >= 0").select("home").distinct().collect()]  # bands of centres, no more than a few for each pivot
     if homes:
@@ -278,10 +349,11 @@ def _links(same: DataFrame, count: int, scratch: Scratch, tag: str, least: float
     return scratch.keep(compare_lists(ordered, least), f"found{tag}")
 
 
-def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, length: int = LENGTH, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, length: int | None = None, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors (vec_id, embedding).
 
-    Linked are vectors whose cosine is found to be ``least`` or more, never others. A vector that is
+    Linked are vectors whose cosine is found to be ``least`` or more, never others. ``length`` fixes the number of nearest pivots,
+    which is measured otherwise. A vector that is
     null, empty, zero or has null or non-finite components links with nothing. Each dimension is indexed by itself,
     as vectors of different dimensions have no cosine. Equal vectors link with each other. Rows that share a vec_id are one
     node of the components. A row without

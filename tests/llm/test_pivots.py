@@ -100,3 +100,29 @@ def test_each_dimension_is_compared(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(x) for x in pivots.near_vectors(df, Scratch(spark, "t")).collect())
     assert got == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True)]
+
+
+@pytest.mark.parametrize(("mean", "share"), [(0.6, 3), (0.5, 1)])
+def test_recall_where_vectors_share_a_direction(spark, mean, share):
+    """As many pivots as 2,000,000 rows have, and pairs at the threshold, whose partners lie in the same cone or anywhere."""
+    r = np.random.default_rng(share)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    cone = lambda n: np.sqrt(mean) * np.eye(64)[0] + np.sqrt(1 - mean) * unit(r.normal(size=(n, 64)))
+    x = unit(r.normal(size=(9_000, 64)))
+    x[: 9_000 // share] = unit(cone(9_000 // share))
+    first = x[:1_000]
+    noise = np.r_[cone(500), r.normal(size=(500, 64))]
+    noise -= (noise * first).sum(1, keepdims=True) * first
+    x = np.r_[x, 0.902 * first + np.sqrt(1 - 0.902**2) * unit(noise)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    got = {v.vec_id: v.n_links for v in pivots.near_vectors(df, Scratch(spark, "t"), pivots=5_657).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() >= 1_900
+
+
+def test_nearest():
+    score = np.array([[0.5, 0.9, 0.9, 0.1, 0.9, 0.2, 0.0, 0.3, -1.0, 0.9]] * 3)
+    assert pivots.nearest(score, 5).tolist() == [[1, 2, 4, 9, 0]] * 3
+    score = np.random.default_rng(3).normal(size=(50, 400))
+    assert (pivots.nearest(score, 8) == np.argsort(-score, axis=1)[:, :8]).all()
