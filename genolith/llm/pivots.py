@@ -18,7 +18,8 @@ lists. Its home is a band of angles around the nearest of a few centres of dense
 is compared with every vector that the triangle inequality allows to be linked with the band: such
 links are all found, whatever the size of a group.
 
-A list is compared in blocks: one of more than BLOCK rows is cut, and pairs of its blocks go to
+A vector is sent once for all its short lists that have their smaller pivot in common (a bundle, which is parted by the larger
+pivot where it would be long), not once for each list. A list of more than BLOCK rows is cut, and pairs of its blocks go to
 different tasks. No pairs leave a task, only each vector's number of links and enough edges to
 connect what is linked. Vectors that are equal are one row with a multiplicity.
 """
@@ -44,6 +45,8 @@ PROBES, GROUP_OF, MOST_GROUPS, PARTNERS = 2048, 128, 16, 2
 #: Pivots: PER_ROOT times the square root of the rows, between these bounds (lists keep their length up to 268 million rows).
 PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 65_536
 BLOCK = 1024
+#: Entries of lists that one bundle holds, but for its last list.
+BUNDLE = 16_384
 #: Cosine of a near pivot; a home is compared in blocks of WIDE times as many rows, as it has no lists of pairs.
 DENSE, WIDE = 0.75, 4
 #: ``low`` of the lists that are homes; ``high`` is then the home, centre * BANDS + band.
@@ -219,19 +222,25 @@ def _canonical(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray)
 
 
 def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
-    """Links within runs of one list (and pair of blocks): rows (class, null, its links) and edges (id, id, null)."""
+    """Links within bundles, and within lists (and pairs of blocks) of their own: rows (class, null, its links) and edges (id, id, null)."""
     rows = rows.combine_chunks()
-    column = lambda c: np.asarray(rows.column(c).combine_chunks())
-    rep, ident, times, low, high, i, j, own, home = (column(c) for c in ("rep", "id", "times", "low", "high", "i", "j", "own", "home"))
-    x, near = unit(matrix(rows.column("embedding").combine_chunks())), matrix(rows.column("near").combine_chunks(), np.int32)
+    column = lambda c: rows.column(c).combine_chunks()
+    rep, ident, times, own, home = (np.asarray(column(c)) for c in ("rep", "id", "times", "own", "home"))
+    x, near = unit(matrix(column("embedding"))), matrix(column("near"), np.int32)
+    # one entry for each list of a row; homes come first and have one a row, so that their entries are rows
+    high = np.asarray(column("highs").flatten())
+    at = np.repeat(np.arange(len(rep)), np.asarray(column("highs").value_lengths()))
+    low, i, j = (np.asarray(column(c))[at] for c in ("low", "i", "j"))
+    order = np.lexsort((j, i, high, low))
+    at, low, high, i, j = at[order], low[order], high[order], i[order], j[order]
     key = np.stack([low, high, i, j], 1)
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-    ends = np.r_[first[1:], len(rep)]
+    ends = np.r_[first[1:], len(at)]
     links, parent = np.zeros(len(rep), np.int64), np.arange(len(rep))
 
     def found(p: np.ndarray, q: np.ndarray) -> None:
-        ok = _canonical(near[p], near[q], low[p], high[p])
-        p, q = p[ok], q[ok]
+        ok = _canonical(near[at[p]], near[at[q]], low[p], high[p])
+        p, q = at[p[ok]], at[q[ok]]
         np.add.at(links, p, times[q])
         np.add.at(links, q, times[p])
         while len(p):  # smallest row that is reachable, by pointer jumping
@@ -251,15 +260,15 @@ def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
         two = one if i[a] == j[a] else rows[own[rows] == j[a]]
         here, y, weight = home[two] == high[a], x[two], times[two].astype(np.float64)
         inside = parent[a:b]
-        for at in range(0, len(one), 256):
-            p = one[at : at + 256]
+        for begin in range(0, len(one), 256):
+            p = one[begin : begin + 256]
             own_here = home[p] == high[a]
             if not own_here.any() and not here.any():
                 continue
             mask = x[p] @ y.T >= least
             mask &= own_here[:, None] | here
             if two is one:
-                mask[np.arange(len(p)), np.arange(at, at + len(p))] = False
+                mask[np.arange(len(p)), np.arange(begin, begin + len(p))] = False
             weights = mask.astype(np.float64)
             links[p] += (weights @ weight).astype(np.int64)
             if two is not one:
@@ -280,19 +289,20 @@ def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
             continue
         starts = first[short & (size == n)]
         u, v = np.triu_indices(int(n), 1)
-        for at in range(0, len(starts), max(1, 200_000 // len(u))):
-            some = starts[at : at + max(1, 200_000 // len(u)), None]
+        step = max(1, 200_000 // len(u))
+        for begin in range(0, len(starts), step):
+            some = starts[begin : begin + step, None]
             p, q = (some + u).ravel(), (some + v).ravel()
-            across = (i[p] == j[p]) | (own[p] != own[q])
+            across = (i[p] == j[p]) | (own[at[p]] != own[at[q]])
             p, q = p[across], q[across]
-            ok = np.einsum("ij,ij->i", x[p], x[q]) >= least
+            ok = np.einsum("ij,ij->i", x[at[p]], x[at[q]]) >= least
             found(p[ok], q[ok])
     for a, b in zip(first[~short & ~homes].tolist(), ends[~short & ~homes].tolist()):
-        for at in range(a, b, 256):
-            cosine = x[at : min(b, at + 256)] @ x[a:b].T
-            p, q = np.nonzero(cosine >= least)
-            p, q = p + at, q + a
-            ok = (p < q) & ((i[p] == j[p]) | (own[p] != own[q]))
+        y = x[at[a:b]]
+        for begin in range(0, b - a, 256):
+            p, q = np.nonzero(y[begin : begin + 256] @ y.T >= least)
+            p, q = p + begin + a, q + a
+            ok = (p < q) & ((i[p] == j[p]) | (own[at[p]] != own[at[q]]))
             found(p[ok], q[ok])
     while (parent[parent] != parent).any():
         parent[:] = parent[parent]
@@ -304,7 +314,7 @@ def _compare(rows: pa.Table, least: float) -> pa.RecordBatch:
 
 
 def compare_lists(rows: DataFrame, least: float) -> DataFrame:
-    """Runs through sorted lists; a list that a batch cuts waits for its rest (at most two blocks of rows)."""
+    """Runs through sorted bundles and lists; one that a batch cuts waits for its rest (a bundle, or two blocks of rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -313,7 +323,7 @@ def compare_lists(rows: DataFrame, least: float) -> DataFrame:
             table = pa.concat_tables([held, table]) if held is not None else table
             if not table.num_rows:
                 continue
-            keys = np.stack([np.asarray(table.column(c).combine_chunks()) for c in ("low", "high", "i", "j")], 1)
+            keys = np.stack([np.asarray(table.column(c).combine_chunks()) for c in ("low", "part", "i", "j")], 1)
             cut = int(np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])[-1])
             held = table.slice(cut)
             if cut:
@@ -339,13 +349,18 @@ def _links(same: DataFrame, count: int, scratch: Scratch, tag: str, least: float
         postings = postings.unionByName(visits(described, homes, centres, least))
     postings = scratch.keep(postings, f"postings{tag}")
     size = F.when(F.col("low") == _HOME, WIDE * block).otherwise(block)
-    lists = postings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    lists = postings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
     lists = scratch.keep(lists, f"lists{tag}")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = postings.join(lists, ["low", "high"]).withColumn("own", own)
-    spread = placed.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("rep", "low", "high", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    full = spread.join(described.select("rep", "id", "embedding", "times", "near", "home"), "rep")
-    ordered = full.select("rep", "id", "times", "low", "high", "i", "j", "own", "home", "embedding", "near").repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
+    short = (F.col("low") != _HOME) & (F.col("blocks") == 1)
+    parts = lists.where(short).groupBy("low").agg(F.ceil(F.sum("n") / BUNDLE).cast("int").alias("parts"))  # a row for each pivot at most
+    lists = lists.join(parts, "low", "left").withColumn("part", F.when(short, F.expr("pmod(xxhash64(high), parts)").cast("int")))
+    placed = postings.join(lists.select("low", "high", "blocks", "part"), ["low", "high"]).repartition("rep")
+    bundles = placed.where("part IS NOT NULL").groupBy("rep", "low", "part").agg(F.collect_list("high").alias("highs"))  # at most one entry for each near pivot
+    bundles = bundles.selectExpr("rep", "low", "part", "highs", "0 AS own", "-1 AS i", "-1 AS j")
+    long = placed.where("part IS NULL").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    long = long.select("rep", "low", F.col("high").alias("part"), F.array("high").alias("highs"), "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    full = bundles.unionByName(long).join(described.select("rep", "id", "embedding", "times", "near", "home"), "rep")
+    ordered = full.select("rep", "id", "times", "low", "part", "highs", "i", "j", "own", "home", "embedding", "near").repartition("low", "part", "i", "j").sortWithinPartitions("low", "part", "i", "j")
     return scratch.keep(compare_lists(ordered, least), f"found{tag}")
 
 
