@@ -14,6 +14,7 @@ from genolith.operators import enrich, ingest
 from genolith.operators.sequences import Store
 from genolith.plans import reports as rp
 from genolith.plans.queries import greedy_sql, query, table
+from genolith.plans.tracks import tracks
 from genolith.scratch import Scratch
 
 UPPER, LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,13 +97,17 @@ def alignment_segments(spark, d):
     return enrich.segment_table(t.align, t.store).select("align_id", "segment_type", *whole, *[f"segment_gc_{c}" for c in ("mean", "std", "cv", "mdcw")])
 
 
-@query(f"""WITH {COLUMNS},
-w AS (SELECT align_id, (rank - 1) // 100 AS k, sum(gc) / 100 AS gc FROM n WHERE (rank - 1) // 100 < size // 100 GROUP BY 1, 2),
+#: w: windows of the gc wave; x: its troughs and crests.
+WAVES = """w AS (SELECT align_id, (rank - 1) // 100 AS k, sum(gc) / 100 AS gc FROM n WHERE (rank - 1) // 100 < size // 100 GROUP BY 1, 2),
 s AS (SELECT *, min(gc) OVER b AS lob, max(gc) OVER b AS hib, min(gc) OVER a AS loa, max(gc) OVER a AS hia FROM w
       WINDOW b AS (PARTITION BY align_id ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY align_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
 f AS (SELECT align_id, k, gc, CASE WHEN gc <= least(lob, loa) AND hib - gc >= 0.1 AND hia - gc >= 0.1 THEN 'T' WHEN gc >= greatest(lob, loa, hib, hia) AND gc - lob >= 0.1 AND gc - loa >= 0.1 THEN 'C' END AS flag FROM s WHERE lob IS NOT NULL AND loa IS NOT NULL),
 t AS (SELECT *, sum(turn) OVER (PARTITION BY align_id ORDER BY k) AS run FROM (SELECT *, CASE WHEN flag = lag(flag) OVER (PARTITION BY align_id ORDER BY k) THEN 0 ELSE 1 END AS turn FROM f WHERE flag IS NOT NULL)),
-x AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY align_id, run ORDER BY CASE WHEN flag = 'T' THEN gc ELSE -gc END, k) = 1),
+x AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY align_id, run ORDER BY CASE WHEN flag = 'T' THEN gc ELSE -gc END, k) = 1)"""
+
+
+@query(f"""WITH {COLUMNS},
+{WAVES},
 e AS (SELECT align_id, first(gc ORDER BY k) AS g0, last(gc ORDER BY k) AS g1 FROM w GROUP BY 1)
 SELECT align_id, flag AS extreme_type, 100 * k + 1 AS rank_start, round(gc, 6) AS extreme_gc, round(abs(gc - coalesce(lag(gc) OVER o, g0)), 6) AS extreme_left_amplitude, round(abs(gc - coalesce(lead(gc) OVER o, g1)), 6) AS extreme_right_amplitude,
   coalesce(100 * (k - lag(k) OVER o), 100 * k + 50) AS extreme_left_wave_length, coalesce(100 * (lead(k) OVER o - k), z.size - 100 * k - 50) AS extreme_right_wave_length
@@ -114,6 +119,22 @@ def alignment_waves(spark, d):
     return x.select("align_id", "extreme_type", "extreme_gc", "extreme_left_amplitude", "extreme_right_amplitude", *whole)
 
 
+_BASES = " UNION ALL ".join(f"SELECT align_id, '{'query' if i else 'target'}' AS track, 'strain{i}' AS name, pos FROM c WHERE s{i} <> '-'" for i in range(len(STRAINS)))
+
+
+@query(f"""WITH {COLUMNS}, {ISW}, {WAVES},
+has AS ({_BASES} UNION ALL SELECT align_id, 'comparable', NULL, pos FROM c WHERE NOT gap),
+of AS (SELECT *, pos - row_number() OVER (PARTITION BY align_id, track, name ORDER BY pos) AS run FROM has)
+SELECT align_id, track, name, min(pos) AS start, max(pos) AS "end", CAST(NULL AS DOUBLE) AS score FROM of GROUP BY align_id, track, name, run
+UNION ALL SELECT align_id, 'indel', NULL, a, b, NULL FROM g
+UNION ALL SELECT align_id, 'pi', type, a, CAST(b AS BIGINT), round(sum(unlike) / {len(_PAIRS)} / nullif(sum(comp), 0), 6) FROM isw JOIN c USING (align_id) WHERE pos BETWEEN a AND b GROUP BY align_id, a, b, type
+UNION ALL SELECT w.align_id, 'gc', any_value(flag), min(pos), max(pos), round(any_value(w.gc), 6) FROM w JOIN n ON n.align_id = w.align_id AND (rank - 1) // 100 = w.k LEFT JOIN x ON x.align_id = w.align_id AND x.k = w.k GROUP BY w.align_id, w.k""")
+def alignment_tracks(spark, d):
+    t = Tables(spark, d, "alignment_tracks")
+    sequences = ingest.sequence_table(t.blocks)
+    return tracks({"align": t.align, "sequence": sequences, "isw": enrich.isw_table(t.indel, t.store)}, t.store)
+
+
 @query(f"""WITH {COLUMNS}, {ISW}, z AS (SELECT align_id, max(pos) AS len FROM c GROUP BY 1),
 v AS (SELECT align_id, a, b, greatest(least(CAST(floor((a + b) / 2 - 249) AS BIGINT), len - 499), 1) AS first, least(500, len) AS size FROM isw JOIN z USING (align_id)),
 k AS (SELECT align_id, a, b, (pos - first) // 100 AS k, sum(gc) / nullif(sum(base), 0) AS gc FROM v JOIN c USING (align_id) WHERE pos >= first AND pos < first + size // 100 * 100 GROUP BY 1, 2, 3, 4),

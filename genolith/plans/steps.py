@@ -12,6 +12,7 @@ from genolith.config import Config
 from genolith.operators import annotate, enrich, ingest, joins
 from genolith.operators.sequences import Store
 from genolith.plans.sheets import sheets
+from genolith.plans.tracks import tracks
 from genolith.scratch import Scratch
 from genolith.sources import readers, sinks
 
@@ -184,6 +185,17 @@ class Run:
             sinks.write_sheets(made, f"{self.root}/report/{name}")
         return made
 
+    def graph(self, align_ids: Sequence[int] | None = None) -> DataFrame:
+        """The tracks of alignments (all, or those with these ids), also written as CSV to ``graph/tracks``, and of the gc wave only to ``graph/gc``
+        (align_id, start, gc, flag)."""
+        wanted = self.tables["align"] if align_ids is None else self.tables["align"].where(F.col("align_id").isin(list(align_ids)))
+        some = {"align": wanted, **{n: self.tables[n].join(wanted.select("align_id"), "align_id", "left_semi") for n in ("sequence", "isw") if n in self.tables}}
+        made = Scratch(self.spark, "graph").keep(tracks(some, self.store if align_ids is None else Store(some["sequence"]), self.config), "tracks")
+        sinks.write_query(made.orderBy("align_id", "track", "start", "end"), f"{self.root}/graph/tracks")
+        gc = made.where("track = 'gc'").orderBy("align_id", "start")
+        sinks.write_query(gc.select("align_id", "start", F.col("score").alias("gc"), F.col("name").alias("flag")), f"{self.root}/graph/gc")
+        return made
+
     def run(self, folder: str, run: str = "common") -> list[int]:
         """Runs the selected steps in the order of their numbers; returns those that ran.
 
