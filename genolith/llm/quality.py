@@ -25,13 +25,11 @@ from genolith.llm.shingles import chunks, text_bytes
 
 BITS, ORDER = 6, 4
 CLASSES = 1 << BITS
-#: Labelled documents that the model is trained on at most (the smallest by a hash of their id).
-MAX_TRUSTED = 4_000
 #: A document is rejected if its log-perplexity is beyond the median of its language by more than
 #: REACH times the way from the 5 % quantile to the median, or MARGIN if that is more, and by
 #: NOISE / sqrt(bytes) on top: short texts vary more. It is rejected as far below the median too (repeated words).
 REACH, MARGIN, NOISE = 2.0, 0.05, 2.0
-#: Rows of a count table (16 bytes each) that are broadcast at most.
+#: Rows of a count table (16 bytes each), or trusted ids, that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 #: Texts are cut into 4-grams in pieces of about so many bytes.
 PIECE = 1 << 20
@@ -86,11 +84,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, ", ".join(x for x in (schema, "grams array<struct<gram:bigint,n:int>>") if x))
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """Texts labelled as good, ``most`` rows of labels at most: those whose doc_id hashes lowest. Bounded, so the ids are broadcast."""
+def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """All rows of docs whose doc_id is labelled as good. Up to ``most`` ids are broadcast; more are joined by a shuffle."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.join(F.broadcast(good) if good.count() <= most else good.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 class Model:

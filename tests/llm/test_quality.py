@@ -94,6 +94,22 @@ def test_edges_and_separation(spark):
     assert uniform.nll == pytest.approx(math.log(quality.CLASSES))
 
 
+def test_all_trusted_texts_are_counted(spark):
+    """4,300 labelled texts, more than the model was once trained on, by a broadcast of their ids and by a shuffle."""
+    texts = [f"page {i} of {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(65 + i // 676)}" for i in range(4_500)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(None, "en", "zq"), (4, "en", "again")], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(4_500)] + [(4, 1), (4, 1), (None, 1), (9_999, 1), (250, None)], "doc_id long, quality int")
+    good = sorted([*texts[200:], texts[4], "again"])
+    for most in (quality.BROADCAST_ROWS, 10):
+        assert sorted(r.text for r in quality.trusted_rows(docs, labels, most).collect()) == good
+    p, table = brute_model(good), quality.byte_classes()
+    got = {r.doc_id: r.nll for r in quality.score(docs, labels, Scratch(spark, "t")).where("doc_id % 450 = 0").collect()}
+    assert len(got) == 10
+    for i, nll in got.items():
+        codes = [1, 1, 1] + [int(table[b]) for b in texts[i].encode()]
+        assert nll == pytest.approx(-sum(math.log(p(tuple(codes[j - 3 : j + 1]))) for j in range(3, len(codes))) / (len(codes) - 3), abs=1e-9)
+
+
 def test_held_out_accuracy(spark):
     """On labels that the model was not trained on; texts of one repeated word, as improbably likely as they are, go too."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
