@@ -81,3 +81,19 @@ def test_near_dedup_keeps_different_texts_of_one_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     got = corpus_pipeline.near_dedup(spark, df, "").collect()
     assert sorted(r.kept for r in got) == ["a", "b", "e", "f", "g"]
+
+
+def test_quality_stage_counts_all_trusted_texts(spark, tmp_path, monkeypatch):
+    """4,100 labelled documents, more than the model was once trained on."""
+    counted = []
+
+    class Model(quality.Model):
+        def __init__(self, texts, scratch):
+            counted.append(texts.count())
+            super().__init__(texts, scratch)
+
+    monkeypatch.setattr(quality, "Model", Model)
+    docs = spark.range(4_200).selectExpr("id AS doc_id", "concat('Page ', id, ' is in order.') AS text", "'en' AS lang")
+    spark.range(4_100).selectExpr("id AS doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() > 4_000
+    assert counted == [4_100]
