@@ -31,6 +31,9 @@ from genolith.llm.shingles import chunks, mix, text_bytes
 
 SPAN, GRAM = 100, 16
 BATCHES = 2
+#: Ranges of the gram, each with a family of its own, one after the other: a context is compared within its gram only, and the disk that
+#: one range works on is free again before the next.
+SLICES = 2
 GROUP = 50_000
 _SEED = np.random.default_rng(99)
 _BYTE = _SEED.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,22 +255,28 @@ def differing(entries: DataFrame, keyed: DataFrame, scratch: Scratch, span: int,
     return spans.unionByName(later)
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = SPAN, batches: int = BATCHES, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = SPAN, batches: int = BATCHES, group: int = GROUP, slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, spans (d, t, s, e) of bytes whose union is what is repeated)."""
     keyed = _keyed(docs)
     anchors = scratch.keep(anchor_table(keyed, span), "anchors")
     cuts = []
     if batches > 1:
         cuts = sorted(set(keyed.stat.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)))
-    family, bounds = SuffixFamily(scratch), [None, *[int(c) for c in cuts], None]
-    whole = None
-    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        batch = anchors if low is None else anchors.where(F.col("d") > low)
-        batch = batch if high is None else batch.where(F.col("d") <= high)
-        found = family.add(batch, last=i == len(bounds) - 2)
-        whole = found if whole is None else whole.unionByName(found)
+    bounds = [None, *[int(c) for c in cuts], None]
+    edges = [-(1 << 63) + (k << 64) // slices for k in range(1, slices)]
+    whole = entries = None
+    for k, (least, beyond) in enumerate(zip([None, *edges], [*edges, None])):
+        family = SuffixFamily(scratch, f"family_{k}")
+        own = anchors if least is None else anchors.where(F.col("gram") >= least)
+        own = own if beyond is None else own.where(F.col("gram") < beyond)
+        for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            batch = own if low is None else own.where(F.col("d") > low)
+            batch = batch if high is None else batch.where(F.col("d") <= high)
+            found = family.add(batch, last=i == len(bounds) - 2)
+            whole = found if whole is None else whole.unionByName(found)
+        entries = family.entries() if entries is None else entries.unionByName(family.entries())
     scratch.drop("anchors")
-    inner = scratch.keep(differing(family.entries(), keyed, scratch, span, group), "inner")
+    inner = scratch.keep(differing(entries, keyed, scratch, span, group), "inner")
     scratch.drop("contexts", "some")
     scratch.spark._jvm.System.gc()
     return keyed, whole.select("d", "t", F.col("a").alias("s"), (F.col("a") + F.col("w") + span).alias("e")).unionByName(inner)

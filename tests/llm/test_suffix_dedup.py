@@ -48,6 +48,16 @@ def test_against_brute_force(spark, span, batches, group):
     assert sorted((tuple(r) for r in got), key=str) == brute([(3 * d - 20, t) for d, t in rows], span)
 
 
+def test_ranges_of_grams_have_families_of_their_own(spark, monkeypatch):
+    """No step of a family holds more than the anchors of its range; the result does not depend on the ranges."""
+    steps, add = [], sd.SuffixFamily.add
+    monkeypatch.setattr(sd.SuffixFamily, "add", lambda self, batch, last=False: (steps.append(batch.agg({"gram": "min"}).first()[0] >= 0 if batch.where("gram >= 0").count() else False), add(self, batch, last))[1])
+    rows = [(d, t) for d, t in enumerate(corpus())]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 100)
+    assert steps == [False, False, True, True]
+
+
 def test_repeated_ids_and_empty(spark):
     text = "some words that are long enough to be a string of a hundred bytes, as the operator asks for, and then more"
     df = spark.createDataFrame([(None, text), (None, text), (4, text + "x"), (4, text + "y"), (5, "z" + text)], "doc_id long, text string")
