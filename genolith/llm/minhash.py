@@ -197,25 +197,33 @@ def promising(rows: DataFrame, need: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, rep long")
 
 
-def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets p and q; many pairs of few sets by products of 0/1 matrices."""
-    if len(p) <= 8 * len(sets):
-        return np.array([len(x) + len(y) - len(np.union1d(x, y)) for x, y in ((sets[a], sets[b]) for a, b in zip(p.tolist(), q.tolist()))], np.int64)
+def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """Sizes of the intersections of sets p and q. The shingles of each p are marked, and those of all its q looked up, some ``most`` at a time:
+    work is what the sets of the pairs hold, however many sets there are."""
+    out = np.zeros(len(p), np.int64)
+    if not len(p):
+        return out
     used, at = np.unique(np.r_[p, q], return_inverse=True)
-    values = np.concatenate([sets[k] for k in used.tolist()])
-    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used.tolist()])
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    owner, column = owner[count[column] > 1], column[count[column] > 1]
-    column = np.unique(column, return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = np.zeros((len(used), len(used)), np.float32)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        a, b = np.searchsorted(column, (low, low + 2048))
-        part = np.zeros((len(used), 2048), np.float32)
-        part[owner[a:b], column[a:b] - low] = 1
-        total += part @ part.T
-    return total[at[: len(p)], at[len(p) :]].astype(np.int64)
+    size = np.array([len(sets[k]) for k in used.tolist()], np.int64)
+    column = np.unique(np.concatenate([sets[k] for k in used.tolist()]), return_inverse=True)[1].astype(np.int32)
+    columns = np.split(column, np.cumsum(size)[:-1])
+    a, b = at[: len(p)], at[len(p) :]
+    order = np.argsort(a, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(a[order]) != 0])
+    marked = np.zeros(int(column.max()) + 1 if len(column) else 0, bool)
+    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        own = columns[a[order[low]]]
+        marked[own] = True
+        held, at = np.cumsum(size[b[order[low:high]]]), low
+        while at < high:
+            to = max(at + 1, low + int(np.searchsorted(held, (held[at - low - 1] if at > low else 0) + most, "right")))
+            some = order[at:to]
+            hits = np.r_[0, np.cumsum(marked[np.concatenate([columns[k] for k in b[some].tolist()])])]
+            ends = np.cumsum(size[b[some]])
+            out[some] = hits[ends] - hits[ends - size[b[some]]]
+            at = to
+        marked[own] = False
+    return out
 
 
 def linked(rows: DataFrame, need: int, percent: int) -> DataFrame:

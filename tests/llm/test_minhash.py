@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -133,3 +134,23 @@ def test_trees_follow_from_the_depth():
     assert minhash.trees_for(0, 0.8, 1e-6) == 9
     assert [minhash.trees_for(d, 0.8, 1e-6) for d in (1, 4, 9)] == sorted(minhash.trees_for(d, 0.8, 1e-6) for d in (1, 4, 9))
     assert (1 - 0.8 * 0.8) ** minhash.trees_for(1, 0.8, 1e-6) < 1e-5
+
+
+def test_sets_of_a_task_cost_what_their_pairs_hold():
+    """Many runs come in one batch: sets of different runs are in no pair, and are not held against each other."""
+    rng = np.random.default_rng(3)
+    sets, p, q = [], [], []
+    for _ in range(60):
+        pool = rng.integers(1, 1 << 63, 1800, np.uint64)
+        u, v = np.triu_indices(30, 1)
+        p.append(u + len(sets))
+        q.append(v + len(sets))
+        sets += [np.unique(rng.choice(pool, 1500, replace=False)) for _ in range(30)]
+    sets.append(np.zeros(0, np.uint64))
+    p, q = np.concatenate([*p, [0]]), np.concatenate([*q, [len(sets) - 1]])
+    began = time.process_time()
+    got = minhash.shared_counts(sets, p, q)
+    assert time.process_time() - began < 5
+    assert got[-1] == 0
+    some = rng.choice(len(p), 300, replace=False)
+    assert got[some].tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(p[some], q[some])]
